@@ -356,3 +356,89 @@ SELECT roas, cpc, roas - 4.1 AS roas_gap, (cpc - 980.0) / 980.0 AS cpc_gap,
 
 def row_rates() -> str:
     return f"{with_ctes(AD_FACT)}\nSELECT *, {rates()} FROM ad_fact"
+
+
+def money(x: str) -> str:
+    return f"(format('{{:,.0f}}', CAST({x} AS DOUBLE)) || '원')"
+
+
+def pct(x: str) -> str:
+    return f"(format('{{:,.2f}}', CAST({x} AS DOUBLE) * 100) || '%')"
+
+
+ISSUE_TEXT = {
+    "spend_without_conversion": ("spend without conversions", "keyword intent mismatch, landing page or missing tracking",
+                                 "cut budget, add negative keywords, check landing page and conversion tracking"),
+    "low_ctr_at_volume": ("weak click response", "creative fatigue or copy not matching keywords",
+                          "refresh creatives and align copy per core keyword"),
+    "scale_candidate": ("strong results, budget can grow", "ROAS and conversions are both healthy",
+                        "raise budget step-wise by 10-20 %"),
+}
+
+
+def _issue_case(pos: int, default: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v[pos]}'" for k, v in ISSUE_TEXT.items())
+    return f"COALESCE(CASE rule_code {whens} END, {default})"
+
+
+def action_issues(scope: tuple[str, ...] = (), top: int | None = None) -> str:
+    keys = list(scope)
+    sel = "".join(f"{k}, " for k in keys)
+    grp = f" GROUP BY {', '.join(keys)}" if keys else ""
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    using = f" USING ({', '.join(keys)})" if keys else " ON TRUE"
+    score = ("(CASE severity WHEN 'high' THEN 100.0 WHEN 'medium' THEN 70.0 WHEN 'opportunity' THEN 60.0 "
+             "WHEN 'low' THEN 20.0 ELSE 40.0 END + LEAST(cost / 100000, 30.0) "
+             "+ CASE WHEN severity = 'high' AND roas <= 0 THEN 20.0 ELSE 0.0 END)")
+    evidence = (f"'cost ' || {money('cost')} || ', ctr ' || {pct('ctr')} || ', cvr ' || {pct('cvr')} || "
+                f"', roas ' || {pct('roas')}")
+    effect = (f"CASE rule_code WHEN 'spend_without_conversion' THEN 'about ' || {money('cost * 0.15')} || "
+              f"' monthly saving' WHEN 'low_ctr_at_volume' THEN 'CTR +10-20 %' WHEN 'scale_candidate' "
+              f"THEN 'revenue +8-12 %' ELSE 'less wasted spend' END")
+    cols = ("severity, priority_score, media, target, problem, evidence, cause_hypothesis, recommended_action, "
+            "expected_effect, report_include")
+    where_top = f" WHERE issue_rank <= {top}" if top else ""
+    return f"""{with_ctes(AD_FACT, _base(scope))},
+an AS ({_anomalies_body(scope)}),
+sm AS (SELECT *, {rates()} FROM (SELECT {sel}CAST(COUNT(*) AS BIGINT) AS rows, {sums()} FROM ad_fact{grp}) t),
+cn AS (SELECT {sel}COUNT(*) AS n_anomalies FROM an{grp}),
+pl AS (SELECT {sel}platform, ROW_NUMBER() OVER ({part}ORDER BY c DESC, platform) AS rk
+       FROM (SELECT {sel}platform, SUM(cost) AS c FROM ad_fact GROUP BY {sel}platform) t),
+st AS (SELECT sm.*, COALESCE(cn.n_anomalies, 0) AS n_anomalies, pl.platform AS primary_platform,
+              (rows < 3 OR (cost <= 0 AND impressions <= 0 AND clicks <= 0)) AS insufficient,
+              LEAST(GREATEST(3 - GREATEST(COALESCE(cn.n_anomalies, 0), 1), 0), 2) AS support_n
+       FROM sm LEFT JOIN cn{using} LEFT JOIN (SELECT * FROM pl WHERE rk = 1) pl{using}),
+iss AS (
+  SELECT {sel}base_rank * 10 + rule_seq AS _src, severity, {score} AS priority_score, 'undetermined' AS media, target,
+         {_issue_case(0, 'rule_code')} AS problem, {evidence} AS evidence,
+         {_issue_case(1, "'needs review'")} AS cause_hypothesis,
+         {_issue_case(2, "'review by campaign, ad group and keyword'")} AS recommended_action,
+         {effect} AS expected_effect, severity IN ('high', 'medium', 'opportunity') AS report_include
+  FROM an JOIN (SELECT {sel}insufficient FROM st) g{using} WHERE NOT insufficient
+  UNION ALL
+  SELECT {sel}100000, 'low', 10.0, 'all_media', 'all', 'no urgent issue',
+         'total roas ' || {pct('roas')} || ', cost ' || {money('cost')}, 'no clear waste signal in the current data',
+         'keep checking top-spend and top-performing campaigns', 'keep results, find candidates', false
+  FROM st WHERE NOT insufficient AND n_anomalies = 0
+  UNION ALL
+  SELECT {sel}100001, 'low', 5.0, 'all_media', 'this analysis', 'share the advertiser report',
+         'total roas ' || {pct('roas')}, 'summarise key changes and next actions first',
+         'send the report from the report centre', 'less reporting time', false
+  FROM st WHERE NOT insufficient AND support_n >= 1
+  UNION ALL
+  SELECT {sel}100002, 'low', 4.0, 'all_media', 'industry benchmark', 'compare with the industry average',
+         'cpc ' || {money('cpc')} || ', roas ' || {pct('roas')}, 'a high CPC can erode efficiency even with good ROAS',
+         'check ROAS and CPC against the industry average', 'easier performance explanation', false
+  FROM st WHERE NOT insufficient AND support_n >= 2
+  UNION ALL
+  SELECT {sel}0, 'low', 1.0, COALESCE(NULLIF(trim(primary_platform), ''), 'all_media'), 'all', 'insufficient data',
+         'rows ' || format('{{:,.0f}}', CAST(rows AS DOUBLE)) || ', cost ' || {money('cost')},
+         'too little data to infer a cause',
+         CASE WHEN impressions <= 0 AND clicks <= 0 AND cost <= 0 AND conversions <= 0 AND revenue <= 0 THEN
+              CASE WHEN COALESCE(NULLIF(trim(primary_platform), ''), 'all_media') LIKE '%네이버%'
+                   THEN 'no search-ads performance data for the period' ELSE 'no ad performance data for the period' END
+              ELSE 'upload recent data per media and re-run' END,
+         'trustworthy analysis', false
+  FROM st WHERE insufficient)
+SELECT * FROM (SELECT {sel}{cols}, CAST(ROW_NUMBER() OVER ({part}ORDER BY priority_score DESC, _src) AS INTEGER)
+               AS issue_rank FROM iss) z{where_top}"""

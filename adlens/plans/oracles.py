@@ -34,6 +34,9 @@ def analysis_oracles() -> dict[str, str]:
     q["anomalies"] = o.anomalies()
     q["anomalies_by_account"] = o.anomalies(acct)
     q["recommendations"] = o.recommendations()
+    q["action_issues"] = o.action_issues()
+    q["action_issues_by_account"] = o.action_issues(acct)
+    q["issues_top3"] = o.action_issues(top=3)
     q["health_score"] = o.health_score()
     q["health_score_by_account"] = o.health_score(acct)
     q["industry_tier"] = o.industry_tier()
@@ -41,5 +44,7 @@ def analysis_oracles() -> dict[str, str]:
 
 
 def all_oracles() -> dict[str, str]:
+    from adlens.plans.ingest_queries import ingest_oracles
     q = analysis_oracles()
+    q.update(ingest_oracles())
     return q

@@ -87,5 +87,7 @@ def _rounded_thresholds(df: DataFrame) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
+    from adlens.plans.ingest_queries import ingest_queries
     q = analysis_queries()
+    q.update(ingest_queries())
     return q

@@ -154,3 +154,41 @@ def channel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.try_divide(F.col("revenue").cast("double"), F.col("ad_cost").cast("double")), F.lit(0.0))
         .alias("roas"),
     )
+
+
+# Header layout of the raw text report view: Korean and English aliases, one fuzzy
+# header ('clickz', 'revenues') each, and a second platform header ('media') that
+# loses to the first and passes through as an extra column.
+RAW_REPORT_HEADERS = ["일자", "광고매체", "Account Name", "Campaign-Name", "광고그룹명", "검색어", "상품명", "노출수(회)",
+                      "clickz", "광고비(원)", "전환수", "revenues", "주문수", "media", "memo"]
+
+
+def raw_ad_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ad fact rendered as a messy all-text media report.
+
+    Dates in three layouts, thousands separators, a '원' suffix, '-' for zero,
+    padded numbers, 'NA' and blank dimension cells. Standardising it must give
+    back the ad fact (with 'NA'/blank dimensions as 'unclassified').
+    """
+    f = ad_fact(spark, sf_dir).withColumn("_o", F.col("orders"))
+    d = F.col("date")
+    date_txt = (F.when(F.col("_o") % 3 == 0, F.date_format(d, "yyyy/M/d"))
+                .when(F.col("_o") % 3 == 1, F.date_format(d, "yyyy.MM.dd"))
+                .otherwise(F.date_format(d, "yyyy-MM-dd")))
+    return f.select(
+        date_txt.alias("일자"),
+        F.when(F.col("_o") == 7, F.lit("NA")).otherwise(F.col("platform")).alias("광고매체"),
+        F.col("account_name").alias("Account Name"),
+        F.col("campaign_name").alias("Campaign-Name"),
+        F.col("ad_group_name").alias("광고그룹명"),
+        F.when(F.col("_o") == 6, F.lit("  ")).otherwise(F.col("keyword")).alias("검색어"),
+        F.col("product_name").alias("상품명"),
+        F.format_number(F.col("impressions").cast("double"), 0).alias("노출수(회)"),
+        F.col("clicks").cast("string").alias("clickz"),
+        F.concat(F.format_number(F.col("cost"), 2), F.lit("원")).alias("광고비(원)"),
+        F.when(F.col("conversions") == 0, F.lit("-")).otherwise(F.col("conversions").cast("string")).alias("전환수"),
+        F.col("revenue").cast("string").alias("revenues"),
+        F.concat(F.lit(" "), F.col("orders").cast("string"), F.lit(" ")).alias("주문수"),
+        F.lit("dup").alias("media"),
+        F.concat(F.lit("row "), F.col("orders").cast("string")).alias("memo"),
+    )
