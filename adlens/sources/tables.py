@@ -103,7 +103,7 @@ def collection_log_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("status"),
         F.floor("value").cast("bigint").alias("rows_collected"),
         F.lit(1).cast("bigint").alias("file_count"),
-        F.round(F.col("value") / 100, 2).alias("storage_used_mb"),
+        (F.col("value") / 100).alias("storage_used_mb"),
         F.when(et == "error", F.concat(F.lit("E"), (F.col("user_id") % 4).cast("string"))).otherwise(F.lit(""))
         .alias("error_code"),
         F.when(et == "error", F.lit("collector timeout")).when(et == "signup", F.lit("")).otherwise(F.lit(""))
@@ -111,6 +111,37 @@ def collection_log_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def channel_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channel registry over ``nation``: one channel per nation, two media-key aliases each.
+
+    Every fourth channel still needs a connection; the first alias wins when both
+    have log rows, and channels whose aliases have no log keep their defaults.
+    """
+    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    k = F.col("n_nationkey")
+    return n.select(
+        F.col("n_name").alias("channel"), k.alias("display_order"),
+        F.when(k % 4 == 3, F.lit("needs_connection")).otherwise(F.lit("entry_done")).alias("connection"),
+        F.array(F.concat(F.lit("m"), (k % 7).cast("string")), F.concat(F.lit("m"), (k % 9).cast("string")))
+        .alias("media_keys"))
+
+
+def step_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collection step results over ``events``: media = user bucket, step = event type.
+
+    error -> failed (detail = error code), signup -> blocked, everything else succeeds.
+    """
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    et = F.col("event_type")
+    return ev.select(
+        F.concat(F.lit("m"), (F.col("user_id") % 5).cast("string")).alias("media"),
+        F.col("event_id").alias("seq"), et.alias("step"),
+        F.when(et == "error", "failed").when(et == "signup", "blocked").otherwise("success").alias("status"),
+        F.when(et == "error", F.concat(F.lit("error E"), (F.col("user_id") % 4).cast("string")))
+        .when(et == "signup", F.concat(F.lit("login required for u"), (F.col("user_id") % 3).cast("string")))
+        .otherwise(F.concat(F.lit("ok "), et)).alias("detail"))
+
+
 # Region -> channel group used by the channel benchmark view (ours; unmatched groups fall back to the default).
 REGION_CHANNEL_GROUP = {"AFRICA": "광고매체", "AMERICA": "오픈마켓", "ASIA": "커머스 플랫폼", "EUROPE": "글로벌 채널"}
 
