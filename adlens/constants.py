@@ -148,6 +148,24 @@ LOG_STATUSES = ["success", "partial", "no_data", "failed"]
 STATUS_FRESH, STATUS_WARN, STATUS_STALE, STATUS_DISCONNECTED = "최신", "주의", "오래됨", "연결 안됨"
 NEEDS_ATTENTION = [STATUS_WARN, STATUS_STALE, STATUS_DISCONNECTED]
 
+# Search-ads stats payloads: media name, id keys, row-marker keys, container list keys,
+# date keys and the keys tried (in order) for each metric.
+SEARCH_ADS_MEDIA_NAME = "네이버 검색광고"
+STAT_ID_KEYS = ["id", "nccCampaignId", "nccAdgroupId", "nccKeywordId"]
+STAT_ROW_MARKERS = ["id", "nccCampaignId", "nccAdgroupId", "nccKeywordId", "impCnt", "clkCnt", "salesAmt"]
+STAT_LIST_KEYS = ["data", "rows", "items", "result", "results"]
+STAT_DATE_KEYS = ["date", "statDate", "statDt", "period", "baseDate"]
+STAT_METRIC_KEYS = {
+    "impressions": ["impCnt", "impressions"],
+    "clicks": ["clkCnt", "clicks"],
+    "cost": ["salesAmt", "cost"],
+    "conversions": ["ccnt", "convCnt", "conversionCnt", "conversions"],
+    "revenue": ["convAmt", "revenue", "sales"],
+    "roas": ["ror", "roas"],
+    "cpc": ["cpc"],
+    "ctr": ["ctr"],
+}
+
 # Preset names accepted by the date-range presets (anything else = last 7 days).
 PRESETS = ["last_7_days", "yesterday", "last_week", "last_15_days", "this_month", "last_month",
            "last_quarter", "last_half", "last_season"]

@@ -45,8 +45,10 @@ def analysis_oracles() -> dict[str, str]:
 
 def all_oracles() -> dict[str, str]:
     from adlens.plans.collection_queries import collection_oracles
+    from adlens.plans.json_queries import json_oracles
     from adlens.plans.ingest_queries import ingest_oracles
     q = analysis_oracles()
     q.update(ingest_oracles())
     q.update(collection_oracles())
+    q.update(json_oracles())
     return q

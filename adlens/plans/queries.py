@@ -88,8 +88,10 @@ def _rounded_thresholds(df: DataFrame) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     from adlens.plans.collection_queries import collection_queries
+    from adlens.plans.json_queries import json_queries
     from adlens.plans.ingest_queries import ingest_queries
     q = analysis_queries()
     q.update(ingest_queries())
     q.update(collection_queries())
+    q.update(json_queries())
     return q

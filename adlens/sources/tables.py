@@ -142,6 +142,75 @@ def step_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("ok "), et)).alias("detail"))
 
 
+STATS_DOC_SIZE = 25  # events per stats document (an API response page)
+
+
+def _stat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    k = F.get_json_object("props", "$.k")
+    et = F.col("event_type")
+    return ev.select(
+        "event_id", (F.col("event_id") / STATS_DOC_SIZE).cast("bigint").alias("doc_id"),
+        F.date_format("ts", "yyyy-MM-dd").alias("day"),
+        F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("cmp-"), k))
+        .when(F.col("user_id") % 3 == 1, F.concat(F.lit("grp-"), k)).otherwise(F.concat(F.lit("kw-"), k)).alias("sid"),
+        F.when(et == "view", 1).otherwise(0).alias("impCnt"),
+        F.when(et == "click", 1).otherwise(0).alias("clkCnt"),
+        F.when(et == "click", F.col("value")).otherwise(0.0).alias("salesAmt"),
+        F.when(et == "purchase", 1).otherwise(0).alias("ccnt"),
+        F.when(et == "purchase", F.col("value")).otherwise(0.0).alias("convAmt"))
+
+
+def stats_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search-ads stats API responses built from ``events``, 25 events per document.
+
+    Four envelopes by ``doc_id % 4``: 0 ``{"response":{"data":[{id,date,fields{}}]}}``;
+    1 ``{"data":[{statDt,data{}}]}`` without ids (request ids attach by position);
+    2 ``[{"rows":[{id,period,metrics...}]}]`` with comma-formatted money text;
+    3 ``{"response":{"data":[]}}`` (empty: zero rows per requested id).
+    """
+    e = _stat_events(spark, sf_dir)
+    shape = F.col("doc_id") % 4
+    metrics = F.struct("impCnt", "clkCnt", "salesAmt", "ccnt", "convAmt")
+    row = (F.when(shape == 0, F.to_json(F.struct(F.col("sid").alias("id"), F.col("day").alias("date"),
+                                                   metrics.alias("fields"))))
+           .when(shape == 1, F.to_json(F.struct(F.col("day").alias("statDt"), metrics.alias("data"))))
+           .when(shape == 2, F.to_json(F.struct(F.col("sid").alias("id"), F.col("day").alias("period"), "impCnt",
+                                                "clkCnt", F.format_number("salesAmt", 2).alias("salesAmt"), "ccnt",
+                                                F.format_number("convAmt", 2).alias("convAmt")))))
+    per_doc = e.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("event_id", row.alias("j"), "sid"))).alias("items"),
+        F.min("day").alias("since"), F.max("day").alias("until"))
+    body = F.array_join(F.transform("items", lambda s: s["j"]), ",")
+    shp = F.col("doc_id") % 4
+    payload = (F.when(shp == 0, F.concat(F.lit('{"response":{"data":['), body, F.lit("]}}")))
+               .when(shp == 1, F.concat(F.lit('{"data":['), body, F.lit("]}")))
+               .when(shp == 2, F.concat(F.lit('[{"rows":['), body, F.lit("]}]")))
+               .otherwise(F.lit('{"response":{"data":[]}}')))
+    ids = F.transform("items", lambda s: s["sid"])
+    req_ids = F.when(shp == 3, F.array_distinct(ids)).otherwise(ids)
+    request = F.to_json(F.struct(req_ids.alias("ids"),
+                                 F.to_json(F.struct(F.col("since"), F.col("until"))).alias("timeRange")))
+    return per_doc.select("doc_id", F.concat(F.lit("adv"), (F.col("doc_id") % 3).cast("string")).alias("advertiser"),
+                          payload.alias("payload"), request.alias("request"))
+
+
+def stats_dimensions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Campaign, ad-group and keyword lists for the campaigns seen in ``events``."""
+    ks = (read_table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("int").alias("k"))
+          .distinct())
+    ks_s = F.col("k").cast("string")
+    camps = ks.where(F.col("k") % 10 != 0).select(F.concat(F.lit("cmp-"), ks_s).alias("nccCampaignId"),
+                                                  F.concat(F.lit("c"), ks_s).alias("name"))
+    groups = ks.where(F.col("k") % 3 == 0).select(F.concat(F.lit("grp-"), ks_s).alias("nccAdgroupId"),
+                                                  F.concat(F.lit("cmp-"), ks_s).alias("nccCampaignId"),
+                                                  F.concat(F.lit("g"), ks_s).alias("name"))
+    kws = ks.where(F.col("k") % 2 == 0).select(F.concat(F.lit("kw-"), ks_s).alias("nccKeywordId"),
+                                               F.concat(F.lit("grp-"), ks_s).alias("nccAdgroupId"),
+                                               F.concat(F.lit("kw"), ks_s).alias("keyword"))
+    return camps, groups, kws
+
+
 # Region -> channel group used by the channel benchmark view (ours; unmatched groups fall back to the default).
 REGION_CHANNEL_GROUP = {"AFRICA": "광고매체", "AMERICA": "오픈마켓", "ASIA": "커머스 플랫폼", "EUROPE": "글로벌 채널"}
 
