@@ -260,3 +260,43 @@ def whitelist_status(status: Column) -> Column:
     """Unknown log statuses are recorded as failed."""
     s = F.lower(F.trim(status))
     return F.when(s.isin("success", "partial", "no_data", "failed"), s).otherwise(F.lit("failed"))
+
+
+def normalise_date_ranges(requests: DataFrame, today: dt.date, start: str = "raw_start",
+                          end: str = "raw_end") -> DataFrame:
+    """Collection date-range requests -> (start_date, end_date, source, warnings).
+
+    Both blank -> the previous 30 days ending yesterday. A missing side copies the
+    other; reversed sides swap; an end after yesterday is clamped to yesterday;
+    a range entirely in the future collapses to yesterday. Unparseable text is
+    ignored with a warning.
+    """
+    c = F.col
+    ds, de = F.trim(F.coalesce(c(start), F.lit(""))), F.trim(F.coalesce(c(end), F.lit("")))
+    ps = F.when(ds != "", F.try_to_date(ds, "yyyy-M-d"))
+    pe = F.when(de != "", F.try_to_date(de, "yyyy-M-d"))
+    d_end = F.lit(today - dt.timedelta(days=1))
+    d_start = F.lit(today - dt.timedelta(days=30))
+    s1, e1 = F.coalesce(ps, pe), F.coalesce(pe, ps)
+    swap = s1 > e1
+    s2 = F.when(swap, e1).otherwise(s1)
+    e2 = F.when(swap, s1).otherwise(e1)
+    clamp = e2 > d_end
+    e3 = F.when(clamp, d_end).otherwise(e2)
+    future = s2 > e3
+    s3 = F.when(future, e3).otherwise(s2)
+    use_default = ps.isNull() & pe.isNull()
+    warnings = F.array_compact(F.array(
+        F.when((ds != "") & ps.isNull(), F.lit("invalid_start")),
+        F.when((de != "") & pe.isNull(), F.lit("invalid_end")),
+        F.when(~use_default & ps.isNull(), F.lit("start_missing")),
+        F.when(~use_default & pe.isNull(), F.lit("end_missing")),
+        F.when(~use_default & swap, F.lit("swapped")),
+        F.when(~use_default & clamp, F.lit("end_clamped")),
+        F.when(~use_default & future, F.lit("all_future"))))
+    return requests.select(
+        "*",
+        F.when(use_default, d_start).otherwise(s3).alias("start_date"),
+        F.when(use_default, d_end).otherwise(e3).alias("end_date"),
+        F.when(use_default, F.lit("default_30_days")).otherwise(F.lit("requested")).alias("range_source"),
+        warnings.alias("warnings"))

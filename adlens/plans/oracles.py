@@ -51,4 +51,6 @@ def all_oracles() -> dict[str, str]:
     q.update(ingest_oracles())
     q.update(collection_oracles())
     q.update(json_oracles())
+    from adlens.plans.channel_queries import channel_oracles
+    q.update(channel_oracles())
     return q

@@ -94,4 +94,6 @@ def all_queries() -> dict[str, Query]:
     q.update(ingest_queries())
     q.update(collection_queries())
     q.update(json_queries())
+    from adlens.plans.channel_queries import channel_queries
+    q.update(channel_queries())
     return q

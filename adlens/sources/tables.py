@@ -228,11 +228,12 @@ def channel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     group_map = F.create_map(*[x for kv in REGION_CHANNEL_GROUP.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     price = F.col("o_totalprice").cast("decimal(18,2)")
-    share = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit(0.18)).otherwise(F.lit(0.09))
+    share = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit(0.18).cast("decimal(3,2)")) \
+        .otherwise(F.lit(0.09).cast("decimal(3,2)"))
     per_customer = (orders.join(cust, orders.o_custkey == cust.c_custkey)
                     .groupBy("c_nationkey", "o_custkey")
                     .agg(F.sum(price).alias("revenue"),
-                         F.sum((F.col("o_totalprice") * share).cast("decimal(18,2)")).alias("ad_cost"),
+                         F.sum(price * share).alias("ad_cost"),
                          F.count(F.lit(1)).alias("orders"),
                          F.count_if(F.col("o_orderstatus") == "F").alias("conversions")))
     per_nation = (per_customer.groupBy("c_nationkey")
@@ -245,8 +246,9 @@ def channel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         F.col("n_name").alias("channel_name"),
         F.coalesce(group_map[F.col("r_name")], F.col("r_name")).alias("channel_group"),
-        F.col("revenue").cast("double").alias("revenue"),
-        F.col("ad_cost").cast("double").alias("ad_cost"),
+        # Money stays DECIMAL so sums over channels are exact and order-independent.
+        F.col("revenue").cast("decimal(38,2)").alias("revenue"),
+        F.col("ad_cost").cast("decimal(38,4)").alias("ad_cost"),
         F.col("orders").cast("bigint").alias("orders"),
         F.col("conversions").cast("bigint").alias("conversions"),
         F.col("new_customers").cast("bigint").alias("new_customers"),
