@@ -166,6 +166,39 @@ STAT_METRIC_KEYS = {
     "ctr": ["ctr"],
 }
 
+# File audit: optional cart-count header aliases; media inferred from file-name words
+# (rules tried in order); alias-candidate substring rules for unmapped headers (in order).
+CART_COUNT_ALIASES = ["장바구니", "장바구니수", "장바구니 수", "cart", "cart count", "add to cart"]
+MEDIA_NAVER, MEDIA_GMARKET, MEDIA_AUCTION, MEDIA_GMARKET_AUCTION, MEDIA_11ST = "네이버", "G마켓", "옥션", "G마켓/옥션", "11번가"
+MEDIA_UNCLASSIFIED = "매체 미분류"
+NAVER_WORDS = ["naver", "네이버"]
+GMARKET_WORDS = ["gmarket", "g 마켓", "지마켓"]
+AUCTION_WORDS = ["auction", "옥션"]
+ELEVENST_WORDS = ["11", "11번가"]
+MARKETPLACE_MEDIA = [MEDIA_GMARKET, MEDIA_AUCTION, MEDIA_GMARKET_AUCTION]
+ALIAS_CANDIDATE_RULES = [
+    (["장바구니", "cart"], "cart_count"),
+    (["노출", "impression", "impr"], "impressions"),
+    (["클릭수", "click"], "clicks"),
+    (["광고비", "소진", "비용", "과금", "spend", "cost"], "cost"),
+    (["전환수", "구매수", "전환건수", "conversion"], "conversions"),
+    (["매출", "주문금액", "결제금액", "revenue", "sales"], "revenue"),
+    (["주문수", "주문건수", "결제수", "order"], "orders"),
+    (["상품명", "상품", "소재", "product", "item"], "product_name"),
+    (["키워드", "검색어", "keyword", "query"], "keyword"),
+    (["캠페인", "campaign"], "campaign_name"),
+    (["그룹", "adgroup"], "ad_group_name"),
+    (["roas", "수익률", "광고수익률"], "roas"),
+    (["cpc", "클릭당"], "cpc"),
+    (["ctr", "클릭률"], "ctr"),
+    (["cvr", "전환율"], "cvr"),
+]
+DERIVED_METRICS = ["roas", "cpc", "ctr", "cvr"]
+# Marketplace metadata headers held back from alias suggestions.
+MARKETPLACE_METADATA_HEADERS = ["광고ID", "상품번호", "광고수익률", "클릭당비용", "클릭률", "전환율", "전환당비용", "source_sheet"]
+# File-name words marking a marketplace legacy report.
+LEGACY_REPORT_WORDS = ["gmarket auction", "gmarket", "auction", "지마켓", "옥션"]
+
 # Preset names accepted by the date-range presets (anything else = last 7 days).
 PRESETS = ["last_7_days", "yesterday", "last_week", "last_15_days", "this_month", "last_month",
            "last_quarter", "last_half", "last_season"]

@@ -53,4 +53,6 @@ def all_oracles() -> dict[str, str]:
     q.update(json_oracles())
     from adlens.plans.channel_queries import channel_oracles
     q.update(channel_oracles())
+    from adlens.plans.audit_queries import audit_oracles
+    q.update(audit_oracles())
     return q

@@ -96,4 +96,6 @@ def all_queries() -> dict[str, Query]:
     q.update(json_queries())
     from adlens.plans.channel_queries import channel_queries
     q.update(channel_queries())
+    from adlens.plans.audit_queries import audit_queries
+    q.update(audit_queries())
     return q
