@@ -106,8 +106,18 @@ FRESH_LAG_DAYS, WARN_LAG_DAYS = 1, 7
 SUCCESS_WINDOW_DAYS = 30
 KST_ZONE = "Asia/Seoul"
 
-# Retention limits (days) by storage target.
+# Retention limits (days) by storage target, and the file patterns each target keeps.
 RETENTION_DAYS = {"raw": 90, "processed": 365, "reports": 365, "logs": 180, "screenshots": 30}
+RETENTION_SUFFIXES = {
+    "raw": [".csv", ".xlsx", ".xls", ".json"],
+    "processed": [".csv", ".xlsx", ".parquet", ".duckdb"],
+    "reports": [".md", ".txt", ".xlsx", ".pdf"],
+    "logs": [".log", ".txt", ".json"],
+    "screenshots": [".png", ".jpg", ".jpeg", ".webp"],
+}
+# Download detection: partial-download suffixes and accepted report suffixes.
+PARTIAL_DOWNLOAD_SUFFIXES = [".crdownload", ".tmp", ".part"]
+REPORT_DOWNLOAD_SUFFIXES = [".xlsx", ".xls", ".csv"]
 
 # Header similarity cut-off for fuzzy column matching.
 MIN_HEADER_SIMILARITY = 0.88

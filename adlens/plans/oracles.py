@@ -55,4 +55,6 @@ def all_oracles() -> dict[str, str]:
     q.update(channel_oracles())
     from adlens.plans.audit_queries import audit_oracles
     q.update(audit_oracles())
+    from adlens.plans.file_queries import file_oracles
+    q.update(file_oracles())
     return q

@@ -98,4 +98,6 @@ def all_queries() -> dict[str, Query]:
     q.update(channel_queries())
     from adlens.plans.audit_queries import audit_queries
     q.update(audit_queries())
+    from adlens.plans.file_queries import file_queries
+    q.update(file_queries())
     return q

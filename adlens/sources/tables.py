@@ -142,6 +142,35 @@ def step_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("ok "), et)).alias("detail"))
 
 
+INVENTORY_CLOCK = "2024-06-30 12:00:00"
+INVENTORY_FOLDERS = ["raw", "processed", "reports", "logs", "screenshots", "downloads", "other"]
+INVENTORY_SUFFIXES = [".csv", ".xlsx", ".json", ".txt", ".png"]
+DOWNLOAD_NAMES = ["report_{}.csv", "report_{}.xlsx", "REPORT_{}.XLSX", "report_{}.xlsx.crdownload", "demo_{}.csv",
+                  "report_{}.tmp", "notes_{}.txt", "report_{}.xls"]
+
+
+def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File metadata (path, length, modificationTime) for one stored file per document.
+
+    Folder by doc id % 7, suffix by doc id % 5, size from the text length, age up to
+    ~500 days before the inventory clock; the ``downloads`` folder holds finished,
+    partial, demo and empty report downloads.
+    """
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    i = F.col("doc_id")
+    folder = F.element_at(F.array(*[F.lit(x) for x in INVENTORY_FOLDERS]), (i % 7 + 1).cast("int"))
+    suffix = F.element_at(F.array(*[F.lit(x) for x in INVENTORY_SUFFIXES]), (i % 5 + 1).cast("int"))
+    dl_name = F.element_at(F.array(*[F.lit(x) for x in DOWNLOAD_NAMES]), (i % 8 + 1).cast("int"))
+    dl_name = F.replace(dl_name, F.lit("{}"), i.cast("string"))
+    path = F.when(folder == "downloads", F.concat(F.lit("downloads/"), dl_name)).otherwise(
+        F.concat(F.lit("data/"), folder, F.lit("/"), F.col("source"), F.lit("/doc_"), i.cast("string"), suffix))
+    length = F.when((folder == "downloads") & (i % 13 == 0), F.lit(0)).otherwise(F.col("n_chars") * 4)
+    mtime = (F.lit(INVENTORY_CLOCK).cast("timestamp_ntz") - F.make_interval(days=((i * 37) % 500).cast("int"))
+             - F.make_interval(hours=(i % 24).cast("int")))
+    return d.select(path.alias("path"), length.cast("bigint").alias("length"),
+                    mtime.cast("timestamp_ntz").alias("modificationTime"))
+
+
 STATS_DOC_SIZE = 25  # events per stats document (an API response page)
 
 
