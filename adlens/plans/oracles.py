@@ -57,4 +57,6 @@ def all_oracles() -> dict[str, str]:
     q.update(audit_oracles())
     from adlens.plans.file_queries import file_oracles
     q.update(file_oracles())
+    from adlens.plans.report_queries import report_oracles
+    q.update(report_oracles())
     return q

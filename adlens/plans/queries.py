@@ -100,4 +100,6 @@ def all_queries() -> dict[str, Query]:
     q.update(audit_queries())
     from adlens.plans.file_queries import file_queries
     q.update(file_queries())
+    from adlens.plans.report_queries import report_queries
+    q.update(report_queries())
     return q
