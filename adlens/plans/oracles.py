@@ -59,4 +59,6 @@ def all_oracles() -> dict[str, str]:
     q.update(file_oracles())
     from adlens.plans.report_queries import report_oracles
     q.update(report_oracles())
+    from adlens.plans.stream_queries import stream_oracles
+    q.update(stream_oracles())
     return q

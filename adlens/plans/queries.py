@@ -102,4 +102,6 @@ def all_queries() -> dict[str, Query]:
     q.update(file_queries())
     from adlens.plans.report_queries import report_queries
     q.update(report_queries())
+    from adlens.plans.stream_queries import stream_queries
+    q.update(stream_queries())
     return q

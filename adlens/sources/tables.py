@@ -59,7 +59,12 @@ def ad_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ad fact over the click-stream ``events`` table (100 campaigns, 5 accounts)."""
-    ev = read_table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value", "props")
+    return event_fact_from(read_table(spark, sf_dir, "events"))
+
+
+def event_fact_from(events: DataFrame) -> DataFrame:
+    """:func:`event_fact` over any (batch or streaming) ``events`` DataFrame."""
+    ev = events.select("ts", "user_id", "event_type", "value", "props")
     et = F.col("event_type")
     money = F.col("value").cast("decimal(18,2)")
     zero = F.lit(0).cast("decimal(18,2)")
@@ -86,9 +91,14 @@ def collection_log_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     Even event ids carry an explicit ``+00:00`` offset (converted to Korean wall
     time on read); odd ones are naive wall-clock text, kept as is.
     """
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return collection_log_from(read_table(spark, sf_dir, "events"))
+
+
+def collection_log_from(events: DataFrame) -> DataFrame:
+    """:func:`collection_log_raw` over any (batch or streaming) ``events`` DataFrame."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "value")
     et = F.col("event_type")
-    status = (F.when(et == "error", "failed").when(et == "signup", "no_data").when(et == "view", "partial")
+    status =(F.when(et == "error", "failed").when(et == "signup", "no_data").when(et == "view", "partial")
               .otherwise("success"))
     fmt = "yyyy-MM-dd HH:mm:ss"
     suffix = F.when(F.col("event_id") % 2 == 0, F.lit("+00:00")).otherwise(F.lit(""))
