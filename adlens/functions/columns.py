@@ -70,11 +70,29 @@ def clean_dimension(c) -> Column:
     return F.coalesce(F.nullif(F.trim(null_na_tokens(c)), F.lit("")), F.lit(UNCLASSIFIED))
 
 
+# Non-ISO layouts, each tried only on text of its own shape (a failed pattern parse
+# costs a JVM exception per row, so shapes are screened with a regex first).
+SHAPED_DATE_FORMATS = [
+    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
+    (r"^[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}$", "yyyy.M.d"),
+    (r"^[0-9]{8}$", "yyyyMMdd"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"),
+    (r"^[0-9]{4}년 ?[0-9]{1,2}월 ?[0-9]{1,2}일$", "yyyy년 M월 d일"),
+]
+
+
 def parse_date(c) -> Column:
-    """Free text -> TIMESTAMP_NTZ via an ordered list of layouts; unparseable -> null."""
+    """Free text -> TIMESTAMP_NTZ; unparseable -> null.
+
+    ISO dates / date-times / year-months go through the exception-free cast; the
+    other layouts of ``SHAPED_DATE_FORMATS`` are parsed only when the text has that shape.
+    """
     text = F.trim(null_na_tokens(c))
-    tries = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in DATE_FORMATS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    iso = text.try_cast("timestamp_ntz")
+    shaped = F.lit(None).cast("timestamp")
+    for pattern, fmt in reversed(SHAPED_DATE_FORMATS):
+        shaped = F.when(text.rlike(pattern), F.try_to_timestamp(text, F.lit(fmt))).otherwise(shaped)
+    return F.coalesce(iso, shaped.cast("timestamp_ntz"))
 
 
 def valid_label(c) -> Column:

@@ -47,10 +47,14 @@ def standardize_lines(lines: DataFrame, mapping: DataFrame) -> DataFrame:
         idx = F.try_element_at(F.col("pos"), F.lit(c))
         return F.when(idx.isNotNull(), F.try_element_at(F.col("fields"), (idx + 1).cast("int")))
 
-    cols = [F.col("file"), F.col("line_id"), parse_date(raw("date")).alias("date")]
-    cols += [clean_dimension(raw(d)).alias(d) for d in DIMENSIONS]
-    cols += [clean_numeric(raw(m)).alias(m) for m in MEASURES]
-    return with_rates(data.select(*cols))
+    # Pull each canonical cell out once, then clean plain columns: nesting the lookups
+    # inside every cleaning expression makes the generated code too large to compile
+    # (Spark then falls back to interpreted evaluation).
+    cells = data.select("file", "line_id", *[raw(c).alias(f"_raw_{c}") for c in ["date"] + DIMENSIONS + MEASURES])
+    cols = [F.col("file"), F.col("line_id"), parse_date("_raw_date").alias("date")]
+    cols += [clean_dimension(f"_raw_{d}").alias(d) for d in DIMENSIONS]
+    cols += [clean_numeric(f"_raw_{m}").alias(m) for m in MEASURES]
+    return with_rates(cells.select(*cols))
 
 
 def infer_media_from_name(path) -> Column:
