@@ -36,12 +36,20 @@ def read_report_lines(spark: SparkSession, root: str, glob: str = "*.csv",
            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
                    F.monotonically_increasing_id().alias("line_id"), "value"))
     heads = raw.where(F.col("_blk") == 0).groupBy("file").agg(F.min("line_id").alias("_hid"))
+    return parse_lines(raw.where(F.length(F.trim("value")) > 0).join(heads, "file"), max_columns)
+
+
+def parse_lines(rows: DataFrame, max_columns: int = DEFAULT_MAX_COLUMNS) -> DataFrame:
+    """(file, line_id, _hid, value) -> the ``lines`` table.
+
+    Each line is parsed once into a struct (one CSV parser per task), then spread
+    into an array; only the header drops its trailing padding nulls.
+    """
     schema = ", ".join(f"c{i} STRING" for i in range(max_columns))
-    parsed = F.from_csv(F.col("value"), schema)
-    fields = F.array(*[parsed[f"c{i}"] for i in range(max_columns)])
-    j = raw.where(F.length(F.trim("value")) > 0).join(heads, "file")
-    out = j.select("file", "line_id", (F.col("line_id") == F.col("_hid")).alias("is_header"), fields.alias("fields"))
-    # Drop the padding of short lines (trailing nulls) only on the header, where the width is defined.
+    rec = rows.select("file", "line_id", (F.col("line_id") == F.col("_hid")).alias("is_header"),
+                      F.from_csv(F.col("value"), schema).alias("_rec"))
+    fields = F.array(*[F.col(f"_rec.c{i}") for i in range(max_columns)])
+    out = rec.select("file", "line_id", "is_header", fields.alias("fields"))
     return out.withColumn("fields", F.when(F.col("is_header"), F.filter("fields", lambda x: x.isNotNull()))
                           .otherwise(F.col("fields")))
 

@@ -30,6 +30,7 @@ from adlens.operators.collection import log_view, media_health
 from adlens.operators.ingest import map_headers
 from adlens.operators.metrics import measure_sums
 from adlens.session import checkpoint_dir
+from adlens.sources.reports import parse_lines
 
 DEFAULT_MAX_COLUMNS = 64
 
@@ -47,13 +48,7 @@ def batch_lines(batch: DataFrame, max_columns: int = DEFAULT_MAX_COLUMNS) -> Dat
     its smallest line id within the batch.
     """
     heads = batch.groupBy("file").agg(F.min("line_id").alias("_hid"))
-    schema = ", ".join(f"c{i} STRING" for i in range(max_columns))
-    parsed = F.from_csv(F.col("value"), schema)
-    fields = F.array(*[parsed[f"c{i}"] for i in range(max_columns)])
-    j = batch.where(F.length(F.trim("value")) > 0).join(heads, "file")
-    out = j.select("file", "line_id", (F.col("line_id") == F.col("_hid")).alias("is_header"), fields.alias("fields"))
-    return out.withColumn("fields", F.when(F.col("is_header"), F.filter("fields", lambda x: x.isNotNull()))
-                          .otherwise(F.col("fields")))
+    return parse_lines(batch.where(F.length(F.trim("value")) > 0).join(heads, "file"), max_columns)
 
 
 def watch_report_folder(spark: SparkSession, in_dir: str, out_dir: str, glob: str = "*.csv", once: bool = True,
