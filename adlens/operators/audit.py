@@ -115,7 +115,9 @@ def file_audit(lines: DataFrame, with_issues: bool = True) -> DataFrame:
         F.collect_set("canonical").alias("_canon"))
     maps = maps.select(c("source").alias("file"), "column_count", "mapped_columns",
                        F.transform("_unmapped", lambda s: s["header"]).alias("unmapped_columns"), "_canon")
-    first_valid = lambda col_name: F.min_by(c(col_name), F.when(valid_label(c(col_name)), c("line_id")))
+    # first usable value in line order (ties on the line id broken by the value itself)
+    first_valid = lambda col_name: F.min_by(
+        c(col_name), F.when(valid_label(c(col_name)), F.struct(c("line_id"), c(col_name))))
     agg = fact.groupBy("file").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count("date").alias("_dated"),

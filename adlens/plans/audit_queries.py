@@ -68,7 +68,7 @@ a AS (SELECT s_suppkey, COUNT(*) AS row_count, SUM(CAST(l_quantity AS BIGINT) *
              SUM(l_linenumber + CAST(round(l_discount * 100) AS BIGINT)) AS sc,
              SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS scost, SUM(l_linenumber) AS sconv,
              SUM(CAST(l_extendedprice * round(l_tax * 100) AS DECIMAL(18,2))) AS srev, SUM(l_linenumber % 3) AS scart,
-             arg_min(p_type, line_id) AS first_type, arg_min(s_name, line_id) AS first_name
+             arg_min(p_type, (line_id, p_type)) AS first_type, arg_min(s_name, (line_id, s_name)) AS first_name
       FROM li GROUP BY s_suppkey)
 SELECT f.file, CAST(COALESCE(row_count, 0) AS BIGINT) AS row_count,
   CAST(CASE lay WHEN 0 THEN 13 WHEN 1 THEN 15 WHEN 2 THEN 11 ELSE 12 END AS BIGINT) AS column_count,
@@ -100,7 +100,7 @@ c AS (SELECT * FROM (VALUES (1, 13, '장바구니', 'cart_count'), (1, 14, '광
       t(lay, position, header, suggested_target))
 SELECT h.file AS source, CAST(c.position AS INTEGER) AS position, c.header, c.suggested_target FROM h JOIN c USING (lay)"""
     media = f"""WITH {FILES},
-a AS (SELECT s_suppkey, arg_min(p_type, line_id) AS first_type FROM li GROUP BY s_suppkey),
+a AS (SELECT s_suppkey, arg_min(p_type, (line_id, p_type)) AS first_type FROM li GROUP BY s_suppkey),
 m AS (SELECT CASE WHEN lay <> 3 AND first_type IS NOT NULL THEN first_type ELSE {name_media} END AS inferred_media
       FROM f LEFT JOIN a USING (s_suppkey)),
 w AS (SELECT * FROM (VALUES ('G마켓'), ('옥션'), ('G마켓/옥션')) t(inferred_media)),

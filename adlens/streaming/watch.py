@@ -61,12 +61,12 @@ def watch_report_folder(spark: SparkSession, in_dir: str, out_dir: str, glob: st
     reader = spark.readStream.format("text").option("pathGlobFilter", glob)
     if max_file_age:
         reader = reader.option("maxFileAge", max_file_age)
-    src = reader.load(in_dir).select(F.col("_metadata.file_path").alias("file"),
-                                     F.monotonically_increasing_id().alias("line_id"), "value")
+    src = reader.load(in_dir).select(F.col("_metadata.file_path").alias("file"), "value")
     ckpt = checkpoint or _paths(spark, "watch")[0]
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        lines = batch_lines(batch)
+        # Row ids are assigned on the (static) micro-batch: increasing in read order per partition.
+        lines = batch_lines(batch.select("file", F.monotonically_increasing_id().alias("line_id"), "value"))
         mapping = map_headers(header_catalog_from_lines(lines))
         fact = standardize_lines(lines, mapping).withColumn(
             "file_stem", F.regexp_replace(F.regexp_extract("file", r"([^/]+)$", 1), r"\.[^.]*$", ""))
