@@ -256,6 +256,47 @@ def classify_file_run(detected_files: Column, pipeline_status: Column, audit_sta
             .otherwise(F.lit("failed")))
 
 
+def connection_reasons(evidence: DataFrame, fallback: str = "awaiting verification") -> DataFrame:
+    """Per media: the reason text implied by its latest evidence document.
+
+    ``evidence``: media, modificationTime, payload (JSON with final_status,
+    error_code, error_message, detail, status). Ordered rules: blocked environment,
+    needs authentication, no data, download missing, the document's own message,
+    failed on network denial, failed, else the fallback.
+    """
+    latest = evidence.groupBy("media").agg(
+        F.max_by("payload", F.struct("modificationTime", "payload")).alias("payload"))
+    p = F.from_json(F.col("payload"), "map<string,string>")
+
+    def g(k: str) -> Column:
+        return F.coalesce(p[k], F.lit(""))
+
+    reason = (F.when((g("final_status") == "blocked_by_environment") | (g("error_code") == "NETWORK_ACCESS_DENIED"),
+                     F.lit("ad centre blocked from this environment; re-check from a permitted browser"))
+              .when(g("final_status") == "needs_user_authentication", F.lit("user login or authentication needed"))
+              .when(g("final_status") == "no_data", F.lit("no ad data for the selected period"))
+              .when(g("error_code") == "DOWNLOAD_FILE_NOT_FOUND", F.lit("download file not detected"))
+              .when(g("error_message") != "", g("error_message"))
+              .when((g("status") == "failed") & g("detail").contains("ERR_NETWORK_ACCESS_DENIED"),
+                    F.lit("network access denied on this machine; re-check after authentication"))
+              .when(g("status") == "failed", F.lit("ad centre connection check needed"))
+              .otherwise(F.lit(fallback)))
+    return latest.select("media", reason.alias("reason"))
+
+
+def data_freshness(fact: DataFrame, today: dt.date, scope: Sequence[str] = ()) -> DataFrame:
+    """Last data day, lag in days (≥ 0) and fresh (≤ 1) / warn (≤ 7) / stale, plus undated rows."""
+    from adlens.constants import FRESH_LAG_DAYS, WARN_LAG_DAYS
+    b = fact.groupBy(*scope).agg(F.min("date").cast("date").alias("min_date"),
+                                 F.max("date").cast("date").alias("max_date"),
+                                 F.count_if(F.col("date").isNull()).alias("undated_rows"))
+    lag = F.greatest(F.datediff(F.lit(today), F.col("max_date")), F.lit(0))
+    status = (F.when(F.col("max_date").isNull(), F.lit(None).cast("string"))
+              .when(lag <= FRESH_LAG_DAYS, F.lit(STATUS_FRESH)).when(lag <= WARN_LAG_DAYS, F.lit(STATUS_WARN))
+              .otherwise(F.lit(STATUS_STALE)))
+    return b.select(*scope, "min_date", "max_date", lag.alias("lag_days"), status.alias("freshness"), "undated_rows")
+
+
 def whitelist_status(status: Column) -> Column:
     """Unknown log statuses are recorded as failed."""
     s = F.lower(F.trim(status))

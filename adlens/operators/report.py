@@ -201,6 +201,54 @@ def report_lines(advertiser: str, summary: DataFrame, recommendations: DataFrame
             .unionByName(wk.select(*cols)))
 
 
+def union_sources(frames: dict[str, DataFrame], label: str = "source_sheet") -> DataFrame:
+    """Union frames by column name (missing columns -> null), tagging each row with its source name."""
+    out = None
+    for name, df in frames.items():
+        tagged = df.withColumn(label, F.lit(name))
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+    return out
+
+
+def sample_kpis(df: DataFrame, entity: str, rating: str, flag: str, flag_value: str,
+                scope: Sequence[str] = ()) -> DataFrame:
+    """Row count, distinct entities, mean rating and count of rows whose flag equals ``flag_value``."""
+    return df.groupBy(*scope).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(entity).alias("entities"),
+                                  F.avg(rating).alias("mean_rating"),
+                                  F.count_if(F.col(flag) == flag_value).alias("flagged"))
+
+
+def chained_replace(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+    """Apply literal replacements in order (internal codes -> operator wording)."""
+    for src, dst in pairs:
+        c = F.replace(c, F.lit(src), F.lit(dst))
+    return c
+
+
+def normalise_list(text: Column) -> Column:
+    """Newline- or comma-separated items, trimmed, blanks dropped, joined with ', '."""
+    items = F.transform(F.split(F.regexp_replace(text, "\n", ","), ","), lambda x: F.trim(x))
+    return F.array_join(F.filter(items, lambda x: x != ""), ", ")
+
+
+def audit_report_lines(audits: DataFrame) -> DataFrame:
+    """Audit report: one section per file with counts, media, mapping gaps and readiness."""
+    c = F.col
+    w = Window.orderBy("file")  # one row per audited file
+    ranked = audits.withColumn("section_no", F.row_number().over(w))
+    return ranked.select("file", "section_no", F.inline(F.array(
+        F.struct(F.lit(0).alias("line_no"), F.concat(F.lit("## "), c("file")).alias("line")),
+        F.struct(F.lit(1).alias("line_no"), F.concat(F.lit("- rows: "), fmt_count(c("row_count")), F.lit(", columns: "),
+                                                     c("column_count").cast("string")).alias("line")),
+        F.struct(F.lit(2).alias("line_no"), F.concat(F.lit("- media: "), c("inferred_media"), F.lit(", advertiser: "),
+                                                     c("advertiser")).alias("line")),
+        F.struct(F.lit(3).alias("line_no"), F.concat(F.lit("- unmapped: "),
+                                                     F.array_join(c("unmapped_columns"), ", ")).alias("line")),
+        F.struct(F.lit(4).alias("line_no"), F.concat(F.lit("- cannot judge: "),
+                                                     F.array_join(c("unavailable_fields"), ", ")).alias("line")),
+    )))
+
+
 def plain_text(lines: DataFrame) -> DataFrame:
     """Markdown lines without '#' and '*'."""
     return lines.withColumn("line", F.regexp_replace("line", "[#*]", ""))

@@ -61,4 +61,6 @@ def all_oracles() -> dict[str, str]:
     q.update(report_oracles())
     from adlens.plans.stream_queries import stream_oracles
     q.update(stream_oracles())
+    from adlens.plans.extra_queries import extra_oracles
+    q.update(extra_oracles())
     return q

@@ -104,4 +104,6 @@ def all_queries() -> dict[str, Query]:
     q.update(report_queries())
     from adlens.plans.stream_queries import stream_queries
     q.update(stream_queries())
+    from adlens.plans.extra_queries import extra_queries
+    q.update(extra_queries())
     return q
