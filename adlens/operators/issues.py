@@ -16,7 +16,7 @@ from adlens.constants import (BENCHMARK_CHECK_SCORE, COST_PER_SCORE_POINT, COST_
                               SEARCH_ADS_MEDIA_WORD, SEVERITY_BASE_SCORE)
 from adlens.functions.formatting import fmt_money, fmt_percent
 from adlens.operators.metrics import measure_sums
-from adlens.operators.rules import anomalies, scope_state
+from adlens.operators.rules import anomalies, rule_aggregates, scope_state
 from adlens.operators.scoped import attach
 
 ALL_MEDIA = "all_media"
@@ -56,9 +56,10 @@ def _issue_cols(scope, order, severity, score, media, target, problem, evidence,
             include.alias("report_include")]
 
 
-def primary_platform(fact: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Top-cost platform per scope (ties by name), computed by partial aggregation."""
-    per = fact.groupBy(*scope, "platform").agg(*measure_sums(["cost"]))
+def primary_platform(fact: DataFrame, scope: Sequence[str] = (), platforms: DataFrame | None = None) -> DataFrame:
+    """Top-cost platform per scope (ties by name), from the per-platform sums."""
+    per = (platforms if platforms is not None else fact.groupBy(*scope, "platform").agg(F.sum("cost").alias("cost")))
+    per = per.select(*scope, "platform", F.coalesce(F.col("cost").cast("double"), F.lit(0.0)).alias("cost"))
     return per.groupBy(*scope).agg(
         F.min_by("platform", F.struct(-F.col("cost"), F.col("platform"))).alias("primary_platform"))
 
@@ -71,8 +72,9 @@ def action_issues(fact: DataFrame, scope: Sequence[str] = (), anomaly_rows: Data
     supporting issues while the scope has fewer than three.
     """
     scope = list(scope)
-    a = anomaly_rows if anomaly_rows is not None else anomalies(fact, scope)
-    state = attach(scope_state(fact, a, scope), primary_platform(fact, scope), scope)
+    aggs = rule_aggregates(fact, scope)  # one scan feeds summary, anomaly base and platforms
+    a = anomaly_rows if anomaly_rows is not None else anomalies(fact, scope, aggregates=aggs)
+    state = attach(scope_state(fact, a, scope, aggs), primary_platform(fact, scope, aggs[1]), scope)
     insufficient = ((F.col("rows") < MIN_ROWS_FOR_JUDGMENT)
                     | ((F.col("cost") <= 0) & (F.col("impressions") <= 0) & (F.col("clicks") <= 0)))
     state = state.withColumn("insufficient", insufficient)
@@ -145,8 +147,9 @@ def top_issues(issues: DataFrame, scope: Sequence[str] = (), n: int = 3) -> Data
 def health_score(fact: DataFrame, scope: Sequence[str] = (), anomaly_rows: DataFrame | None = None) -> DataFrame:
     """0-100 account health from ROAS, CTR and anomaly counts; half-even rounding; good / fair / risk."""
     scope = list(scope)
-    a = anomaly_rows if anomaly_rows is not None else anomalies(fact, scope)
-    s = scope_state(fact, a, scope)
+    aggs = rule_aggregates(fact, scope)
+    a = anomaly_rows if anomaly_rows is not None else anomalies(fact, scope, aggregates=aggs)
+    s = scope_state(fact, a, scope, aggs)
     c = F.col
     raw = (F.lit(float(HEALTH_BASE)) + F.least(c("roas") * HEALTH_ROAS_WEIGHT, F.lit(float(HEALTH_ROAS_CAP)))
            + F.least(c("ctr") * HEALTH_CTR_WEIGHT, F.lit(float(HEALTH_CTR_CAP)))

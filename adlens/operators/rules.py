@@ -11,11 +11,14 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from adlens.session import materialize
+
 from adlens.constants import (CORE_ACTIVITY, HIGH_IMPRESSION_QUANTILE, LABEL_PRECEDENCE, LOW_CTR_FLOOR,
                               LOW_CTR_QUANTILE, NO_CONVERSION_COST_QUANTILE, NO_CONVERSION_SPEND_SHARE,
                               RULE_LOW_CTR, RULE_NO_CONVERSION, RULE_SCALE, SCALE_ROAS, SEGMENT_LIMIT)
-from adlens.functions.columns import first_valid
-from adlens.operators.metrics import kpi_summary, segment_table
+from adlens.constants import MEASURES
+from adlens.functions.columns import first_valid, with_rates
+from adlens.operators.metrics import kpi_summary, measure_sums, segment_table, top_n
 from adlens.operators.scoped import attach
 
 # rule_code -> (priority, recommended action, expected effect); our own wording.
@@ -32,6 +35,43 @@ NO_URGENT_POINT = ("P3", "no_urgent_point", "review top-spend and top-ROAS campa
 ALL_ACCOUNTS = "all"
 
 
+def rule_aggregates(fact: DataFrame, scope: Sequence[str] = (),
+                    shared: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(per scope × campaign, per scope × platform) raw sums from ONE scan and ONE exchange.
+
+    Every rule-engine output (summary, anomaly base, primary platform) derives from
+    these two small tables; sums keep the input types (exact for integer / decimal
+    measures), so a scope summary re-aggregated from campaigns equals a direct sum.
+    The aggregate is small (one row per scope × campaign / platform) and is written
+    once as a table under the shared checkpoint folder: its many consumers prune
+    different columns, which defeats exchange reuse, so without it the fact would be
+    rescanned once per consumer. The written table also survives executor loss.
+    ``shared=False`` (a single consumer) keeps it lazy.
+    """
+    scope = list(scope)
+    agg = fact.groupingSets([scope + ["campaign_name"], scope + ["platform"]], *scope, "campaign_name", "platform") \
+        .agg(F.count(F.lit(1)).alias("rows"), *[F.sum(m).alias(m) for m in MEASURES],
+             F.grouping("platform").alias("_gp"))
+    if shared:
+        agg = materialize(agg, "rule-aggregates")
+    campaigns = agg.where(F.col("_gp") == 1).select(*scope, "campaign_name", "rows", *MEASURES)
+    platforms = agg.where(F.col("_gp") == 0).select(*scope, "platform", "cost")
+    return campaigns, platforms
+
+
+def summary_from_campaigns(campaigns: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """KPI summary per scope re-aggregated from the campaign sums."""
+    agg = campaigns.groupBy(*scope).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *measure_sums())
+    return with_rates(agg)
+
+
+def base_from_campaigns(campaigns: DataFrame, scope: Sequence[str] = (), limit: int = SEGMENT_LIMIT) -> DataFrame:
+    """Campaign table (DOUBLE sums + ratios) after the top-``limit`` cut by cost, ties by name."""
+    typed = with_rates(campaigns.select(*scope, "campaign_name",
+                                        *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in MEASURES]))
+    return top_n(typed, list(scope), [F.desc("cost"), F.asc("campaign_name")], limit, "base_rank")
+
+
 def anomaly_base(fact: DataFrame, scope: Sequence[str] = (), limit: int = SEGMENT_LIMIT) -> DataFrame:
     """Campaign segment table after the top-``limit`` cut, with ``base_rank`` (1 = highest cost)."""
     return segment_table(fact, "campaign_name", scope, limit, rank_col="base_rank")
@@ -81,20 +121,24 @@ def anomalies_from_base(base: DataFrame, scope: Sequence[str] = ()) -> DataFrame
     return fired.select(*scope, "base_rank", F.inline("_fired"), "target", "cost", "ctr", "cvr", "roas")
 
 
-def anomalies(fact: DataFrame, scope: Sequence[str] = (), limit: int = SEGMENT_LIMIT) -> DataFrame:
+def anomalies(fact: DataFrame, scope: Sequence[str] = (), limit: int = SEGMENT_LIMIT,
+              aggregates: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Rule hits over the campaign base: spend without conversion (high), low CTR at
     volume (medium), scale candidate (opportunity); a row may fire several rules."""
-    return anomalies_from_base(anomaly_base(fact, scope, limit), scope)
+    campaigns = (aggregates or rule_aggregates(fact, scope, shared=False))[0]
+    return anomalies_from_base(base_from_campaigns(campaigns, scope, limit), scope)
 
 
-def scope_state(fact: DataFrame, anomaly_rows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def scope_state(fact: DataFrame, anomaly_rows: DataFrame, scope: Sequence[str] = (),
+                aggregates: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row per scope: KPI summary plus anomaly counts by severity."""
     counts = anomaly_rows.groupBy(*scope).agg(
         F.count(F.lit(1)).alias("n_anomalies"),
         F.count_if(F.col("severity") == "high").alias("n_high"),
         F.count_if(F.col("severity") == "medium").alias("n_medium"),
         F.count_if(F.col("severity") == "opportunity").alias("n_opportunity"))
-    state = attach(kpi_summary(fact, scope), counts, scope)
+    summary = summary_from_campaigns(aggregates[0], scope) if aggregates else kpi_summary(fact, scope)
+    state = attach(summary, counts, scope)
     return state.fillna(0, subset=["n_anomalies", "n_high", "n_medium", "n_opportunity"])
 
 
@@ -108,9 +152,10 @@ def recommendations(fact: DataFrame, scope: Sequence[str] = (), anomaly_rows: Da
     A scope with no measurable activity (no rows, or every core sum ≤ 0) gets none.
     """
     scope = list(scope)
-    a = anomaly_rows if anomaly_rows is not None else anomalies(fact, scope)
-    state = scope_state(fact, a, scope)
-    active = ~((F.col("rows") <= 0) | (F.col("impressions") <= 0) & (F.col("clicks") <= 0) & (F.col("cost") <= 0)
+    aggs = rule_aggregates(fact, scope)
+    a = anomaly_rows if anomaly_rows is not None else anomalies(fact, scope, aggregates=aggs)
+    state = scope_state(fact, a, scope, aggs)
+    active =~((F.col("rows") <= 0) | (F.col("impressions") <= 0) & (F.col("clicks") <= 0) & (F.col("cost") <= 0)
                & (F.col("conversions") <= 0) & (F.col("revenue") <= 0))
     gate = state.select(*scope, active.alias("active"))
     from_rules = attach(a, gate, scope).where("active").select(
