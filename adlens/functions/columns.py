@@ -27,6 +27,11 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ntz_lit(value) -> Column:
+    """A TIMESTAMP_NTZ literal built from text, so it does not depend on the session time zone."""
+    return F.lit(value.isoformat(sep=" ") if hasattr(value, "hour") else value.isoformat()).cast("timestamp_ntz")
+
+
 def safe_div(numerator, denominator) -> Column:
     """numerator / denominator as DOUBLE; 0 when the denominator is 0 or null."""
     return F.coalesce(F.try_divide(col_of(numerator).cast("double"), col_of(denominator).cast("double")), F.lit(0.0))

@@ -14,8 +14,9 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from adlens.constants import (FRESH_HOURS, KST_ZONE, STATUS_DISCONNECTED, STATUS_FRESH, STATUS_STALE, STATUS_WARN,
+from adlens.constants import (FRESH_HOURS, STATUS_DISCONNECTED, STATUS_FRESH, STATUS_STALE, STATUS_WARN,
                               SUCCESS_WINDOW_DAYS, WARN_HOURS)
+from adlens.functions.columns import ntz_lit
 
 OFFSET_SUFFIX = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
 MIN_TS = "0001-01-01 00:00:00"
@@ -23,16 +24,26 @@ NEEDS_CONNECTION = "needs_connection"
 CONNECTED = "connected"
 
 
+KST_OFFSET_MINUTES = 9 * 60  # Korea has no daylight saving time
+
+
 def parse_log_time(c) -> Column:
     """ISO text -> TIMESTAMP_NTZ wall time in Korea; offset-free text is kept as is; bad -> null.
 
-    Requires the session time zone to be UTC (set by :func:`adlens.session.get_spark`).
+    Wall-clock arithmetic only (no session time zone involved): the offset is read
+    from the text and the wall time moved to UTC+9.
     """
     c = F.col(c) if isinstance(c, str) else c
     text = F.trim(c)
-    ts = F.try_to_timestamp(text)
-    local = F.from_utc_timestamp(ts, KST_ZONE)
-    return F.when(text.rlike(OFFSET_SUFFIX), local).otherwise(ts).cast("timestamp_ntz")
+    has_offset = text.rlike(OFFSET_SUFFIX)
+    off = F.regexp_extract(text, OFFSET_SUFFIX, 1)
+    digits = F.regexp_replace(off, "[^0-9]", "")
+    minutes = F.when(off == "Z", F.lit(0)).otherwise(
+        F.when(off.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+        * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")))
+    naive = F.regexp_replace(text, OFFSET_SUFFIX, "").try_cast("timestamp_ntz")
+    shifted = F.timestamp_add("MINUTE", F.lit(KST_OFFSET_MINUTES) - minutes, naive)
+    return F.when(has_offset, shifted).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def half_even_tenths(num: Column, den: Column) -> Column:
@@ -75,7 +86,7 @@ def media_health(log: DataFrame, as_of: dt.datetime, window_days: int = SUCCESS_
     v = v.where(F.col("media_key") != "")
     order_key = F.struct(F.coalesce(F.col("event_ts"), F.lit(MIN_TS).cast("timestamp_ntz")),
                          F.col("collection_id"))
-    window_start = F.lit(as_of - dt.timedelta(days=window_days)).cast("timestamp_ntz")
+    window_start = ntz_lit(as_of - dt.timedelta(days=window_days))
     in_window = F.coalesce(F.col("event_ts"), F.lit(MIN_TS).cast("timestamp_ntz")) >= window_start
     latest = F.max_by(F.struct(F.col("status_l").alias("status"), F.col("event_ts").alias("ts"),
                                F.coalesce(F.col("error_code"), F.lit("")).alias("error_code"),
@@ -110,7 +121,7 @@ def recent_logs(log: DataFrame, n: int = 20) -> DataFrame:
 
 def freshness(last_at: Column, connected: Column, success: Column, as_of: dt.datetime) -> Column:
     """≤24 h fresh, ≤72 h warn, else stale; not connected / failed / never -> disconnected."""
-    age_h = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(last_at.cast("timestamp"))) / 3.6e9
+    age_h = F.timestamp_diff("MICROSECOND", last_at, ntz_lit(as_of)) / 3.6e9
     return (F.when(~connected | ~success | last_at.isNull(), F.lit(STATUS_DISCONNECTED))
             .when(age_h <= FRESH_HOURS, F.lit(STATUS_FRESH)).when(age_h <= WARN_HOURS, F.lit(STATUS_WARN))
             .otherwise(F.lit(STATUS_STALE)))

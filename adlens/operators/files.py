@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from adlens.constants import (PARTIAL_DOWNLOAD_SUFFIXES, REPORT_DOWNLOAD_SUFFIXES, RETENTION_DAYS,
                               RETENTION_SUFFIXES)
+from adlens.functions.columns import ntz_lit
 
 MB = 1024.0 * 1024.0
 
@@ -33,7 +34,7 @@ def completed_downloads(files: DataFrame, after: dt.datetime | None = None, incl
     suf = F.lower(_suffix(name))
     cond = suf.isin(REPORT_DOWNLOAD_SUFFIXES) & ~suf.isin(PARTIAL_DOWNLOAD_SUFFIXES) & (F.col("length") > 0)
     if after is not None:
-        cond = cond & (F.col("modificationTime") >= F.lit(after).cast("timestamp_ntz"))
+        cond = cond & (F.col("modificationTime").cast("timestamp_ntz") >= ntz_lit(after))
     if not include_demo:
         cond = cond & ~F.lower(name).startswith("demo_")
     return files.where(cond).select("path", name.alias("name"), "length", "modificationTime")
@@ -75,8 +76,8 @@ def _target_of(path: Column) -> Column:
 def retention_candidates(files: DataFrame, now: dt.datetime) -> DataFrame:
     """Files older than their target's retention limit (age in days, size in MB)."""
     limit = F.create_map(*[x for k, v in RETENTION_DAYS.items() for x in (F.lit(k), F.lit(v))])
-    now_us = F.unix_micros(F.lit(now).cast("timestamp"))
-    age = (now_us - F.unix_micros(F.col("modificationTime").cast("timestamp"))) / 86_400_000_000.0
+    age = F.timestamp_diff("MICROSECOND", F.col("modificationTime").cast("timestamp_ntz"), ntz_lit(now)) \
+        / 86_400_000_000.0
     t = files.select("path", "length", _target_of(F.col("path")).alias("target"), age.alias("age_days"))
     t = t.where(F.col("target").isNotNull()).withColumn("retention_days", limit[F.col("target")])
     return t.withColumn("due", F.col("age_days") > F.col("retention_days"))

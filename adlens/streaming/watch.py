@@ -85,14 +85,18 @@ def daily_kpi_stream(stream_fact: DataFrame, scope: Sequence[str] = (), watermar
     """Streaming daily KPI table (event-time tumbling window of one day).
 
     ``date`` is TIMESTAMP_NTZ in the fact; the watermark needs TIMESTAMP, so the
-    event time is cast with the session zone pinned to UTC and cast back for output.
+    event time is rebuilt from its wall-clock fields as a UTC instant (independent of
+    the session time zone) and one-day windows then coincide with calendar days.
     """
-    ev = stream_fact.where(F.col("date").isNotNull()).withColumn("_ts", F.col("date").cast("timestamp"))
+    d = F.col("date")
+    ts = F.make_timestamp(F.year(d), F.month(d), F.dayofmonth(d), F.hour(d), F.minute(d),
+                          F.second(d).cast("decimal(16,6)"), F.lit("UTC"))
+    ev = stream_fact.where(d.isNotNull()).withColumn("_ts", ts)
     agg = (ev.withWatermark("_ts", watermark)
            .groupBy(*scope, F.window("_ts", "1 day").alias("w"))
            .agg(F.min("date").cast("date").alias("period_start"), F.max("date").cast("date").alias("period_end"),
                 F.count(F.lit(1)).alias("rows"), *measure_sums()))
-    out = agg.select(*scope, period_label("daily", F.col("w.start").cast("timestamp_ntz")).alias("period_label"),
+    out = agg.select(*scope, period_label("daily", F.col("period_start")).alias("period_label"),
                      "period_start", "period_end", "rows", *MEASURES)
     return with_rates(out)
 
