@@ -15,7 +15,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_spark("local[4]", app_name="adlens-tests", shuffle_partitions=8)
+    s = get_spark("local[4]", app_name="adlens-tests", shuffle_partitions=8, conf={"spark.driver.memory": "6g"})
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="adlens-test-ckpt-"))
     yield s
