@@ -17,6 +17,11 @@ from adlens.functions.formatting import fmt_count, fmt_money, fmt_percent
 from adlens.operators.scoped import attach
 
 
+def active_channels(registry: DataFrame) -> DataFrame:
+    """Active registry rows in display order (then group, then name)."""
+    return registry.where(F.col("is_active")).orderBy("display_order", "channel_group", "channel_name")
+
+
 def integrated_kpis(metrics: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Totals over channels: revenue, ad cost, orders, conversions, new customers; ROAS,
     AOV = revenue/orders, CAC = cost/new customers, LTV = AOV × 2.6, mean repeat rate."""

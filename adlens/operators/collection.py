@@ -69,6 +69,17 @@ def log_view(raw: DataFrame) -> DataFrame:
     )
 
 
+def append_log(records: DataFrame, path: str, seq: int | None = None) -> None:
+    """Append attempt records to the Parquet log (upsert semantics come from ``resolve_latest``).
+
+    ``ingest_seq`` orders re-recordings of the same ``collection_id``; by default it is
+    the wall-clock microsecond of the append.
+    """
+    import time
+    seq = seq if seq is not None else int(time.time() * 1_000_000)
+    records.withColumn("ingest_seq", F.lit(seq).cast("bigint")).write.mode("append").parquet(path)
+
+
 def resolve_latest(log: DataFrame, key: str = "collection_id", seq: str = "ingest_seq") -> DataFrame:
     """Read-side upsert: one row per ``key``, the one with the highest ``seq``."""
     others = [c for c in log.columns if c != key]

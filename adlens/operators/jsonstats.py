@@ -215,6 +215,21 @@ def data_row_count(payload: Column) -> Column:
                   F.size(F.from_json(resp["data"], ARR_T))))
 
 
+def collect_ids(rows: DataFrame, key: str) -> DataFrame:
+    """Distinct non-empty values of ``key`` across shredded rows (base or inner object)."""
+    v = field(key)
+    return rows.where(v.isNotNull() & (v != "")).select(v.alias(key)).distinct()
+
+
+def write_standard_csv(rows: DataFrame, path: str, partition: Sequence[str] = ("advertiser",)) -> None:
+    """Standard 16-column CSV (header row), one folder per advertiser."""
+    out = rows.select(*STANDARD_COLUMNS)
+    w = out.write.mode("overwrite").option("header", True)
+    if partition:
+        w = w.partitionBy(*partition)
+    w.csv(path)
+
+
 def anonymised_id(c) -> Column:
     """First 12 hex characters of SHA-256 of the id."""
     c = F.col(c) if isinstance(c, str) else c

@@ -45,6 +45,17 @@ def format_for_display(df: DataFrame) -> DataFrame:
     return df.select(*[format_column(c).alias(c) if c in known else F.col(c) for c in df.columns])
 
 
+def localize(df: DataFrame, column_labels: dict[str, str],
+             value_labels: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """Rename columns to display labels and map coded values (e.g. severity, priority) to labels."""
+    out = df
+    for col_name, mapping in (value_labels or {}).items():
+        if col_name in out.columns:
+            m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
+            out = out.withColumn(col_name, F.coalesce(m[F.col(col_name)], F.col(col_name)))
+    return out.withColumnsRenamed({k: v for k, v in column_labels.items() if k in out.columns})
+
+
 def view_projection(df: DataFrame, expert: bool = False) -> DataFrame:
     """Basic view keeps dimensions and core metrics; expert view keeps everything."""
     if expert:

@@ -30,8 +30,23 @@ def _evidence(spark, sf):
                      F.col("ts").cast("timestamp_ntz").alias("modificationTime"), payload.alias("payload"))
 
 
+def _registry(spark, sf):
+    from adlens.sources.tables import REGION_CHANNEL_GROUP
+    n = tables.read_table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = tables.read_table(spark, sf, "region").select("r_regionkey", "r_name")
+    group_map = F.create_map(*[x for kv in REGION_CHANNEL_GROUP.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    k = F.col("n_nationkey")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("n_name").alias("channel_name"), F.coalesce(group_map[F.col("r_name")], F.col("r_name"))
+        .alias("channel_group"), (k % 7).alias("display_order"), (k % 5 != 4).alias("is_active"))
+
+
 def extra_queries() -> dict:
+    from adlens.operators import channels, jsonstats
     return {
+        "active_channels": lambda spark, sf: channels.active_channels(_registry(spark, sf)),
+        "stat_ids": lambda spark, sf: jsonstats.collect_ids(
+            jsonstats.extract_stat_rows(tables.stats_documents(spark, sf)), "id"),
         "data_freshness": lambda spark, sf: col.data_freshness(tables.ad_fact(spark, sf), TODAY),
         "data_freshness_by_account": lambda spark, sf: col.data_freshness(tables.ad_fact(spark, sf), TODAY,
                                                                           ["account_name"]),
@@ -70,6 +85,14 @@ SELECT media,
        ELSE 'awaiting verification' END AS reason
 FROM l"""
     return {
+        "active_channels": """SELECT n_name AS channel_name,
+       CASE r_name WHEN 'AFRICA' THEN '광고매체' WHEN 'AMERICA' THEN '오픈마켓' WHEN 'ASIA' THEN '커머스 플랫폼'
+                   WHEN 'EUROPE' THEN '글로벌 채널' ELSE r_name END AS channel_group,
+       n_nationkey % 7 AS display_order, n_nationkey % 5 <> 4 AS is_active
+FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 4""",
+        "stat_ids": """SELECT DISTINCT CASE user_id % 3 WHEN 0 THEN 'cmp-' WHEN 1 THEN 'grp-' ELSE 'kw-' END
+                           || json_extract_string(props, '$.k') AS id
+FROM events WHERE CAST(floor(event_id / 25) AS BIGINT) % 4 IN (0, 2)""",
         "data_freshness": f"{fact}\n" + fresh.format(sel="", grp=""),
         "data_freshness_by_account": f"{fact}\n" + fresh.format(sel="account_name, ", grp=" GROUP BY account_name"),
         "date_bounds": f"""{fact}
