@@ -139,3 +139,16 @@ def test_no_anomaly_gets_support_issues(demo_fact):
     three = demo_fact.where(F.col("account_name") == "샘플몰 C")
     iss3 = sorted(issues.action_issues(three).collect(), key=lambda r: r["issue_rank"])
     assert iss3[-1]["priority_score"] in (4.0, 5.0, 10.0) or len(iss3) >= 3
+
+
+def test_scoped_comparisons_equal_filter_then_run(demo_fact):
+    scoped_p = {(r["account_name"], r["preset"]): (r["rows"], r["cost"])
+                for r in compare.preset_kpis(demo_fact, ["account_name"]).collect()}
+    scoped_c = {(r["account_name"], r["metric"]): (r["previous"], r["current"])
+                for r in compare.recent_comparison(demo_fact, ["account_name"]).collect()}
+    for acct in {k[0] for k in scoped_p}:
+        one = demo_fact.where(F.col("account_name") == acct)
+        for r in compare.preset_kpis(one).collect():
+            assert scoped_p[(acct, r["preset"])] == (r["rows"], r["cost"])
+        for r in compare.recent_comparison(one).collect():
+            assert scoped_c[(acct, r["metric"])] == (r["previous"], r["current"])
