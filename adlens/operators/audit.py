@@ -8,7 +8,6 @@ issues per file reuse the scope-aware operators with ``scope=["file"]``.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adlens.constants import (ALIAS_CANDIDATE_RULES, AUCTION_WORDS, CART_COUNT_ALIASES, DIMENSIONS, ELEVENST_WORDS,
@@ -18,6 +17,7 @@ from adlens.constants import (ALIAS_CANDIDATE_RULES, AUCTION_WORDS, CART_COUNT_A
 from adlens.functions.columns import NUMERIC_TEXT, clean_dimension, clean_numeric, parse_date, valid_label, with_rates
 from adlens.operators.ingest import map_headers, normalize_header, normalize_header_py
 from adlens.operators.issues import action_issues
+from adlens.session import materialize
 
 OK, FAILED, UNKNOWN = "ok", "mapping_failed", "cannot_judge"
 TEXT_FIELDS = ["account_name", "platform", "campaign_name", "ad_group_name"]
@@ -40,12 +40,14 @@ def _positions(mapping: DataFrame) -> DataFrame:
 
 def standardize_lines(lines: DataFrame, mapping: DataFrame) -> DataFrame:
     """All data lines of all files -> canonical fact with ``file`` and ``line_id``."""
-    pos = _positions(mapping)
+    canon = ["date"] + DIMENSIONS + MEASURES
+    # Resolve each canonical column's position once per file (small table), so each
+    # data line does plain array accesses; get() is null when absent / out of range.
+    pos = _positions(mapping).select("source", *[F.col("pos")[F.lit(c)].alias(f"_p_{c}") for c in canon])
     data = lines.where(~F.col("is_header")).join(pos, lines.file == pos.source, "left")
 
     def raw(c: str) -> Column:
-        idx = F.try_element_at(F.col("pos"), F.lit(c))
-        return F.when(idx.isNotNull(), F.try_element_at(F.col("fields"), (idx + 1).cast("int")))
+        return F.get(F.col("fields"), F.col(f"_p_{c}"))
 
     # Pull each canonical cell out once, then clean plain columns: nesting the lookups
     # inside every cleaning expression makes the generated code too large to compile
@@ -101,10 +103,13 @@ def _cart_totals(lines: DataFrame, mapping: DataFrame) -> DataFrame:
 def file_audit(lines: DataFrame, with_issues: bool = True) -> DataFrame:
     """One row per file: counts, mapping lists, required-field statuses, inferred media /
     advertiser, issue count and first five issue previews, readiness."""
-    # The mapping (one row per file column) and the standardised fact feed several
-    # aggregates below; persist both so the header scan and the similarity UDF run once.
-    mapping = map_headers(header_catalog_from_lines(lines)).persist(StorageLevel.MEMORY_AND_DISK)
-    fact = standardize_lines(lines, mapping).persist(StorageLevel.MEMORY_AND_DISK)
+    # The mapping (one row per file column) feeds several branches below; write it once
+    # under the checkpoint folder so the header scan and the similarity UDF run once.
+    mapping = materialize(map_headers(header_catalog_from_lines(lines)), "header-mapping")
+    fact = standardize_lines(lines, mapping)
+    if with_issues:
+        # two consumers (per-file aggregates and the per-file issue engine): parse the text once
+        fact = materialize(fact, "audit-fact")
     c = F.col
     maps = mapping.groupBy("source").agg(
         F.count(F.lit(1)).alias("column_count"),

@@ -56,6 +56,16 @@ def _issue_cols(scope, order, severity, score, media, target, problem, evidence,
             include.alias("report_include")]
 
 
+def _issue_struct(keep: Column, order: int, score: float, media: Column, target: str, problem: str,
+                  evidence: Column, cause: str, action: Column, effect: str) -> Column:
+    """A low-severity, not-report-included scope-level issue candidate (kept when ``keep``)."""
+    return F.struct(keep.alias("_keep"), F.lit(order).cast("int").alias("_src"), F.lit("low").alias("severity"),
+                    F.lit(float(score)).alias("priority_score"), media.alias("media"), F.lit(target).alias("target"),
+                    F.lit(problem).alias("problem"), evidence.alias("evidence"), F.lit(cause).alias("cause_hypothesis"),
+                    action.alias("recommended_action"), F.lit(effect).alias("expected_effect"),
+                    F.lit(False).alias("report_include"))
+
+
 def primary_platform(fact: DataFrame, scope: Sequence[str] = (), platforms: DataFrame | None = None) -> DataFrame:
     """Top-cost platform per scope (ties by name), from the per-platform sums."""
     per = (platforms if platforms is not None else fact.groupBy(*scope, "platform").agg(F.sum("cost").alias("cost")))
@@ -98,44 +108,41 @@ def action_issues(fact: DataFrame, scope: Sequence[str] = (), anomaly_rows: Data
         F.coalesce(_text_map(2)[c("rule_code")], F.lit("review by campaign, ad group and keyword")),
         effect, c("severity").isin(REPORT_SEVERITIES)))
 
-    ok = state.where(~c("insufficient"))
+    # The four scope-level issue kinds come from ONE pass over the per-scope state:
+    # an array of candidate structs, exploded and filtered by each candidate's condition.
+    ok = ~c("insufficient")
     roas_cost = F.concat(F.lit("total roas "), fmt_percent(c("roas")), F.lit(", cost "), fmt_money(c("cost")))
-    none_found = ok.where(c("n_anomalies") == 0).select(*_issue_cols(
-        scope, 100000, F.lit("low"), F.lit(NO_ANOMALY_SCORE), F.lit(ALL_MEDIA), F.lit(ALL_ACCOUNTS),
-        F.lit("no urgent issue"), roas_cost, F.lit("no clear waste signal in the current data"),
-        F.lit("keep checking top-spend and top-performing campaigns"), F.lit("keep results, find candidates"),
-        F.lit(False)))
-
     existing = F.greatest(c("n_anomalies"), F.lit(1))
     support_n = F.least(F.greatest(F.lit(MAX_ISSUES_WITH_SUPPORT) - existing, F.lit(0)), F.lit(2))
-    share = ok.where(support_n >= 1).select(*_issue_cols(
-        scope, 100001, F.lit("low"), F.lit(REPORT_SHARE_SCORE), F.lit(ALL_MEDIA), F.lit("this analysis"),
-        F.lit("share the advertiser report"), F.concat(F.lit("total roas "), fmt_percent(c("roas"))),
-        F.lit("summarise key changes and next actions first"), F.lit("send the report from the report centre"),
-        F.lit("less reporting time"), F.lit(False)))
-    bench = ok.where(support_n >= 2).select(*_issue_cols(
-        scope, 100002, F.lit("low"), F.lit(BENCHMARK_CHECK_SCORE), F.lit(ALL_MEDIA), F.lit("industry benchmark"),
-        F.lit("compare with the industry average"),
-        F.concat(F.lit("cpc "), fmt_money(c("cpc")), F.lit(", roas "), fmt_percent(c("roas"))),
-        F.lit("a high CPC can erode efficiency even with good ROAS"),
-        F.lit("check ROAS and CPC against the industry average"), F.lit("easier performance explanation"),
-        F.lit(False)))
-
     zero_perf = F.lit(True)
     for m in ["impressions", "clicks", "cost", "conversions", "revenue"]:
         zero_perf = zero_perf & (c(m) <= 0)
     media = F.coalesce(F.nullif(F.trim(c("primary_platform")), F.lit("")), F.lit(ALL_MEDIA))
     no_data = (F.when(media.contains(SEARCH_ADS_MEDIA_WORD), F.lit("no search-ads performance data for the period"))
                .otherwise(F.lit("no ad performance data for the period")))
-    insufficient_issue = state.where(c("insufficient")).select(*_issue_cols(
-        scope, 0, F.lit("low"), F.lit(INSUFFICIENT_DATA_SCORE), media, F.lit(ALL_ACCOUNTS),
-        F.lit("insufficient data"),
-        F.concat(F.lit("rows "), F.format_number(c("rows").cast("double"), 0), F.lit(", cost "), fmt_money(c("cost"))),
-        F.lit("too little data to infer a cause"),
-        F.when(zero_perf, no_data).otherwise(F.lit("upload recent data per media and re-run")),
-        F.lit("trustworthy analysis"), F.lit(False)))
-
-    issues = from_anomalies.unionByName(none_found).unionByName(share).unionByName(bench).unionByName(insufficient_issue)
+    candidates = F.array(
+        _issue_struct(ok & (c("n_anomalies") == 0), 100000, NO_ANOMALY_SCORE, F.lit(ALL_MEDIA), ALL_ACCOUNTS,
+                      "no urgent issue", roas_cost, "no clear waste signal in the current data",
+                      F.lit("keep checking top-spend and top-performing campaigns"), "keep results, find candidates"),
+        _issue_struct(ok & (support_n >= 1), 100001, REPORT_SHARE_SCORE, F.lit(ALL_MEDIA), "this analysis",
+                      "share the advertiser report", F.concat(F.lit("total roas "), fmt_percent(c("roas"))),
+                      "summarise key changes and next actions first",
+                      F.lit("send the report from the report centre"), "less reporting time"),
+        _issue_struct(ok & (support_n >= 2), 100002, BENCHMARK_CHECK_SCORE, F.lit(ALL_MEDIA), "industry benchmark",
+                      "compare with the industry average",
+                      F.concat(F.lit("cpc "), fmt_money(c("cpc")), F.lit(", roas "), fmt_percent(c("roas"))),
+                      "a high CPC can erode efficiency even with good ROAS",
+                      F.lit("check ROAS and CPC against the industry average"), "easier performance explanation"),
+        _issue_struct(c("insufficient"), 0, INSUFFICIENT_DATA_SCORE, media, ALL_ACCOUNTS, "insufficient data",
+                      F.concat(F.lit("rows "), F.format_number(c("rows").cast("double"), 0), F.lit(", cost "),
+                               fmt_money(c("cost"))),
+                      "too little data to infer a cause",
+                      F.when(zero_perf, no_data).otherwise(F.lit("upload recent data per media and re-run")),
+                      "trustworthy analysis"),
+    )
+    scope_level = state.select(*scope, F.inline(F.filter(candidates, lambda x: x["_keep"]))).drop("_keep")
+
+    issues = from_anomalies.unionByName(scope_level)
     w = Window.partitionBy(*scope).orderBy(F.desc("priority_score"), F.asc("_src"))
     return issues.withColumn("issue_rank", F.row_number().over(w)).drop("_src")
 

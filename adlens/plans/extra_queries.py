@@ -42,8 +42,15 @@ def _registry(spark, sf):
 
 
 def extra_queries() -> dict:
-    from adlens.operators import channels, jsonstats
+    from adlens.operators import channels, jsonstats, rules
+    from adlens.plans.audit_queries import audit_queries
+    from adlens.plans.collection_queries import collection_queries
     return {
+        "status_required_fields": audit_queries()["audit_required_status"],
+        "failure_digest": lambda spark, sf: collection_queries()["overall_status"](spark, sf).select(
+            "overall_status", "failure_reason"),
+        "top_signals": lambda spark, sf: rules.anomalies(tables.ad_fact(spark, sf)).orderBy(
+            "base_rank", "rule_seq").limit(6),
         "active_channels": lambda spark, sf: channels.active_channels(_registry(spark, sf)),
         "stat_ids": lambda spark, sf: jsonstats.collect_ids(
             jsonstats.extract_stat_rows(tables.stats_documents(spark, sf)), "id"),
@@ -84,7 +91,13 @@ SELECT media,
        WHEN event_type = 'purchase' THEN 'ad centre connection check needed'
        ELSE 'awaiting verification' END AS reason
 FROM l"""
+    from adlens.plans.audit_queries import audit_oracles
+    from adlens.plans.collection_queries import collection_oracles
     return {
+        "status_required_fields": audit_oracles()["audit_required_status"],
+        "failure_digest": f"WITH o AS ({collection_oracles()['overall_status']})\n"
+                          "SELECT overall_status, failure_reason FROM o",
+        "top_signals": f"WITH a AS ({o.anomalies()})\nSELECT * FROM a ORDER BY base_rank, rule_seq LIMIT 6",
         "active_channels": """SELECT n_name AS channel_name,
        CASE r_name WHEN 'AFRICA' THEN '광고매체' WHEN 'AMERICA' THEN '오픈마켓' WHEN 'ASIA' THEN '커머스 플랫폼'
                    WHEN 'EUROPE' THEN '글로벌 채널' ELSE r_name END AS channel_group,
