@@ -24,12 +24,21 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 FACT_TABLES = {"lineitem", "orders", "events", "documents"}
 
 
+_HANDLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Lazy handle on one table (kept per session, like a catalog entry; no data is cached)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key in _HANDLES:
+        return _HANDLES[key]
+    df = spark.read.parquet(path)
     if name in FACT_TABLES:
         target = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < target:
             df = df.repartition(target)
+    _HANDLES[key] = df
     return df
 
 
