@@ -167,6 +167,7 @@ def file_audit(lines: DataFrame, with_issues: bool = True) -> DataFrame:
         F.filter(F.array(*[F.lit(k) for k in STATUS_ORDER]), lambda k: status_map[k] == UNKNOWN)
         .alias("unavailable_fields"),
         report_version(c("file")).alias("report_version"))
+    out = out.withColumn("profile_label", profile_label(c("inferred_media"), c("report_version")))
     if not with_issues:
         return out
     issues = action_issues(fact, ["file"])

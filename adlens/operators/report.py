@@ -175,7 +175,8 @@ def dashboard_counters(fact: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def report_lines(advertiser: str, summary: DataFrame, recommendations: DataFrame, issues: DataFrame,
-                 anomalies: DataFrame, monthly: DataFrame, weekly: DataFrame) -> DataFrame:
+                 anomalies: DataFrame, monthly: DataFrame, weekly: DataFrame,
+                 mapping: DataFrame | None = None) -> DataFrame:
     """Narrative markdown report as (section_no, line_no, line) rows for one analysis (scope=[])."""
     s = F.col
     head = summary.select(F.inline(F.array(
@@ -207,9 +208,20 @@ def report_lines(advertiser: str, summary: DataFrame, recommendations: DataFrame
         for sec, t in [(2, "## Recommendations"), (3, "## Today's actions"), (4, "## Anomalies"),
                        (5, "## Monthly"), (6, "## Weekly")]])))
     cols = ["section_no", "line_no", "line"]
-    return (head.select(*cols).unionByName(titles.select(*cols)).unionByName(recs.select(*cols))
-            .unionByName(acts.select(*cols)).unionByName(anom.select(*cols)).unionByName(mon.select(*cols))
-            .unionByName(wk.select(*cols)))
+    out = (head.select(*cols).unionByName(titles.select(*cols)).unionByName(recs.select(*cols))
+           .unionByName(acts.select(*cols)).unionByName(anom.select(*cols)).unionByName(mon.select(*cols))
+           .unionByName(wk.select(*cols)))
+    if mapping is not None:
+        # one line per source header: "header -> canonical" (or "unmapped"), in file / column order
+        w_map = Window.orderBy("source", "position")  # bounded: one row per report column
+        lines = mapping.select(
+            F.lit(7).alias("section_no"), F.row_number().over(w_map).alias("line_no"),
+            F.concat(F.lit("- "), s("header"), F.lit(" -> "), F.coalesce(s("canonical"), F.lit("unmapped")))
+            .alias("line"))
+        title = summary.select(F.lit(7).alias("section_no"), F.lit(-1).alias("line_no"),
+                               F.lit("## Column mapping").alias("line"))
+        out = out.unionByName(title).unionByName(lines)
+    return out
 
 
 def union_sources(frames: dict[str, DataFrame], label: str = "source_sheet") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from adlens.constants import MARKETPLACE_MEDIA
-from adlens.operators import audit
+from adlens.operators import audit, report
 from adlens.operators.ingest import map_headers
 from adlens.sources.reports import derived_report_lines
 
@@ -29,6 +29,9 @@ def audit_queries() -> dict:
             map_headers(audit.header_catalog_from_lines(_lines(spark, sf)))),
         "media_validation": lambda spark, sf: audit.media_validation(
             audit.file_audit(_lines(spark, sf), False), MARKETPLACE_MEDIA),
+        "audit_report": lambda spark, sf: report.audit_report_lines(audit.file_audit(_lines(spark, sf), False)),
+        "audit_profiles": lambda spark, sf: audit.file_audit(_lines(spark, sf), False).select(
+            "file", "inferred_media", "report_version", "profile_label"),
     }
 
 
@@ -108,5 +111,17 @@ h AS (SELECT inferred_media, COUNT(*) AS files FROM m GROUP BY inferred_media)
 SELECT w.inferred_media, CAST(COALESCE(files, 0) AS BIGINT) AS files,
        CASE WHEN files > 0 THEN 'validated_real_file' ELSE 'pending_no_file' END AS validation_status
 FROM w LEFT JOIN h USING (inferred_media)"""
+    profiles = f"""WITH {FILES},
+a AS (SELECT s_suppkey, arg_min(p_type, (line_id, p_type)) AS first_type FROM li GROUP BY s_suppkey),
+m AS (SELECT f.file, CASE WHEN lay <> 3 AND first_type IS NOT NULL THEN first_type ELSE {name_media} END
+               AS inferred_media,
+             CASE WHEN f.file LIKE '%gmarket%' THEN 'gmarket_auction_legacy_candidate' ELSE 'unknown' END
+               AS report_version
+      FROM f LEFT JOIN a USING (s_suppkey))
+SELECT file, inferred_media, report_version,
+  CASE WHEN inferred_media IN ('G마켓', '옥션', 'G마켓/옥션') THEN 'marketplace_legacy_candidate'
+       WHEN inferred_media IN ('네이버', '11번가') THEN 'real_file_auto_diagnosis'
+       WHEN report_version <> 'unknown' THEN report_version ELSE 'generic_ad_file' END AS profile_label
+FROM m"""
     return {"audit_required_status": required, "standardize_folder": std_rates, "alias_candidates": cands,
-            "media_validation": media}
+            "media_validation": media, "audit_profiles": profiles}

@@ -79,7 +79,7 @@ def run_pipeline(spark: SparkSession, in_dir: str, out_dir: str, scope: Sequence
         f = fact
         lines_df = report.report_lines(advertiser, result.summary, result.recommendations, result.issues,
                                        result.anomalies, metrics.period_table(f, "monthly"),
-                                       metrics.period_table(f, "weekly"))
+                                       metrics.period_table(f, "weekly"), mapping)
         report.write_report(lines_df, f"{out_dir}/report_md")
         report.write_report(report.plain_text(lines_df), f"{out_dir}/report_txt")
     return result
