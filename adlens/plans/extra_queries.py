@@ -69,7 +69,7 @@ def extra_queries() -> dict:
 def extra_oracles() -> dict:
     fact = o.with_ctes(o.AD_FACT)
     fresh = """SELECT {sel}CAST(MIN(date) AS DATE) AS min_date, CAST(MAX(date) AS DATE) AS max_date,
-       GREATEST(date_diff('day', CAST(MAX(date) AS DATE), DATE '2002-01-01'), 0) AS lag_days,
+       CAST(GREATEST(date_diff('day', CAST(MAX(date) AS DATE), DATE '2002-01-01'), 0) AS INTEGER) AS lag_days,
        CASE WHEN MAX(date) IS NULL THEN NULL
             WHEN GREATEST(date_diff('day', CAST(MAX(date) AS DATE), DATE '2002-01-01'), 0) <= 1 THEN '최신'
             WHEN GREATEST(date_diff('day', CAST(MAX(date) AS DATE), DATE '2002-01-01'), 0) <= 7 THEN '주의'

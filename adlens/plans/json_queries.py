@@ -40,10 +40,10 @@ EV = """ev AS (
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
          CASE user_id % 3 WHEN 0 THEN 'cmp-' WHEN 1 THEN 'grp-' ELSE 'kw-' END
            || json_extract_string(props, '$.k') AS sid,
-         CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.0 END AS impressions,
-         CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END AS clicks,
+         CAST(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS DOUBLE) AS impressions,
+         CAST(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS DOUBLE) AS clicks,
          CASE WHEN event_type = 'click' THEN value ELSE 0.0 END AS cost,
-         CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS conversions,
+         CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS DOUBLE) AS conversions,
          CASE WHEN event_type = 'purchase' THEN value ELSE 0.0 END AS revenue
   FROM events)"""
 
@@ -66,8 +66,9 @@ live AS (SELECT doc_id, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY eve
                 revenue FROM ev WHERE doc_id % 4 <> 3),
 zid AS (SELECT doc_id, sid, MIN(event_id) AS first_ev FROM ev WHERE doc_id % 4 = 3 GROUP BY doc_id, sid),
 zero AS (SELECT z.doc_id, CAST(ROW_NUMBER() OVER (PARTITION BY z.doc_id ORDER BY first_ev) AS INTEGER) AS row_no,
-                d.since AS date, z.sid, 0.0 AS impressions, 0.0 AS clicks, 0.0 AS cost, 0.0 AS conversions,
-                0.0 AS revenue FROM zid z JOIN docs d USING (doc_id)),
+                d.since AS date, z.sid, CAST(0 AS DOUBLE) AS impressions, CAST(0 AS DOUBLE) AS clicks,
+                CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS conversions, CAST(0 AS DOUBLE) AS revenue
+         FROM zid z JOIN docs d USING (doc_id)),
 r AS (SELECT * FROM live UNION ALL SELECT * FROM zero)
 SELECT r.doc_id, r.row_no, r.date, 'adv' || CAST(r.doc_id % 3 AS VARCHAR) AS advertiser, '네이버 검색광고' AS media,
        COALESCE(NULLIF(lk.campaign_name, ''), r.sid) AS campaign, COALESCE(lk.ad_group_name, '') AS ad_group,
