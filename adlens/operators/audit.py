@@ -67,7 +67,7 @@ def infer_media_from_name(path) -> Column:
     def any_of(words):
         out = F.lit(False)
         for w in words:
-            out = out | text.contains(normalize_header_py(w) if w.strip() else w)
+            out = out | text.contains(normalize_header_py(w))
         return out
     return (F.when(any_of(NAVER_WORDS), F.lit(MEDIA_NAVER))
             .when(any_of(GMARKET_WORDS) & any_of(AUCTION_WORDS), F.lit(MEDIA_GMARKET_AUCTION))

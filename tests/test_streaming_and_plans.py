@@ -64,6 +64,22 @@ def test_date_filter_reaches_the_scan(spark):
     assert "PushedFilters" in plan and "l_shipdate" in plan.split("PushedFilters")[1][:400]
 
 
+def test_hot_keys_are_combined_before_the_shuffle(spark):
+    """Per-scope aggregates combine map-side: a hot scope ships partial rows, not raw rows."""
+    from adlens.operators import collection
+    from adlens.plans.collection_queries import AS_OF
+    for df in [metrics.kpi_summary(tables.ad_fact(spark, SMOKE), ["account_name"]),
+               metrics.segment_table(tables.ad_fact(spark, SMOKE), "keyword", ["account_name"]),
+               collection.media_health(tables.collection_log_raw(spark, SMOKE), AS_OF)]:
+        plan = _plan(df)
+        assert "partial_" in plan  # partial aggregate below the exchange
+    # per-scope top-N limits each map partition before its exchange
+    topn = metrics.segment_table(tables.ad_fact(spark, SMOKE), "keyword", ["account_name"])
+    topn.collect()
+    final = topn._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "WindowGroupLimit" in final
+
+
 def test_small_dimensions_broadcast_by_size(spark):
     plan = _plan(metrics.kpi_summary(tables.ad_fact(spark, SMOKE)))
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
