@@ -15,7 +15,6 @@ from adlens.constants import (BENCHMARK_CHECK_SCORE, COST_PER_SCORE_POINT, COST_
                               REPORT_SHARE_SCORE, RULE_LOW_CTR, RULE_NO_CONVERSION, RULE_SCALE, SAVING_FACTOR,
                               SEARCH_ADS_MEDIA_WORD, SEVERITY_BASE_SCORE)
 from adlens.functions.formatting import fmt_money, fmt_percent
-from adlens.operators.metrics import measure_sums
 from adlens.operators.rules import anomalies, rule_aggregates, scope_state
 from adlens.operators.scoped import attach
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from adlens.operators import compare, issues, metrics, report, rules
 from adlens.plans import oracle_sql as o
 from adlens.sources import tables
