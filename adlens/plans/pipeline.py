@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adlens.operators import audit, compare, issues, metrics, report, rules
 from adlens.operators.ingest import map_headers
-from adlens.session import get_spark, materialize
+from adlens.session import get_spark, materialize, release
 from adlens.sources.reports import read_report_lines
 
 
@@ -70,18 +70,19 @@ def run_pipeline(spark: SparkSession, in_dir: str, out_dir: str, scope: Sequence
                  advertiser: str = "advertiser") -> AnalysisResult:
     lines = read_report_lines(spark, in_dir, glob)
     mapping = materialize(map_headers(audit.header_catalog_from_lines(lines)), "header-mapping")
-    fact = materialize(audit.standardize_lines(lines, mapping), "standardized-fact")
-    fact.write.mode("overwrite").parquet(f"{out_dir}/standardized")
+    # The standardised fact is itself an output: write it once and analyse the written copy.
+    audit.standardize_lines(lines, mapping).write.mode("overwrite").parquet(f"{out_dir}/standardized")
+    fact = spark.read.parquet(f"{out_dir}/standardized")
     audit.file_audit(lines).write.mode("overwrite").parquet(f"{out_dir}/file_audit")
     result = analyze(fact, scope)
     write_sheets(result, out_dir, scope)
     if not scope:
-        f = fact
         lines_df = report.report_lines(advertiser, result.summary, result.recommendations, result.issues,
-                                       result.anomalies, metrics.period_table(f, "monthly"),
-                                       metrics.period_table(f, "weekly"), mapping)
+                                       result.anomalies, metrics.period_table(fact, "monthly"),
+                                       metrics.period_table(fact, "weekly"), mapping)
         report.write_report(lines_df, f"{out_dir}/report_md")
         report.write_report(report.plain_text(lines_df), f"{out_dir}/report_txt")
+    release(mapping)  # every output that reads the mapping is written
     return result
 
 

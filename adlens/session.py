@@ -64,4 +64,23 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/adlens-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    _WRITTEN[id(out)] = path
+    return out
+
+
+_WRITTEN: dict[int, str] = {}
+
+
+def release(df: DataFrame) -> bool:
+    """Delete the table behind a DataFrame returned by :func:`materialize` (after its last use).
+
+    Only paths this module wrote under ``<checkpoint dir>/adlens-tables/`` are removed.
+    """
+    path = _WRITTEN.pop(id(df), None)
+    if not path or "/adlens-tables/" not in path:
+        return False
+    jvm = df.sparkSession._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    return bool(fs.delete(hpath, True))
