@@ -9,10 +9,11 @@ parsed one level further where the envelope says so. Supported envelopes:
 * an object with a ``fields`` (or ``data``) object is one row: its own keys
   overlaid by the inner object's keys;
 * an object with lists under ``data/rows/items/result/results`` yields their
-  items (each item: ``fields``/``data`` flattening, or a plain row);
+  items, each walked the same way;
 * otherwise the object is a row when it carries an id or a core metric key.
 
-(The API nests at most this deep; deeper lists inside list items are not walked.)
+Objects are walked up to ``MAX_DEPTH`` levels below the top (API responses nest
+two or three deep).
 Everything is explode + column expressions; the per-document row ordinal needed
 for positional id attachment is a window over one document's rows.
 """
@@ -28,6 +29,7 @@ from adlens.constants import (SEARCH_ADS_MEDIA_NAME, STAT_DATE_KEYS, STAT_ID_KEY
 
 MAP_T = "map<string,string>"
 ARR_T = "array<string>"
+MAX_DEPTH = 4  # nested objects walked below the top level of a payload (API responses use 2-3)
 STANDARD_COLUMNS = ["date", "advertiser", "media", "campaign", "ad_group", "keyword", "product_name", "impressions",
                     "clicks", "cost", "conversions", "revenue", "roas", "cpc", "ctr", "orders"]
 
@@ -48,41 +50,55 @@ def _has_marker(m: Column) -> Column:
     return F.coalesce(F.exists(F.map_keys(m), lambda k: k.isin(STAT_ROW_MARKERS)), F.lit(False))
 
 
-def extract_stat_rows(docs: DataFrame, doc_key: str = "doc_id", payload: str = "payload") -> DataFrame:
-    """One row per stat record: doc key, ``row_no`` (document order), ``base`` and ``overlay`` maps."""
+def extract_stat_rows(docs: DataFrame, doc_key: str = "doc_id", payload: str = "payload",
+                      max_depth: int = MAX_DEPTH) -> DataFrame:
+    """One row per stat record: doc key, ``row_no`` (document order), ``base`` and ``overlay`` maps.
+
+    Walks the envelope level by level (at most ``max_depth`` nested objects): at each
+    object, rows of its ``response`` object come first, then the object itself is a
+    row (own keys overlaid by ``fields`` / ``data``), or its lists are walked, or it is
+    a plain row when it carries a marker key. Every record keeps its position path,
+    and ``row_no`` orders records by that path (document order).
+    """
     p = F.col(payload)
     top = F.when(_is_list(p), F.from_json(p, ARR_T)).otherwise(F.array(p))
-    items = docs.select(doc_key, F.posexplode(top).alias("i0", "item")).where(_is_obj(F.col("item")))
-    d0 = F.from_json(F.col("item"), MAP_T)
-    levels = F.array(
-        F.when(_is_obj(d0["response"]), F.struct(F.lit(0).alias("lvl"), d0["response"].alias("txt"))),
-        F.struct(F.lit(1).alias("lvl"), F.col("item").alias("txt")))
-    lv = items.select(doc_key, "i0", F.inline(F.filter(levels, lambda s: s.isNotNull())))
-    L = F.from_json(F.col("txt"), MAP_T)
-    lv = lv.select(doc_key, "i0", "lvl", L.alias("L"))
-    m = F.col("L")
-    kind = (F.when(_is_obj(m["fields"]), F.lit("fields")).when(_is_obj(m["data"]), F.lit("data"))
-            .when(F.exists(F.array(*[F.lit(k) for k in STAT_LIST_KEYS]), lambda k: _is_list(m[k])), F.lit("lists"))
-            .when(_has_marker(m), F.lit("row")))
-    lv = lv.withColumn("kind", kind)
-
-    direct = lv.where(F.col("kind").isin("fields", "data", "row")).select(
-        doc_key, "i0", "lvl", F.lit(0).alias("i2"), m.alias("base"),
-        F.when(F.col("kind") == "fields", F.from_json(m["fields"], MAP_T))
-        .when(F.col("kind") == "data", F.from_json(m["data"], MAP_T)).alias("overlay"))
-
-    listed = F.concat(*[_as_list(m[k]) for k in STAT_LIST_KEYS])
-    nested = lv.where(F.col("kind") == "lists").select(doc_key, "i0", "lvl", F.posexplode(listed).alias("i2", "t"))
-    nested = nested.where(_is_obj(F.col("t"))).select(doc_key, "i0", "lvl", "i2", F.from_json("t", MAP_T).alias("I"))
-    im = F.col("I")
-    nested_rows = nested.where(_is_obj(im["fields"]) | _is_obj(im["data"]) | _has_marker(im)).select(
-        doc_key, "i0", "lvl", (F.col("i2") + 1).alias("i2"), im.alias("base"),
-        F.when(_is_obj(im["fields"]), F.from_json(im["fields"], MAP_T))
-        .when(_is_obj(im["data"]), F.from_json(im["data"], MAP_T)).alias("overlay"))
-    rows = direct.unionByName(nested_rows)
-    w = Window.partitionBy(doc_key).orderBy("i0", "lvl", "i2")
-    return rows.withColumn("row_no", F.row_number().over(w)).withColumn("doc_rows", F.count(F.lit(1)).over(
-        Window.partitionBy(doc_key)))
+    null_map = F.lit(None).cast(MAP_T)
+
+    def rec(tag, path, base, overlay, obj) -> Column:
+        return F.struct(F.lit(tag).alias("tag"), path.alias("path"), base.alias("base"), overlay.alias("overlay"),
+                        obj.alias("L"))
+
+    # Each level maps one record to an array of records (a linear chain of generators,
+    # so the plan grows linearly with the depth): finished rows pass through, an
+    # object yields its own row and/or its `response` object and list items as the
+    # next level's objects.
+    cur = docs.select(doc_key, F.inline(F.filter(F.transform(top, lambda t, i: F.when(
+        _is_obj(t), rec("next", F.array(i), null_map, null_map, F.from_json(t, MAP_T)))), lambda x: x.isNotNull())))
+    for _ in range(max_depth):
+        m, path = F.col("L"), F.col("path")
+        kind = (F.when(_is_obj(m["fields"]), F.lit("fields")).when(_is_obj(m["data"]), F.lit("data"))
+                .when(F.exists(F.array(*[F.lit(k) for k in STAT_LIST_KEYS]), lambda k: _is_list(m[k])),
+                      F.lit("lists"))
+                .when(_has_marker(m), F.lit("row")))
+        own = F.when(kind.isin("fields", "data", "row"), rec(
+            "done", F.concat(path, F.array(F.lit(1))), m,
+            F.when(kind == "fields", F.from_json(m["fields"], MAP_T)).when(kind == "data", F.from_json(m["data"], MAP_T)),
+            null_map))
+        resp = F.when(_is_obj(m["response"]), rec("next", F.concat(path, F.array(F.lit(0))), null_map, null_map,
+                                                   F.from_json(m["response"], MAP_T)))
+        listed = F.when(kind == "lists", F.concat(*[_as_list(m[k]) for k in STAT_LIST_KEYS])) \
+            .otherwise(F.array().cast(ARR_T))
+        children = F.transform(listed, lambda t, i: F.when(_is_obj(t), rec(
+            "next", F.concat(path, F.array(F.lit(1), i)), null_map, null_map, F.from_json(t, MAP_T))))
+        expanded = F.filter(F.concat(F.array(resp, own), children), lambda x: x.isNotNull())
+        keep = F.array(rec("done", path, F.col("base"), F.col("overlay"), null_map))
+        cur = cur.select(doc_key, F.inline(F.when(F.col("tag") == "done", keep).otherwise(expanded)))
+    rows = cur.where(F.col("tag") == "done").select(doc_key, "path", "base", "overlay")
+    # Document order of the rows; a document is one API response, so this window is
+    # bounded by what one row (the payload string) already had to hold.
+    w = Window.partitionBy(doc_key).orderBy("path")
+    return (rows.withColumn("row_no", F.row_number().over(w))
+            .withColumn("doc_rows", F.count(F.lit(1)).over(Window.partitionBy(doc_key))).drop("path"))
 
 
 def field(key: str) -> Column:

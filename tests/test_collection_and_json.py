@@ -122,6 +122,15 @@ def test_supplied_zero_ratio_falls_back(spark):
     assert r["cost"] == 1000 and r["roas"] == 3.0
 
 
+def test_nested_envelopes_in_document_order(spark):
+    payload = {"items": [{"response": {"data": [{"id": "a", "fields": {"impCnt": 1}}]}},
+                         {"rows": [{"id": "b", "impCnt": 2}, {"id": "c", "data": {"impCnt": 3}}]}],
+               "response": {"data": [{"id": "z", "impCnt": 9}]}}
+    rows = sorted(js.shred_stats(_docs(spark, payload, REQUEST)).collect(), key=lambda r: r["row_no"])
+    # rows of the top-level `response` come first, then the list items in order
+    assert [(r["campaign"], r["impressions"]) for r in rows] == [("z", 9), ("a", 1), ("b", 2), ("c", 3)]
+
+
 def test_positional_id_attach(spark):
     payload = {"data": [{"statDt": "2026-06-02", "data": {"impCnt": 5}}, {"statDt": "2026-06-03", "data": {"impCnt": 6}}]}
     req = {"ids": ["a", "b"], "timeRange": {"since": "2026-06-01"}}
