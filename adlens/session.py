@@ -77,9 +77,14 @@ def release(df: DataFrame) -> bool:
 
     Only paths this module wrote under ``<checkpoint dir>/adlens-tables/`` are removed.
     """
-    path = _WRITTEN.pop(id(df), None)
+    path = _WRITTEN.get(id(df))
     if not path or "/adlens-tables/" not in path:
         return False
+    # ids can be reused after garbage collection: delete only if df really reads that table
+    tail = path.split("://")[-1].replace("file:", "")
+    if not all(f.split("://")[-1].replace("file:", "").startswith(tail) for f in df.inputFiles()):
+        return False
+    _WRITTEN.pop(id(df), None)
     jvm = df.sparkSession._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())

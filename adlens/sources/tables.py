@@ -24,13 +24,13 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 FACT_TABLES = {"lineitem", "orders", "events", "documents"}
 
 
-_HANDLES: dict[tuple[int, str], DataFrame] = {}
+_HANDLES: dict[tuple[int, str, str], DataFrame] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy handle on one table (kept per session, like a catalog entry; no data is cached)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
+    key = (id(spark), spark.sparkContext.applicationId, path)
     if key in _HANDLES:
         return _HANDLES[key]
     df = spark.read.parquet(path)
