@@ -12,9 +12,10 @@ def stream_queries() -> dict:
     return {
         "stream_daily_kpi": lambda spark, sf: watch.streamed(
             lambda s: watch.daily_kpi_stream(tables.event_fact_from(s)), spark, sf, "events.parquet", "daily_kpi"),
+        # update mode: each trigger emits only the media whose state changed (upsert on read)
         "stream_media_health": lambda spark, sf: watch.streamed(
             lambda s: watch.media_health_stream(tables.collection_log_from(s), AS_OF), spark, sf, "events.parquet",
-            "media_health"),
+            "media_health", output_mode="update", key="media"),
     }
 
 

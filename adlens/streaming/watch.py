@@ -106,22 +106,32 @@ def media_health_stream(stream_log: DataFrame, as_of: dt.datetime) -> DataFrame:
     return media_health(log_view(stream_log), as_of)
 
 
-def run_to_table(stream_df: DataFrame, name: str, output_mode: str = "complete") -> DataFrame:
+def run_to_table(stream_df: DataFrame, name: str, output_mode: str = "complete",
+                 key: str | None = None) -> DataFrame:
     """Run a streaming aggregate to completion (availableNow) into Parquet; return it as a batch table.
 
-    Each micro-batch of a complete-mode query carries the whole result, which
-    replaces the previous one (``foreachBatch`` + overwrite).
+    complete: each micro-batch carries the whole result and replaces the previous one.
+    update (needs ``key``): each micro-batch carries only the groups that changed; they
+    are appended with the batch id and the table is read back keeping the latest row
+    per key (upsert on read), so a trigger's cost follows the changed groups only.
     """
+    from adlens.operators.collection import resolve_latest
     spark = stream_df.sparkSession
     ckpt, out = _paths(spark, name)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite" if output_mode == "complete" else "append").parquet(out)
+        if output_mode == "complete":
+            batch.write.mode("overwrite").parquet(out)
+        else:
+            batch.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(out)
 
     q = (stream_df.writeStream.outputMode(output_mode).foreachBatch(sink).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    table = spark.read.parquet(out)
+    if output_mode == "update" and key:
+        table = resolve_latest(table, key=key, seq="_batch").drop("_batch")
+    return table
 
 
 def stream_source(spark: SparkSession, folder: str, schema, glob: str | None = None,
@@ -136,7 +146,7 @@ def stream_source(spark: SparkSession, folder: str, schema, glob: str | None = N
 
 
 def streamed(build: Callable[[DataFrame], DataFrame], spark: SparkSession, folder: str, glob: str,
-             name: str) -> DataFrame:
+             name: str, output_mode: str = "complete", key: str | None = None) -> DataFrame:
     """Apply ``build`` to a streaming read of ``folder/glob`` and materialise the final result."""
     schema = spark.read.parquet(f"{folder.rstrip('/')}/{glob}").schema
-    return run_to_table(build(stream_source(spark, folder, schema, glob)), name)
+    return run_to_table(build(stream_source(spark, folder, schema, glob)), name, output_mode, key)

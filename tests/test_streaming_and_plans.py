@@ -22,6 +22,28 @@ def test_stream_daily_kpi_equals_batch(spark):
     assert _rows(streamed, cols) == _rows(batch, cols)
 
 
+def test_update_mode_media_health_over_several_triggers(spark, tmp_dir):
+    """Three landed files, one per trigger: update-mode output + upsert on read == batch."""
+    from pyspark.sql import functions as F
+    from adlens.operators import collection
+    from adlens.plans.collection_queries import AS_OF
+    ev = spark.read.parquet(f"{SMOKE}/events.parquet")
+    land = os.path.join(tmp_dir, "landing")
+    for i in range(3):
+        ev.where(F.col("event_id") % 3 == i).coalesce(1).write.parquet(f"{land}/part{i}")
+    files = sorted(os.path.join(dp, f) for dp, _, fs in os.walk(land) for f in fs if f.endswith(".parquet"))
+    flat = os.path.join(tmp_dir, "flat")
+    os.makedirs(flat)
+    for i, f in enumerate(files):
+        os.link(f, os.path.join(flat, f"events_{i}.parquet"))
+    stream = watch.stream_source(spark, flat, ev.schema, "*.parquet", max_files_per_trigger=1)
+    got = watch.run_to_table(watch.media_health_stream(tables.collection_log_from(stream), AS_OF), "t_upd",
+                             output_mode="update", key="media")
+    want = collection.media_health(tables.collection_log_raw(spark, SMOKE), AS_OF)
+    cols = ["media", "latest_status", "last_success_at", "last_failure_at", "success_count_30d", "total_count_30d"]
+    assert _rows(got, cols) == _rows(want, cols)
+
+
 def _write(path, text):
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "w", encoding="utf-8") as fh:
