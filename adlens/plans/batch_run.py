@@ -5,7 +5,7 @@ shared checkpoint folder and every sheet reads it, so the raw text is parsed a
 single time and lineage stays short. Sheets are written per scope
 (``partitionBy``), so one run serves every advertiser.
 
-usage: python -m adlens.plans.pipeline INPUT_DIR OUTPUT_DIR [--scope account_name] [--glob '*.csv']
+usage: python -m adlens.plans.batch_run INPUT_DIR OUTPUT_DIR [--scope account_name] [--glob '*.csv']
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def write_sheets(result: AnalysisResult, out_dir: str, scope: Sequence[str] = ()
         w.format(fmt).option("header", True).save(f"{out_dir}/{name}")
 
 
-def run_pipeline(spark: SparkSession, in_dir: str, out_dir: str, scope: Sequence[str] = (), glob: str = "*.csv",
+def run_batch(spark: SparkSession, in_dir: str, out_dir: str, scope: Sequence[str] = (), glob: str = "*.csv",
                  advertiser: str = "advertiser") -> AnalysisResult:
     lines = read_report_lines(spark, in_dir, glob)
     mapping = materialize(map_headers(audit.header_catalog_from_lines(lines)), "header-mapping")
@@ -96,7 +96,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     ap.add_argument("--master", default=None)
     args = ap.parse_args(argv)
     spark = get_spark(args.master)
-    run_pipeline(spark, args.input_dir, args.output_dir, args.scope, args.glob, args.advertiser)
+    run_batch(spark, args.input_dir, args.output_dir, args.scope, args.glob, args.advertiser)
 
 
 if __name__ == "__main__":

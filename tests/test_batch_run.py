@@ -4,15 +4,15 @@ import os
 import shutil
 
 from tests.conftest import FIXTURES
-from adlens.plans.pipeline import run_pipeline
+from adlens.plans.batch_run import run_batch
 
 
-def test_pipeline_end_to_end(spark, tmp_dir):
+def test_batch_run_end_to_end(spark, tmp_dir):
     inbox = os.path.join(tmp_dir, "in")
     os.makedirs(inbox)
     shutil.copy(os.path.join(FIXTURES, "demo_ads.csv"), inbox)
     out = os.path.join(tmp_dir, "out")
-    run_pipeline(spark, inbox, out, advertiser="demo")
+    run_batch(spark, inbox, out, advertiser="demo")
     s = spark.read.parquet(f"{out}/summary").collect()[0]
     assert s["rows"] == 12 and s["cost"] == 7_451_000
     assert spark.read.parquet(f"{out}/anomalies").count() == 7
@@ -21,6 +21,6 @@ def test_pipeline_end_to_end(spark, tmp_dir):
                    for f in sorted(os.listdir(f"{out}/report_md")) if f.startswith("part-"))
     assert text.startswith("# demo ad performance report")
     out2 = os.path.join(tmp_dir, "out2")
-    run_pipeline(spark, inbox, out2, scope=["account_name"])
+    run_batch(spark, inbox, out2, scope=["account_name"])
     per = spark.read.parquet(f"{out2}/summary")
     assert per.count() == 3 and sum(r["cost"] for r in per.collect()) == 7_451_000
