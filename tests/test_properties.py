@@ -24,6 +24,25 @@ def _fact(spark, rows):
                            "product_name": df.platform})
 
 
+@settings(max_examples=5, deadline=None)
+@given(st.lists(ROW, min_size=1, max_size=40))
+def test_scoped_rules_equal_filter_then_run(spark, rows):
+    """Per-account anomalies and issues in one job == running each account alone."""
+    from pyspark.sql import functions as F
+    from adlens.operators import issues, rules
+    f = _fact(spark, rows)
+    a_all = rules.anomalies(f, ["account_name"]).collect()
+    i_all = issues.action_issues(f, ["account_name"]).collect()
+    for acct in {r[2] for r in rows}:
+        one = f.where(F.col("account_name") == acct)
+        alone = sorted((r["target"], r["rule_code"]) for r in rules.anomalies(one).collect())
+        mine = sorted((r["target"], r["rule_code"]) for r in a_all if r["account_name"] == acct)
+        assert alone == mine
+        alone_i = sorted((r["issue_rank"], r["problem"], r["priority_score"]) for r in issues.action_issues(one).collect())
+        mine_i = sorted((r["issue_rank"], r["problem"], r["priority_score"]) for r in i_all if r["account_name"] == acct)
+        assert alone_i == mine_i
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(ROW, min_size=1, max_size=30))
 def test_sums_are_consistent(spark, rows):
