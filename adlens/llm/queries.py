@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adlens.llm import histogram, packing, simhash
+from adlens.llm import curriculum, histogram, packing, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,13 @@ def op2_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
             .select("doc_id", "fingerprint", "component_id"))
 
 
+def op5_toxicity_crf(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    model = toxicity.train(docs, _table(spark, sf, "labels"))
+    return toxicity.tag(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                                            "predicted", F.size("spans").alias("n_spans"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"), tokenizer_path(), end_id=0, capacity=2048)
 
@@ -33,8 +40,14 @@ def op9_length_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return histogram.context_limits(histogram.length_histogram(_table(spark, sf, "documents"), tokenizer_path()))
 
 
+def op10_curriculum_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return (curriculum.mix(curriculum.sizes(_table(spark, sf, "documents")))
+            .select("doc_id", "size", "source_size", "target", "taken"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op7_best_fit_packing, op9_length_histogram)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op5_toxicity_crf, op7_best_fit_packing, op9_length_histogram,
+                                      op10_curriculum_mixing)}
 
 
 def llm_oracles() -> dict[str, str]:
