@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adlens.llm import curriculum, histogram, packing, simhash, toxicity
+from adlens.llm import curriculum, histogram, packing, rans, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
             .select("doc_id", "fingerprint", "component_id"))
 
 
+def op3_rans_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return rans.round_trip(_table(spark, sf, "documents"), tokenizer_path(), end_id=2)
+
+
 def op5_toxicity_crf(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     model = toxicity.train(docs, _table(spark, sf, "labels"))
@@ -46,7 +50,7 @@ def op10_curriculum_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op5_toxicity_crf, op7_best_fit_packing, op9_length_histogram,
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_rans_token_files, op5_toxicity_crf, op7_best_fit_packing, op9_length_histogram,
                                       op10_curriculum_mixing)}
 
 
