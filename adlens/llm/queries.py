@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adlens.llm import curriculum, histogram, packing, rans, simhash, toxicity
+from adlens.llm import blockjoin, curriculum, histogram, packing, rans, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_warc_reassembly(spark: SparkSession, sf: str) -> DataFrame:
+    return (warc.round_trip(_table(spark, sf, "pages"))
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return (simhash.near_duplicates(_table(spark, sf, "documents"), shingle=3, max_bits=2)
             .select("doc_id", "fingerprint", "component_id"))
@@ -40,6 +45,10 @@ def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"), tokenizer_path(), end_id=0, capacity=2048)
 
 
+def op8_block_matrix_join(spark: SparkSession, sf: str) -> DataFrame:
+    return blockjoin.nearest(_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_length_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return histogram.context_limits(histogram.length_histogram(_table(spark, sf, "documents"), tokenizer_path()))
 
@@ -50,9 +59,33 @@ def op10_curriculum_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_rans_token_files, op5_toxicity_crf, op7_best_fit_packing, op9_length_histogram,
+    return {f.__name__: f for f in (op1_warc_reassembly, op2_simhash_near_dedup, op3_rans_token_files, op5_toxicity_crf, op7_best_fit_packing, op8_block_matrix_join, op9_length_histogram,
                                       op10_curriculum_mixing)}
 
 
+_NEAREST = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20"""
+
+
+_PAGES = """
+WITH p AS (
+  SELECT page_id, sha1(encode(coalesce(html, ''))) AS payload_digest,
+         octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+r AS (SELECT payload_digest, max(page_id) AS last_id FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN last_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last_id <> page_id THEN last_id END AS refers_to
+FROM p LEFT JOIN r USING (payload_digest)"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op1_warc_reassembly": _PAGES, "op8_block_matrix_join": _NEAREST}
