@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adlens.llm import blockjoin, curriculum, histogram, packing, rans, simhash, toxicity, warc
+from adlens.llm import blockjoin, curriculum, histogram, multiset, packing, rans, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def op5_toxicity_crf(spark: SparkSession, sf: str) -> DataFrame:
                                             "predicted", F.size("spans").alias("n_spans"))
 
 
+def op6_multiset_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return multiset.document_fingerprints(_table(spark, sf, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"), tokenizer_path(), end_id=0, capacity=2048)
 
@@ -59,7 +63,8 @@ def op10_curriculum_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_reassembly, op2_simhash_near_dedup, op3_rans_token_files, op5_toxicity_crf, op7_best_fit_packing, op8_block_matrix_join, op9_length_histogram,
+    return {f.__name__: f for f in (op1_warc_reassembly, op2_simhash_near_dedup, op3_rans_token_files, op5_toxicity_crf, op6_multiset_fingerprints,
+                                      op7_best_fit_packing, op8_block_matrix_join, op9_length_histogram,
                                       op10_curriculum_mixing)}
 
 
