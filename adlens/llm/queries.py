@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adlens.llm import blockjoin, curriculum, histogram, multiset, packing, rans, simhash, toxicity, warc
+from adlens.llm import blockjoin, curriculum, histogram, licenses, multiset, packing, rans, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op3_rans_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return rans.round_trip(_table(spark, sf, "documents"), tokenizer_path(), end_id=2)
 
 
+def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.digest(licenses.scan(_table(spark, sf, "documents")))
+
+
 def op5_toxicity_crf(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     model = toxicity.train(docs, _table(spark, sf, "labels"))
@@ -63,7 +67,7 @@ def op10_curriculum_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_reassembly, op2_simhash_near_dedup, op3_rans_token_files, op5_toxicity_crf, op6_multiset_fingerprints,
+    return {f.__name__: f for f in (op1_warc_reassembly, op2_simhash_near_dedup, op3_rans_token_files, op4_license_scan, op5_toxicity_crf, op6_multiset_fingerprints,
                                       op7_best_fit_packing, op8_block_matrix_join, op9_length_histogram,
                                       op10_curriculum_mixing)}
 
