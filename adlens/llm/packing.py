@@ -109,9 +109,10 @@ def pack(items: DataFrame, capacity: int, max_documents: int | None = None, max_
 
     def run(batches):
         from pyspark import TaskContext
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        t = pa.Table.from_batches(batches)
         t = t.sort_by([("length", "descending"), *((c, "ascending") for c in names if c != "length")])
         lengths = t.column("length").to_numpy()
         full = int(np.searchsorted(-lengths, -capacity, side="right")) if rule == "norm" else 0

@@ -139,5 +139,5 @@ def representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     keep = (near_duplicates(docs, shingle, max_bits).filter(F.col("doc_id") == F.col("component_id"))
             .select(F.col("doc_id").alias("kept_id")).distinct())
     with_id = docs.filter(F.col("doc_id").isNotNull())
-    kept = with_id.join(keep, with_id.doc_id.cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = with_id.join(keep, with_id["doc_id"].cast("long") == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
