@@ -1,35 +1,34 @@
 """Shredding search-ads stats JSON payloads into standard ad rows.
 
-Payload documents (one API response each) are parsed with ``from_json`` into
-``MAP<STRING,STRING>`` levels — nested objects / lists stay JSON text and are
-parsed one level further where the envelope says so. Supported envelopes:
+A payload document (one API response) is read by one Arrow function that walks the
+parsed value to any depth and returns the stat records in document order, each a
+``MAP<STRING,STRING>`` of its scalar values (numbers keep their text):
 
-* top level: an object, or a list of objects;
-* an object's ``response`` object is shredded first, then the object itself;
-* an object with a ``fields`` (or ``data``) object is one row: its own keys
+* a list yields the records of its items, however lists are nested;
+* an object's ``response`` object is walked first, then the object itself;
+* an object with a ``fields`` (or ``data``) object is one record: its own keys
   overlaid by the inner object's keys;
-* an object with lists under ``data/rows/items/result/results`` yields their
-  items, each walked the same way;
-* otherwise the object is a row when it carries an id or a core metric key.
-
-Objects are walked up to ``MAX_DEPTH`` levels below the top (API responses nest
-two or three deep).
-Everything is explode + column expressions; the per-document row ordinal needed
-for positional id attachment is a window over one document's rows.
+* an object with lists under ``data/rows/items/result/results`` yields their records;
+* otherwise the object is a record when it carries an id or a core metric key.
+
+Everything after that is ``posexplode`` and column expressions on the same row: the
+position in the array is the record's number, so no document is joined back, windowed
+or scanned again. Payloads that are not JSON raise; they never turn into zero rows.
 """
 
 from __future__ import annotations
 
+import json
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from adlens.constants import (SEARCH_ADS_MEDIA_NAME, STAT_DATE_KEYS, STAT_ID_KEYS, STAT_LIST_KEYS,
                               STAT_METRIC_KEYS, STAT_ROW_MARKERS)
 
 MAP_T = "map<string,string>"
 ARR_T = "array<string>"
-MAX_DEPTH = 4  # nested objects walked below the top level of a payload (API responses use 2-3)
 STANDARD_COLUMNS = ["date", "advertiser", "media", "campaign", "ad_group", "keyword", "product_name", "impressions",
                     "clicks", "cost", "conversions", "revenue", "roas", "cpc", "ctr", "orders"]
 
@@ -42,73 +41,81 @@ def _is_list(text: Column) -> Column:
     return F.coalesce(F.ltrim(text).startswith("["), F.lit(False))
 
 
-def _as_list(text: Column) -> Column:
-    return F.when(_is_list(text), F.from_json(text, ARR_T)).otherwise(F.array().cast(ARR_T))
-
-
-def _has_marker(m: Column) -> Column:
-    return F.coalesce(F.exists(F.map_keys(m), lambda k: k.isin(STAT_ROW_MARKERS)), F.lit(False))
-
-
-def extract_stat_rows(docs: DataFrame, doc_key: str = "doc_id", payload: str = "payload",
-                      max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One row per stat record: doc key, ``row_no`` (document order), ``base`` and ``overlay`` maps.
-
-    Walks the envelope level by level (at most ``max_depth`` nested objects): at each
-    object, rows of its ``response`` object come first, then the object itself is a
-    row (own keys overlaid by ``fields`` / ``data``), or its lists are walked, or it is
-    a plain row when it carries a marker key. Every record keeps its position path,
-    and ``row_no`` orders records by that path (document order).
-    """
-    p = F.col(payload)
-    top = F.when(_is_list(p), F.from_json(p, ARR_T)).otherwise(F.array(p))
-    null_map = F.lit(None).cast(MAP_T)
-
-    def rec(tag, path, base, overlay, obj) -> Column:
-        return F.struct(F.lit(tag).alias("tag"), path.alias("path"), base.alias("base"), overlay.alias("overlay"),
-                        obj.alias("L"))
-
-    # Each level maps one record to an array of records (a linear chain of generators,
-    # so the plan grows linearly with the depth): finished rows pass through, an
-    # object yields its own row and/or its `response` object and list items as the
-    # next level's objects.
-    cur = docs.select(doc_key, F.inline(F.filter(F.transform(top, lambda t, i: F.when(
-        _is_obj(t), rec("next", F.array(i), null_map, null_map, F.from_json(t, MAP_T)))), lambda x: x.isNotNull())))
-    for _ in range(max_depth):
-        m, path = F.col("L"), F.col("path")
-        kind = (F.when(_is_obj(m["fields"]), F.lit("fields")).when(_is_obj(m["data"]), F.lit("data"))
-                .when(F.exists(F.array(*[F.lit(k) for k in STAT_LIST_KEYS]), lambda k: _is_list(m[k])),
-                      F.lit("lists"))
-                .when(_has_marker(m), F.lit("row")))
-        own = F.when(kind.isin("fields", "data", "row"), rec(
-            "done", F.concat(path, F.array(F.lit(1))), m,
-            F.when(kind == "fields", F.from_json(m["fields"], MAP_T)).when(kind == "data", F.from_json(m["data"], MAP_T)),
-            null_map))
-        resp = F.when(_is_obj(m["response"]), rec("next", F.concat(path, F.array(F.lit(0))), null_map, null_map,
-                                                   F.from_json(m["response"], MAP_T)))
-        listed = F.when(kind == "lists", F.concat(*[_as_list(m[k]) for k in STAT_LIST_KEYS])) \
-            .otherwise(F.array().cast(ARR_T))
-        children = F.transform(listed, lambda t, i: F.when(_is_obj(t), rec(
-            "next", F.concat(path, F.array(F.lit(1), i)), null_map, null_map, F.from_json(t, MAP_T))))
-        expanded = F.filter(F.concat(F.array(resp, own), children), lambda x: x.isNotNull())
-        keep = F.array(rec("done", path, F.col("base"), F.col("overlay"), null_map))
-        cur = cur.select(doc_key, F.inline(F.when(F.col("tag") == "done", keep).otherwise(expanded)))
-    rows = cur.where(F.col("tag") == "done").select(doc_key, "path", "base", "overlay")
-    # Document order of the rows; a document is one API response, so this window is
-    # bounded by what one row (the payload string) already had to hold.
-    w = Window.partitionBy(doc_key).orderBy("path")
-    return (rows.withColumn("row_no", F.row_number().over(w))
-            .withColumn("doc_rows", F.count(F.lit(1)).over(Window.partitionBy(doc_key))).drop("path"))
+def _parsed(text: str | None):
+    """The value of a payload, numbers as their text; None for a null or blank one."""
+    if text is None or not text.strip():
+        return None
+    return json.loads(text, parse_int=str, parse_float=str, parse_constant=str)
+
+
+def _scalars(own: dict, inner: dict | None = None) -> list[tuple[str, str | None]]:
+    """Scalar entries as text; an inner value wins unless it is null."""
+    flat = {}
+    for part in (own, inner or {}):
+        for key, value in part.items():
+            if isinstance(value, (dict, list)) or (value is None and key in flat):
+                continue
+            flat[key] = str(value).lower() if isinstance(value, bool) else value
+    return list(flat.items())
+
+
+def stat_records(value) -> list[list[tuple[str, str | None]]]:
+    """The stat records of a parsed payload in document order."""
+    records, todo = [], [value]  # a stack: what comes first in the document is on top
+    while todo:
+        node = todo.pop()
+        if isinstance(node, tuple):  # a record that had to wait for its object's response
+            records.append(_scalars(*node))
+        elif isinstance(node, list):
+            todo.extend(reversed(node))
+        elif isinstance(node, dict):
+            inner = next((node[k] for k in ("fields", "data") if isinstance(node.get(k), dict)), None)
+            lists = [node[k] for k in STAT_LIST_KEYS if isinstance(node.get(k), list)]
+            if inner is not None:
+                todo.append((node, inner))
+            elif lists:
+                todo.extend(reversed(lists))
+            elif any(k in node for k in STAT_ROW_MARKERS):
+                todo.append((node,))
+            if isinstance(node.get("response"), dict):
+                todo.append(node["response"])
+    return records
+
+
+def listed_values(value, key: str) -> list[str]:
+    """Non-empty values of ``key`` in the objects of every list that is reached through objects alone."""
+    found, todo = [], [value]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, dict):
+            todo.extend(reversed(list(node.values())))
+        elif isinstance(node, list):
+            found += [str(x[key]) for x in node if isinstance(x, dict) and x.get(key)]
+    return found
+
+
+def records_of(payload: Column) -> Column:
+    """The stat records of each payload, as an array of maps."""
+    def walk(texts: pa.Array) -> pa.Array:
+        return pa.array([stat_records(_parsed(t)) for t in texts.to_pylist()], pa.list_(pa.map_(pa.string(), pa.string())))
+
+    return F.arrow_udf(walk, "array<map<string,string>>")(payload)
+
+
+def extract_stat_rows(docs: DataFrame, doc_key: str = "doc_id", payload: str = "payload") -> DataFrame:
+    """One row per stat record: doc key, ``row_no`` (document order), ``doc_rows`` and the ``fields`` map."""
+    return (docs.select(doc_key, records_of(F.col(payload)).alias("_records"))
+            .select(doc_key, F.size("_records").alias("doc_rows"), F.posexplode("_records").alias("_at", "fields"))
+            .select(doc_key, (F.col("_at") + 1).alias("row_no"), "doc_rows", "fields"))
 
 
 def field(key: str) -> Column:
-    """Value of ``key`` in the flattened row: the inner object wins over its parent."""
-    return F.coalesce(F.col("overlay")[key], F.col("base")[key])
+    """Value of ``key`` in a record."""
+    return F.col("fields")[key]
 
 
 def present(key: str) -> Column:
-    return F.coalesce(F.map_contains_key(F.col("overlay"), F.lit(key)), F.lit(False)) | \
-        F.coalesce(F.map_contains_key(F.col("base"), F.lit(key)), F.lit(False))
+    return F.map_contains_key(F.col("fields"), F.lit(key))
 
 
 def numeric_value(*keys: str) -> Column:
@@ -168,23 +175,22 @@ def shred_stats(docs: DataFrame, lookup: DataFrame | None = None, advertiser: st
     """
     adv = F.col(advertiser) if isinstance(advertiser, str) and advertiser in docs.columns else \
         (advertiser if isinstance(advertiser, Column) else F.lit(advertiser))
-    d = request_fields(docs).withColumn("_adv", adv)
-    rows = extract_stat_rows(d, doc_key).join(d.select(doc_key, "req_ids", "req_since", "_adv"), doc_key)
+    d = request_fields(docs).select(doc_key, "req_ids", "req_since", adv.alias("_adv"),
+                                    records_of(F.col("payload")).alias("_records"))
+    empty = F.transform("req_ids", lambda i: F.create_map(F.lit("id"), i))
+    d = d.select(doc_key, "req_ids", "req_since", "_adv", F.size("_records").alias("doc_rows"), F.posexplode(
+        F.when(F.size("_records") > 0, F.col("_records")).otherwise(empty)).alias("_at", "fields"))
+    rows = d.withColumn("row_no", F.col("_at") + 1)
     own_id = _first_nonempty(STAT_ID_KEYS)
     n_ids = F.size("req_ids")
     attached = (F.when(own_id.isNotNull(), own_id)
                 .when(F.col("doc_rows") == n_ids, F.element_at("req_ids", F.col("row_no")))
                 .when(n_ids == 1, F.element_at("req_ids", 1)))
-    shaped = rows.select(
+    allrows = rows.select(
         doc_key, "row_no", "_adv",
         F.coalesce(attached, F.lit("")).alias("row_id"),
         F.coalesce(_first_nonempty(STAT_DATE_KEYS), F.col("req_since")).alias("date"),
         *[numeric_value(*keys).alias(f"_{m}") for m, keys in STAT_METRIC_KEYS.items()])
-    zero_docs = d.join(rows.select(doc_key).distinct(), doc_key, "left_anti")
-    zeros = zero_docs.select(doc_key, F.posexplode("req_ids").alias("_p", "row_id"), "req_since", "_adv").select(
-        doc_key, (F.col("_p") + 1).alias("row_no"), "_adv", "row_id", F.col("req_since").alias("date"),
-        *[F.lit(0.0).alias(f"_{m}") for m in STAT_METRIC_KEYS])
-    allrows = shaped.unionByName(zeros)
     if lookup is not None:
         allrows = allrows.join(lookup.withColumnRenamed("id", "row_id"), "row_id", "left")
     else:
@@ -223,26 +229,43 @@ def collected_summary(rows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 
 def data_row_count(payload: Column) -> Column:
-    """Length of ``data`` (directly or under ``response``) when it is a list, else null."""
-    top = F.from_json(payload, MAP_T)
-    resp = F.from_json(top["response"], MAP_T)
-    return (F.when(_is_obj(payload) & _is_list(top["data"]), F.size(F.from_json(top["data"], ARR_T)))
-            .when(_is_obj(payload) & _is_obj(top["response"]) & _is_list(resp["data"]),
-                  F.size(F.from_json(resp["data"], ARR_T))))
+    """Length of ``data`` (directly or below any number of ``response`` objects) when it is a list, else null."""
+    def count(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            node = _parsed(text)
+            while isinstance(node, dict) and not isinstance(node.get("data"), list):
+                node = node.get("response")
+            out.append(len(node["data"]) if isinstance(node, dict) else None)
+        return pa.array(out, pa.int32())
 
+    return F.arrow_udf(count, "int")(payload)
 
-def collect_ids(rows: DataFrame, key: str) -> DataFrame:
-    """Distinct non-empty values of ``key`` across shredded rows (base or inner object)."""
-    v = field(key)
-    return rows.where(v.isNotNull() & (v != "")).select(v.alias(key)).distinct()
+
+def collect_ids(docs: DataFrame, key: str, payload: str = "payload") -> DataFrame:
+    """Distinct non-empty values of ``key`` in the listed objects of raw payloads."""
+    def values(texts: pa.Array) -> pa.Array:
+        return pa.array([listed_values(_parsed(t), key) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    found = F.arrow_udf(values, "array<string>")(F.col(payload))
+    return docs.select(F.explode(found).alias(key)).distinct()
+
+
+def read_payloads(spark, root: str, glob: str = "*.json") -> DataFrame:
+    """Landed JSON responses, one file each: path and payload."""
+    return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+            .text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload")))
 
 
 def write_standard_csv(rows: DataFrame, path: str, partition: Sequence[str] = ("advertiser",)) -> None:
-    """Standard 16-column CSV (header row), one folder per advertiser."""
-    out = rows.select(*STANDARD_COLUMNS)
+    """Standard 16-column CSV (header row), one folder per advertiser.
+
+    The folder key is a copy, so the files keep all 16 columns.
+    """
+    out = rows.select(*STANDARD_COLUMNS, *(F.col(c).alias(f"by_{c}") for c in partition))
     w = out.write.mode("overwrite").option("header", True)
     if partition:
-        w = w.partitionBy(*partition)
+        w = w.partitionBy(*(f"by_{c}" for c in partition))
     w.csv(path)
 
 

@@ -23,8 +23,11 @@ def _rounded(df):
 def json_queries() -> dict:
     return {
         "json_shred": _shred,
-        "json_zero_fallback": lambda spark, sf: _shred(spark, sf).where(F.col("doc_id") % 4 == 3),
-        "positional_ids": lambda spark, sf: _shred(spark, sf).where(F.col("doc_id") % 4 == 1).select(
+        "json_zero_fallback": lambda spark, sf: _shred(spark, sf).groupBy("doc_id").agg(
+            F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"),
+            F.bool_and((F.col("impressions") + F.col("clicks") + F.col("cost") + F.col("conversions")
+                        + F.col("revenue")) == 0).alias("all_zero")),
+        "positional_ids": lambda spark, sf: _shred(spark, sf).select(
             "doc_id", "row_no", "campaign", "ad_group", "keyword"),
         "id_name_join": lambda spark, sf: js.id_lookup(*tables.stats_dimensions(spark, sf)),
         "json_collected_summary": lambda spark, sf: _rounded(js.collected_summary(_shred(spark, sf), ["advertiser"])),
@@ -82,8 +85,10 @@ def json_oracles() -> dict:
     shred = f"WITH s AS ({SHRED})"
     return {
         "json_shred": SHRED,
-        "json_zero_fallback": f"{shred}\nSELECT * FROM s WHERE doc_id % 4 = 3",
-        "positional_ids": f"{shred}\nSELECT doc_id, row_no, campaign, ad_group, keyword FROM s WHERE doc_id % 4 = 1",
+        "json_zero_fallback": f"{shred}\nSELECT doc_id, COUNT(*) AS rows, MIN(date) AS first_date, "
+                              "bool_and(impressions + clicks + cost + conversions + revenue = 0) AS all_zero "
+                              "FROM s GROUP BY doc_id",
+        "positional_ids": f"{shred}\nSELECT doc_id, row_no, campaign, ad_group, keyword FROM s",
         "id_name_join": f"WITH {LOOKUP}\nSELECT * FROM lk",
         "json_collected_summary": f"""{shred},
 a AS (SELECT advertiser, SUM(impressions) AS impressions, SUM(clicks) AS clicks, SUM(cost) AS cost,

@@ -17,13 +17,6 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-# Fact-sized tables: when their scan plans fewer splits than the cluster has cores
-# (a small input stored as one Parquet row group), spread them round-robin so the
-# narrow work after the scan (joins, parsing, partial aggregation) uses every core.
-# A large input already has at least that many splits and is left as it is.
-FACT_TABLES = {"lineitem", "orders", "events", "documents"}
-
-
 _HANDLES: dict[tuple[int, str, str], DataFrame] = {}
 
 
@@ -33,13 +26,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (id(spark), spark.sparkContext.applicationId, path)
     if key in _HANDLES:
         return _HANDLES[key]
-    df = spark.read.parquet(path)
-    if name in FACT_TABLES:
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target)
-    _HANDLES[key] = df
-    return df
+    _HANDLES[key] = spark.read.parquet(path)
+    return _HANDLES[key]
 
 
 def _brand_no(brand_col: str = "p_brand"):
@@ -224,9 +212,11 @@ def _stat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stats_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search-ads stats API responses built from ``events``, 25 events per document.
 
-    Four envelopes by ``doc_id % 4``: 0 ``{"response":{"data":[{id,date,fields{}}]}}``;
+    Four envelopes by ``doc_id % 4``: 0 ``{"response":{"data":[{id,date,fields{}}]}}`` with one to
+    eight ``response`` levels;
     1 ``{"data":[{statDt,data{}}]}`` without ids (request ids attach by position);
-    2 ``[{"rows":[{id,period,metrics...}]}]`` with comma-formatted money text;
+    2 ``[{"rows":[{id,period,metrics...}]}]`` with comma-formatted money text, every other one in
+    further lists;
     3 ``{"response":{"data":[]}}`` (empty: zero rows per requested id).
     """
     e = _stat_events(spark, sf_dir)
@@ -243,7 +233,11 @@ def stats_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("day").alias("since"), F.max("day").alias("until"))
     body = F.array_join(F.transform("items", lambda s: s["j"]), ",")
     shp = F.col("doc_id") % 4
-    payload = (F.when(shp == 0, F.concat(F.lit('{"response":{"data":['), body, F.lit("]}}")))
+    deep = (F.col("doc_id") / 4).cast("int") % 8  # further envelope levels
+    nested = F.col("doc_id") % 8 >= 4             # lists inside lists
+    payload = (F.when(shp == 0, F.concat(F.repeat(F.lit('{"response":'), deep + 1), F.lit('{"data":['), body, F.lit("]}"),
+                                         F.repeat(F.lit("}"), deep + 1)))
+               .when((shp == 2) & nested, F.concat(F.lit('[[],[{"rows":[['), body, F.lit("]]}]]")))
                .when(shp == 1, F.concat(F.lit('{"data":['), body, F.lit("]}")))
                .when(shp == 2, F.concat(F.lit('[{"rows":['), body, F.lit("]}]")))
                .otherwise(F.lit('{"response":{"data":[]}}')))

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlens.operators import collection as col
-from adlens.operators import jsonstats as js
 
 LOG_SCHEMA = ("collection_id string, advertiser_id string, media string, started_at string, finished_at string, "
               "status string, rows_collected bigint, file_count bigint, storage_used_mb double, error_code string, "
@@ -83,63 +82,3 @@ def test_date_range_normaliser(spark, today, start, end, expected):
     req = spark.createDataFrame([(start, end)], "raw_start string, raw_end string")
     r = col.normalise_date_ranges(req, today).collect()[0]
     assert (r["start_date"], r["end_date"]) == expected
-
-
-def _docs(spark, payload, request):
-    return spark.createDataFrame([(1, "adv", json.dumps(payload), json.dumps(request))],
-                                 "doc_id long, advertiser string, payload string, request string")
-
-
-REQUEST = {"ids": ["cmp-1"], "timeRange": json.dumps({"since": "2026-06-01", "until": "2026-06-07"})}
-
-
-def test_stats_row(spark):
-    payload = {"response": {"data": [{"id": "cmp-1", "fields": {"impCnt": 1000, "clkCnt": 25, "salesAmt": 50000,
-                                                                 "ccnt": 3, "convAmt": 200000}}]}}
-    camps = spark.createDataFrame([("cmp-1", "브랜드 캠페인")], "nccCampaignId string, name string")
-    groups = spark.createDataFrame([], "nccAdgroupId string, nccCampaignId string, name string")
-    kws = spark.createDataFrame([], "nccKeywordId string, nccAdgroupId string, keyword string")
-    rows = js.shred_stats(_docs(spark, payload, REQUEST), js.id_lookup(camps, groups, kws)).collect()
-    assert len(rows) == 1
-    r = rows[0]
-    assert r["date"] == "2026-06-01" and r["campaign"] == "브랜드 캠페인"
-    assert (r["impressions"], r["clicks"], r["cost"], r["conversions"], r["orders"], r["revenue"]) == \
-        (1000, 25, 50000, 3, 3, 200000)
-    assert r["roas"] == 4 and r["cpc"] == 2000 and r["ctr"] == pytest.approx(0.025)
-    assert list(rows[0].asDict()) [2:] == js.STANDARD_COLUMNS
-
-
-def test_empty_stats_fall_back_to_zero_rows(spark):
-    rows = js.shred_stats(_docs(spark, {"data": []}, REQUEST)).collect()
-    assert len(rows) == 1 and rows[0]["campaign"] == "cmp-1" and rows[0]["cost"] == 0
-    s = js.collected_summary(js.shred_stats(_docs(spark, {"data": []}, REQUEST))).collect()[0]
-    assert s["all_zero"] is True and s["shortage_metrics"] == ["conversions", "revenue", "roas"]
-
-
-def test_supplied_zero_ratio_falls_back(spark):
-    payload = [{"rows": [{"id": "x", "salesAmt": "1,000", "convAmt": "3,000", "ror": 0}]}]
-    r = js.shred_stats(_docs(spark, payload, REQUEST)).collect()[0]
-    assert r["cost"] == 1000 and r["roas"] == 3.0
-
-
-def test_nested_envelopes_in_document_order(spark):
-    payload = {"items": [{"response": {"data": [{"id": "a", "fields": {"impCnt": 1}}]}},
-                         {"rows": [{"id": "b", "impCnt": 2}, {"id": "c", "data": {"impCnt": 3}}]}],
-               "response": {"data": [{"id": "z", "impCnt": 9}]}}
-    rows = sorted(js.shred_stats(_docs(spark, payload, REQUEST)).collect(), key=lambda r: r["row_no"])
-    # rows of the top-level `response` come first, then the list items in order
-    assert [(r["campaign"], r["impressions"]) for r in rows] == [("z", 9), ("a", 1), ("b", 2), ("c", 3)]
-
-
-def test_positional_id_attach(spark):
-    payload = {"data": [{"statDt": "2026-06-02", "data": {"impCnt": 5}}, {"statDt": "2026-06-03", "data": {"impCnt": 6}}]}
-    req = {"ids": ["a", "b"], "timeRange": {"since": "2026-06-01"}}
-    rows = sorted(js.shred_stats(_docs(spark, payload, req)).collect(), key=lambda r: r["row_no"])
-    assert [(r["campaign"], r["date"], r["impressions"]) for r in rows] == [("a", "2026-06-02", 5), ("b", "2026-06-03", 6)]
-
-
-def test_data_row_count_and_hash(spark):
-    df = spark.createDataFrame([('{"response": {"data": [1, 2]}}',), ('{"data": []}',), ('[1]',)], "p string")
-    assert [r["n"] for r in df.select(js.data_row_count(F.col("p")).alias("n")).collect()] == [2, 0, None]
-    h = spark.createDataFrame([("12345",)], "i string").select(js.anonymised_id("i").alias("h")).collect()[0]["h"]
-    assert len(h) == 12

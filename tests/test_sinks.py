@@ -27,7 +27,9 @@ def test_standard_csv(spark, tmp_dir):
     out = os.path.join(tmp_dir, "csv")
     js.write_standard_csv(js.shred_stats(docs), out)
     back = spark.read.option("header", True).csv(out)
-    assert back.count() == 1 and back.columns[:3] == ["date", "media", "campaign"]
+    assert back.count() == 1 and back.columns == js.STANDARD_COLUMNS + ["by_advertiser"]
+    files = [os.path.join(d, f) for d, _, names in os.walk(out) for f in names if f.endswith(".csv")]
+    assert [open(f, encoding="utf-8").readline().strip().split(",") for f in files] == [js.STANDARD_COLUMNS]
     assert back.collect()[0]["advertiser"] == "adv1"
 
 
