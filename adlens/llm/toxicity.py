@@ -13,8 +13,8 @@ the sampled documents turns them into the score.
 The classifier is fitted on a bounded sample of labelled rows: at most ``max_documents``
 rows in hash order, of at most ``max_chars`` characters each, and ``max_segments`` chains.
 Scoring covers every whole text of every row. A chain is at most ``CHAIN`` words long;
-longer texts are several chains, which together cover each word once. The model (feature
-weights of the sample, a few MB at most) travels with the task closure.
+longer texts are several chains, which together cover each word once. Features are
+hashed, so the model has a fixed size (4 MB) and travels with the task closure.
 
 Defined results: null or empty texts score what a document without tokens does; without
 usable training rows (or with one class only) every score is the share of toxic rows, 0 if
@@ -26,6 +26,8 @@ result; no column but the text is an input of a score.
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,27 +36,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from adlens.llm.common import text_chunks
 
-MAX_DOCUMENTS = 8000
+MAX_DOCUMENTS = 6000
 MAX_CHARS = 40_000
 MAX_SEGMENTS = 16_000
 CHAIN = 64
 EVIDENCE = 18.0        # likelihood-ratio statistic: chance of about one in 50,000 per feature
 ROUNDS = 60
 CACHE_WORDS = 400_000
+BUCKETS = 1 << 20      # hashed features
 
 PREFIXES = (3, 4, 5, 6, 7)
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(word: str) -> list[str]:
+def features(word: str) -> list[int]:
+    """Hashed ids of a word's features."""
     w = word.lower()
-    return ["w" + w, *("p" + w[:k] for k in PREFIXES if len(w) >= k), *(["s" + w[-3:]] if len(w) >= 3 else [])]
+    n = len(w)
+    names = ["w" + w, *("p" + w[:k] for k in PREFIXES if n >= k), *(["s" + w[-3:]] if n >= 3 else [])]
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for f in names]
 
 
 @dataclass
 class Model:
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32), repr=False)
     bias: float = 0.0
     transitions: tuple = ((0.0, 0.0), (0.0, 0.0))
     layer: tuple | None = None     # of the document score: intercept and a weight per aggregate
@@ -66,8 +72,12 @@ class Model:
 
     def unary(self, words: list[str]) -> np.ndarray:
         """The score of each word's toxic state over its clean one."""
-        cache, get = self.cache, self.weights.get
-        fresh = {w: self.bias + sum(get(f, 0.0) for f in features(w)) for w in set(words) if w not in cache}
+        cache = self.cache
+        new = [w for w in set(words) if w not in cache]
+        ids = [features(w) for w in new]
+        owner = np.repeat(np.arange(len(new)), [len(x) for x in ids])
+        flat = np.array([i for x in ids for i in x], int)
+        fresh = dict(zip(new, (self.bias + np.bincount(owner, self.weights[flat], len(new))).tolist()))
         if len(cache) + len(fresh) <= CACHE_WORDS:
             cache.update(fresh)
             return np.array([cache[w] for w in words], float)
@@ -161,30 +171,37 @@ def aggregate(ps: list[np.ndarray]) -> np.ndarray:
     return np.array(rows, float).reshape(-1, 3)
 
 
-def token_labels(texts: list[str], toxic: np.ndarray):
-    """Words of each text and the marked words: those with a feature that toxic documents alone explain."""
-    words = [_WORD.findall(t) for t in texts]
-    known: dict[str, list[str]] = {}
-    count: dict[str, list[int]] = {}
-    for ws, y in zip(words, toxic):
-        seen = set()
-        for w in set(ws):
-            if w not in known:
-                known[w] = features(w)
-            seen.update(known[w])
-        for f in seen:
-            count.setdefault(f, [0, 0])[y] += 1
+def _tokens(texts: list[str]):
+    """Type ids of each text's words, and the features of each type ([type, feature], -1 for none)."""
+    types: dict[str, int] = {}
+    rows, width = array("i"), len(PREFIXES) + 2
+    out = []
+    for t in texts:
+        ids = array("i")
+        for w in _WORD.findall(t):
+            w = w.lower()
+            i = types.get(w)
+            if i is None:
+                i = types[w] = len(types)
+                fs = features(w)
+                rows.extend(fs + [-1] * (width - len(fs)))
+            ids.append(i)
+        out.append(np.array(ids, np.int32))
+    return out, np.array(rows, np.int32).reshape(-1, width)
+
+
+def evidence(words: list[np.ndarray], table: np.ndarray, toxic: np.ndarray):
+    """Which features toxic documents alone explain, and in how many documents each feature occurs."""
+    count = np.zeros((2, BUCKETS), np.int64)
+    for ids, y in zip(words, toxic):
+        seen = np.unique(table[np.unique(ids)])
+        count[y, seen[seen >= 0]] += 1
     n1 = int(toxic.sum())
-    n0 = len(toxic) - n1
-    marks = set()
-    for f, (c0, c1) in count.items():
-        if c1 * n0 > 20 * c0 * n1 and c1 >= 3:
-            k, base = c0 + c1, n1 / (n0 + n1)
-            g = 2 * (c1 * np.log(c1 / (k * base)) + (c0 * np.log(c0 / (k * (1 - base))) if c0 else 0))
-            if g >= EVIDENCE:
-                marks.add(f)
-    marked = {w for w, fs in known.items() if any(f in marks for f in fs)}
-    return words, marked, known, count
+    n0, base = len(toxic) - n1, n1 / len(toxic)
+    c0, c1 = count.astype(float)
+    k = np.maximum(c0 + c1, 1)
+    g = 2 * (c1 * np.log(np.maximum(c1, 1e-9) / (k * base)) + c0 * np.log(np.maximum(c0, 1e-9) / (k * (1 - base))))
+    return (c1 >= 3) & (c1 * n0 > 20 * c0 * n1) & (g >= EVIDENCE), count.sum(axis=0)
 
 
 def fit(texts: list[str], toxic: np.ndarray, max_segments: int = MAX_SEGMENTS, rounds: int = ROUNDS) -> Model:
@@ -192,17 +209,15 @@ def fit(texts: list[str], toxic: np.ndarray, max_segments: int = MAX_SEGMENTS, r
     toxic = np.asarray(toxic, int)
     if not len(texts) or toxic.min() == toxic.max():
         return Model(prior=float(toxic.mean()) if len(texts) else 0.0)
-    words, marked, known, count = token_labels(texts, toxic)
-    types = {w: i for i, w in enumerate(known)}
-    names = {f: i for i, f in enumerate(f for f, c in count.items() if sum(c) >= 3)}
-    ids, tags, counts = [], [], []
-    for ws, y in zip(words, toxic):
-        hit = [w in marked for w in ws] if y else [False] * len(ws)
-        if ws and (any(hit) or not y):
-            ids += [types[w] for w in ws]
-            tags += hit
-            counts.append(len(ws))
-    ids, tags = np.array(ids, int), np.array(tags, float)
+    words, table = _tokens(texts)
+    marks, count = evidence(words, table, toxic)
+    marked = ((table >= 0) & marks[table]).any(axis=1)
+    trained = count >= 3
+    use_docs = [(ids, marked[ids] if y else np.zeros(len(ids), bool)) for ids, y in zip(words, toxic)]
+    use_docs = [(ids, hit) for (ids, hit), y in zip(use_docs, toxic) if len(ids) and (hit.any() or not y)]
+    counts = [len(ids) for ids, _ in use_docs]
+    ids = np.concatenate([x for x, _ in use_docs]) if use_docs else np.zeros(0, int)
+    tags = np.concatenate([x for _, x in use_docs]).astype(float) if use_docs else np.zeros(0)
     starts, sizes = chains(counts)
     with_hit = np.array([tags[s:s + n].any() for s, n in zip(starts, sizes)], bool)
     rng = np.random.default_rng(0)
@@ -214,31 +229,30 @@ def fit(texts: list[str], toxic: np.ndarray, max_segments: int = MAX_SEGMENTS, r
     token = _grid(ids, starts, sizes).astype(int)
     tag = _grid(tags, starts, sizes)
     used = np.unique(token[inside])
-    row = np.zeros(len(types), int)
+    row = np.zeros(len(table), int)
     row[used] = np.arange(len(used))
     token = row[token]
-    word_of = list(known)
-    incidence = [[names[f] for f in known[word_of[t]] if f in names] for t in used]
-    flat = np.array([f for fs in incidence for f in fs], int)
-    owner = np.repeat(np.arange(len(used)), [len(fs) for fs in incidence])
-    theta, bias, trans = np.zeros(len(names)), -2.0, np.zeros((2, 2))
+    own = table[used]
+    keep = (own >= 0) & trained[own]
+    flat, owner = own[keep], np.broadcast_to(np.arange(len(used))[:, None], own.shape)[keep]
+    theta, bias, trans = np.zeros(BUCKETS), -2.0, np.zeros((2, 2))
     seen = np.zeros((2, 2))
     for t in range(1, CHAIN):
         on = inside[t]
         np.add.at(seen, (tag[t - 1][on].astype(int), tag[t][on].astype(int)), 1)
-    g2, g2b, g2t = np.full(len(names), 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    g2, g2b, g2t = np.full(BUCKETS, 1e-8), 1e-8, np.full((2, 2), 1e-8)
     for _ in range(rounds):
         u = bias + np.bincount(owner, theta[flat], len(used))
         m, pair = forward_backward(np.where(inside, u[token], 0.0), sizes, trans, pairs=True)
         delta = np.where(inside, tag - m, 0.0)
         by_type = np.bincount(token[inside], delta[inside], len(used))
-        grad = np.bincount(flat, by_type[owner], len(names)) - 0.01 * theta
+        grad = np.bincount(flat, by_type[owner], BUCKETS) - 0.01 * theta
         gb, gt = float(delta.sum()), seen - pair - 0.01 * trans
         g2, g2b, g2t = g2 + grad ** 2, g2b + gb ** 2, g2t + gt ** 2
         theta, bias = theta + 0.7 * grad / np.sqrt(g2), bias + 0.7 * gb / np.sqrt(g2b)
         trans = trans + 0.3 * gt / np.sqrt(g2t)
-    model = Model({f: float(theta[i]) for f, i in names.items() if abs(theta[i]) > 1e-3}, float(bias),
-                  tuple(map(tuple, trans.tolist())), None, float(toxic.mean()))
+    model = Model(theta.astype(np.float32), float(bias), tuple(map(tuple, trans.tolist())), None,
+                  float(toxic.mean()))
     x = np.concatenate([aggregate(marginals(model, [texts[i] for i in some])) for some in text_chunks(texts)])
     model.layer = _logistic(x, toxic)
     model.cache = {}
