@@ -104,7 +104,6 @@ LTV_FACTOR = 2.6
 FRESH_HOURS, WARN_HOURS = 24, 72
 FRESH_LAG_DAYS, WARN_LAG_DAYS = 1, 7
 SUCCESS_WINDOW_DAYS = 30
-KST_ZONE = "Asia/Seoul"
 
 # Retention limits (days) by storage target, and the file patterns each target keeps.
 RETENTION_DAYS = {"raw": 90, "processed": 365, "reports": 365, "logs": 180, "screenshots": 30}
@@ -154,9 +153,7 @@ COLUMN_ALIASES = {
 }
 
 # Collection-log statuses and channel data statuses.
-LOG_STATUSES = ["success", "partial", "no_data", "failed"]
 STATUS_FRESH, STATUS_WARN, STATUS_STALE, STATUS_DISCONNECTED = "최신", "주의", "오래됨", "연결 안됨"
-NEEDS_ATTENTION = [STATUS_WARN, STATUS_STALE, STATUS_DISCONNECTED]
 
 # Search-ads stats payloads: media name, id keys, row-marker keys, container list keys,
 # date keys and the keys tried (in order) for each metric.
@@ -203,7 +200,6 @@ ALIAS_CANDIDATE_RULES = [
     (["ctr", "클릭률"], "ctr"),
     (["cvr", "전환율"], "cvr"),
 ]
-DERIVED_METRICS = ["roas", "cpc", "ctr", "cvr"]
 # Marketplace metadata headers held back from alias suggestions.
 MARKETPLACE_METADATA_HEADERS = ["광고ID", "상품번호", "광고수익률", "클릭당비용", "클릭률", "전환율", "전환당비용", "source_sheet"]
 # File-name words marking a marketplace legacy report.

@@ -9,20 +9,6 @@ from adlens.constants import NA_TOKENS, RATES, UNCLASSIFIED
 # A plain decimal / scientific literal; anything else ('1d', '1.5f', 'nan', 'abc') is not a number.
 NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
-# Ordered date layouts tried for free-text dates; the first that parses wins.
-DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "yyyy/M/d",
-    "yyyy.M.d",
-    "yyyyMMdd",
-    "M/d/yyyy",
-    "yyyy-MM",
-    "yyyy년 M월 d일",
-]
-
-
 def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -60,44 +46,51 @@ def null_na_tokens(c) -> Column:
     return F.when(c.isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(c.cast("string"))
 
 
+# What a cell is stripped of: all white space, tabs and no-break spaces included.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2007\u202f\u3000"
+
+
+def strip(c) -> Column:
+    return F.btrim(col_of(c), F.lit(BLANKS))
+
+
 def clean_numeric(c) -> Column:
-    """Text measure -> DOUBLE: drop ',', '원', '%', trim, parse; anything unparseable -> 0.
+    """Text measure -> DOUBLE: drop ',', '원', '%', strip, parse; anything unparseable -> 0.
 
-    A percent sign is removed, not divided by 100.
+    A percent sign is removed, not divided by 100. Null tokens are not numbers, so they are 0 too.
     """
-    text = F.trim(F.regexp_replace(null_na_tokens(c), "[,원%]", ""))
-    parsed = F.when(text.rlike(NUMERIC_TEXT), text.try_cast("double"))
-    return F.coalesce(parsed, F.lit(0.0))
+    text = strip(F.translate(col_of(c).cast("string"), ",원%", ""))
+    return F.coalesce(F.when(text.rlike(NUMERIC_TEXT), text.try_cast("double")), F.lit(0.0))
 
 
 def clean_dimension(c) -> Column:
-    """Null / blank / null-token text -> the 'unclassified' label; otherwise trimmed text."""
-    return F.coalesce(F.nullif(F.trim(null_na_tokens(c)), F.lit("")), F.lit(UNCLASSIFIED))
+    """Null / blank / null-token text -> the 'unclassified' label; otherwise stripped text."""
+    return F.coalesce(F.nullif(strip(null_na_tokens(c)), F.lit("")), F.lit(UNCLASSIFIED))
 
 
-# Non-ISO layouts, each tried only on text of its own shape (a failed pattern parse
-# costs a JVM exception per row, so shapes are screened with a regex first).
+# Year-first dates with other separators are rewritten to ISO; the rest is parsed by layout,
+# each tried only on text of its own shape (a failed pattern parse costs a JVM exception per row).
+YEAR_FIRST = r"^([0-9]{4})(?:[/.]|년 ?)([0-9]{1,2})(?:[/.]|월 ?)([0-9]{1,2})일?(?= |T|$)"
 SHAPED_DATE_FORMATS = [
-    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
-    (r"^[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}$", "yyyy.M.d"),
     (r"^[0-9]{8}$", "yyyyMMdd"),
     (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"),
-    (r"^[0-9]{4}년 ?[0-9]{1,2}월 ?[0-9]{1,2}일$", "yyyy년 M월 d일"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$", "M/d/yyyy H:mm"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "M/d/yyyy H:mm:ss"),
 ]
 
 
 def parse_date(c) -> Column:
     """Free text -> TIMESTAMP_NTZ; unparseable -> null.
 
-    ISO dates / date-times / year-months go through the exception-free cast; the
-    other layouts of ``SHAPED_DATE_FORMATS`` are parsed only when the text has that shape.
+    ISO and other year-first dates, with or without a time, go through the exception-free
+    cast; the layouts of ``SHAPED_DATE_FORMATS`` are parsed only when the text has that shape.
     """
-    text = F.trim(null_na_tokens(c))
-    iso = text.try_cast("timestamp_ntz")
+    text = strip(col_of(c).cast("string"))
+    iso = F.regexp_replace(text, YEAR_FIRST, "$1-$2-$3").try_cast("timestamp_ntz")
     shaped = F.lit(None).cast("timestamp")
     for pattern, fmt in reversed(SHAPED_DATE_FORMATS):
         shaped = F.when(text.rlike(pattern), F.try_to_timestamp(text, F.lit(fmt))).otherwise(shaped)
-    return F.coalesce(iso, shaped.cast("timestamp_ntz"))
+    return F.coalesce(F.when(~text.rlike(r"^[0-9]{8}$"), iso), shaped.cast("timestamp_ntz"))
 
 
 def valid_label(c) -> Column:

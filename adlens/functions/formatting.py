@@ -20,12 +20,3 @@ def fmt_money(c) -> Column:
 def fmt_percent(c) -> Column:
     """Ratio shown ×100 with two decimals and a percent sign."""
     return F.concat(F.format_number(F.coalesce(col_of(c).cast("double"), F.lit(0.0)) * 100, 2), F.lit("%"))
-
-
-def fmt_by_metric(metric, value) -> Column:
-    """Format ``value`` according to the metric named in column ``metric``."""
-    m = col_of(metric)
-    return (F.when(m.isin("impressions", "clicks", "conversions", "orders", "rows"), fmt_count(value))
-            .when(m.isin("cost", "revenue", "cpc", "cpa"), fmt_money(value))
-            .when(m.isin("ctr", "cvr", "roas", "change_rate"), fmt_percent(value))
-            .otherwise(col_of(value).cast("string")))

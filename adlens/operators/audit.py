@@ -15,7 +15,7 @@ from adlens.constants import (ALIAS_CANDIDATE_RULES, AUCTION_WORDS, CART_COUNT_A
                               MEASURES, MEDIA_11ST, MEDIA_AUCTION, MEDIA_GMARKET, MEDIA_GMARKET_AUCTION, MEDIA_NAVER,
                               MEDIA_UNCLASSIFIED, NAVER_WORDS, UNCLASSIFIED)
 from adlens.functions.columns import NUMERIC_TEXT, clean_dimension, clean_numeric, parse_date, valid_label, with_rates
-from adlens.operators.ingest import map_headers, normalize_header, normalize_header_py
+from adlens.operators.ingest import map_headers, normalize_header
 from adlens.operators.issues import action_issues
 from adlens.session import materialize
 
@@ -67,7 +67,7 @@ def infer_media_from_name(path) -> Column:
     def any_of(words):
         out = F.lit(False)
         for w in words:
-            out = out | text.contains(normalize_header_py(w))
+            out = out | text.contains(normalize_header(F.lit(w)))
         return out
     return (F.when(any_of(NAVER_WORDS), F.lit(MEDIA_NAVER))
             .when(any_of(GMARKET_WORDS) & any_of(AUCTION_WORDS), F.lit(MEDIA_GMARKET_AUCTION))
@@ -91,8 +91,8 @@ def _file_stem(path: Column) -> Column:
 
 def _cart_totals(lines: DataFrame, mapping: DataFrame) -> DataFrame:
     """Per file: Σ of the first cart-count column (if any header is a cart alias)."""
-    aliases = sorted({normalize_header_py(a) for a in CART_COUNT_ALIASES})
-    cart_pos = (mapping.where(F.col("header_norm").isin(aliases)).groupBy("source")
+    aliases = [normalize_header(F.lit(a)) for a in CART_COUNT_ALIASES]
+    cart_pos = (mapping.where(F.col("header_norm").isin(*aliases)).groupBy("source")
                 .agg(F.min("position").alias("cart_pos")))
     data = lines.where(~F.col("is_header")).join(cart_pos, lines.file == cart_pos.source)
     txt = F.trim(F.regexp_replace(F.try_element_at("fields", (F.col("cart_pos") + 1).cast("int")), ",", ""))

@@ -47,10 +47,13 @@ def group_rollup(metrics: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     per = metrics.groupBy(*scope, "channel_group").agg(
         F.sum("revenue").cast("double").alias("revenue"), F.sum("ad_cost").cast("double").alias("ad_cost"),
         F.count(F.lit(1)).alias("channels"))
-    if scope:
-        return per
-    groups = benchmark_dimension(spark).select("channel_group").unionByName(per.select("channel_group")).distinct()
-    return groups.join(per, "channel_group", "left").fillna({"revenue": 0.0, "ad_cost": 0.0, "channels": 0})
+    keys = [*scope, "channel_group"]
+    groups = benchmark_dimension(spark).select("channel_group")
+    if scope:  # each scope gets every group of the (fixed) catalog
+        names = [r["channel_group"] for r in groups.collect()]
+        groups = metrics.select(*scope).distinct().withColumn("channel_group", F.explode(F.array(*map(F.lit, names))))
+    groups = groups.unionByName(per.select(*keys)).distinct()
+    return groups.join(per, keys, "left").fillna({"revenue": 0.0, "ad_cost": 0.0, "channels": 0})
 
 
 def channel_benchmark(metrics: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from adlens.operators import collection as col
-from adlens.operators import metrics, report
+from adlens.operators import compare, metrics, report
 from adlens.plans import oracle_sql as o
 from adlens.sources import tables
 
@@ -57,6 +57,7 @@ def extra_queries() -> dict:
         "data_freshness": lambda spark, sf: col.data_freshness(tables.ad_fact(spark, sf), TODAY),
         "data_freshness_by_account": lambda spark, sf: col.data_freshness(tables.ad_fact(spark, sf), TODAY,
                                                                           ["account_name"]),
+        "default_ranges": lambda spark, sf: compare.default_ranges(tables.ad_fact(spark, sf), ["account_name"]),
         "date_bounds": lambda spark, sf: metrics.date_bounds(tables.ad_fact(spark, sf)),
         "union_sheets": lambda spark, sf: report.union_sources({
             "lineitem": tables.ad_fact(spark, sf).drop("orders"), "events": tables.event_fact(spark, sf)}),
@@ -108,6 +109,11 @@ FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 4"
 FROM events WHERE CAST(floor(event_id / 25) AS BIGINT) % 4 = 0""",
         "data_freshness": f"{fact}\n" + fresh.format(sel="", grp=""),
         "data_freshness_by_account": f"{fact}\n" + fresh.format(sel="account_name, ", grp=" GROUP BY account_name"),
+        "default_ranges": f"""{fact},
+b AS (SELECT account_name, CAST(MIN(date) AS DATE) AS lo, CAST(MAX(date) AS DATE) AS hi FROM ad_fact
+      WHERE date IS NOT NULL GROUP BY account_name),
+h AS (SELECT *, lo + CAST(greatest((hi - lo + 1) // 2, 1) - 1 AS INTEGER) AS mid FROM b)
+SELECT account_name, lo AS first_start, mid AS first_end, least(mid + 1, hi) AS second_start, hi AS second_end FROM h""",
         "date_bounds": f"""{fact}
 SELECT CAST(MIN(date) AS DATE) AS min_date, CAST(MAX(date) AS DATE) AS max_date,
        COUNT(*) FILTER (WHERE date IS NULL) AS undated_rows FROM ad_fact""",

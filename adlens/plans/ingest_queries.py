@@ -49,21 +49,24 @@ def _numeric_clean(spark, sf):
 
 def _dimension_clean(spark, sf):
     p = tables.read_table(spark, sf, "part").select("p_partkey", "p_name")
-    style = F.col("p_partkey") % 6
+    style = F.col("p_partkey") % 7
     raw = (F.when(style == 0, F.lit(None).cast("string")).when(style == 1, F.lit(""))
            .when(style == 2, F.lit("   ")).when(style == 3, F.lit("N/A"))
-           .when(style == 4, F.concat(F.lit("  "), F.col("p_name"), F.lit(" "))).otherwise(F.col("p_name")))
+           .when(style == 4, F.concat(F.lit("  "), F.col("p_name"), F.lit("\t"))).when(style == 6, F.lit("\t"))
+           .otherwise(F.col("p_name")))
     return p.select("p_partkey", raw.alias("raw"), clean_dimension(raw).alias("value"))
 
 
 def _date_parse(spark, sf):
     li = tables.read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     d = F.col("l_shipdate")
-    style = (F.col("l_orderkey") + F.col("l_linenumber")) % 8
+    style = (F.col("l_orderkey") + F.col("l_linenumber")) % 11
     raw = (F.when(style == 0, F.date_format(d, "yyyy-MM-dd")).when(style == 1, F.date_format(d, "yyyy/MM/dd"))
            .when(style == 2, F.date_format(d, "yyyy.M.d")).when(style == 3, F.date_format(d, "yyyyMMdd"))
            .when(style == 4, F.date_format(d, "yyyy년 M월 d일")).when(style == 5, F.date_format(d, "M/d/yyyy"))
-           .when(style == 6, F.date_format(d, "yyyy-MM-dd HH:mm:ss")).otherwise(F.lit("bad")))
+           .when(style == 6, F.date_format(d, "yyyy-MM-dd HH:mm:ss")).when(style == 8, F.date_format(d, "yyyy/MM/dd HH:mm"))
+           .when(style == 9, F.date_format(d, "M/d/yyyy H:mm")).when(style == 10, F.date_format(d, "yyyy.MM.dd HH:mm:ss"))
+           .otherwise(F.lit("bad")))
     return li.select("l_orderkey", "l_linenumber", raw.alias("raw"), parse_date(raw).alias("date"))
 
 
@@ -99,11 +102,11 @@ SELECT *, {o.rates()} FROM f"""
        WHEN {style} = 10 THEN CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) ELSE 0.0 END AS value
 FROM lineitem"""
     dim = """SELECT p_partkey,
-  CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '   ' WHEN 3 THEN 'N/A'
-       WHEN 4 THEN '  ' || p_name || ' ' ELSE p_name END AS raw,
-  CASE WHEN p_partkey % 6 IN (0, 1, 2, 3) THEN '미분류' ELSE trim(p_name) END AS value
+  CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '   ' WHEN 3 THEN 'N/A'
+       WHEN 4 THEN '  ' || p_name || chr(9) WHEN 6 THEN chr(9) ELSE p_name END AS raw,
+  CASE WHEN p_partkey % 7 IN (0, 1, 2, 3, 6) THEN '미분류' ELSE trim(p_name) END AS value
 FROM part"""
-    ds = "(l_orderkey + l_linenumber) % 8"
+    ds = "(l_orderkey + l_linenumber) % 11"
     dates = f"""SELECT l_orderkey, l_linenumber,
   CASE {ds} WHEN 0 THEN strftime(l_shipdate, '%Y-%m-%d') WHEN 1 THEN strftime(l_shipdate, '%Y/%m/%d')
        WHEN 2 THEN CAST(year(l_shipdate) AS VARCHAR) || '.' || CAST(month(l_shipdate) AS VARCHAR) || '.'
@@ -113,7 +116,10 @@ FROM part"""
                    || CAST(day(l_shipdate) AS VARCHAR) || '일'
        WHEN 5 THEN CAST(month(l_shipdate) AS VARCHAR) || '/' || CAST(day(l_shipdate) AS VARCHAR) || '/'
                    || CAST(year(l_shipdate) AS VARCHAR)
-       WHEN 6 THEN strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') ELSE 'bad' END AS raw,
+       WHEN 6 THEN strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') WHEN 8 THEN strftime(l_shipdate, '%Y/%m/%d %H:%M')
+       WHEN 9 THEN CAST(month(l_shipdate) AS VARCHAR) || '/' || CAST(day(l_shipdate) AS VARCHAR) || '/'
+                   || CAST(year(l_shipdate) AS VARCHAR) || ' ' || CAST(hour(l_shipdate) AS VARCHAR) || strftime(l_shipdate, ':%M')
+       WHEN 10 THEN strftime(l_shipdate, '%Y.%m.%d %H:%M:%S') ELSE 'bad' END AS raw,
   CASE WHEN {ds} = 7 THEN NULL ELSE CAST(l_shipdate AS TIMESTAMP) END AS date
 FROM lineitem"""
     miss = """SELECT * FROM (VALUES ('narrow', 'platform'), ('narrow', 'account_name'), ('narrow', 'ad_group_name'),
