@@ -8,7 +8,7 @@ issues per file reuse the scope-aware operators with ``scope=["file"]``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adlens.constants import (ALIAS_CANDIDATE_RULES, AUCTION_WORDS, CART_COUNT_ALIASES, DIMENSIONS, ELEVENST_WORDS,
                               GMARKET_WORDS, LEGACY_REPORT_WORDS, MARKETPLACE_MEDIA, MARKETPLACE_METADATA_HEADERS,
@@ -38,8 +38,24 @@ def _positions(mapping: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("canonical", "position"))).alias("pos"))
 
 
-def standardize_lines(lines: DataFrame, mapping: DataFrame) -> DataFrame:
-    """All data lines of all files -> canonical fact with ``file`` and ``line_id``."""
+def _extra_cells(mapping: DataFrame) -> DataFrame:
+    """Per file: (position, name) of the headers without a canonical name, in order.
+
+    A blank header is named after its position and a repeated one numbered, as names are keys.
+    """
+    name = F.coalesce(F.nullif(F.trim("header"), F.lit("")), F.concat(F.lit("column_"), F.col("position").cast("string")))
+    rest = mapping.where(F.col("canonical").isNull()).select("source", "position", name.alias("name"))
+    nth = F.row_number().over(Window.partitionBy("source", "name").orderBy("position")) - 1
+    rest = rest.withColumn("name", F.when(nth > 0, F.concat("name", F.lit("."), nth.cast("string"))).otherwise(F.col("name")))
+    return rest.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("_extra"))
+
+
+def standardize_lines(lines: DataFrame, mapping: DataFrame, keep_extras: bool = False) -> DataFrame:
+    """All data lines of all files -> canonical fact with ``file`` and ``line_id``.
+
+    With ``keep_extras`` the cells under headers without a canonical name pass through in
+    ``extras``, a map from header to text.
+    """
     canon = ["date"] + DIMENSIONS + MEASURES
     # Resolve each canonical column's position once per file (small table), so each
     # data line does plain array accesses; get() is null when absent / out of range.
@@ -52,11 +68,18 @@ def standardize_lines(lines: DataFrame, mapping: DataFrame) -> DataFrame:
     # Pull each canonical cell out once, then clean plain columns: nesting the lookups
     # inside every cleaning expression makes the generated code too large to compile
     # (Spark then falls back to interpreted evaluation).
-    cells = data.select("file", "line_id", *[raw(c).alias(f"_raw_{c}") for c in ["date"] + DIMENSIONS + MEASURES])
+    kept = []
+    if keep_extras:
+        rest = _extra_cells(mapping).withColumnRenamed("source", "_extra_source")
+        data = data.join(rest, data.file == F.col("_extra_source"), "left")
+        empty = F.create_map().cast("map<string,string>")
+        kept = [F.coalesce(F.map_from_entries(F.transform("_extra", lambda x: F.struct(
+            x["name"].alias("key"), F.get(F.col("fields"), x["position"]).alias("value")))), empty).alias("extras")]
+    cells = data.select("file", "line_id", *[raw(c).alias(f"_raw_{c}") for c in ["date"] + DIMENSIONS + MEASURES], *kept)
     cols = [F.col("file"), F.col("line_id"), parse_date("_raw_date").alias("date")]
     cols += [clean_dimension(f"_raw_{d}").alias(d) for d in DIMENSIONS]
     cols += [clean_numeric(f"_raw_{m}").alias(m) for m in MEASURES]
-    return with_rates(cells.select(*cols))
+    return with_rates(cells.select(*cols, *(["extras"] if keep_extras else [])))
 
 
 def infer_media_from_name(path) -> Column:
@@ -100,16 +123,22 @@ def _cart_totals(lines: DataFrame, mapping: DataFrame) -> DataFrame:
     return data.groupBy("file").agg(F.sum(val).alias("cart_total"))
 
 
-def file_audit(lines: DataFrame, with_issues: bool = True) -> DataFrame:
-    """One row per file: counts, mapping lists, required-field statuses, inferred media /
-    advertiser, issue count and first five issue previews, readiness."""
-    # The mapping (one row per file column) feeds several branches below; write it once
-    # under the checkpoint folder so the header scan and the similarity UDF run once.
-    mapping = materialize(map_headers(header_catalog_from_lines(lines)), "header-mapping")
-    fact = standardize_lines(lines, mapping)
-    if with_issues:
-        # two consumers (per-file aggregates and the per-file issue engine): parse the text once
-        fact = materialize(fact, "audit-fact")
+def file_audit(lines: DataFrame, with_issues: bool = True, mapping: DataFrame | None = None,
+               fact: DataFrame | None = None) -> DataFrame:
+    """One row per file: load status, counts, mapping lists, required-field statuses, inferred
+    media / advertiser, issue count and first five issue previews, readiness.
+
+    A file that could not be read or is empty has a row too (``load_status`` failed). A caller
+    that has mapped and standardised the lines passes ``mapping`` and ``fact``; otherwise the
+    mapping is written once under the checkpoint folder, as several branches read it, and so is
+    the fact if the issue engine reads it beside the per-file aggregates.
+    """
+    if mapping is None:
+        mapping = materialize(map_headers(header_catalog_from_lines(lines)), "header-mapping")
+    if fact is None:
+        fact = standardize_lines(lines, mapping)
+        if with_issues:
+            fact = materialize(fact, "audit-fact")
     c = F.col
     maps = mapping.groupBy("source").agg(
         F.count(F.lit(1)).alias("column_count"),
@@ -129,12 +158,12 @@ def file_audit(lines: DataFrame, with_issues: bool = True) -> DataFrame:
         *[F.bool_and(c(d) == UNCLASSIFIED).alias(f"_allu_{d}") for d in TEXT_FIELDS + ["product_name", "keyword"]],
         *[F.sum(m).alias(f"_sum_{m}") for m in NUMERIC_FIELDS],
         first_valid("platform").alias("_media"), first_valid("account_name").alias("_adv"))
-    files = lines.where("is_header").select("file")
+    files = lines.where("is_header").select("file", "problem")
     j = files.join(maps, "file", "left").join(agg, "file", "left").join(_cart_totals(lines, mapping), "file", "left")
     j = j.fillna({"row_count": 0})
 
     def mapped(col_name: str) -> Column:
-        return F.array_contains(c("_canon"), col_name)
+        return F.coalesce(F.array_contains(c("_canon"), col_name), F.lit(False))
 
     def text_status(d: str) -> Column:
         return (F.when(~mapped(d), F.lit(FAILED))
@@ -162,11 +191,13 @@ def file_audit(lines: DataFrame, with_issues: bool = True) -> DataFrame:
         F.filter(F.array(*[F.lit(k) for k in
                            ["date", "platform", "account_name", "campaign_name", "ad_group_name", "keyword",
                             "product_name", "impressions", "clicks", "cost", "conversions", "revenue", "orders"]]),
-                 lambda k: ~F.array_contains(c("_canon"), k)).alias("missing_columns"),
+                 lambda k: ~F.coalesce(F.array_contains(c("_canon"), k), F.lit(False))).alias("missing_columns"),
         status_map.alias("required_status"),
         F.filter(F.array(*[F.lit(k) for k in STATUS_ORDER]), lambda k: status_map[k] == UNKNOWN)
         .alias("unavailable_fields"),
-        report_version(c("file")).alias("report_version"))
+        report_version(c("file")).alias("report_version"),
+        F.when(c("problem").isNull(), F.lit("loaded")).otherwise(F.lit("failed")).alias("load_status"),
+        c("problem").alias("load_problem"))
     out = out.withColumn("profile_label", profile_label(c("inferred_media"), c("report_version")))
     if not with_issues:
         return out
@@ -177,7 +208,8 @@ def file_audit(lines: DataFrame, with_issues: bool = True) -> DataFrame:
             "issue_rank", F.concat(c("problem"), F.lit(" / "), c("evidence")).alias("t"))))), lambda s: s["t"])
         .alias("action_issue_preview"))
     out = out.join(summary, "file", "left").fillna({"action_issue_count": 0})
-    return out.withColumn("readiness", readiness(c("action_issue_preview"), c("required_status")))
+    ready = readiness(c("action_issue_preview"), c("required_status"))
+    return out.withColumn("readiness", F.when(c("load_status") == "failed", F.lit("fail")).otherwise(ready))
 
 
 def readiness(preview: Column, status: Column) -> Column:

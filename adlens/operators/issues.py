@@ -73,7 +73,8 @@ def primary_platform(fact: DataFrame, scope: Sequence[str] = (), platforms: Data
         F.min_by("platform", F.struct(-F.col("cost"), F.col("platform"))).alias("primary_platform"))
 
 
-def action_issues(fact: DataFrame, scope: Sequence[str] = (), anomaly_rows: DataFrame | None = None) -> DataFrame:
+def action_issues(fact: DataFrame, scope: Sequence[str] = (), anomaly_rows: DataFrame | None = None,
+                  aggregates: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Operating issues ordered by priority score (``issue_rank`` 1 = most urgent).
 
     Insufficient data (fewer than 3 rows, or no cost, impressions and clicks) gives a
@@ -81,7 +82,7 @@ def action_issues(fact: DataFrame, scope: Sequence[str] = (), anomaly_rows: Data
     supporting issues while the scope has fewer than three.
     """
     scope = list(scope)
-    aggs = rule_aggregates(fact, scope)  # one scan feeds summary, anomaly base and platforms
+    aggs = aggregates or rule_aggregates(fact, scope)  # one scan feeds summary, anomaly base and platforms
     a = anomaly_rows if anomaly_rows is not None else anomalies(fact, scope, aggregates=aggs)
     state = attach(scope_state(fact, a, scope, aggs), primary_platform(fact, scope, aggs[1]), scope)
     insufficient = ((F.col("rows") < MIN_ROWS_FOR_JUDGMENT)
@@ -150,10 +151,11 @@ def top_issues(issues: DataFrame, scope: Sequence[str] = (), n: int = 3) -> Data
     return issues.where(F.col("issue_rank") <= n)
 
 
-def health_score(fact: DataFrame, scope: Sequence[str] = (), anomaly_rows: DataFrame | None = None) -> DataFrame:
+def health_score(fact: DataFrame, scope: Sequence[str] = (), anomaly_rows: DataFrame | None = None,
+                 aggregates: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """0-100 account health from ROAS, CTR and anomaly counts; half-even rounding; good / fair / risk."""
     scope = list(scope)
-    aggs = rule_aggregates(fact, scope)
+    aggs = aggregates or rule_aggregates(fact, scope)
     a = anomaly_rows if anomaly_rows is not None else anomalies(fact, scope, aggregates=aggs)
     s = scope_state(fact, a, scope, aggs)
     c = F.col

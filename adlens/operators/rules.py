@@ -146,13 +146,14 @@ def _catalog_map(pos: int) -> Column:
     return F.create_map(*[x for k, v in RECOMMENDATION_CATALOG.items() for x in (F.lit(k), F.lit(v[pos]))])
 
 
-def recommendations(fact: DataFrame, scope: Sequence[str] = (), anomaly_rows: DataFrame | None = None) -> DataFrame:
+def recommendations(fact: DataFrame, scope: Sequence[str] = (), anomaly_rows: DataFrame | None = None,
+                    aggregates: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One recommendation per anomaly; a fallback row for a scope without anomalies.
 
     A scope with no measurable activity (no rows, or every core sum ≤ 0) gets none.
     """
     scope = list(scope)
-    aggs = rule_aggregates(fact, scope)
+    aggs = aggregates or rule_aggregates(fact, scope)
     a = anomaly_rows if anomaly_rows is not None else anomalies(fact, scope, aggregates=aggs)
     state = scope_state(fact, a, scope, aggs)
     active =~((F.col("rows") <= 0) | (F.col("impressions") <= 0) & (F.col("clicks") <= 0) & (F.col("cost") <= 0)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from adlens.constants import MARKETPLACE_MEDIA
+from adlens.constants import CANONICAL_COLUMNS, MARKETPLACE_MEDIA
 from adlens.operators import audit, report
-from adlens.operators.ingest import map_headers
-from adlens.sources.reports import derived_report_lines
+from adlens.operators.ingest import map_headers, missing_canonical
+from adlens.session import checkpoint_dir, materialize
+from adlens.sources.reports import awkward_lines, derived_report_lines, read_report_lines, write_lines
 
 
 def _lines(spark, sf):
@@ -19,8 +22,33 @@ def _status_columns(df):
                      *[F.col("required_status")[k].alias(f"status_{k}") for k in audit.STATUS_ORDER])
 
 
+def _mapping(spark, sf):
+    return map_headers(audit.header_catalog_from_lines(_lines(spark, sf)))
+
+
+def _csv_folder(spark, sf):
+    """The derived reports with awkward shapes, written as CSV files and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/adlens-tables/csv-{uuid.uuid4().hex}"
+    write_lines(awkward_lines(spark, sf), path)
+    lines = materialize(read_report_lines(spark, path, "*.txt"), "csv-lines")
+    mapping = materialize(map_headers(audit.header_catalog_from_lines(lines)), "csv-mapping")
+    fact = materialize(audit.standardize_lines(lines, mapping, keep_extras=True), "csv-fact")
+    sums = fact.groupBy("file").agg(F.round(F.sum("cost"), 2).alias("cost"), F.sum("impressions").alias("impressions"),
+                                    F.sum(F.size(F.filter(F.map_values("extras"), lambda v: v.isNotNull()))).alias("extra_cells"))
+    audits = audit.file_audit(lines, with_issues=False, mapping=mapping, fact=fact)
+    name = F.regexp_extract("file", "name=([^/]+)/", 1)
+    return audits.join(sums, "file", "left").select(
+        name.alias("report"), "load_status", "row_count", "column_count", F.coalesce("cost", F.lit(0.0)).alias("cost"),
+        F.coalesce("impressions", F.lit(0.0)).alias("impressions"), F.coalesce("extra_cells", F.lit(0)).alias("extra_cells"))
+
+
 def audit_queries() -> dict:
     return {
+        "csv_folder": _csv_folder,
+        "header_mapping": _mapping,
+        "missing_canonical": lambda spark, sf: missing_canonical(_mapping(spark, sf)),
+        "folder_extras": lambda spark, sf: audit.standardize_lines(_lines(spark, sf), _mapping(spark, sf), keep_extras=True)
+        .select("file", "line_id", F.to_json("extras").alias("extras")),
         "file_audit": lambda spark, sf: audit.file_audit(_lines(spark, sf)),
         "audit_required_status": lambda spark, sf: _status_columns(audit.file_audit(_lines(spark, sf), False)),
         "standardize_folder": lambda spark, sf: (lambda ln: audit.standardize_lines(
@@ -44,6 +72,28 @@ f AS (SELECT s_suppkey, CAST(s_suppkey % 4 AS INTEGER) AS lay,
              || CAST(s_suppkey AS VARCHAR) || '.csv' AS file FROM supplier)"""
 
 
+def _exact(*pairs):
+    return [(h, h.lower().replace("_", " "), c, "exact") for h, c in pairs]
+
+
+# What the four layouts' headers must map to: (header, normalised, canonical, kind) in order.
+_PLAIN = ("account_name", "campaign_name", "ad_group_name", "keyword", "product_name", "impressions", "clicks", "cost",
+          "conversions", "revenue", "orders")
+HEADER_CASES = [
+    _exact(*((c, c) for c in ("date", "platform", *_PLAIN))),
+    _exact(*zip(("일자", "광고매체", "계정명", "캠페인명", "광고그룹명", "검색어", "상품명", "노출수", "클릭수", "광고비", "전환수",
+                 "매출", "주문수"), ("date", "platform", *_PLAIN)))
+    + [("장바구니", "장바구니", None, "unmapped"), ("광고ID", "광고id", None, "unmapped")],
+    _exact(("day", "date"), ("media", "platform"), ("advertiser", "account_name"), ("campaign", "campaign_name"),
+           ("ad group", "ad_group_name"), ("impr", "impressions")) + [("clickz", "clickz", "clicks", "fuzzy")]
+    + _exact(("spend", "cost"), ("conversion", "conversions")) + [("ROAS", "roas", None, "unmapped")]
+    + _exact(("order", "orders")),
+    _exact(("날짜", "date"), ("매체", "platform"), ("광고주", "account_name"), ("캠페인", "campaign_name"),
+           ("그룹", "ad_group_name"), ("키워드", "keyword"), ("노출", "impressions"), ("클릭", "clicks"), ("비용", "cost"),
+           ("전환", "conversions"), ("매출액", "revenue")) + [("클릭률", "클릭률", None, "unmapped")],
+]
+
+
 def audit_oracles() -> dict:
     ok = "'ok'"
     unk = "'cannot_judge'"
@@ -123,5 +173,34 @@ SELECT file, inferred_media, report_version,
        WHEN inferred_media IN ('네이버', '11번가') THEN 'real_file_auto_diagnosis'
        WHEN report_version <> 'unknown' THEN report_version ELSE 'generic_ad_file' END AS profile_label
 FROM m"""
-    return {"audit_required_status": required, "standardize_folder": std_rates, "alias_candidates": cands,
+    folder = f"""WITH {FILES},
+a AS (SELECT s_suppkey, COUNT(*) AS n, SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS cost,
+             SUM(CAST(l_quantity AS BIGINT) * 100) AS impressions FROM li GROUP BY s_suppkey),
+r AS (SELECT regexp_extract(f.file, '([^/]+)$', 1) AS report, 'loaded' AS load_status, COALESCE(n, 0) AS n,
+             CASE lay WHEN 0 THEN 13 WHEN 1 THEN 15 WHEN 2 THEN 11 ELSE 12 END AS cols,
+             CASE lay WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS extras,
+             CASE f.s_suppkey % 5 WHEN 1 THEN 1 WHEN 2 THEN 70 ELSE 0 END AS more,
+             COALESCE(cost, 0) AS cost, COALESCE(impressions, 0) AS impressions FROM f LEFT JOIN a USING (s_suppkey))
+SELECT report, load_status, CAST(n AS BIGINT) AS row_count, CAST(cols + more AS BIGINT) AS column_count,
+       CAST(cost AS DOUBLE) AS cost, CAST(impressions AS DOUBLE) AS impressions,
+       CAST(n * (extras + more) AS BIGINT) AS extra_cells FROM r
+UNION ALL
+SELECT 'blank_' || CAST(s_suppkey AS VARCHAR) || '.csv', 'failed', 0, 0, 0.0, 0.0, 0 FROM supplier WHERE s_suppkey % 10 = 3"""
+    extras = f"""WITH {FILES}
+SELECT f2.file, line_id, CASE lay WHEN 0 THEN '{{}}'
+  WHEN 1 THEN '{{"장바구니":"' || CAST(l_linenumber % 3 AS VARCHAR) || '","광고ID":"' || CAST(l_orderkey AS VARCHAR) || '"}}'
+  WHEN 2 THEN '{{"ROAS":"0%"}}' ELSE '{{"클릭률":"1.5%"}}' END AS extras
+FROM li JOIN (SELECT s_suppkey, file FROM f) f2 USING (s_suppkey)"""
+    values = ",\n  ".join(f"({lay}, {i}, '{h}', '{norm}', {repr(c) if c else 'NULL'}, '{kind}')"
+                          for lay, heads in enumerate(HEADER_CASES) for i, (h, norm, c, kind) in enumerate(heads))
+    mapped = f"""WITH {FILES},
+t AS (SELECT * FROM (VALUES {values}) v(lay, position, header, header_norm, canonical, match_kind))
+SELECT f.file AS source, CAST(position AS INTEGER) AS position, header, header_norm, canonical, match_kind,
+       CASE match_kind WHEN 'exact' THEN 1.0 WHEN 'fuzzy' THEN 2.0 * 5 / (6 + 5) END AS similarity
+FROM f JOIN t USING (lay)"""
+    names = ", ".join(f"('{c}')" for c in CANONICAL_COLUMNS)
+    missing = f"""WITH m AS ({mapped}), c AS (SELECT * FROM (VALUES {names}) v(canonical)), s AS (SELECT DISTINCT source FROM m)
+SELECT s.source, c.canonical FROM s CROSS JOIN c ANTI JOIN m ON m.source = s.source AND m.canonical = c.canonical"""
+    return {"csv_folder": folder, "folder_extras": extras, "header_mapping": mapped, "missing_canonical": missing,
+            "audit_required_status": required, "standardize_folder": std_rates, "alias_candidates": cands,
             "media_validation": media, "audit_profiles": profiles}

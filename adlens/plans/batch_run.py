@@ -45,9 +45,9 @@ def analyze(fact: DataFrame, scope: Sequence[str] = ()) -> AnalysisResult:
         periods=metrics.periods_all(fact, scope),
         comparison=compare.recent_comparison(fact, scope),
         anomalies=anomalies,
-        recommendations=rules.recommendations(fact, scope, anomaly_rows=anomalies),
-        issues=issues.action_issues(fact, scope, anomaly_rows=anomalies),
-        health=issues.health_score(fact, scope, anomaly_rows=anomalies),
+        recommendations=rules.recommendations(fact, scope, anomaly_rows=anomalies, aggregates=aggs),
+        issues=issues.action_issues(fact, scope, anomaly_rows=anomalies, aggregates=aggs),
+        health=issues.health_score(fact, scope, anomaly_rows=anomalies, aggregates=aggs),
     )
 
 
@@ -67,23 +67,35 @@ def write_sheets(result: AnalysisResult, out_dir: str, scope: Sequence[str] = ()
 
 
 def run_batch(spark: SparkSession, in_dir: str, out_dir: str, scope: Sequence[str] = (), glob: str = "*.csv",
-                 advertiser: str = "advertiser") -> AnalysisResult:
-    lines = read_report_lines(spark, in_dir, glob)
+              advertiser: str = "advertiser") -> AnalysisResult:
+    """Analyse every report under ``in_dir`` and write all outputs below ``out_dir``."""
+    # The text is parsed once: header mapping, standardising and audit read the written lines.
+    lines = materialize(read_report_lines(spark, in_dir, glob), "lines")
+    try:
+        return analyze_lines(lines, out_dir, scope, advertiser)
+    finally:
+        release(lines)
+
+
+def analyze_lines(lines: DataFrame, out_dir: str, scope: Sequence[str] = (), advertiser: str = "advertiser") -> AnalysisResult:
+    """All outputs for a written ``lines`` table."""
+    spark = lines.sparkSession
     mapping = materialize(map_headers(audit.header_catalog_from_lines(lines)), "header-mapping")
-    # The standardised fact is itself an output: write it once and analyse the written copy.
-    audit.standardize_lines(lines, mapping).write.mode("overwrite").parquet(f"{out_dir}/standardized")
-    fact = spark.read.parquet(f"{out_dir}/standardized")
-    audit.file_audit(lines).write.mode("overwrite").parquet(f"{out_dir}/file_audit")
-    result = analyze(fact, scope)
-    write_sheets(result, out_dir, scope)
-    if not scope:
-        lines_df = report.report_lines(advertiser, result.summary, result.recommendations, result.issues,
-                                       result.anomalies, metrics.period_table(fact, "monthly"),
-                                       metrics.period_table(fact, "weekly"), mapping)
+    try:
+        # The standardised fact is itself an output: write it once and analyse the written copy.
+        audit.standardize_lines(lines, mapping, keep_extras=True).write.mode("overwrite").parquet(f"{out_dir}/standardized")
+        fact = spark.read.parquet(f"{out_dir}/standardized")
+        audit.file_audit(lines, mapping=mapping, fact=fact).write.mode("overwrite").parquet(f"{out_dir}/file_audit")
+        result = analyze(fact, scope)
+        write_sheets(result, out_dir, scope)
+        whole = analyze(fact) if scope else result  # the narrative covers the folder, whatever the sheets' scope
+        lines_df = report.report_lines(advertiser, whole.summary, whole.recommendations, whole.issues, whole.anomalies,
+                                       metrics.period_table(fact, "monthly"), metrics.period_table(fact, "weekly"), mapping)
         report.write_report(lines_df, f"{out_dir}/report_md")
         report.write_report(report.plain_text(lines_df), f"{out_dir}/report_txt")
-    release(mapping)  # every output that reads the mapping is written
-    return result
+        return result
+    finally:
+        release(mapping)  # every output that reads the mapping is written
 
 
 def main(argv: Sequence[str] | None = None) -> None:

@@ -16,18 +16,6 @@ def _standardize_text(spark, sf):
     return fact
 
 
-def _header_mapping(spark, sf):
-    raw = tables.raw_ad_report(spark, sf)
-    return ingest.map_headers(ingest.header_catalog(spark, {"raw_ad_report": raw.columns}))
-
-
-def _missing_canonical(spark, sf):
-    raw = tables.raw_ad_report(spark, sf)
-    m = ingest.map_headers(ingest.header_catalog(spark, {"raw_ad_report": raw.columns,
-                                                         "narrow": ["날짜", "campaign", "spend"]}))
-    return ingest.missing_canonical(m)
-
-
 def _dirty_numbers(spark, sf):
     """Line items rendered as messy numeric text, eleven styles by line number / order key."""
     li = tables.read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
@@ -73,8 +61,6 @@ def _date_parse(spark, sf):
 def ingest_queries() -> dict:
     return {
         "standardize_text": _standardize_text,
-        "header_mapping": _header_mapping,
-        "missing_canonical": _missing_canonical,
         "numeric_clean": _numeric_clean,
         "dimension_clean": _dimension_clean,
         "date_parse": _date_parse,
@@ -122,8 +108,4 @@ FROM part"""
        WHEN 10 THEN strftime(l_shipdate, '%Y.%m.%d %H:%M:%S') ELSE 'bad' END AS raw,
   CASE WHEN {ds} = 7 THEN NULL ELSE CAST(l_shipdate AS TIMESTAMP) END AS date
 FROM lineitem"""
-    miss = """SELECT * FROM (VALUES ('narrow', 'platform'), ('narrow', 'account_name'), ('narrow', 'ad_group_name'),
-  ('narrow', 'keyword'), ('narrow', 'product_name'), ('narrow', 'impressions'), ('narrow', 'clicks'),
-  ('narrow', 'conversions'), ('narrow', 'revenue'), ('narrow', 'orders')) t(source, canonical)"""
-    return {"standardize_text": std, "numeric_clean": num, "dimension_clean": dim, "date_parse": dates,
-            "missing_canonical": miss}
+    return {"standardize_text": std, "numeric_clean": num, "dimension_clean": dim, "date_parse": dates}

@@ -1,17 +1,27 @@
 """Folders of raw media reports with differing header layouts, as one ``lines`` table.
 
-``lines``: (file STRING, line_id BIGINT, is_header BOOLEAN, fields ARRAY<STRING>).
+``lines``: (file STRING, line_id BIGINT, is_header BOOLEAN, fields ARRAY<STRING>, problem STRING).
 Every file keeps its own header line, so thousands of files with different
-layouts are mapped and standardised in one job (see ``operators.audit``).
+layouts are mapped and standardised in one job (see ``operators.audit``). A file that is
+empty or can't be read is one header line without fields that names the problem.
 """
 
 from __future__ import annotations
 
+import csv
+import fnmatch
+import io
+import sys
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adlens.sources.tables import read_table
 
-DEFAULT_MAX_COLUMNS = 64
+LINES = "file string, line_id long, is_header boolean, fields array<string>, problem string"
+_LINES = pa.schema([("file", pa.string()), ("line_id", pa.int64()), ("is_header", pa.bool_()),
+                    ("fields", pa.list_(pa.string())), ("problem", pa.string())])
+LINES_AT_ONCE = 4096
 DATA_SUFFIXES = ["csv", "txt", "tsv"]
 
 
@@ -24,34 +34,74 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     return df.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "modificationTime")
 
 
-def read_report_lines(spark: SparkSession, root: str, glob: str = "*.csv",
-                      max_columns: int = DEFAULT_MAX_COLUMNS) -> DataFrame:
-    """Read every matching CSV under ``root`` (recursively) into the ``lines`` table.
+def read_report_lines(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
+    """Read every matching CSV under ``root`` (recursively) into the ``lines`` table."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", glob).load(root).select("path", "content"))
+    empty = [(path, bytearray()) for path in empty_files(spark, root, glob)]
+    return lines_of_files(files.unionByName(spark.createDataFrame(empty, "path string, content binary")))
+
+
+def empty_files(spark: SparkSession, root: str, glob: str) -> list[str]:
+    """Files without a byte, which Spark's scans leave out; from the same listing the scan makes on the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listing, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while listing.hasNext():
+        f = listing.next()
+        if not f.getLen() and fnmatch.fnmatch(f.getPath().getName(), glob):
+            found.append(f.getPath().toString())
+    return found
+
 
-    The header of a file is its first line: the smallest row id inside the file's
-    first block (ids increase in read order within a partition). Records are one
-    per line; at most ``max_columns`` fields are kept.
+def lines_of_files(files: DataFrame) -> DataFrame:
+    """(path, content) of whole files, batch or streaming -> the ``lines`` table.
+
+    A report may quote line breaks, so it can't be split by bytes: one task parses a file in
+    order, which must fit in its memory; a folder is spread over tasks by file.
     """
-    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
-           .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
-                   F.monotonically_increasing_id().alias("line_id"), "value"))
-    heads = raw.where(F.col("_blk") == 0).groupBy("file").agg(F.min("line_id").alias("_hid"))
-    return parse_lines(raw.where(F.length(F.trim("value")) > 0).join(heads, "file"), max_columns)
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
+                yield from parsed_file(path, content.as_py())
+
+    return files.select("path", "content").mapInArrow(run, LINES)
 
 
-def parse_lines(rows: DataFrame, max_columns: int = DEFAULT_MAX_COLUMNS) -> DataFrame:
-    """(file, line_id, _hid, value) -> the ``lines`` table.
+def parsed_file(path: str, content: bytes):
+    """Record batches of one file: its header (the first line that isn't blank) and its records in order.
 
-    Each line is parsed once into a struct (one CSV parser per task), then spread
-    into an array; only the header drops its trailing padding nulls.
+    Blank header cells keep their place, padding at the header's end goes; empty cells are null.
     """
-    schema = ", ".join(f"c{i} STRING" for i in range(max_columns))
-    rec = rows.select("file", "line_id", (F.col("line_id") == F.col("_hid")).alias("is_header"),
-                      F.from_csv(F.col("value"), schema).alias("_rec"))
-    fields = F.array(*[F.col(f"_rec.c{i}") for i in range(max_columns)])
-    out = rec.select("file", "line_id", "is_header", fields.alias("fields"))
-    return out.withColumn("fields", F.when(F.col("is_header"), F.filter("fields", lambda x: x.isNotNull()))
-                          .otherwise(F.col("fields")))
+    csv.field_size_limit(sys.maxsize)
+
+    def failed(problem: str):
+        return pa.RecordBatch.from_pylist([{"file": path, "line_id": 0, "is_header": True, "fields": [], "problem": problem}],
+                                          _LINES)
+
+    try:
+        text = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        yield failed("not UTF-8 text")
+        return
+    rows, header, number = [], None, 0
+    for cells in csv.reader(io.StringIO(text, newline="")):
+        if not any(c.strip() for c in cells):
+            continue
+        if header is None:
+            while not cells[-1].strip():
+                cells.pop()
+            header = cells
+        else:
+            cells = [c if c else None for c in cells]
+        rows.append({"file": path, "line_id": number, "is_header": not number, "fields": cells, "problem": None})
+        number += 1
+        if len(rows) == LINES_AT_ONCE:
+            yield pa.RecordBatch.from_pylist(rows, _LINES)
+            rows = []
+    if header is None:
+        yield failed("empty file")
+    elif rows:
+        yield pa.RecordBatch.from_pylist(rows, _LINES)
 
 
 # Four header layouts used by the derived report folder (index = supplier key % 4).
@@ -111,7 +161,38 @@ def derived_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(*[F.lit(h) for h in LAYOUTS[3]]))
     heads = heads_src.select(report_file_name(F.col("s_suppkey")).alias("file"), F.lit(0).cast("bigint").alias("line_id"),
                              F.lit(True).alias("is_header"), head_fields.alias("fields"))
-    return heads.unionByName(data)
+    return heads.unionByName(data).withColumn("problem", F.lit(None).cast("string"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Write a ``lines`` table as CSV text, one folder ``name=<file>`` with one file of ordered lines per report.
+
+    Every cell is quoted, so cells may hold anything; a header without fields is a blank line.
+    """
+    cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    (lines.select(F.regexp_extract("file", r"([^/]+)$", 1).alias("name"), "line_id",
+                  F.array_join(F.transform("fields", cell), ",").alias("value"))
+     .repartition("name").sortWithinPartitions("name", "line_id").select("name", "value")
+     .write.partitionBy("name").text(path))
+
+
+def awkward_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`derived_report_lines` with the shapes that real folders have, by supplier key.
+
+    Every fifth file has a blank line first; every fifth an unnamed column of quoted line
+    breaks after its first; every fifth 70 further columns; every tenth has a blank twin.
+    """
+    lines = derived_report_lines(spark, sf_dir)
+    key = F.regexp_extract("file", r"([0-9]+)\.csv$", 1).cast("long")
+    more = F.transform(F.sequence(F.lit(0), F.lit(69)), lambda i: F.concat(F.lit("more "), i.cast("string")))
+    fields = F.when(key % 5 == 1, F.concat(F.slice("fields", 1, 1), F.array(
+        F.when(F.col("is_header"), F.lit("")).otherwise(F.lit('two\nlines, "quoted"'))),
+        F.slice("fields", 2, 1000))).when(key % 5 == 2, F.concat("fields", more)).otherwise(F.col("fields"))
+    heads = lines.filter("is_header")
+    blank = heads.filter(key % 5 == 0).withColumns({"line_id": F.lit(-1).cast("long"), "fields": F.array().cast("array<string>")})
+    twins = heads.filter(key % 10 == 3).withColumns({
+        "file": F.concat(F.lit("blank_"), key.cast("string"), F.lit(".csv")), "fields": F.array().cast("array<string>")})
+    return lines.withColumn("fields", fields).unionByName(blank).unionByName(twins)
 
 
 def report_file_name(suppkey):

@@ -2,8 +2,9 @@
 
 * ``watch_report_folder`` — a file-stream source over a landing folder; each
   micro-batch turns its new files into the ``lines`` table and runs the same
-  standardisation / audit as batch (``foreachBatch``). The checkpoint records
-  which files were processed, so a restart neither skips nor repeats a file;
+  standardisation, audit and analysis as batch (``foreachBatch``). The checkpoint records
+  which files were processed and outputs are keyed by batch, so a restart neither skips nor
+  repeats a file, even after a batch that failed half-way;
   ``once=True`` is ``trigger(availableNow=True)``; ``max_file_age`` ignores
   stale files.
 * ``daily_kpi_stream`` — per-day KPI table maintained as rows arrive
@@ -29,10 +30,8 @@ from adlens.operators.audit import file_audit, header_catalog_from_lines, standa
 from adlens.operators.collection import log_view, media_health
 from adlens.operators.ingest import map_headers
 from adlens.operators.metrics import measure_sums
-from adlens.session import checkpoint_dir
-from adlens.sources.reports import parse_lines
-
-DEFAULT_MAX_COLUMNS = 64
+from adlens.session import checkpoint_dir, materialize, release
+from adlens.sources.reports import lines_of_files
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -41,37 +40,42 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{base}/adlens-streams/{tag}", f"{base}/adlens-stream-out/{tag}"
 
 
-def batch_lines(batch: DataFrame, max_columns: int = DEFAULT_MAX_COLUMNS) -> DataFrame:
-    """A micro-batch of (file, line_id, value) text rows -> the ``lines`` table.
-
-    A file stream hands over whole files per micro-batch, so each file's header is
-    its smallest line id within the batch.
-    """
-    heads = batch.groupBy("file").agg(F.min("line_id").alias("_hid"))
-    return parse_lines(batch.where(F.length(F.trim("value")) > 0).join(heads, "file"), max_columns)
-
-
 def watch_report_folder(spark: SparkSession, in_dir: str, out_dir: str, glob: str = "*.csv", once: bool = True,
                         max_file_age: str | None = None, checkpoint: str | None = None,
-                        processing_time: str = "30 seconds"):
-    """Stream new report files from ``in_dir``; write standardised facts and audits to ``out_dir``.
+                        processing_time: str = "30 seconds", max_files_per_trigger: int = 100, analysis: bool = True):
+    """Stream new report files from ``in_dir``; write facts, audits and, per trigger, the whole analysis to ``out_dir``.
+
+    Files arrive whole, so a file's header is its first line whatever its size. Everything a
+    micro-batch writes lies under its own ``batch_id`` and replaces what an earlier try of
+    that batch left, so a batch that failed half-way and runs again counts once. With
+    ``analysis``, KPIs, anomalies, issues and the report of the trigger's files are written per
+    file below ``analysis/batch_id=...``.
 
     Returns the ``StreamingQuery`` (already finished when ``once``).
     """
-    reader = spark.readStream.format("text").option("pathGlobFilter", glob)
+    reader = (spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
+              .schema("path string, modificationTime timestamp, length long, content binary")
+              .option("maxFilesPerTrigger", max_files_per_trigger))
     if max_file_age:
         reader = reader.option("maxFileAge", max_file_age)
-    src = reader.load(in_dir).select(F.col("_metadata.file_path").alias("file"), "value")
+    src = reader.load(in_dir).select("path", "content")
     ckpt = checkpoint or _paths(spark, "watch")[0]
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        # Row ids are assigned on the (static) micro-batch: increasing in read order per partition.
-        lines = batch_lines(batch.select("file", F.monotonically_increasing_id().alias("line_id"), "value"))
-        mapping = map_headers(header_catalog_from_lines(lines))
-        fact = standardize_lines(lines, mapping).withColumn(
-            "file_stem", F.regexp_replace(F.regexp_extract("file", r"([^/]+)$", 1), r"\.[^.]*$", ""))
-        fact.write.mode("append").partitionBy("file_stem").parquet(f"{out_dir}/standardized")
-        file_audit(lines, with_issues=False).write.mode("append").parquet(f"{out_dir}/audit")
+        lines = materialize(lines_of_files(batch), "watch-lines")
+        mapping = materialize(map_headers(header_catalog_from_lines(lines)), "watch-mapping")
+        try:
+            fact = standardize_lines(lines, mapping, keep_extras=True)
+            fact.write.mode("overwrite").parquet(f"{out_dir}/standardized/batch_id={batch_id}")
+            written = spark.read.parquet(f"{out_dir}/standardized/batch_id={batch_id}")
+            file_audit(lines, with_issues=False, mapping=mapping, fact=written).write.mode("overwrite").parquet(
+                f"{out_dir}/audit/batch_id={batch_id}")
+            if analysis:
+                from adlens.plans.batch_run import analyze_lines
+                analyze_lines(lines, f"{out_dir}/analysis/batch_id={batch_id}", ["file"])
+        finally:
+            release(mapping)
+            release(lines)
 
     writer = src.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=processing_time)

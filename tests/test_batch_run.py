@@ -7,6 +7,16 @@ from tests.conftest import FIXTURES
 from adlens.plans.batch_run import run_batch
 
 
+def test_one_aggregate_per_analysis(spark, monkeypatch):
+    from adlens.operators import rules
+    from adlens.plans.batch_run import analyze
+    from adlens.sources import tables
+    made, real = [], rules.materialize
+    monkeypatch.setattr(rules, "materialize", lambda df, name="stage": made.append(name) or real(df, name))
+    analyze(tables.ad_fact(spark, "/root/testdata/sf0.001"), ["account_name"])
+    assert made == ["rule-aggregates"]
+
+
 def test_batch_run_end_to_end(spark, tmp_dir):
     inbox = os.path.join(tmp_dir, "in")
     os.makedirs(inbox)
@@ -23,4 +33,5 @@ def test_batch_run_end_to_end(spark, tmp_dir):
     out2 = os.path.join(tmp_dir, "out2")
     run_batch(spark, inbox, out2, scope=["account_name"])
     per = spark.read.parquet(f"{out2}/summary")
+    assert any(f.startswith("part-") for f in os.listdir(f"{out2}/report_md"))
     assert per.count() == 3 and sum(r["cost"] for r in per.collect()) == 7_451_000

@@ -89,6 +89,49 @@ def test_csv_folder_audit(spark, tmp_dir):
     assert sorted(r["cost"] for r in fact.collect()) == [100.0, 1000.0, 2000.0]
 
 
+def _by_name(df):
+    return {os.path.basename(r["file"]): r for r in df.collect()}
+
+
+def test_csv_shapes(spark, tmp_dir):
+    wide = [f"x{i}" for i in range(70)]
+    _write(f"{tmp_dir}/in/gap.csv", "일자,,매체,캠페인,광고비,노출수,,\n2026-06-01,memo,NAVER,c1,1000,100,\n")
+    _write(f"{tmp_dir}/in/blank.csv", "\n  \ndate,platform,cost\n\n2026-06-01,naver,5\n2026-06-02,naver,6\n")
+    _write(f"{tmp_dir}/in/quoted.csv", "date,campaign,cost\r\n2026-06-01,\"two\nlines, \"\"quoted\"\"\",7\r\n")
+    _write(f"{tmp_dir}/in/wide.csv", ",".join([*wide, "date", "cost"]) + "\n" + ",".join([*map(str, range(70)), "2026-06-01", "9"]) + "\n")
+    _write(f"{tmp_dir}/in/empty.csv", "")
+    _write(f"{tmp_dir}/in/only_blanks.csv", "\n \n")
+    _write(f"{tmp_dir}/in/header_only.csv", "date,cost\n")
+    with open(f"{tmp_dir}/in/bytes.csv", "wb") as f:
+        f.write(b"date,cost\n\xff\xfe,1\n")
+    lines = read_report_lines(spark, f"{tmp_dir}/in")
+    fact = audit.standardize_lines(lines, ingest.map_headers(audit.header_catalog_from_lines(lines)), keep_extras=True)
+    rows = {}
+    for r in fact.orderBy("file", "line_id").collect():
+        rows.setdefault(os.path.basename(r["file"]), []).append(r)
+    gap, = rows["gap.csv"]
+    assert (gap["platform"], gap["campaign_name"], gap["cost"], gap["impressions"]) == ("NAVER", "c1", 1000, 100)
+    assert gap["extras"] == {"column_1": "memo"}
+    assert [r["cost"] for r in rows["blank.csv"]] == [5, 6]
+    quoted, = rows["quoted.csv"]
+    assert quoted["campaign_name"] == 'two\nlines, "quoted"' and quoted["cost"] == 7
+    one, = rows["wide.csv"]
+    assert one["cost"] == 9 and one["date"] == dt.datetime(2026, 6, 1) and one["extras"]["x69"] == "69"
+    audits = _by_name(audit.file_audit(lines))
+    assert len(audits) == 8 and audits["wide.csv"]["column_count"] == 72 and audits["gap.csv"]["column_count"] == 6
+    failed = {n: r["load_problem"] for n, r in audits.items() if r["load_status"] == "failed"}
+    assert failed == {"empty.csv": "empty file", "only_blanks.csv": "empty file", "bytes.csv": "not UTF-8 text"}
+    assert all(audits[n]["readiness"] == "fail" and audits[n]["row_count"] == 0 for n in failed)
+    assert audits["header_only.csv"]["row_count"] == 0 and audits["header_only.csv"]["load_status"] == "loaded"
+
+
+def test_repeated_extra_headers(spark, tmp_dir):
+    _write(f"{tmp_dir}/in/a.csv", "date,memo,memo,,\n2026-06-01,p,q,r\n2026-06-02,p\n")
+    lines = read_report_lines(spark, f"{tmp_dir}/in")
+    fact = audit.standardize_lines(lines, ingest.map_headers(audit.header_catalog_from_lines(lines)), keep_extras=True)
+    assert [r["extras"] for r in fact.orderBy("line_id").collect()] == [{"memo": "p", "memo.1": "q"}, {"memo": "p", "memo.1": None}]
+
+
 def test_download_detection(spark, tmp_dir):
     d = f"{tmp_dir}/downloads"
     for name, body in [("report.csv", "x"), ("report.xlsx", "x"), ("REPORT.XLSX", "x"), ("empty.xlsx", ""),

@@ -53,16 +53,40 @@ def _write(path, text):
 def test_watch_folder_processes_each_file_once(spark, tmp_dir):
     inbox, out, ckpt = f"{tmp_dir}/inbox", f"{tmp_dir}/out", f"{tmp_dir}/ckpt"
     _write(f"{inbox}/a.csv", "date,platform,cost,clicks\n2026-06-01,naver,100,4\n2026-06-02,naver,50,1\n")
-    watch.watch_report_folder(spark, inbox, out, once=True, checkpoint=ckpt)
+    watch.watch_report_folder(spark, inbox, out, once=True, checkpoint=ckpt, analysis=False)
     assert spark.read.parquet(f"{out}/standardized").count() == 2
     _write(f"{inbox}/b.csv", "일자,매체,광고비\n2026-06-03,G마켓,\"1,000\"\n")
-    watch.watch_report_folder(spark, inbox, out, once=True, checkpoint=ckpt)
+    watch.watch_report_folder(spark, inbox, out, once=True, checkpoint=ckpt, analysis=False)
     std = spark.read.parquet(f"{out}/standardized")
     assert std.count() == 3  # a.csv is not processed again
     assert sorted(r["cost"] for r in std.collect()) == [50.0, 100.0, 1000.0]
     assert spark.read.parquet(f"{out}/audit").count() == 2
 
 
+def test_watch_counts_a_batch_once_that_failed_half_way(spark, tmp_dir, monkeypatch):
+    import pytest
+    inbox, out, ckpt = f"{tmp_dir}/inbox", f"{tmp_dir}/out", f"{tmp_dir}/ckpt"
+    _write(f"{inbox}/a.csv", "date,campaign,cost,clicks\n2026-06-01,c1,100,4\n2026-06-02,c2,50,1\n")
+    right = watch.file_audit
+
+    def broken(*args, **kwargs):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(watch, "file_audit", broken)  # after the fact is written
+    with pytest.raises(Exception, match="executor lost"):
+        watch.watch_report_folder(spark, inbox, out, checkpoint=ckpt)
+    assert spark.read.parquet(f"{out}/standardized").count() == 2
+    monkeypatch.setattr(watch, "file_audit", right)
+    watch.watch_report_folder(spark, inbox, out, checkpoint=ckpt)
+    _write(f"{inbox}/b.csv", "date,campaign,cost\n2026-06-03,c3,7\n")
+    watch.watch_report_folder(spark, inbox, out, checkpoint=ckpt, analysis=False)
+    assert sorted(r["cost"] for r in spark.read.parquet(f"{out}/standardized").collect()) == [7, 50, 100]
+    assert spark.read.parquet(f"{out}/audit").count() == 2
+    summary = spark.read.parquet(f"{out}/analysis/batch_id=0/summary")
+    assert summary.count() == 1 and summary.first()["cost"] == 150
+    assert os.path.isdir(f"{out}/analysis/batch_id=0/report_md")
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
