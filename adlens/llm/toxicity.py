@@ -42,7 +42,7 @@ MAX_SEGMENTS = 16_000
 CHAIN = 64
 EVIDENCE = 18.0        # likelihood-ratio statistic: chance of about one in 50,000 per feature
 ROUNDS = 60
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 BUCKETS = 1 << 20      # hashed features
 
 PREFIXES = (3, 4, 5, 6, 7)
