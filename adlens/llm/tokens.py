@@ -2,8 +2,10 @@
 
 Byte-level pre-tokenisation never joins a character that is not white space with white
 space after it, so a text may be cut there and the ids of the pieces joined. Each task's
-worker keeps the ids of the pieces it has met (a bounded number), and new pieces are
-encoded many at a time.
+worker keeps the ids of the pieces it has met (a bounded number). A new piece that is one
+word with punctuation after it is two pre-tokens by the same rules, and goes to the
+tokenizer's model directly; other new pieces take the tokenizer's whole path, and texts with
+longer white space than single blanks and line feeds are cut by a stricter pattern.
 """
 
 from __future__ import annotations
@@ -12,18 +14,50 @@ import json
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 
 # Unicode white space, as the pre-tokeniser's \s has it.
-_WHITE = "\t-\r \x85\xa0  -     　"
+_WHITE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECES = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
-_PLAIN = re.compile(f" [^{_WHITE}]+").fullmatch
+# One word of Latin letters with ASCII punctuation (no apostrophe) after it.
+_WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
-CACHE_PIECES = 700_000
+CACHE_PIECES = 500_000
 TOGETHER = 512
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies use for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(spare)}
+
+
+_MISSED = b"missed"
+_HEAD = None   # stands for the first piece of a text, which has no white space before it
+
+
+class _Cache(dict):
+    """Remembers what was looked up in vain."""
+
+    def __init__(self):
+        super().__init__({_HEAD: b""})
+        self.missed: list[str] = []
+
+    def __missing__(self, key):
+        self.missed.append(key)
+        return _MISSED
+
+
+def _cuts_badly(piece: str) -> bool:
+    """Whether the cut before a piece falls inside a run of white space."""
+    if piece[:1] == "\n":
+        piece = piece[1:]
+    return not piece or piece[0].isspace()
+
+
 class PieceEncoder:
     """Encodes texts with one tokenizer file; ids are little-endian ``dtype`` bytes."""
 
@@ -32,50 +66,85 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
-        pre = kind.get("pre_tokenizer") or {}
+        pre, model = kind.get("pre_tokenizer") or {}, kind["model"]
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.splits = (kind.get("normalizer") is None and pre.get("type") == "ByteLevel"
-                       and not pre.get("add_prefix_space") and pre.get("use_regex", True))
+        self.model = self.tok.model
+        self.splits = (kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and model.get("type") == "BPE"
+                       and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not model.get("dropout"))
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.limit, self.cache = cache_pieces, {}
-        mark = self.tok.encode("\n", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.limit, self.cache = cache_pieces, _Cache()
+        self.letters, self.marks, self.kind = _byte_letters(), {}, "H" if self.dtype.itemsize == 2 else "I"
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes()
-                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _new(self, pieces: list[str]) -> dict[str, bytes]:
-        plain, rest = [], []
+                for i in range(0, len(texts), TOGETHER)
+                for e in self.tok.encode_batch_fast(texts[i:i + TOGETHER], add_special_tokens=False)]
+
+    def _one(self, pre_token: str) -> bytes:
+        if not pre_token.isascii() or pre_token[0] == " ":
+            pre_token = pre_token.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(pre_token)]
+        return array(self.kind, ids).tobytes()
+
+    def _new(self, pieces) -> dict[str, bytes]:
+        """Ids of pieces: a blank and the piece, or the piece itself if it starts with a line feed."""
+        out, rest, known = {}, [], dict.get
         for p in pieces:
-            (plain if self.mark is not None and _PLAIN(p) else rest).append(p)
-        out, size = {}, self.dtype.itemsize
-        for i in range(0, len(plain), TOGETHER):
-            some = plain[i:i + TOGETHER]
-            raw = self._bytes(["\n".join(some)])[0]
-            ends = np.flatnonzero(np.frombuffer(raw, self.dtype) == self.mark)
-            if len(ends) != len(some) - 1:
-                rest += some
+            m = _WORD(p)
+            if not m:
+                rest.append(p)
                 continue
-            starts = [0, *((ends + 1) * size).tolist()]
-            for p, a, b in zip(some, starts, [*(ends * size).tolist(), len(raw)]):
-                out[p] = raw[a:b]
-        for i in range(0, len(rest), TOGETHER):
-            out.update(zip(rest[i:i + TOGETHER], self._bytes(rest[i:i + TOGETHER])))
+            word, marks = m.groups()
+            ids = known(self.cache, word) or known(out, word)
+            if ids is None:
+                ids = out[word] = self._one(" " + word)
+            if marks:
+                tail = self.marks.get(marks)
+                if tail is None:
+                    tail = self._one(marks)
+                    if len(self.marks) < TOGETHER:
+                        self.marks[marks] = tail
+                out[p] = ids + tail
+        out.update(zip(rest, self._whole([p if p[0] == "\n" else " " + p for p in rest])))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Call with bounded amounts of text (``common.text_chunks``)."""
         if not self.splits:
-            return self._bytes(texts)
-        parts = [_PIECES(t) for t in texts]
-        cache = self.cache
-        fresh = self._new([p for p in set().union(*parts) if p not in cache])
+            return self._whole(texts)
+        cache, get = self.cache, self.cache.__getitem__
+        heads, lines, missed = [], [], []
+        for t in texts:
+            pieces = t.replace("\n", " \n").split(" ")
+            heads.append(pieces[0])
+            pieces[0] = _HEAD
+            lines.append(list(map(get, pieces)))
+            missed.append(cache.missed)
+            cache.missed = []
+        wanted = set().union(*missed)
+        bad = {p for p in wanted if _cuts_badly(p)}
+        fresh = self._new(wanted - bad)
+        out = []
+        for t, head, line, ps in zip(texts, self._whole(heads), lines, missed):
+            if bad and not bad.isdisjoint(ps):
+                out.append(self._strict(t))
+                continue
+            at = 0
+            for p in ps:
+                at = line.index(_MISSED, at)
+                line[at] = fresh[p]
+            line[0] = head
+            out.append(b"".join(line))
         if len(cache) + len(fresh) <= self.limit:
             cache.update(fresh)
-            return [b"".join([cache[p] for p in ps]) for ps in parts]
-        return [b"".join([fresh[p] if p in fresh else cache[p] for p in ps]) for ps in parts]
+        return out
+
+    def _strict(self, text: str) -> bytes:
+        """By pieces that start with all the white space before them."""
+        pieces = _PIECES(text)
+        known = dict(zip(several := list(dict.fromkeys(pieces)), self._whole(several)))
+        return b"".join([known[p] for p in pieces])
 
     def ids(self, raw: bytes) -> np.ndarray:
         return np.frombuffer(raw, self.dtype).astype("<u4")
