@@ -29,7 +29,7 @@ def _suffix(name: Column) -> Column:
 
 def completed_downloads(files: DataFrame, after: dt.datetime | None = None, include_demo: bool = False) -> DataFrame:
     """Report downloads that finished: report suffix (any case), not partial, non-empty,
-    modified at/after ``after``, not ``demo_*`` unless asked; newest first (``recency_rank``)."""
+    modified at/after ``after``, not ``demo_*`` unless asked."""
     name = _name(F.col("path"))
     suf = F.lower(_suffix(name))
     cond = suf.isin(REPORT_DOWNLOAD_SUFFIXES) & ~suf.isin(PARTIAL_DOWNLOAD_SUFFIXES) & (F.col("length") > 0)
@@ -40,6 +40,11 @@ def completed_downloads(files: DataFrame, after: dt.datetime | None = None, incl
     return files.where(cond).select("path", name.alias("name"), "length", "modificationTime")
 
 
+def newest_downloads(files: DataFrame, n: int = 20, **options) -> DataFrame:
+    """The ``n`` newest of :func:`completed_downloads`, newest first (ties by path)."""
+    return completed_downloads(files, **options).orderBy(F.desc("modificationTime"), "path").limit(n)
+
+
 def detection_cutoff(started_at: Column, watch_downloads_only: Column, lookback_minutes: Column) -> Column:
     """Download detection cutoff: the attempt start, or start − max(0, look-back) minutes."""
     back = F.greatest(lookback_minutes, F.lit(0))

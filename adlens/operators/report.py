@@ -111,13 +111,43 @@ def report_worthy(issues: DataFrame) -> DataFrame:
 SEVERITY_LABEL = {"high": "urgent", "medium": "watch", "opportunity": "opportunity", "low": "reference"}
 
 
-def action_sheet(issues: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """All issues (no cut) with a severity label and an include label, in priority order."""
+def advertiser_message() -> Column:
+    """What to tell the advertiser about an issue: what was found where, on what evidence, and what is next."""
+    c = F.col
+    return F.when(c("problem") == "insufficient data", F.lit("There is too little data to explain results yet; recent data is needed first.")) \
+        .otherwise(F.concat(c("problem"), F.lit(" for "), c("target"), F.lit(": "), c("evidence"), F.lit(". Next: "),
+                            c("recommended_action"), F.lit(".")))
+
+
+def action_sheet(issues: DataFrame, scope: Sequence[str] = (), advertiser: str = "all accounts") -> DataFrame:
+    """All issues (no cut) with a severity label, an include label and the advertiser's message, in priority order.
+
+    The advertiser is the scope's own value, or ``advertiser`` for an analysis without a scope.
+    """
+    who = F.concat_ws(" / ", *(F.col(k).cast("string") for k in scope)) if scope else F.lit(advertiser)
     lab = F.create_map(*[x for k, v in SEVERITY_LABEL.items() for x in (F.lit(k), F.lit(v))])
     return issues.select(*scope, "issue_rank", F.coalesce(lab[F.col("severity")], F.col("severity")).alias("severity"),
                          "priority_score", "media", "target", "problem", "evidence", "cause_hypothesis",
                          "recommended_action", "expected_effect",
-                         F.when(F.col("report_include"), "include").otherwise("exclude").alias("report_include"))
+                         F.when(F.col("report_include"), "include").otherwise("exclude").alias("report_include"),
+                         who.alias("advertiser"), advertiser_message().alias("advertiser_message"))
+
+
+def issue_blocks(issues: DataFrame, advertiser: str) -> DataFrame:
+    """(line_no, line): a heading and ten lines for each issue of the report, in priority order."""
+    lab = F.create_map(*[x for k, v in SEVERITY_LABEL.items() for x in (F.lit(k), F.lit(v))])
+    c = F.col
+    label = F.coalesce(lab[c("severity")], c("severity"))
+    lines = [F.concat(F.lit("### ["), label, F.lit("] "), c("problem")),
+             F.concat(F.lit("- priority score: "), F.format_number(c("priority_score"), 2)),
+             F.lit(f"- advertiser: {advertiser}"),
+             *(F.concat(F.lit(f"- {name}: "), c(col)) for name, col in (
+                 ("media", "media"), ("target", "target"), ("evidence", "evidence"), ("likely cause", "cause_hypothesis"),
+                 ("recommended action", "recommended_action"), ("expected effect", "expected_effect"))),
+             F.concat(F.lit("- message: "), advertiser_message()),
+             F.concat(F.lit("- report: "), F.when(c("report_include"), "include").otherwise("if needed"))]
+    rows = F.array(*(F.struct((c("issue_rank") * 20 + i).alias("line_no"), x.alias("line")) for i, x in enumerate(lines)))
+    return report_worthy(issues).select(F.inline(rows))
 
 
 def issue_lanes(issues: DataFrame, scope: Sequence[str] = (), per_lane: int = 2) -> DataFrame:
@@ -193,9 +223,7 @@ def report_lines(advertiser: str, summary: DataFrame, recommendations: DataFrame
         F.lit(2).alias("section_no"), F.row_number().over(w_rec).alias("line_no"),
         F.concat(F.lit("- ["), s("priority"), F.lit("] "), s("target"), F.lit(": "), s("issue"), F.lit(" -> "),
                  s("recommended_action")).alias("line"))
-    acts = report_worthy(issues).select(
-        F.lit(3).alias("section_no"), s("issue_rank").alias("line_no"),
-        F.concat(F.lit("- "), s("problem"), F.lit(" ("), s("target"), F.lit("): "), s("evidence")).alias("line"))
+    acts = issue_blocks(issues, advertiser).withColumn("section_no", F.lit(3))
     w_an = Window.orderBy("base_rank", "rule_seq")
     anom = anomalies.select(
         F.lit(4).alias("section_no"), F.row_number().over(w_an).alias("line_no"),
@@ -212,10 +240,10 @@ def report_lines(advertiser: str, summary: DataFrame, recommendations: DataFrame
            .unionByName(acts.select(*cols)).unionByName(anom.select(*cols)).unionByName(mon.select(*cols))
            .unionByName(wk.select(*cols)))
     if mapping is not None:
-        # one line per source header: "header -> canonical" (or "unmapped"), in file / column order
-        w_map = Window.orderBy("source", "position")  # bounded: one row per report column
-        lines = mapping.select(
-            F.lit(7).alias("section_no"), F.row_number().over(w_map).alias("line_no"),
+        # one line per column position and header: "header -> canonical" (or "unmapped"); a folder has
+        # many files but few layouts, so equal lines of different files are one
+        lines = mapping.select("position", "header", "canonical").distinct().select(
+            F.lit(7).alias("section_no"), s("position").alias("line_no"),
             F.concat(F.lit("- "), s("header"), F.lit(" -> "), F.coalesce(s("canonical"), F.lit("unmapped")))
             .alias("line"))
         title = summary.select(F.lit(7).alias("section_no"), F.lit(-1).alias("line_no"),
@@ -255,21 +283,36 @@ def normalise_list(text: Column) -> Column:
 
 
 def audit_report_lines(audits: DataFrame) -> DataFrame:
-    """Audit report: one section per file with counts, media, mapping gaps and readiness."""
+    """Audit report in (file, line_no, line) order: a summary under the empty file name, then a section per file.
+
+    The summary counts the files, those that loaded and those that failed, and the files of each
+    medium. Sections sort by file, so no task numbers the files of the folder.
+    """
     c = F.col
-    w = Window.orderBy("file")  # one row per audited file
-    ranked = audits.withColumn("section_no", F.row_number().over(w))
-    return ranked.select("file", "section_no", F.inline(F.array(
+    failed = F.count_if(c("load_status") == "failed")
+    totals = audits.agg(F.count(F.lit(1)).alias("files"), failed.alias("failed")).select(
+        F.lit("").alias("file"), F.inline(F.array(
+            F.struct(F.lit(0).alias("line_no"), F.lit("# Report audit").alias("line")),
+            F.struct(F.lit(1).alias("line_no"), F.concat(
+                F.lit("- files: "), fmt_count(c("files")), F.lit(", loaded: "), fmt_count(c("files") - c("failed")),
+                F.lit(", failed: "), fmt_count(c("failed"))).alias("line")))))
+    media = audits.groupBy("inferred_media").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("").alias("file"), F.lit(2).alias("line_no"),
+        F.concat(F.lit("- "), c("inferred_media"), F.lit(": "), fmt_count(c("n"))).alias("line"))
+    sections = audits.select("file", F.inline(F.array(
         F.struct(F.lit(0).alias("line_no"), F.concat(F.lit("## "), c("file")).alias("line")),
         F.struct(F.lit(1).alias("line_no"), F.concat(F.lit("- rows: "), fmt_count(c("row_count")), F.lit(", columns: "),
                                                      c("column_count").cast("string")).alias("line")),
         F.struct(F.lit(2).alias("line_no"), F.concat(F.lit("- media: "), c("inferred_media"), F.lit(", advertiser: "),
                                                      c("advertiser")).alias("line")),
-        F.struct(F.lit(3).alias("line_no"), F.concat(F.lit("- unmapped: "),
-                                                     F.array_join(c("unmapped_columns"), ", ")).alias("line")),
+        F.struct(F.lit(3).alias("line_no"), F.concat(F.lit("- unmapped: "), F.coalesce(
+            F.array_join(c("unmapped_columns"), ", "), F.lit(""))).alias("line")),
         F.struct(F.lit(4).alias("line_no"), F.concat(F.lit("- cannot judge: "),
                                                      F.array_join(c("unavailable_fields"), ", ")).alias("line")),
+        F.struct(F.lit(5).alias("line_no"), F.concat(F.lit("- load: "), c("load_status"), F.coalesce(
+            F.concat(F.lit(" ("), c("load_problem"), F.lit(")")), F.lit(""))).alias("line")),
     )))
+    return totals.unionByName(media).unionByName(sections)
 
 
 def plain_text(lines: DataFrame) -> DataFrame:

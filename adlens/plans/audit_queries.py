@@ -201,6 +201,20 @@ FROM f JOIN t USING (lay)"""
     names = ", ".join(f"('{c}')" for c in CANONICAL_COLUMNS)
     missing = f"""WITH m AS ({mapped}), c AS (SELECT * FROM (VALUES {names}) v(canonical)), s AS (SELECT DISTINCT source FROM m)
 SELECT s.source, c.canonical FROM s CROSS JOIN c ANTI JOIN m ON m.source = s.source AND m.canonical = c.canonical"""
-    return {"csv_folder": folder, "folder_extras": extras, "header_mapping": mapped, "missing_canonical": missing,
+    fields = ", ".join(f"CASE WHEN status_{k} = 'cannot_judge' THEN '{k}' END" for k in audit.STATUS_ORDER)
+    report_sql = f"""WITH q AS ({required}),
+l AS (SELECT *, CAST(regexp_extract(file, '([0-9]+)[.]csv$', 1) AS BIGINT) % 4 AS lay,
+             array_to_string(list_filter([{fields}], lambda x: x IS NOT NULL), ', ') AS hold FROM q)
+SELECT '' AS file, 0 AS line_no, '# Report audit' AS line
+UNION ALL SELECT '', 1, '- files: ' || format('{{:,}}', COUNT(*)) || ', loaded: ' || format('{{:,}}', COUNT(*)) || ', failed: 0' FROM l
+UNION ALL SELECT '', 2, '- ' || inferred_media || ': ' || format('{{:,}}', COUNT(*)) FROM l GROUP BY inferred_media
+UNION ALL SELECT file, 0, '## ' || file FROM l
+UNION ALL SELECT file, 1, '- rows: ' || format('{{:,}}', row_count) || ', columns: ' || CAST(column_count AS VARCHAR) FROM l
+UNION ALL SELECT file, 2, '- media: ' || inferred_media || ', advertiser: ' || advertiser FROM l
+UNION ALL SELECT file, 3, '- unmapped: ' || CASE lay WHEN 0 THEN '' WHEN 1 THEN '장바구니, 광고ID' WHEN 2 THEN 'ROAS'
+                                                 ELSE '클릭률' END FROM l
+UNION ALL SELECT file, 4, '- cannot judge: ' || hold FROM l
+UNION ALL SELECT file, 5, '- load: loaded' FROM l"""
+    return {"audit_report": report_sql, "csv_folder": folder, "folder_extras": extras, "header_mapping": mapped, "missing_canonical": missing,
             "audit_required_status": required, "standardize_folder": std_rates, "alias_candidates": cands,
             "media_validation": media, "audit_profiles": profiles}

@@ -42,6 +42,23 @@ EVENT_FACT = """event_fact AS (
   FROM events)"""
 
 
+MONTHLY_ACCOUNT_FACT = AD_FACT.replace("ad_fact AS (", "base_fact AS (", 1) + """,
+ad_fact AS (
+  SELECT date, CASE WHEN month(date) = 3 THEN '네이버 ' || platform ELSE platform END AS platform,
+         account_name || strftime(date, '/%Y-%m') AS account_name, campaign_name, ad_group_name, keyword, product_name,
+         CASE WHEN month(date) IN (1, 3) THEN CAST(0 AS BIGINT) ELSE impressions END AS impressions,
+         CASE WHEN month(date) IN (1, 3) THEN CAST(0 AS BIGINT) ELSE clicks END AS clicks,
+         CASE WHEN month(date) IN (1, 3) THEN CAST(0 AS DECIMAL(18,2)) ELSE cost END AS cost,
+         CASE WHEN month(date) IN (1, 2, 3) THEN CAST(0 AS BIGINT) ELSE conversions END AS conversions,
+         CASE WHEN month(date) IN (1, 2, 3) THEN CAST(0 AS DECIMAL(18,2)) ELSE revenue END AS revenue, orders
+  FROM base_fact)"""
+
+
+def over_monthly_accounts(sql: str) -> str:
+    """The same statement over the monthly account fact."""
+    return sql.replace(AD_FACT, MONTHLY_ACCOUNT_FACT)
+
+
 def sums(prefix: str = "") -> str:
     return ", ".join(f"CAST(COALESCE(SUM({m}), 0) AS DOUBLE) AS {prefix}{m}" for m in MEASURES)
 
@@ -304,19 +321,24 @@ def _case(col: str, pos: int) -> str:
     return f"CASE {col} {whens} END"
 
 
-def recommendations() -> str:
-    return f"""{with_ctes(AD_FACT, _base())},
-an AS ({_anomalies_body()}),
-sm AS (SELECT COUNT(*) AS rows, SUM(impressions) AS impressions, SUM(clicks) AS clicks, SUM(cost) AS cost,
-              SUM(conversions) AS conversions, SUM(revenue) AS revenue FROM ad_fact),
-gate AS (SELECT NOT (rows <= 0 OR (COALESCE(impressions,0) <= 0 AND COALESCE(clicks,0) <= 0 AND COALESCE(cost,0) <= 0
+def recommendations(scope: tuple[str, ...] = ()) -> str:
+    keys = ", ".join(scope)
+    sel = f"{keys}, " if scope else ""
+    grp = f" GROUP BY {keys}" if scope else ""
+    using = f" USING ({keys})" if scope else " ON TRUE"
+    return f"""{with_ctes(AD_FACT, _base(scope))},
+an AS ({_anomalies_body(scope)}),
+cn AS (SELECT {sel}COUNT(*) AS n FROM an{grp}),
+sm AS (SELECT {sel}COUNT(*) AS rows, SUM(impressions) AS impressions, SUM(clicks) AS clicks, SUM(cost) AS cost,
+              SUM(conversions) AS conversions, SUM(revenue) AS revenue FROM ad_fact{grp}),
+gate AS (SELECT {sel}NOT (rows <= 0 OR (COALESCE(impressions,0) <= 0 AND COALESCE(clicks,0) <= 0 AND COALESCE(cost,0) <= 0
                      AND COALESCE(conversions,0) <= 0 AND COALESCE(revenue,0) <= 0)) AS active,
-                (SELECT COUNT(*) FROM an) AS n, cost, conversions FROM sm)
-SELECT base_rank AS rec_no, rule_seq, {_case('rule_code', 0)} AS priority, target, rule_code AS issue,
+                COALESCE(n, 0) AS n, sm.cost, sm.conversions FROM sm LEFT JOIN cn{using})
+SELECT {sel}base_rank AS rec_no, rule_seq, {_case('rule_code', 0)} AS priority, target, rule_code AS issue,
        {_case('rule_code', 1)} AS recommended_action, {_case('rule_code', 2)} AS expected_effect, severity AS risk_level
-FROM an WHERE (SELECT active FROM gate)
+FROM an JOIN (SELECT {sel}active FROM gate) g{using} WHERE active
 UNION ALL
-SELECT 0, 0, CASE WHEN cost > 0 AND conversions = 0 THEN 'P1' ELSE 'P3' END, 'all',
+SELECT {sel}0, 0, CASE WHEN cost > 0 AND conversions = 0 THEN 'P1' ELSE 'P3' END, 'all',
        CASE WHEN cost > 0 AND conversions = 0 THEN 'no_conversion_data' ELSE 'no_urgent_point' END,
        CASE WHEN cost > 0 AND conversions = 0 THEN 'check conversion tracking and the raw data by period and media'
             ELSE 'review top-spend and top-ROAS campaigns' END,

@@ -36,6 +36,10 @@ def analysis_oracles() -> dict[str, str]:
     q["recommendations"] = o.recommendations()
     q["action_issues"] = o.action_issues()
     q["action_issues_by_account"] = o.action_issues(acct)
+    q["action_issues_by_month"] = o.over_monthly_accounts(o.action_issues(acct))
+    q["recommendations_by_month"] = o.over_monthly_accounts(o.recommendations(acct))
+    q["health_score_by_month"] = o.over_monthly_accounts(o.health_score(acct))
+    q["recent_comparison_by_month"] = o.over_monthly_accounts(o.recent_comparison(acct))
     q["issues_top3"] = o.action_issues(top=3)
     q["health_score"] = o.health_score()
     q["health_score_by_account"] = o.health_score(acct)

@@ -70,6 +70,12 @@ def analysis_queries() -> dict[str, Query]:
     q["recommendations"] = lambda spark, sf: rules.recommendations(_fact(spark, sf))
     q["action_issues"] = lambda spark, sf: issues.action_issues(_fact(spark, sf))
     q["action_issues_by_account"] = lambda spark, sf: issues.action_issues(_fact(spark, sf), BY_ACCOUNT)
+    q["action_issues_by_month"] = lambda spark, sf: issues.action_issues(tables.monthly_account_fact(spark, sf), BY_ACCOUNT)
+    q["recommendations_by_month"] = lambda spark, sf: rules.recommendations(tables.monthly_account_fact(spark, sf),
+                                                                            BY_ACCOUNT)
+    q["health_score_by_month"] = lambda spark, sf: issues.health_score(tables.monthly_account_fact(spark, sf), BY_ACCOUNT)
+    q["recent_comparison_by_month"] = lambda spark, sf: compare.recent_comparison(
+        tables.monthly_account_fact(spark, sf), BY_ACCOUNT)
     q["issues_top3"] = lambda spark, sf: issues.top_issues(issues.action_issues(_fact(spark, sf)))
     q["health_score"] = lambda spark, sf: issues.health_score(_fact(spark, sf))
     q["health_score_by_account"] = lambda spark, sf: issues.health_score(_fact(spark, sf), BY_ACCOUNT)

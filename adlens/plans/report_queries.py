@@ -38,6 +38,10 @@ def report_queries() -> dict:
     }
 
 
+MESSAGE = """CASE WHEN problem = 'insufficient data' THEN 'There is too little data to explain results yet; recent data is needed first.'
+       ELSE problem || ' for ' || target || ': ' || evidence || '. Next: ' || recommended_action || '.' END"""
+
+
 def _cnt(x):
     return f"format('{{:,.0f}}', CAST({x} AS DOUBLE))"
 
@@ -68,7 +72,40 @@ def report_oracles() -> dict:
     header = "| " + " | ".join(["period_label", "period_start", "period_end", "impressions", "clicks", "cost",
                                 "conversions", "revenue", "ctr", "cpc", "cvr", "cpa", "roas"]) + " |"
     sep = "| " + " | ".join(["---"] * 13) + " |"
+    def markdown(grain: str) -> str:
+        return f"""(WITH m AS ({o.period(grain)})
+SELECT 0 AS line_no, '{header}' AS line
+UNION ALL SELECT 1, '{sep}'
+UNION ALL SELECT CAST(ROW_NUMBER() OVER (ORDER BY period_start, period_label) + 1 AS INTEGER), '| ' || {row} || ' |' FROM m)"""
+
+    narrative = f"""WITH s AS ({summary}), r AS ({o.recommendations()}), i AS ({iss}), a AS ({o.anomalies()}),
+lines AS (
+  SELECT 1 AS section_no, unnest([0, 1, 2, 3, 4, 5, 6]) AS line_no,
+         unnest(['# all accounts ad performance report', '- rows: ' || {_cnt('rows')}, '- cost: ' || {_money('cost')},
+                 '- revenue: ' || {_money('revenue')}, '- roas: ' || {_pct('roas')}, '- ctr: ' || {_pct('ctr')},
+                 '- cvr: ' || {_pct('cvr')}]) AS line FROM s
+  UNION ALL SELECT * FROM (VALUES (2, -1, '## Recommendations'), (3, -1, '## Today''s actions'), (4, -1, '## Anomalies'),
+                                  (5, -1, '## Monthly'), (6, -1, '## Weekly')) t
+  UNION ALL SELECT 2, CAST(ROW_NUMBER() OVER (ORDER BY rec_no, rule_seq) AS INTEGER),
+                   '- [' || priority || '] ' || target || ': ' || issue || ' -> ' || recommended_action FROM r
+  UNION ALL SELECT 3, issue_rank * 20 + unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]), unnest([
+              '### [' || CASE severity WHEN 'high' THEN 'urgent' WHEN 'medium' THEN 'watch' WHEN 'opportunity' THEN 'opportunity'
+                         WHEN 'low' THEN 'reference' ELSE severity END || '] ' || problem,
+              '- priority score: ' || format('{{:,.2f}}', CAST(priority_score AS DOUBLE)), '- advertiser: all accounts',
+              '- media: ' || media, '- target: ' || target, '- evidence: ' || evidence,
+              '- likely cause: ' || cause_hypothesis, '- recommended action: ' || recommended_action,
+              '- expected effect: ' || expected_effect, '- message: ' || {MESSAGE},
+              '- report: ' || CASE WHEN report_include THEN 'include' ELSE 'if needed' END]) FROM i
+            WHERE report_include OR problem = 'insufficient data' OR severity IN ('high', 'medium', 'opportunity')
+  UNION ALL SELECT 4, CAST(ROW_NUMBER() OVER (ORDER BY base_rank, rule_seq) AS INTEGER),
+                   '- ' || severity || ' / ' || rule_code || ' / ' || target || ' / ' || {_money('cost')} FROM a
+  UNION ALL SELECT 5, line_no, line FROM {markdown('monthly')} m
+  UNION ALL SELECT 6, line_no, line FROM {markdown('weekly')} w)
+SELECT section_no, line_no, line FROM lines"""
     return {
+        "report_lines": narrative,
+        "report_plain_text": f"""WITH t AS ({narrative})
+SELECT section_no, line_no, regexp_replace(line, '[#*]', '', 'g') AS line FROM t""",
         "formatted_summary": f"""WITH s AS ({summary})
 SELECT {_cnt('rows')} AS rows, {_cnt('impressions')} AS impressions, {_cnt('clicks')} AS clicks,
        {_money('cost')} AS cost, {_cnt('conversions')} AS conversions, {_money('revenue')} AS revenue,
@@ -91,7 +128,8 @@ SELECT * FROM (SELECT lane, CAST(ROW_NUMBER() OVER (PARTITION BY lane ORDER BY i
 SELECT issue_rank, CASE severity WHEN 'high' THEN 'urgent' WHEN 'medium' THEN 'watch'
                     WHEN 'opportunity' THEN 'opportunity' WHEN 'low' THEN 'reference' ELSE severity END AS severity,
        priority_score, media, target, problem, evidence, cause_hypothesis, recommended_action, expected_effect,
-       CASE WHEN report_include THEN 'include' ELSE 'exclude' END AS report_include FROM i""",
+       CASE WHEN report_include THEN 'include' ELSE 'exclude' END AS report_include,
+       'all accounts' AS advertiser, {MESSAGE} AS advertiser_message FROM i""",
         "severity_counts": f"""WITH a AS ({o.anomalies()})
 SELECT severity, COUNT(*) AS n, COUNT(*) / SUM(COUNT(*)) OVER () AS share FROM a GROUP BY severity""",
         "top_campaign_by_cost": f"""{o.with_ctes(o.AD_FACT)}

@@ -10,9 +10,11 @@ from adlens.streaming import watch
 
 def stream_queries() -> dict:
     return {
+        # update mode: a trigger emits only the days, or media, that changed (upsert on read), and
+        # days behind the watermark leave the state
         "stream_daily_kpi": lambda spark, sf: watch.streamed(
-            lambda s: watch.daily_kpi_stream(tables.event_fact_from(s)), spark, sf, "events.parquet", "daily_kpi"),
-        # update mode: each trigger emits only the media whose state changed (upsert on read)
+            lambda s: watch.daily_kpi_stream(tables.event_fact_from(s)), spark, sf, "events.parquet", "daily_kpi",
+            output_mode="update", key="period_label"),
         "stream_media_health": lambda spark, sf: watch.streamed(
             lambda s: watch.media_health_stream(tables.collection_log_from(s), AS_OF), spark, sf, "events.parquet",
             "media_health", output_mode="update", key="media"),

@@ -66,6 +66,21 @@ def ad_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def monthly_account_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ad fact with one account per supplier and month: small scopes that reach every fallback rule.
+
+    January and March have no performance at all (March on search-ads media), February no conversions.
+    """
+    f = ad_fact(spark, sf_dir)
+    month, zero = F.month("date"), F.lit(0)
+    quiet = lambda m, months: F.when(month.isin(*months), zero.cast(dict(f.dtypes)[m])).otherwise(F.col(m)).alias(m)
+    return f.select(
+        "date", F.when(month == 3, F.concat(F.lit("네이버 "), "platform")).otherwise(F.col("platform")).alias("platform"),
+        F.concat("account_name", F.date_format("date", "/yyyy-MM")).alias("account_name"), "campaign_name", "ad_group_name",
+        "keyword", "product_name", quiet("impressions", (1, 3)), quiet("clicks", (1, 3)), quiet("cost", (1, 3)),
+        quiet("conversions", (1, 2, 3)), quiet("revenue", (1, 2, 3)), "orders")
+
+
 def event_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ad fact over the click-stream ``events`` table (100 campaigns, 5 accounts)."""
     return event_fact_from(read_table(spark, sf_dir, "events"))
