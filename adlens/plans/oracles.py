@@ -67,4 +67,6 @@ def all_oracles() -> dict[str, str]:
     q.update(stream_oracles())
     from adlens.plans.extra_queries import extra_oracles
     q.update(extra_oracles())
+    from adlens.plans.text_queries import text_oracles
+    q.update(text_oracles())
     return q

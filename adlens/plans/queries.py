@@ -112,4 +112,6 @@ def all_queries() -> dict[str, Query]:
     q.update(stream_queries())
     from adlens.plans.extra_queries import extra_queries
     q.update(extra_queries())
+    from adlens.plans.text_queries import text_queries
+    q.update(text_queries())
     return q
