@@ -8,12 +8,14 @@ them by an equi-join on the group, so each pair of blocks is one tile and one ro
 In a tile the int8 product gives every inner product up to a bound: with x = s q + e the
 error is at most ``s|q| |f| + |e| s'|q'| + |e| |f|``. A pair survives if its upper bound
 reaches the k-th largest lower bound of its query in the tile; survivors are recomputed in
-double precision on the original vectors and a heap of k per query leaves the tile. Heaps
-are merged per query by a top-k window that cuts each task's rows to k before the shuffle.
+double precision on the original vectors and a heap of k per query leaves the tile. The
+heaps of one query block against the blocks of a group are merged in the task, and those of
+the groups by a top-k window that cuts each task's rows to k before the shuffle.
 Nothing that could be among the k nearest is ever dropped, so recall is 1.
 
-Scale: blocks are bounded rows, no task holds more than one tile (plus the heaps of its
-blocks); the queries are a stated set, sent once to each of ``groups`` partitions.
+Scale: blocks are bounded rows; a task holds one tile, the heaps of one query block and the
+blocks of one group (about ``BLOCKS_PER_GROUP``); the queries are a stated set, sent once to
+each group.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component
 take no part; so do rows without an id; only vectors of one length are compared; repeated
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from adlens.llm.common import partitions_for, written
 
 BLOCK = 2048
+BLOCKS_PER_GROUP = 32
 _BLOCKS = "dim int, n int, ids binary, codes binary, numbers binary, vectors binary"
 
 
@@ -107,40 +110,54 @@ def tile(queries, candidates, k: int):
         high = np.where(high >= least[:, None], high, -np.inf)
     q, c = np.nonzero(high > -np.inf)
     score = inner(qv[q], cv[c])
-    order = np.lexsort((ci[c], -score, q))
-    q, c, score = q[order], c[order], score[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q, side="left")
-    best = rank < k
-    return qi[q[best]], ci[c[best]], score[best]
+    return best(qi[q], ci[c], score, k)
+
+
+def best(query: np.ndarray, candidate: np.ndarray, score: np.ndarray, k: int):
+    """The ``k`` largest scores of each query id, ties to the smaller candidate."""
+    order = np.lexsort((candidate, -score, query))
+    query, candidate, score = query[order], candidate[order], score[order]
+    first = np.arange(len(query)) - np.searchsorted(query, query, side="left") < k
+    return query[first], candidate[first], score[first]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, groups: int | None = None, rows: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` candidates of largest inner product of each query."""
     spark = vectors.sparkSession
-    groups = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = ("dim", "n", "ids", "codes", "numbers", "vectors")
-    c = written(blocks(vectors, rows), "blocks")
+    n = vectors.select("vec_id").count()
+    c = written(blocks(vectors.coalesce(partitions_for(n, rows)), rows), "blocks")
     asked = (vectors.filter(is_query).filter(usable(F.col("vec_id"), F.col("embedding"))).groupBy("vec_id")
              .agg(F.min("embedding").alias("embedding")))
     asked = written(asked, "queries")
     q = written(blocks(asked.repartition(partitions_for(asked.count(), rows)), rows), "query-blocks")
-    # every candidate block is its own key: its content decides the group, so equal groups are even
+    made = max(1, c.count())
+    groups = groups or min(made, max(int(spark.conf.get("spark.sql.shuffle.partitions")), made // BLOCKS_PER_GROUP))
     c = c.withColumn("group", F.pmod(F.xxhash64("ids", "codes"), F.lit(groups)))
     used = c.select("group", F.col("dim").alias("q_dim")).distinct()
     q = q.select(*(F.col(x).alias(f"q_{x}") for x in names))
     sent = q.join(used, "q_dim").withColumnRenamed("group", "q_group")
-    tiles = c.join(sent, (c["group"] == sent["q_group"]) & (c["dim"] == sent["q_dim"]))
+    # queries on the left: a merge join then pairs one query block with all blocks of its group in a row
+    tiles = sent.join(c, (c["group"] == sent["q_group"]) & (c["dim"] == sent["q_dim"]))
 
     def run(batches):
+        block, heap = None, None
         for b in batches:
             cols = [b.column(i) for i in range(b.num_columns)]
             for r in range(b.num_rows):
                 x = [col[r].as_py() for col in cols]
-                qi, ci, score = tile(_block(*x[6:]), _block(*x[:6]), k)
-                yield pa.record_batch([pa.array(qi), pa.array(ci), pa.array(score)], ["query_id", "vec_id", "score"])
+                found = tile(_block(*x[6:]), _block(*x[:6]), k)
+                if block == x[8]:
+                    heap = best(*(np.concatenate(p) for p in zip(heap, found)), k)
+                    continue
+                if block is not None:
+                    yield pa.record_batch([pa.array(p) for p in heap], ["query_id", "vec_id", "score"])
+                block, heap = x[8], found
+        if block is not None:
+            yield pa.record_batch([pa.array(p) for p in heap], ["query_id", "vec_id", "score"])
 
     heaps = (tiles.select(*names, *(f"q_{x}" for x in names))
              .mapInArrow(run, "query_id long, vec_id long, score double"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (heaps.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    in_order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return (heaps.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
