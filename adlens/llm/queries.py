@@ -96,5 +96,39 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN r USING (payload_digest)"""
 
 
+_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS place,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (
+  SELECT source, sum(size) AS source_size, CAST(sum(size) * 3 AS DOUBLE) AS cap,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM d GROUP BY source),
+w AS (SELECT *, CAST(number % 3 + 1 AS DOUBLE) AS weight FROM s),
+o AS (
+  SELECT *, row_number() OVER r AS turn,
+         (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW r AS (ORDER BY cap / weight, number)),
+t AS (
+  SELECT source, source_size, number, least(cap, weight * (
+    SELECT arg_min(level, turn) FROM o WHERE level * weight <= cap)) AS target FROM o),
+l AS (
+  SELECT d.*, t.number, t.source_size, t.target, coalesce(sum(size) OVER (
+    PARTITION BY t.number ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(3, greatest(0, ceil((target - (start + size / 2.0)) / source_size)))
+                 ELSE 1 END AS copies FROM l),
+m AS (SELECT *, target - sum(copies * size) OVER (PARTITION BY number) AS miss FROM k),
+g AS (
+  SELECT *, abs(abs(miss) - size) AS gain, row_number() OVER (
+    PARTITION BY number ORDER BY CASE WHEN abs(abs(miss) - size) < abs(miss)
+      AND CASE WHEN miss > 0 THEN copies < 3 ELSE copies > 0 END THEN 0 ELSE 1 END,
+      abs(abs(miss) - size), place, doc_id, start) AS nth FROM m)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * (copies + CASE
+  WHEN nth = 1 AND gain < abs(miss) AND CASE WHEN miss > 0 THEN copies < 3 ELSE copies > 0 END THEN sign(miss) ELSE 0 END)
+  AS BIGINT) AS taken FROM g"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op1_warc_reassembly": _PAGES, "op8_block_matrix_join": _NEAREST}
+    return {"op10_curriculum_mixing": _MIX, "op1_warc_reassembly": _PAGES, "op8_block_matrix_join": _NEAREST}
