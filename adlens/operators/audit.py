@@ -229,15 +229,27 @@ def profile_label(media: Column, version: Column) -> Column:
             .when(version != "unknown", version).otherwise(F.lit("generic_ad_file")))
 
 
-def media_validation(audits: DataFrame, media: list[str]) -> DataFrame:
-    """Validation status for each listed media: validated on a real file, or pending."""
+def media_validation(audits: DataFrame, media: list[str], profiles: DataFrame | None = None) -> DataFrame:
+    """Validation status for each listed media: on a real file, on a profile audit only, or pending."""
     spark = audits.sparkSession
     wanted = spark.createDataFrame([(m,) for m in media], "inferred_media string")
     have = audits.groupBy("inferred_media").agg(F.count(F.lit(1)).alias("files"))
     j = wanted.join(have, "inferred_media", "left")
+    known = F.lit(False)
+    if profiles is not None:
+        j = j.join(profiles.select("inferred_media").distinct().withColumn("_profile", F.lit(True)), "inferred_media", "left")
+        known = F.coalesce("_profile", F.lit(False))
     return j.select("inferred_media", F.coalesce("files", F.lit(0)).alias("files"),
-                    F.when(F.col("files") > 0, F.lit("validated_real_file")).otherwise(F.lit("pending_no_file"))
-                    .alias("validation_status"))
+                    F.when(F.col("files") > 0, F.lit("validated_real_file")).when(known, F.lit("validated_profile"))
+                    .otherwise(F.lit("pending_no_file")).alias("validation_status"))
+
+
+def with_profile_audits(audits: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The audits of real files, and the profile audits of the media that have none, told apart by ``audit_source``."""
+    real = audits.select("inferred_media").distinct()
+    rest = profiles.join(real, "inferred_media", "left_anti")
+    return audits.withColumn("audit_source", F.lit("real_file")).unionByName(
+        rest.withColumn("audit_source", F.lit("profile")), allowMissingColumns=True)
 
 
 def alias_candidates(mapping: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from adlens.operators import audit, report
 from adlens.operators.ingest import map_headers, missing_canonical
 from adlens.session import checkpoint_dir, materialize
 from adlens.sources.reports import awkward_lines, derived_report_lines, read_report_lines, write_lines
+from adlens.sources.tables import read_table
 
 
 def _lines(spark, sf):
@@ -26,6 +27,14 @@ def _mapping(spark, sf):
     return map_headers(audit.header_catalog_from_lines(_lines(spark, sf)))
 
 
+def _profiles(spark, sf):
+    """Profile audits of two media, one per nation: what a medium's known layout says before any file arrived."""
+    n = read_table(spark, sf, "nation").select("n_nationkey", "n_name")
+    medium = F.when(F.col("n_nationkey") % 2 == 0, MARKETPLACE_MEDIA[0]).otherwise(MARKETPLACE_MEDIA[1])
+    return n.select(F.concat(F.lit("profile/"), "n_name").alias("file"), medium.alias("inferred_media"),
+                    F.lit(0).cast("long").alias("row_count"))
+
+
 def _csv_folder(spark, sf):
     """The derived reports with awkward shapes, written as CSV files and read back."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/adlens-tables/csv-{uuid.uuid4().hex}"
@@ -57,6 +66,10 @@ def audit_queries() -> dict:
             map_headers(audit.header_catalog_from_lines(_lines(spark, sf)))),
         "media_validation": lambda spark, sf: audit.media_validation(
             audit.file_audit(_lines(spark, sf), False), MARKETPLACE_MEDIA),
+        "media_validation_profiles": lambda spark, sf: audit.media_validation(
+            audit.file_audit(_lines(spark, sf), False), MARKETPLACE_MEDIA, _profiles(spark, sf)),
+        "audits_with_profiles": lambda spark, sf: audit.with_profile_audits(
+            audit.file_audit(_lines(spark, sf), False).select("file", "inferred_media", "row_count"), _profiles(spark, sf)),
         "audit_report": lambda spark, sf: report.audit_report_lines(audit.file_audit(_lines(spark, sf), False)),
         "audit_profiles": lambda spark, sf: audit.file_audit(_lines(spark, sf), False).select(
             "file", "inferred_media", "report_version", "profile_label"),
@@ -201,6 +214,16 @@ FROM f JOIN t USING (lay)"""
     names = ", ".join(f"('{c}')" for c in CANONICAL_COLUMNS)
     missing = f"""WITH m AS ({mapped}), c AS (SELECT * FROM (VALUES {names}) v(canonical)), s AS (SELECT DISTINCT source FROM m)
 SELECT s.source, c.canonical FROM s CROSS JOIN c ANTI JOIN m ON m.source = s.source AND m.canonical = c.canonical"""
+    profiled = f"""WITH m AS ({media}),
+p AS (SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN '{MARKETPLACE_MEDIA[0]}' ELSE '{MARKETPLACE_MEDIA[1]}' END AS pm FROM nation)
+SELECT inferred_media, files, CASE WHEN files > 0 THEN 'validated_real_file' WHEN inferred_media IN (SELECT pm FROM p)
+       THEN 'validated_profile' ELSE 'pending_no_file' END AS validation_status FROM m"""
+    both = f"""WITH q AS ({required}),
+p AS (SELECT 'profile/' || n_name AS file, CASE WHEN n_nationkey % 2 = 0 THEN '{MARKETPLACE_MEDIA[0]}'
+             ELSE '{MARKETPLACE_MEDIA[1]}' END AS inferred_media FROM nation)
+SELECT file, inferred_media, row_count, 'real_file' AS audit_source FROM q
+UNION ALL SELECT file, inferred_media, CAST(0 AS BIGINT), 'profile' FROM p
+WHERE inferred_media NOT IN (SELECT inferred_media FROM q)"""
     fields = ", ".join(f"CASE WHEN status_{k} = 'cannot_judge' THEN '{k}' END" for k in audit.STATUS_ORDER)
     report_sql = f"""WITH q AS ({required}),
 l AS (SELECT *, CAST(regexp_extract(file, '([0-9]+)[.]csv$', 1) AS BIGINT) % 4 AS lay,
@@ -215,6 +238,6 @@ UNION ALL SELECT file, 3, '- unmapped: ' || CASE lay WHEN 0 THEN '' WHEN 1 THEN
                                                  ELSE '클릭률' END FROM l
 UNION ALL SELECT file, 4, '- cannot judge: ' || hold FROM l
 UNION ALL SELECT file, 5, '- load: loaded' FROM l"""
-    return {"audit_report": report_sql, "csv_folder": folder, "folder_extras": extras, "header_mapping": mapped, "missing_canonical": missing,
+    return {"media_validation_profiles": profiled, "audits_with_profiles": both, "audit_report": report_sql, "csv_folder": folder, "folder_extras": extras, "header_mapping": mapped, "missing_canonical": missing,
             "audit_required_status": required, "standardize_folder": std_rates, "alias_candidates": cands,
             "media_validation": media, "audit_profiles": profiles}
