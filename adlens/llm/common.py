@@ -6,6 +6,8 @@ import math
 import struct
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from adlens.session import checkpoint_dir
@@ -70,6 +72,20 @@ def records(content: bytes):
         at += n + 5
 
 
+def column_chunks(column, limit: int = CHUNK_CHARS):
+    """(first position, texts) of runs of an Arrow string column of about ``limit`` bytes at most, one text at least.
+
+    Only one run at a time becomes Python strings; a null is an empty text.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield at, [t or "" for t in column.slice(at, end - at).to_pylist()]
+        at = end
+
+
 def text_chunks(texts, limit: int = CHUNK_CHARS):
     """Runs of consecutive positions whose texts hold about ``limit`` characters at most (one at least)."""
     run, size = [], 0

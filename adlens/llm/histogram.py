@@ -18,7 +18,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from adlens.llm.common import text_chunks, written
+from adlens.llm.common import column_chunks, written
 from adlens.llm.tokens import encoder
 
 RANGE = 4096  # lengths that one window task takes
@@ -30,8 +30,7 @@ def lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
         enc = encoder(tokenizer)
         size = enc.dtype.itemsize
         for b in batches:
-            texts = b.column("text").to_pylist()
-            out = [len(raw) // size for some in text_chunks(texts) for raw in enc.encode([texts[i] or "" for i in some])]
+            out = [len(raw) // size for _, texts in column_chunks(b.column("text")) for raw in enc.encode(texts)]
             yield pa.record_batch([pa.array(out, pa.int64())], ["n_tokens"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n_tokens long")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from adlens.llm.common import partitions_for, text_chunks, written
+from adlens.llm.common import column_chunks, partitions_for, written
 from adlens.llm.tokens import encoder, ids_crc32
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -44,10 +44,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     def run(batches):
         enc = encoder(tokenizer)
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            out = []
-            for some in text_chunks(texts):
-                for i, raw in zip(some, enc.encode([texts[i] or "" for i in some])):
+            ids, out = b.column("doc_id").to_pylist(), []
+            for at, texts in column_chunks(b.column("text")):
+                for i, raw in enumerate(enc.encode(texts), at):
                     tokens = np.append(enc.ids(raw), np.uint32(end_id))
                     out += [(ids[i], k, s, n, ids_crc32(tokens[s:s + n]))
                             for k, (s, n) in enumerate(cut(len(tokens), capacity))]

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from adlens.llm.common import framed, partitions_for, records, shared_path, text_chunks, write_records, written
+from adlens.llm.common import column_chunks, framed, partitions_for, records, shared_path, write_records, written
 from adlens.llm.tokens import encoder, ids_crc32
 
 LANES = 128
@@ -198,11 +198,10 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-            for some in text_chunks(texts):
-                raws = [r + end for r in enc.encode([texts[i] or "" for i in some])]
+            for at, texts in column_chunks(b.column("text")):
+                raws = [r + end for r in enc.encode(texts)]
                 yield pa.record_batch([
-                    ids.slice(some[0], len(some)), pa.array(raws, pa.binary()),
+                    b.column("doc_id").slice(at, len(raws)), pa.array(raws, pa.binary()),
                     pa.array([len(r) // enc.dtype.itemsize for r in raws], pa.int64()),
                     pa.array([ids_crc32(enc.ids(r)) for r in raws], pa.int64())], ["doc_id", "ids", "n_tokens", "ids_crc32"])
 

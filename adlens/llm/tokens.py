@@ -10,7 +10,6 @@ longer white space than single blanks and line feeds are cut by a stricter patte
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import zlib
@@ -24,7 +23,7 @@ _PIECES = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
 # One word of Latin letters with ASCII punctuation (no apostrophe) after it.
 _WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 TOGETHER = 512
 
 
@@ -64,14 +63,12 @@ class PieceEncoder:
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
         from tokenizers import Tokenizer
-        with open(path, encoding="utf-8") as f:
-            kind = json.load(f)
-        pre, model = kind.get("pre_tokenizer") or {}, kind["model"]
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
-        self.splits = (kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and model.get("type") == "BPE"
-                       and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not model.get("dropout"))
+        pre = self.tok.pre_tokenizer
+        self.splits = (self.tok.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space
+                       and pre.use_regex and type(self.model).__name__ == "BPE" and not self.model.dropout)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.limit, self.cache = cache_pieces, _Cache()
         self.letters, self.marks, self.kind = _byte_letters(), {}, "H" if self.dtype.itemsize == 2 else "I"

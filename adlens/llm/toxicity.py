@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adlens.llm.common import text_chunks
+from adlens.llm.common import column_chunks, text_chunks
 
 MAX_DOCUMENTS = 6000
 MAX_CHARS = 40_000
@@ -42,7 +42,7 @@ MAX_SEGMENTS = 16_000
 CHAIN = 64
 EVIDENCE = 18.0        # likelihood-ratio statistic: chance of about one in 50,000 per feature
 ROUNDS = 60
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 BUCKETS = 1 << 20      # hashed features
 
 PREFIXES = (3, 4, 5, 6, 7)
@@ -296,11 +296,11 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS
     return fit([r["text"] for r in got], np.array([min(1, max(0, r["y"])) for r in got], int))
 
 
-def _scored(model: Model, texts: list[str | None]):
-    """Marginals and scores of a batch, in bounded amounts of text."""
-    for some in text_chunks(texts):
-        ps = marginals(model, [texts[i] or "" for i in some])
-        yield from zip(some, ps, model.score(aggregate(ps)).tolist())
+def _scored(model: Model, column):
+    """Text, marginals and score of every row of an Arrow string column, in bounded amounts of text."""
+    for _, texts in column_chunks(column):
+        ps = marginals(model, texts)
+        yield from zip(texts, ps, model.score(aggregate(ps)).tolist())
 
 
 def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[tuple[int, int, float]]:
@@ -322,11 +322,10 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
             scores, found = [], []
-            for i, p, s in _scored(model, texts):
+            for text, p, s in _scored(model, b.column("text")):
                 scores.append(s)
-                found.append([dict(zip(("begin", "end", "probability"), x)) for x in spans(texts[i], p)]
+                found.append([dict(zip(("begin", "end", "probability"), x)) for x in spans(text, p)]
                              if len(p) and p.max() >= 0.5 else [])
             yield pa.record_batch([b.column("doc_id"), pa.array(scores, pa.float64()),
                                    pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(found, kind)],
@@ -343,8 +342,7 @@ def clean_rows(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = b.column(text).to_pylist()
-            keep = [s < 0.5 for _, _, s in _scored(model, texts)]
+            keep = [s < 0.5 for _, _, s in _scored(model, b.column(text))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -35,6 +35,17 @@ def test_pieces_join_to_the_whole(tok):
                 assert (e.ids(raw) == whole(tok, t)).all(), repr(t)
 
 
+def test_column_chunks_cover_every_row():
+    import pyarrow as pa
+    from adlens.llm.common import column_chunks
+    column = pa.array(["a" * 10, None, "", "é" * 15, "c"], pa.string())
+    for part in (column, column.slice(1, 3), column.slice(0, 0)):
+        for limit in (1, 12, 1000):
+            got = list(column_chunks(part, limit))
+            assert [t for _, ts in got for t in ts] == [t or "" for t in part.to_pylist()]
+            assert [at for at, _ in got] == list(np.cumsum([0] + [len(ts) for _, ts in got]))[:len(got)]
+
+
 def test_range_coder_round_trips():
     rnd = np.random.default_rng(0)
     for ids in (np.zeros(0, "<u4"), np.full(70_000, 7, "<u4"), rnd.zipf(1.3, 200_000).clip(0, 50_000).astype("<u4"),
