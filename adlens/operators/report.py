@@ -191,8 +191,12 @@ def top_label(table: DataFrame, metric: str, label: str, scope: Sequence[str] =
     return table.groupBy(*scope).agg(F.max_by(F.col(label), F.struct(F.col(metric), F.col(label))).alias("top_label"))
 
 
-def dashboard_counters(fact: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row: distinct accounts / campaigns / platforms and issue counts by severity."""
+def dashboard_counters(fact: DataFrame, issues: DataFrame, files: DataFrame | None = None,
+                       channels: DataFrame | None = None) -> DataFrame:
+    """One row: distinct accounts / campaigns / platforms and issue counts by severity.
+
+    With a file inventory also its raw files and reports, with the active channels their number.
+    """
     valid = lambda c: F.when((F.trim(F.col(c)) != "") & (F.col(c) != UNCLASSIFIED), F.col(c))
     f = fact.agg(F.countDistinct(valid("account_name")).alias("accounts"),
                  F.countDistinct(valid("campaign_name")).alias("campaigns"),
@@ -200,8 +204,17 @@ def dashboard_counters(fact: DataFrame, issues: DataFrame) -> DataFrame:
     i = issues.agg(F.count(F.lit(1)).alias("issues"), F.count_if(F.col("severity") == "high").alias("critical"),
                    F.count_if(F.col("severity") == "medium").alias("warning"),
                    F.count_if(F.col("report_include")).alias("report_due"))
-    packed = i.select(F.struct(*i.columns).alias("s")).scalar()
-    return f.select("*", packed.alias("s")).select(*f.columns, "s.*")
+    parts = [i]
+    if files is not None:
+        under = lambda d: F.count_if(F.col("path").startswith(f"data/{d}/"))
+        parts.append(files.agg(under("raw").alias("raw_files"), under("reports").alias("reports")))
+    if channels is not None:
+        parts.append(channels.agg(F.count(F.lit(1)).alias("channels")))
+    out = f
+    for part in parts:  # one row each, attached as scalar subqueries
+        packed = part.select(F.struct(*part.columns).alias("s")).scalar()
+        out = out.select("*", packed.alias("s")).select(*out.columns, "s.*")
+    return out
 
 
 def report_lines(advertiser: str, summary: DataFrame, recommendations: DataFrame, issues: DataFrame,

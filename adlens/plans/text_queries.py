@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from adlens.operators import collection, compare, files, issues, report, rules
+from adlens.operators.channels import active_channels
 from adlens.plans import oracle_sql as o
+from adlens.plans.extra_queries import _registry
 from adlens.sources import tables
 
 ACCOUNT = ["account_name"]
@@ -56,12 +58,16 @@ def text_queries() -> dict:
         "localized_anomalies": lambda spark, sf: report.localize(
             rules.anomalies(tables.ad_fact(spark, sf)).select("severity", "target", "rule_code", "cost"), LABELS,
             {"severity": SEVERITIES}),
+        "dashboard_counters_all": lambda spark, sf: report.dashboard_counters(
+            tables.ad_fact(spark, sf), issues.action_issues(tables.ad_fact(spark, sf)), tables.file_inventory(spark, sf),
+            active_channels(_registry(spark, sf))),
         "newest_downloads": lambda spark, sf: files.newest_downloads(tables.file_inventory(spark, sf)),
     }
 
 
 def text_oracles() -> dict:
     from adlens.plans.file_queries import INV
+    from adlens.plans.report_queries import report_oracles
     iss = o.over_monthly_accounts(o.action_issues(("account_name",)))
     cmp = o.over_monthly_accounts(o.recent_comparison(("account_name",)))
     wording = "problem"
@@ -89,6 +95,10 @@ SELECT account_name, metric, CASE WHEN previous = 0 THEN 'no previous period' WH
         "item_lists": "SELECT p_partkey, trim(p_name) || ', ' || trim(p_brand) AS items FROM part",
         "localized_anomalies": f"""WITH a AS ({o.anomalies()})
 SELECT CASE severity {severity} ELSE severity END AS "심각도", target AS "대상", rule_code AS "규칙", cost FROM a""",
+        "dashboard_counters_all": f"""WITH d AS ({report_oracles()["dashboard_counters"]}), {INV}
+SELECT d.*, (SELECT COUNT(*) FROM inv WHERE starts_with(path, 'data/raw/')) AS raw_files,
+       (SELECT COUNT(*) FROM inv WHERE starts_with(path, 'data/reports/')) AS reports,
+       (SELECT COUNT(*) FROM nation WHERE n_nationkey % 5 <> 4) AS channels FROM d""",
         "newest_downloads": f"""WITH {INV}
 SELECT path, regexp_extract(path, '([^/]+)$', 1) AS name, length, modificationTime FROM inv
 WHERE regexp_matches(lower(path), '[.](csv|xlsx|xls)$') AND length > 0
