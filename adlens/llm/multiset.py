@@ -1,15 +1,17 @@
-"""Homomorphic multiset fingerprints of documents, sums of wide hashed vectors modulo 2^16.
+"""Homomorphic multiset fingerprints of documents, modular sums of wide hashed vectors.
 
 A document is the multiset of its paragraphs (runs between line feeds). Each paragraph is
-hashed to a wide vector and the fingerprint is the sum of these vectors modulo 2^16 per
-lane, so it does not depend on the order of paragraphs, equal multisets give equal
+hashed to a wide vector and the fingerprint is the sum of these vectors, modulo 2^16 or 2^32
+by lane, so it does not depend on the order of paragraphs, equal multisets give equal
 fingerprints, and paragraphs are inserted or deleted by adding or subtracting their vector.
 
-The vector has two parts. ``EQUAL`` lanes are uniform (an extendable hash of the paragraph):
-two different multisets agree on them with chance 2^-(16 EQUAL). ``LIKE`` lanes are sums of
-random signs, one vector per word shingle of the paragraph: the cosine of two sums estimates
-that of the shingle multisets, so edits show as a likeness between 0 and 1 (standard error about
-LIKE^-1/2). Likeness is exactly 1 for equal fingerprints.
+The vector has two parts. ``EQUAL`` lanes are uniform (an extendable hash of the paragraph)
+and count modulo 2^16: two different multisets agree on them with chance 2^-(16 EQUAL).
+``LIKE`` lanes are sums of random signs, one vector per word shingle of the paragraph: the
+cosine of two sums estimates that of the shingle multisets, so edits show as a likeness between
+0 and 1 (standard error about LIKE^-1/2). They count modulo 2^32 and are read as signed: a text
+of at most 2^31 bytes has at most 2^30 shingles, so they never wrap. Likeness is exactly 1 for
+equal fingerprints.
 
 The edited text of a document takes its last half from the next document in doc_id order.
 Documents are dealt to ranges of doc_ids, cut at quantiles; the first document of each range
@@ -36,21 +38,22 @@ EQUAL = 32
 LIKE = 128          # the width of the hash in bits
 SHINGLE = 3
 LANES = EQUAL + LIKE
+_READ = np.array([0xFFFF] * EQUAL + [0xFFFFFFFF] * LIKE, np.uint32)  # the bits of a lane that count
 ROWS_PER_RANGE = 8192
 _OUT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double")
 
 
 def vectors(paragraphs: list[str]) -> np.ndarray:
-    """The sum, modulo 2^16, of the vectors of ``paragraphs``."""
-    total = np.zeros(LANES, np.uint16)
+    """The sum, modulo 2^32, of the vectors of ``paragraphs``; of EQUAL lanes the lower 16 bits are read."""
+    total = np.zeros(LANES, np.uint32)
     if paragraphs:
         raw = b"".join([hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=2 * EQUAL).digest() for p in paragraphs])
-        total[:EQUAL] = np.frombuffer(raw, "<u2").reshape(-1, EQUAL).sum(axis=0, dtype=np.uint16)
+        total[:EQUAL] = np.frombuffer(raw, "<u2").reshape(-1, EQUAL).sum(axis=0, dtype=np.uint32)
     for raws in _shingle_hashes(paragraphs):
         bits = np.unpackbits(np.frombuffer(b"".join(raws), np.uint8).reshape(-1, LIKE // 8), axis=1)
         signs = 2 * bits.sum(axis=0, dtype=np.int64) - len(raws)
-        total[EQUAL:] += (signs & 0xFFFF).astype(np.uint16)
+        total[EQUAL:] += (signs & 0xFFFFFFFF).astype(np.uint32)
     return total
 
 
@@ -89,14 +92,14 @@ def delete(print_: np.ndarray, gone: list[str]) -> np.ndarray:
 
 
 def to_hex(print_: np.ndarray) -> str:
-    return print_.astype(">u2").tobytes().hex()
+    return print_[:EQUAL].astype(">u2").tobytes().hex() + print_[EQUAL:].astype(">u4").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """1 for equal fingerprints, else the estimated cosine of the shingle multisets, at least 0 and below 1."""
-    if (a == b).all():
+    if not ((a - b) & _READ).any():
         return 1.0
-    x, y = a[EQUAL:].astype(np.int16).astype(float), b[EQUAL:].astype(np.int16).astype(float)
+    x, y = a[EQUAL:].astype(np.int32).astype(float), b[EQUAL:].astype(np.int32).astype(float)
     norm = float(np.sqrt((x @ x) * (y @ y)))
     return min(max(float(x @ y) / norm, 0.0), 1.0 - 1e-9) if norm else 0.0
 

@@ -68,3 +68,15 @@ def test_single_and_empty(spark):
     assert row["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and row["near_next"] == 1.0
     assert multiset.document_fingerprints(spark.createDataFrame([], DOCS)).count() == 0
     assert np.isfinite([r["near_edited"] for r in multiset.document_fingerprints(frame(spark)).collect()]).all()
+
+
+def test_long_repetitive_texts_stay_alike(spark):
+    line = " ".join(f"word{i}" for i in range(15))
+    for n in (1000, 5000, 50_000):
+        assert multiset.likeness(multiset.vectors([line] * n), multiset.vectors([line] * (n // 2))) > 0.999
+    half, signed = multiset.vectors([line] * 2500), multiset.vectors([line]).astype(np.int32)[multiset.EQUAL:].astype(int)
+    assert (half.astype(np.int32)[multiset.EQUAL:] == 2500 * signed).all()
+    long = "\n".join([line] * 5000)
+    rows = multiset.document_fingerprints(simple(spark, [long, "\n".join([line] * 4000)])).orderBy("doc_id").collect()
+    assert all(r["near_edited"] > 0.99 and r["near_next"] > 0.99 for r in rows)
+    assert len(rows[0]["fingerprint"]) == 4 * multiset.EQUAL + 8 * multiset.LIKE
