@@ -2,9 +2,11 @@
 
 Texts are read as words (runs of ASCII letters, digits and non-ASCII characters). A rule is
 a regular expression over words with a keyword, a label and a priority; rules are the
-license families below, each in the contexts below (a few hundred in all). A text without
-any of ``STEMS`` is passed over; in others a family is tried only if one of its keywords
-occurs, and a rule only if its context's keyword does.
+license families below, each in the contexts below (a few hundred in all). A family is tried
+only if one of its keywords occurs, and a rule only if its context's keyword does; every match
+of a rule holds both, so no gate hides one. A text in which no rule is tried, that is without
+any of ``STEMS`` or with neither a context's keyword nor one of ``BARE_STEMS``, is passed over
+but for the base.
 
 To give matches their places, the words of a gated text are numbered (``mit#17``), so a
 match carries the number of its first and last word. Detections are sorted by place, longer
@@ -23,6 +25,8 @@ and no hot key; the fold is linear in a text's detections but for the copying of
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,9 +38,8 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 BASE_SCORE = 0.95
-STEMS = ("licen", "spdx", "gpl", " cc ", "creative commons", "public domain")
 
-# label: keywords (one must occur as words), name as an expression over words, whether the
+# label: keywords (every name holds one of them as a word), name as an expression over words, whether the
 # bare name is a signature of its own.
 FAMILIES = {
     "mit": (["mit", "expat"], "(mit|expat)", False),
@@ -91,16 +94,20 @@ FAMILIES = {
     "proprietary": (["proprietary", "commercial"], "(proprietary|commercial)", False),
 }
 
-# priority, keyword, expression; {} stands for the family's name.
+# priority, keyword (every match holds it), expression; {} stands for the family's name.
 CONTEXTS = (
     (100, "spdx", "spdx license identifier {}"),
-    (90, "licen", "(licensed|released|distributed|available|published|provided|covered) under( the)?( terms of)?( the| a| an)? {}( license| licence)?"),
+    (90, " under ", "(licensed|released|distributed|available|published|provided|covered) under( the)?( terms of)?( the| a| an)? {}( license| licence)?"),
     (80, "licen", "(under|to|by|with|of|per) the( terms of the)? {} (license|licence)"),
     (70, "licen", "(license|licence)( is| type| name)? {}"),
     (60, "licen", "{} (license|licence)( agreement| terms| text)?"),
 )
 BARE_PRIORITY = 50
 
+# What the families' keywords let through, as words; those of names that need no context.
+STEMS = tuple(dict.fromkeys(f" {k} " for keywords, _, _ in FAMILIES.values() for k in keywords))
+BARE_STEMS = tuple(dict.fromkeys(f" {k} " for keywords, _, bare in FAMILIES.values() if bare for k in keywords))
+
 
 def numbered(expression: str) -> str:
     """An expression over words as one over numbered words."""
@@ -185,9 +192,8 @@ def scan(docs: DataFrame) -> DataFrame:
                         F.concat(F.lit(" "), F.trim(F.regexp_replace(text, SEPARATORS, " ")), F.lit(" ")).alias("words"))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     low = F.lower("words")  # lower case beyond ASCII too, so only for the gate; the scan maps A-Z alone
-    gate = low.contains(STEMS[0])
-    for s in STEMS[1:]:
-        gate = gate | low.contains(s)
+    some_of = lambda found: reduce(or_, (low.contains(s) for s in found))
+    gate = some_of(STEMS) & (some_of(dict.fromkeys(kw for _, kw, _ in CONTEXTS)) | some_of(BARE_STEMS))
     rows = words.select("doc_id", F.when(F.length("words") <= 2, 0).otherwise(_spaces(F.col("words")) - 1).cast("long").alias("n_words"),
                         F.when(gate, F.translate("words", upper, lower)).alias("words"))
     parts = rows.select("doc_id", "n_words", "words", *(

@@ -97,3 +97,65 @@ def test_rules_are_hundreds_and_ordered():
 def test_no_python_in_the_plan(spark):
     plan = licenses.digest(licenses.scan(frame(spark)))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def ungated_spans(words):
+    """The fold over every rule, none of them behind a keyword."""
+    line = " ".join(f"{w}#{i}" for i, w in enumerate(words))
+    found = sorted((int(re.match(r"[^#]*#(\d+)", m[0])[1]), -int(re.search(r"#(\d+)$", m[0])[1]), -priority, label)
+                   for label, _, own in licenses.rules() for priority, _, pattern in own for m in re.finditer(pattern, line))
+    kept, end, last = [], -1, 0
+    for s, e, p, label in found:
+        if not (-e <= end or (s <= end and -p < last)):
+            kept.append((s, -e, -p, label))
+            end, last = -e, -p
+    return kept
+
+
+UNGATED = [
+    "BSD 3-Clause", "code is MPL 2.0 or CC0 1.0", "the GNU General Public, version 2", "GNU Lesser General Public v3", "Affero General Public",
+    "Released under Apache 2.0", "distributed under the terms of the MIT", "available under ISC", "provided under a zlib", "covered under the X11",
+    "FreeBSD and the Unlicense", "creative commons zero", "placed in the public domain", "a common library of the commercial domain",
+    "under water, in python", "published under Python", "simplified bsd", "library general public",
+]
+
+
+def test_no_gate_hides_a_match(spark):
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in licenses.scan(simple(spark, TEXTS + UNGATED)).collect()}
+    for i, t in enumerate(TEXTS + UNGATED):
+        assert got[i] == ungated_spans(direct_words(t)), t[:200]
+    labels = {t: {s[3] for s in got[len(TEXTS) + i]} for i, t in enumerate(UNGATED)}
+    assert labels["BSD 3-Clause"] == {"bsd-3-clause"} and labels["code is MPL 2.0 or CC0 1.0"] == {"mpl-2", "cc0"}
+    assert labels["Released under Apache 2.0"] == {"apache-2"} and not labels["under water, in python"]
+
+
+def strings(expression):
+    """Every string of an expression of words, alternatives and optional groups."""
+    def of(parts):
+        out = [""]
+        for op, arg in parts:
+            if str(op) == "LITERAL":
+                some = [chr(arg)]
+            elif str(op) == "MAX_REPEAT":
+                assert arg[:2] == (0, 1)
+                some = ["", *of(arg[2])]
+            elif str(op) == "SUBPATTERN":
+                some = of(arg[-1])
+            elif str(op) == "BRANCH":
+                some = [x for branch in arg[1] for x in of(branch)]
+            else:
+                some = [chr(c) for kind, c in arg if str(kind) == "LITERAL"]
+                assert str(op) == "IN" and len(some) == len(arg)
+            out = [a + b for a in out for b in some]
+        return out
+    return of(re._parser.parse(expression))
+
+
+def test_every_match_holds_its_keywords():
+    for label, (keywords, name, _) in licenses.FAMILIES.items():
+        assert all(any(f" {k} " in f" {x} " for k in keywords) for x in strings(name)), label
+    for _, keyword, context in licenses.CONTEXTS:
+        assert all(keyword in f" {x} " for x in strings(context.replace("{}", "name")))
+    for phrase in licenses.PHRASES:
+        stems = [any(s in f" {phrase} " for s in some) for some in (licenses.STEMS, [kw for _, kw, _ in licenses.CONTEXTS], licenses.BARE_STEMS)]
+        assert stems[0] and (stems[1] or stems[2]), phrase
