@@ -6,6 +6,11 @@ worker keeps the ids of the pieces it has met (a bounded number). A new piece th
 word with punctuation after it is two pre-tokens by the same rules, and goes to the
 tokenizer's model directly; other new pieces take the tokenizer's whole path, and texts with
 longer white space than single blanks and line feeds are cut by a stricter pattern.
+
+The operators leave the library's default on: a special token of the file (``<|endoftext|>``)
+is its own id wherever a text holds its string. Such a token has no white space, takes none
+from its sides and does not fit a word with punctuation, so texts may still be cut; the texts
+of a file with other added tokens are encoded whole.
 """
 
 from __future__ import annotations
@@ -57,18 +62,28 @@ def _cuts_badly(piece: str) -> bool:
     return not piece or piece[0].isspace()
 
 
+def _stays_whole(added) -> bool:
+    """Whether cuts at white space and after a word leave an added token and what is beside it as they are."""
+    return not (added.lstrip or added.rstrip or added.single_word or re.search(f"[{_WHITE}]", added.content)
+                or _WORD("a" + added.content))
+
+
 class PieceEncoder:
-    """Encodes texts with one tokenizer file; ids are little-endian ``dtype`` bytes."""
+    """Encodes texts with one tokenizer file; ids are little-endian ``dtype`` bytes.
+
+    With ``special_as_text`` the strings of special tokens are encoded like other text; ``encoder`` has it off.
+    """
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
         self.model = self.tok.model
         pre = self.tok.pre_tokenizer
         self.splits = (self.tok.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space
-                       and pre.use_regex and type(self.model).__name__ == "BPE" and not self.model.dropout)
+                       and pre.use_regex and type(self.model).__name__ == "BPE" and not self.model.dropout
+                       and all(map(_stays_whole, self.tok.get_added_tokens_decoder().values())))
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.limit, self.cache = cache_pieces, _Cache()
         self.letters, self.marks, self.kind = _byte_letters(), {}, "H" if self.dtype.itemsize == 2 else "I"
@@ -153,7 +168,7 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 def encoder(path: str) -> PieceEncoder:
     """This worker's encoder of a tokenizer file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path, special_as_text=False)
     return _ENCODERS[path]
 
 

@@ -158,3 +158,37 @@ def test_length_histogram(spark, tok, monkeypatch):
 def test_simple_documents_have_ids(spark, tok):
     got = rans.round_trip(simple(spark, ["a b", None]), TOKENIZER, 2).orderBy("doc_id").collect()
     assert [r["n_tokens"] for r in got] == [len(whole(tok, "a b")) + 1, 1]
+
+
+SPECIAL = ["<|endoftext|>", "foo <|endoftext|> bar", "in<|endoftext|>side a word", "a<|endoftext|>  b \n<|endoftext|>\n\nc <|endoftext",
+           "no special token"]
+
+
+def test_special_tokens_are_single_ids(spark):
+    from adlens.llm.tokens import encoder
+    default = Tokenizer.from_file(TOKENIZER)
+    special = default.token_to_id("<|endoftext|>")
+    coded = [whole(default, t) for t in SPECIAL]
+    assert [(a == special).sum() for a in coded] == [1, 1, 1, 2, 0] and len(coded[0]) == 1 and len(coded[1]) == 4
+    rnd = random.Random(3)
+    chars = list("ab '!?.,1é漢<|") + list(_WHITE.replace("-", "")) + ["<|endoftext|>"] * 8 + ["'s", "  ", "\n\n", " \n"]
+    texts = SPECIAL + ["".join(rnd.choice(chars) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+    e = encoder(TOKENIZER)
+    assert e.splits
+    for t, raw in zip(texts, e.encode(texts)):
+        assert (e.ids(raw) == whole(default, t)).all(), repr(t)
+    df = simple(spark, SPECIAL)
+    files = rans.round_trip(df, TOKENIZER, 2).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, files), key=repr) == stream(default, list(enumerate(SPECIAL)), 2)
+    want = [(i, 0, 0, len(a) + 1, zlib.crc32(whole(default, t, 0).tobytes())) for i, (t, a) in enumerate(zip(SPECIAL, coded))]
+    assert sorted(tuple(r)[:5] for r in packing.pack_documents(df, TOKENIZER, 0, 64).collect()) == want
+    got = histogram.context_limits(histogram.length_histogram(df, TOKENIZER)).collect()
+    assert {r["context_limit"]: r["documents"] for r in got} == {n: [len(a) for a in coded].count(n) for n in map(len, coded)}
+
+
+def test_added_tokens_that_forbid_cuts():
+    from tokenizers import AddedToken
+    from adlens.llm.tokens import _stays_whole
+    assert _stays_whole(AddedToken("<|endoftext|>"))
+    for bad in (AddedToken("two words"), AddedToken("word"), AddedToken("--"), AddedToken("<|x|>", lstrip=True), AddedToken("<|x|>", rstrip=True)):
+        assert not _stays_whole(bad)
