@@ -114,7 +114,8 @@ def pack(items: DataFrame, capacity: int, max_documents: int | None = None, max_
         t = pa.Table.from_batches(batches)
         t = t.sort_by([("length", "descending"), *((c, "ascending") for c in names if c != "length")])
         lengths = t.column("length").to_numpy()
-        full = int(np.searchsorted(-lengths, -capacity, side="right")) if rule == "norm" else 0
+        alone = rule == "norm" and caps[1] >= 1 and caps[2] >= capacity * capacity  # else best_fit raises
+        full = int(np.searchsorted(-lengths, -capacity, side="right")) if alone else 0
         seq, off = np.arange(len(lengths)), np.zeros(len(lengths), np.int64)
         more, off[full:] = best_fit(lengths[full:], caps, weights, rule)  # full pieces fill a sequence each
         seq[full:] = more + full

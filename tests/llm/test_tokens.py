@@ -192,3 +192,10 @@ def test_added_tokens_that_forbid_cuts():
     assert _stays_whole(AddedToken("<|endoftext|>"))
     for bad in (AddedToken("two words"), AddedToken("word"), AddedToken("--"), AddedToken("<|x|>", lstrip=True), AddedToken("<|x|>", rstrip=True)):
         assert not _stays_whole(bad)
+
+
+def test_full_pieces_keep_to_every_capacity(spark):
+    df = simple(spark, [words(200, 1)])
+    assert packing.pack_documents(df, TOKENIZER, 0, 64, max_attention=64 * 64).count() > 3
+    with pytest.raises(Exception, match="exceeds a sequence's capacities"):
+        packing.pack_documents(df, TOKENIZER, 0, 64, max_attention=64 * 64 - 1).collect()
