@@ -6,7 +6,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adlens.llm import blockjoin, curriculum, histogram, licenses, multiset, packing, rans, simhash, toxicity, warc
+from adlens.llm import (blockjoin, curriculum, filteraudit, histogram, licenses, multiset, nra, packing, rans, simhash,
+                        superminhash, toxicity, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,10 +67,24 @@ def op10_curriculum_mixing(spark: SparkSession, sf: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+def op12_nra_search(spark: SparkSession, sf: str) -> DataFrame:
+    return nra.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), k=20)
+
+
+def op13_superminhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return (superminhash.near_duplicates(_table(spark, sf, "documents"), shingle=4, percent=80)
+            .select("doc_id", "n_shingles", "component_id", "kept"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_reassembly, op2_simhash_near_dedup, op3_rans_token_files, op4_license_scan, op5_toxicity_crf, op6_multiset_fingerprints,
-                                      op7_best_fit_packing, op8_block_matrix_join, op9_length_histogram,
-                                      op10_curriculum_mixing)}
+    return {f.__name__: f for f in (op1_warc_reassembly, op2_simhash_near_dedup, op3_rans_token_files, op4_license_scan,
+                                    op5_toxicity_crf, op6_multiset_fingerprints, op7_best_fit_packing,
+                                    op8_block_matrix_join, op9_length_histogram, op10_curriculum_mixing,
+                                    op11_filter_audit, op12_nra_search, op13_superminhash_near_dedup)}
 
 
 _NEAREST = """
@@ -130,5 +145,86 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(si
   AS BIGINT) AS taken FROM g"""
 
 
+_AUDIT = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (
+  SELECT part, quality, toxic,
+    CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+  FROM d LEFT JOIN labels USING (doc_id)),
+m AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad
+  FROM f GROUP BY part, mask),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+         list_sum(list_transform(string_split(filter_order[1:step - 1], ''), lambda x: CASE WHEN x = '' THEN 0 ELSE 1 << (ascii(x) - 65) END)) AS before
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+p AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS good_lost,
+    coalesce(sum(bad) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS toxic_lost
+  FROM m, (SELECT filter_order, step, bit, CAST(before AS INTEGER) AS before FROM s) GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM p"""
+
+
+_SEARCH = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, terms, len(terms) AS n FROM t WHERE len(terms) > 0),
+c AS (SELECT count(*) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM d),
+q AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term),
+p AS (
+  SELECT doc_id, d.n AS n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM d) d
+  WHERE term IN (SELECT term FROM q) GROUP BY doc_id, d.n, term),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * c.all_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term, c.all_docs),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * c.all_docs) // c.all_terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 20"""
+
+
+_NEAR = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS own FROM w),
+n AS (SELECT doc_id, own, len(own) AS n_shingles FROM s),
+e AS (SELECT doc_id, n_shingles, unnest(own) AS shingle FROM n),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n_shingles, b.n_shingles
+  HAVING 100 * count(*) >= 80 * (a.n_shingles + b.n_shingles - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a),
+m AS (SELECT a, min(c) AS component_id FROM r GROUP BY a)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m ON m.a = n.doc_id"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op10_curriculum_mixing": _MIX, "op1_warc_reassembly": _PAGES, "op8_block_matrix_join": _NEAREST}
+    return {"op10_curriculum_mixing": _MIX, "op11_filter_audit": _AUDIT, "op12_nra_search": _SEARCH,
+            "op13_superminhash_near_dedup": _NEAR, "op1_warc_reassembly": _PAGES, "op8_block_matrix_join": _NEAREST}
