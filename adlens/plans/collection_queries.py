@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from adlens.operators import collection as col
+from adlens.session import checkpoint_dir
 from adlens.sources import tables
+from adlens.streaming.keyed_log import KeyedLog
 
 # Clock used by the freshness / 30-day-window queries (an explicit parameter, never the wall clock).
 AS_OF = dt.datetime(2024, 1, 31, 6, 0, 0)
@@ -19,15 +22,34 @@ def _log(spark, sf):
     return tables.collection_log_raw(spark, sf)
 
 
-def _upserted(spark, sf):
-    """Append a re-run batch (every tenth id re-recorded as a success) and resolve on read."""
+def _recorded(spark, sf):
+    """The log's records, and a re-run of every tenth as a success."""
     base = _log(spark, sf).withColumn("ingest_seq", F.lit(0).cast("bigint"))
     rerun = (base.where(F.col("collection_id").cast("bigint") % 10 == 0)
              .withColumns({"status": F.lit("success"), "error_code": F.lit(""), "error_message": F.lit(""),
                            "ingest_seq": F.lit(1).cast("bigint")}))
+    return base, rerun
+
+
+def _upserted(spark, sf):
+    """Append a re-run batch and resolve on read."""
+    base, rerun = _recorded(spark, sf)
     return col.resolve_latest(base.unionByName(rerun))
 
 
+def _compacted(spark, sf):
+    """The same records appended in four batches (re-runs first) and compacted after the second and third."""
+    base, rerun = _recorded(spark, sf)
+    half = F.pmod(F.xxhash64("collection_id"), F.lit(2))
+    log = KeyedLog(spark, f"{checkpoint_dir(spark).rstrip('/')}/adlens-logs/{uuid.uuid4().hex}", ["collection_id"],
+                   col.resolve_latest, compact_every=None)
+    for n, rows in enumerate((rerun, base.where(half == 0), base.where(half == 1), rerun.where(half == 0))):
+        log.append(rows, n)
+        if n in (1, 2):
+            log.compact()
+    return log.read()
+
+
 def _health(spark, sf):
     return col.media_health(_log(spark, sf), AS_OF)
 
@@ -57,6 +79,7 @@ def collection_queries() -> dict:
         "log_time_parse": lambda spark, sf: col.log_view(_log(spark, sf)).select(
             "collection_id", "started_at", "finished_at", "started_ts", "finished_ts", "event_ts"),
         "log_upsert": _upserted,
+        "log_upsert_compacted": _compacted,
         "media_health_30d": _health,
         "latest_event_times": lambda spark, sf: col.latest_event_times(_health(spark, sf)),
         "recent_logs": lambda spark, sf: col.recent_logs(_log(spark, sf), 20),
@@ -223,6 +246,13 @@ b AS (SELECT *, CAST(0 AS BIGINT) AS ingest_seq FROM log_raw),
 u AS (SELECT * REPLACE ('success' AS status, '' AS error_code, '' AS error_message, CAST(1 AS BIGINT) AS ingest_seq)
       FROM b WHERE CAST(collection_id AS BIGINT) % 10 = 0),
 a AS (SELECT * FROM b UNION ALL SELECT * FROM u)
+SELECT * EXCLUDE (rk) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY collection_id ORDER BY ingest_seq DESC) AS rk
+                            FROM a) z WHERE rk = 1""",
+        "log_upsert_compacted": f"""{_ctes(LOG_RAW)},
+b AS (SELECT *, CAST(0 AS BIGINT) AS ingest_seq FROM log_raw),
+u AS (SELECT * REPLACE ('success' AS status, '' AS error_code, '' AS error_message, CAST(1 AS BIGINT) AS ingest_seq)
+      FROM b WHERE CAST(collection_id AS BIGINT) % 10 = 0),
+a AS (SELECT * FROM b UNION ALL SELECT * FROM u)
 SELECT * EXCLUDE (rk) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY collection_id ORDER BY ingest_seq DESC) AS rk
                             FROM a) z WHERE rk = 1""",
         "media_health_30d": f"{health}\nSELECT {HEALTH_COLS} FROM h",

@@ -128,16 +128,17 @@ def segments_all(limit: int = 20) -> str:
             f"ORDER BY cost DESC, segment_value) AS INTEGER) AS segment_rank FROM ({u}) t) u WHERE segment_rank <= {limit}")
 
 
-def _period_select(grain: str, with_grain: bool, fact: str = "ad_fact") -> str:
-    g = f"'{grain}' AS grain, " if with_grain else ""
+def _period_select(grain: str, with_grain: bool, fact: str = "ad_fact", scope: tuple[str, ...] = ()) -> str:
+    g = "".join(f"{k}, " for k in scope) + (f"'{grain}' AS grain, " if with_grain else "")
     lab = label_sql(grain)
+    keys = ", ".join([*scope, lab])
     return (f"SELECT {g}{lab} AS period_label, CAST(MIN(date) AS DATE) AS period_start, "
             f"CAST(MAX(date) AS DATE) AS period_end, CAST(COUNT(*) AS BIGINT) AS rows, {sums()} "
-            f"FROM {fact} WHERE date IS NOT NULL GROUP BY {lab}")
+            f"FROM {fact} WHERE date IS NOT NULL GROUP BY {keys}")
 
 
-def period(grain: str, fact_cte: str = AD_FACT, fact: str = "ad_fact") -> str:
-    return f"{with_ctes(fact_cte)}\nSELECT *, {rates()} FROM ({_period_select(grain, False, fact)}) t"
+def period(grain: str, fact_cte: str = AD_FACT, fact: str = "ad_fact", scope: tuple[str, ...] = ()) -> str:
+    return f"{with_ctes(fact_cte)}\nSELECT *, {rates()} FROM ({_period_select(grain, False, fact, scope)}) t"
 
 
 def periods_all() -> str:

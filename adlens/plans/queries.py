@@ -56,8 +56,8 @@ def analysis_queries() -> dict[str, Query]:
     q["event_kpi_by_account"] = lambda spark, sf: metrics.kpi_summary(tables.event_fact(spark, sf), BY_ACCOUNT)
     q["preset_ranges"] = lambda spark, sf: compare.preset_ranges(_fact(spark, sf))
     q["preset_kpis"] = lambda spark, sf: compare.preset_kpis(_fact(spark, sf))
-    q["recent_comparison"] = lambda spark, sf: compare.recent_comparison(_fact(spark, sf))
-    q["recent_comparison_by_account"] = lambda spark, sf: compare.recent_comparison(_fact(spark, sf), BY_ACCOUNT)
+    q["recent_comparison"] = lambda spark, sf: compare.recent_comparison(_fact(spark, sf), whole_days=True)
+    q["recent_comparison_by_account"] = lambda spark, sf: compare.recent_comparison(_fact(spark, sf), BY_ACCOUNT, True)
     q["event_recent_comparison"] = lambda spark, sf: compare.recent_comparison(tables.event_fact(spark, sf))
     a0, a1, b0, b1 = (_d(x) for x in AB_RANGES)
     q["ab_comparison"] = lambda spark, sf: compare.ab_comparison(_fact(spark, sf), a0, a1, b0, b1)

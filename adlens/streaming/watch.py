@@ -7,12 +7,13 @@
   repeats a file, even after a batch that failed half-way;
   ``once=True`` is ``trigger(availableNow=True)``; ``max_file_age`` ignores
   stale files.
-* ``daily_kpi_stream`` — per-day KPI table maintained as rows arrive
-  (event-time window + watermark), equal to the batch daily period table.
+* ``run_daily_kpi`` — per-day KPI table maintained as rows arrive, equal to the batch daily
+  period table whatever order the days come in: each trigger appends partial sums per day to
+  a ``KeyedLog``, so no watermark has to drop late rows and the stream keeps no state.
 * ``media_health_stream`` — per-media health maintained with ``max_by`` /
-  filtered aggregates in complete mode.
+  filtered aggregates in update mode.
 
-All state lives in the checkpoint folder under ``spark.checkpoint.dir``.
+Checkpoints and logs live under ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from adlens.functions.columns import with_rates
 from adlens.operators.audit import file_audit, header_catalog_from_lines, standardize_lines
 from adlens.operators.collection import log_view, media_health
 from adlens.operators.ingest import map_headers
-from adlens.operators.metrics import measure_sums
 from adlens.session import checkpoint_dir, materialize, release
 from adlens.sources.reports import lines_of_files
+from adlens.streaming.keyed_log import KeyedLog
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -85,26 +86,49 @@ def watch_report_folder(spark: SparkSession, in_dir: str, out_dir: str, glob: st
     return query
 
 
-def daily_kpi_stream(stream_fact: DataFrame, scope: Sequence[str] = (), watermark: str = "2 days") -> DataFrame:
-    """Streaming daily KPI table (event-time tumbling window of one day).
+def daily_partials(fact: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """(scope..., day, first, last, rows, measure sums) of some rows; sums keep their exact types."""
+    day = F.col("date").cast("date")
+    return fact.where(F.col("date").isNotNull()).groupBy(*scope, day.alias("day")).agg(
+        F.min("date").alias("first"), F.max("date").alias("last"), F.count(F.lit(1)).alias("rows"),
+        *[F.sum(m).alias(m) for m in MEASURES])
 
-    ``date`` is TIMESTAMP_NTZ in the fact; the watermark needs TIMESTAMP, so the
-    event time is rebuilt from its wall-clock fields as a UTC instant (independent of
-    the session time zone) and one-day windows then coincide with calendar days.
-    """
-    d = F.col("date")
-    ts = F.make_timestamp(F.year(d), F.month(d), F.dayofmonth(d), F.hour(d), F.minute(d),
-                          F.second(d).cast("decimal(16,6)"), F.lit("UTC"))
-    ev = stream_fact.where(d.isNotNull()).withColumn("_ts", ts)
-    agg = (ev.withWatermark("_ts", watermark)
-           .groupBy(*scope, F.window("_ts", "1 day").alias("w"))
-           .agg(F.min("date").cast("date").alias("period_start"), F.max("date").cast("date").alias("period_end"),
-                F.count(F.lit(1)).alias("rows"), *measure_sums()))
-    out = agg.select(*scope, period_label("daily", F.col("period_start")).alias("period_label"),
-                     "period_start", "period_end", "rows", *MEASURES)
+
+def merged_partials(partials: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """One row per scope and day from several partial ones; the columns and their types stay."""
+    kinds = dict(partials.dtypes)
+    total = lambda c: F.sum(c).cast(kinds[c]).alias(c)
+    return partials.groupBy(*scope, "day").agg(F.min("first").alias("first"), F.max("last").alias("last"),
+                                               total("rows"), *[total(m) for m in MEASURES])
+
+
+def daily_table(merged: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """The daily period table from :func:`merged_partials`."""
+    out = merged.select(*scope, period_label("daily", F.col("day")).alias("period_label"),
+                        F.col("first").cast("date").alias("period_start"), F.col("last").cast("date").alias("period_end"), "rows",
+                        *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in MEASURES])
     return with_rates(out)
 
 
+def run_daily_kpi(stream_fact: DataFrame, scope: Sequence[str] = (), path: str | None = None, checkpoint: str | None = None,
+                  compact_every: int = 20) -> KeyedLog:
+    """Take in all that has arrived (``availableNow``); the log's rows are :func:`merged_partials` of everything so far.
+
+    Days may come in any order and at any time. ``path`` and ``checkpoint`` name a log to go on with.
+    """
+    spark = stream_fact.sparkSession
+    own_checkpoint, own_path = _paths(spark, "daily-kpi")
+    log = KeyedLog(spark, path or own_path, [*scope, "day"], lambda rows: merged_partials(rows, scope), compact_every=compact_every)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        log.append(daily_partials(batch, scope), batch_id)
+
+    query = (stream_fact.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint or own_checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return log
+
+
 def media_health_stream(stream_log: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Streaming per-media health over an append-only collection log."""
     return media_health(log_view(stream_log), as_of)

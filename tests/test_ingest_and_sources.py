@@ -167,3 +167,30 @@ def test_retention_plan(spark):
     assert plan["screenshots"]["delete_candidate_mb"] == pytest.approx(2.0)
     assert plan["logs"]["file_count"] == 0
     assert plan[None]["file_count"] == 3
+
+
+def test_likely_aliases_bound_the_ratio(spark):
+    """No alias that reaches the similarity limit is left out, and headers far from all never reach Python."""
+    import difflib
+    import random
+    from adlens.constants import MIN_HEADER_SIMILARITY
+    from adlens.operators import ingest
+    r = random.Random(4)
+    aliases = ingest.alias_dimension(spark)
+    known = [x["alias_norm"] for x in aliases.collect()]
+    headers = set()
+    for a in known:
+        for _ in range(3):
+            t = list(a)
+            for _ in range(r.randint(0, 2)):
+                k = r.randrange(len(t) + 1)
+                t[k:k + r.randint(0, 1)] = r.choice(["x", "", "a", "수"])
+            headers.add("".join(t))
+    headers |= {"completely different words", "zzz", ""}
+    df = spark.createDataFrame([(h,) for h in sorted(headers)], "header_norm string")
+    got = {x["header_norm"]: {a["alias_norm"] for a in x["likely"]} for x in ingest.likely_aliases(df, aliases).collect()}
+    for h in headers - {""}:
+        reach = {a for a in known if difflib.SequenceMatcher(None, h, a).ratio() >= MIN_HEADER_SIMILARITY
+                 or difflib.SequenceMatcher(None, a, h).ratio() >= MIN_HEADER_SIMILARITY}
+        assert reach <= got.get(h, set())
+    assert "completely different words" not in got and "" not in got

@@ -14,14 +14,6 @@ def _rows(df, key):
     return sorted((tuple(r) for r in df.select(*key).collect()))
 
 
-def test_stream_daily_kpi_equals_batch(spark):
-    streamed = watch.streamed(lambda s: watch.daily_kpi_stream(tables.event_fact_from(s)), spark, SMOKE,
-                              "events.parquet", "test_daily")
-    batch = metrics.period_table(tables.event_fact(spark, SMOKE), "daily")
-    cols = ["period_label", "period_start", "rows", "cost", "revenue", "clicks"]
-    assert _rows(streamed, cols) == _rows(batch, cols)
-
-
 def test_update_mode_media_health_over_several_triggers(spark, tmp_dir):
     """Three landed files, one per trigger: update-mode output + upsert on read == batch."""
     from pyspark.sql import functions as F
