@@ -8,20 +8,14 @@ empty or can't be read is one header line without fields that names the problem.
 
 from __future__ import annotations
 
-import csv
 import fnmatch
-import io
-import sys
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from adlens.sources import csv_blocks
+from adlens.sources.csv_blocks import LINES
 from adlens.sources.tables import read_table
 
-LINES = "file string, line_id long, is_header boolean, fields array<string>, problem string"
-_LINES = pa.schema([("file", pa.string()), ("line_id", pa.int64()), ("is_header", pa.bool_()),
-                    ("fields", pa.list_(pa.string())), ("problem", pa.string())])
-LINES_AT_ONCE = 4096
 DATA_SUFFIXES = ["csv", "txt", "tsv"]
 
 
@@ -29,17 +23,48 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     """Recursive file listing (path, name, length, modificationTime); file content is never read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
+        reader = reader.option("pathGlobFilter", any_case(glob))
     df = reader.load(root)
     return df.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "modificationTime")
 
 
+def any_case(glob: str) -> str:
+    """A file glob whose letters match either case (suffixes are written ``.csv`` and ``.CSV``)."""
+    out, in_class = "", False
+    for c in glob:
+        in_class = c == "[" or (in_class and c != "]")
+        out += f"[{c.lower()}{c.upper()}]" if c.isascii() and c.isalpha() and not in_class else c
+    return out
+
+
+def _numbered(text: DataFrame) -> DataFrame:
+    """(file, block, value): the lines as bytes, with their file and the first byte of the block they were read in."""
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                       F.col("value").cast("binary").alias("value"))
+
+
 def read_report_lines(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """Read every matching CSV under ``root`` (recursively) into the ``lines`` table."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", glob).load(root).select("path", "content"))
-    empty = [(path, bytearray()) for path in empty_files(spark, root, glob)]
-    return lines_of_files(files.unionByName(spark.createDataFrame(empty, "path string, content binary")))
+    """Read every matching CSV under ``root`` (recursively, whatever the case of the name) into the ``lines`` table.
+
+    Large files are read in blocks by many tasks (:mod:`adlens.sources.csv_blocks`).
+    """
+    text = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(glob)).option("lineSep", "\n").text(root))
+    lines = csv_blocks.records(_numbered(text))
+    empty = [(path, 0, True, [], "empty file") for path in empty_files(spark, root, glob)]
+    return lines.unionByName(spark.createDataFrame(empty, LINES)) if empty else lines
+
+
+def stream_report_text(spark: SparkSession, root: str, glob: str, **options) -> DataFrame:
+    """A stream of the lines of new files, for :func:`lines_of_text` of each micro-batch."""
+    reader = spark.readStream.format("text").option("pathGlobFilter", any_case(glob)).option("lineSep", "\n")
+    for key, value in options.items():
+        reader = reader.option(key, value)
+    return _numbered(reader.load(root))
+
+
+def lines_of_text(text: DataFrame) -> DataFrame:
+    """The ``lines`` table of a micro-batch of :func:`stream_report_text`; files arrive whole."""
+    return csv_blocks.records(text)
 
 
 def empty_files(spark: SparkSession, root: str, glob: str) -> list[str]:
@@ -48,62 +73,11 @@ def empty_files(spark: SparkSession, root: str, glob: str) -> list[str]:
     listing, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
     while listing.hasNext():
         f = listing.next()
-        if not f.getLen() and fnmatch.fnmatch(f.getPath().getName(), glob):
+        if not f.getLen() and fnmatch.fnmatch(f.getPath().getName().lower(), glob.lower()):
             found.append(f.getPath().toString())
     return found
 
 
-def lines_of_files(files: DataFrame) -> DataFrame:
-    """(path, content) of whole files, batch or streaming -> the ``lines`` table.
-
-    A report may quote line breaks, so it can't be split by bytes: one task parses a file in
-    order, which must fit in its memory; a folder is spread over tasks by file.
-    """
-    def run(batches):
-        for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
-                yield from parsed_file(path, content.as_py())
-
-    return files.select("path", "content").mapInArrow(run, LINES)
-
-
-def parsed_file(path: str, content: bytes):
-    """Record batches of one file: its header (the first line that isn't blank) and its records in order.
-
-    Blank header cells keep their place, padding at the header's end goes; empty cells are null.
-    """
-    csv.field_size_limit(sys.maxsize)
-
-    def failed(problem: str):
-        return pa.RecordBatch.from_pylist([{"file": path, "line_id": 0, "is_header": True, "fields": [], "problem": problem}],
-                                          _LINES)
-
-    try:
-        text = content.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        yield failed("not UTF-8 text")
-        return
-    rows, header, number = [], None, 0
-    for cells in csv.reader(io.StringIO(text, newline="")):
-        if not any(c.strip() for c in cells):
-            continue
-        if header is None:
-            while not cells[-1].strip():
-                cells.pop()
-            header = cells
-        else:
-            cells = [c if c else None for c in cells]
-        rows.append({"file": path, "line_id": number, "is_header": not number, "fields": cells, "problem": None})
-        number += 1
-        if len(rows) == LINES_AT_ONCE:
-            yield pa.RecordBatch.from_pylist(rows, _LINES)
-            rows = []
-    if header is None:
-        yield failed("empty file")
-    elif rows:
-        yield pa.RecordBatch.from_pylist(rows, _LINES)
-
-
 # Four header layouts used by the derived report folder (index = supplier key % 4).
 LAYOUTS = [
     ["date", "platform", "account_name", "campaign_name", "ad_group_name", "keyword", "product_name", "impressions",

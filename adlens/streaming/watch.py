@@ -31,7 +31,7 @@ from adlens.operators.audit import file_audit, header_catalog_from_lines, standa
 from adlens.operators.collection import log_view, media_health
 from adlens.operators.ingest import map_headers
 from adlens.session import checkpoint_dir, materialize, release
-from adlens.sources.reports import lines_of_files
+from adlens.sources.reports import lines_of_text, stream_report_text
 from adlens.streaming.keyed_log import KeyedLog
 
 
@@ -54,16 +54,12 @@ def watch_report_folder(spark: SparkSession, in_dir: str, out_dir: str, glob: st
 
     Returns the ``StreamingQuery`` (already finished when ``once``).
     """
-    reader = (spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
-              .schema("path string, modificationTime timestamp, length long, content binary")
-              .option("maxFilesPerTrigger", max_files_per_trigger))
-    if max_file_age:
-        reader = reader.option("maxFileAge", max_file_age)
-    src = reader.load(in_dir).select("path", "content")
+    options = {"maxFilesPerTrigger": max_files_per_trigger} | ({"maxFileAge": max_file_age} if max_file_age else {})
+    src = stream_report_text(spark, in_dir, glob, **options)
     ckpt = checkpoint or _paths(spark, "watch")[0]
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        lines = materialize(lines_of_files(batch), "watch-lines")
+        lines = materialize(lines_of_text(batch), "watch-lines")
         mapping = materialize(map_headers(header_catalog_from_lines(lines)), "watch-mapping")
         try:
             fact = standardize_lines(lines, mapping, keep_extras=True)
