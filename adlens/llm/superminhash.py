@@ -10,16 +10,16 @@ run for many documents at once, as arrays.
 
 ``SLOTS / ROWS`` bands of ``ROWS`` places are the keys of the buckets: a pair with
 similarity 0.8 shares none of 32 bands with probability 5e-8. Equal sets are one node, so
-copies cost nothing. The nodes of a bucket are compared
+copies cost nothing. The nodes of a bucket are compared (``components.grouped``)
 
-1. with the bucket's smallest node, which joins a group of near copies of any size with one
-   comparison a member and bucket; then
-2. pairwise where the members still are in different components, if their signatures agree
-   in ``MIN_AGREE`` places (a pair with similarity 0.8 falls below once in 10^9). This finds
-   each link that the first round didn't, as pairs inside one component add nothing.
+1. with the one that meets most others, which joins a group of near copies of any size with
+   one comparison a member and bucket; then
+2. where they still are in several components, those outside the bucket's largest component
+   with the nodes of other components, if their signatures agree in ``MIN_AGREE`` places (a
+   pair with similarity 0.8 falls below once in 10^9). Such nodes are dealt in blocks, against
+   which the bucket's nodes are streamed; only links leave a task.
 
-Each comparison is made on the full shingle sets of the texts. Members of a bucket with very
-many comparisons are salted, so no task gets an unbounded group; a task holds two sets.
+Each comparison is made on the full shingle sets of the texts.
 
 Defined results: texts without words (or null) have an empty set, link with nothing and are
 components of their own; fewer words than a shingle make one shingle; null ids take part
@@ -31,22 +31,22 @@ sorted shingle hashes is (a chance of 3 in 10^10 over 10^5 sets that any two col
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from adlens.llm.common import column_chunks, written
-from adlens.llm.components import components
+from adlens.llm.components import grouped
 
 SEED = 42
 SLOTS, ROWS = 128, 4
 #: Of 128 places, 102 agree on average at similarity 0.8 (standard deviation 4.5); this is six below.
 MIN_AGREE = 75
-#: Comparisons of one node that a task gets together.
+#: Comparisons of one node that a task gets together, and nodes of a key that it holds at once.
 SALT_PAIRS = 512
+BLOCK_NODES = 512
 ELEMENTS = 1 << 16
 _FRACTION = np.uint64(56)
 _EMPTY = np.uint64(2**64 - 1)
@@ -165,28 +165,20 @@ def _set_hash(hashes: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
 
 
-def agreeing(a: Column, b: Column) -> Column:
-    """In how many places (bytes of the digests) two nodes agree."""
-    ones = F.lit(0x0101010101010101)
-
-    def differing(i: int) -> Column:
-        x = F.element_at(a, i + 1).bitwiseXOR(F.element_at(b, i + 1))
-        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask)))
-        return F.bit_count(x.bitwiseAND(ones))
-
-    return F.lit(SLOTS) - reduce(lambda p, q: p + q, (differing(i) for i in range(SLOTS // 8)))
+def _texts(wanted: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text, keys, digest) of the nodes in ``wanted``; written once."""
+    first = wanted.distinct().join(nodes.select("node", "at"), "node")
+    return written(rows.select("at", "text", "keys", "digest").join(first, "at").select("node", "text", "keys", "digest"), "texts")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full shingle sets have at least ``percent`` in common; written once."""
     pairs = written(pairs, "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = written(rows.select("at", "text").join(wanted.join(nodes, "node").select("node", "at"), "at").select("node", "text"), "texts")
+    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), rows, nodes)
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_PAIRS).alias("salts"))
     dealt = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
-    members = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
-    heads = (dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a")
+    members = dealt.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "salt", "b", "text")
+    heads = (dealt.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), "text"), "a")
              .select("a", "salt", F.lit(None).cast("long").alias("b"), "text"))
 
     def rows_of(batches):
@@ -221,25 +213,98 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
-def links(rows: DataFrame, nodes: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
-    """Links (a, b) between nodes that join all pairs of at least ``percent`` similarity into components."""
+class Block:
+    """Some nodes of one key, with which the key's nodes are compared one at a time."""
+
+    def __init__(self, key: int, percent: int):
+        self.key, self.percent = key, percent
+        self.nodes, self.roots, self.sets, self.joined = [], [], [], []
+        self.keys, self.digests = [], []
+        self.arrays = None
+
+    def add(self, node: int, root: int, own: set, keys: np.ndarray, digest: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.roots.append(root)
+        self.sets.append(own)
+        self.joined.append(set())
+        self.keys.append(keys)
+        self.digests.append(digest)
+
+    def links(self, node: int, root: int, main: int, text: str | None, shingle: int, keys: np.ndarray, digest: np.ndarray):
+        """The block's nodes of other components that are similar to a node; one link to a component is enough."""
+        if self.arrays is None:
+            self.arrays = (np.array(self.nodes, np.int64), np.array(self.roots, np.int64), np.array(self.keys), np.array(self.digests))
+        nodes, roots, all_keys, digests = self.arrays
+        some = roots != root
+        if root != main:  # both outside the main component: once, from the larger node
+            some &= nodes < node
+        some = np.flatnonzero(some)
+        some = some[(digests[some] == digest).sum(axis=1) >= MIN_AGREE]
+        if not len(some):
+            return
+        same = all_keys[some] == keys
+        some = some[keys[same.argmax(axis=1)] == self.key]  # a pair is compared in the first key that it shares
+        other = None
+        for i in some.tolist():
+            if root in self.joined[i]:
+                continue
+            if other is None:
+                other = shingles(text, shingle)
+            own = self.sets[i]
+            both = len(own & other)
+            if 100 * both >= self.percent * (len(own) + len(other) - both):
+                self.joined[i].add(root)
+                yield self.nodes[i], node
+
+
+def across(apart: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between the components of a key: nodes outside the main one, in blocks, against all of the key's nodes.
+
+    Pairs are compared where the block is, and only links leave the task.
+    """
+    outside = apart.filter("root <> main").groupBy("key").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks"))
+    texts = _texts(apart.select("node"), rows, nodes)
+    own = apart.join(outside, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    heads = own.filter("root <> main").withColumn("is_other", F.lit(False))
+    others = own.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("is_other", F.lit(True))
+    sent = heads.unionByName(others).drop("blocks").join(texts, "node")
+    order = ("key", "block", "is_other")
+    columns = [*order, "node", "root", "main", "keys", "digest", "text"]
+
+    def rows_of(batches):
+        for b in batches:
+            small = list(zip(*(b.column(i).to_pylist() for i in range(6))))
+            keys, digests = (b.column(i).flatten().to_numpy().reshape(len(small), -1) for i in (6, 7))
+            digests = np.ascontiguousarray(digests).view(np.uint8)
+            for at, texts_ in column_chunks(b.column(8)):
+                for k, t in enumerate(texts_, at):
+                    yield *small[k], keys[k], digests[k], t
+
+    def run(batches):
+        found, block, within = [], None, None
+        for key, number, is_other, node, root, main, keys, digest, text in rows_of(batches):
+            if within != (key, number):
+                block, within = Block(key, percent), (key, number)
+            if not is_other:
+                block.add(node, root, shingles(text, shingle), keys, digest)
+            elif block.nodes:
+                found += block.links(node, root, main, text, shingle, keys, digest)
+            if len(found) >= 10_000:
+                yield _pairs(found)
+                found = []
+        yield _pairs(found)
+
+    together = sent.select(*columns).repartition("key", "block").sortWithinPartitions(*order)
+    return written(together.mapInArrow(run, "a long, b long").distinct(), "across")
+
+
+def grouped_nodes(rows: DataFrame, nodes: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
+    """(node, root) of the nodes that pairs of at least ``percent`` similarity join into components."""
     index = nodes.select("node", F.explode("keys").alias("key"))
     shared = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    members = written(index.join(shared.select("key", "low"), "key"), "buckets")
-    stars = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    near = verified(stars, rows, nodes, shingle, percent)
-
-    roots = written(components(near), "roots").withColumnRenamed("node", "of")
-    placed = written(members.join(roots, F.col("node") == F.col("of"), "left")
-                     .select("key", "node", "low", F.coalesce("root", "node").alias("root")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
-    parts = written(placed.join(mixed, "key").join(nodes.select("node", "digest"), "node"), "parts")
-    x, y = parts.alias("x"), parts.alias("y")
-    cross = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-                    & (F.col("x.node") != F.col("x.low"))  # pairs with the smallest node were compared
-                    & (agreeing(F.col("x.digest"), F.col("y.digest")) >= MIN_AGREE))
-             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    return near.unionByName(verified(cross, rows, nodes, shingle, percent))
+    members = written(index.join(shared.select("key"), "key").select("key", "node"), "buckets")
+    return grouped(members, lambda pairs: verified(pairs, rows, nodes, shingle, percent),
+                   lambda apart: across(apart, rows, nodes, shingle, percent))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
@@ -247,8 +312,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     rows = sketched(docs, shingle)
     nodes = written(rows.filter("node is not null").groupBy("node").agg(
         F.min("at").alias("at"), F.min("doc_id").alias("first_id"),
-        F.any_value("keys").alias("keys"), F.any_value("digest").alias("digest")), "nodes")
-    roots = components(links(rows, nodes, shingle, percent)).withColumnRenamed("node", "of")
+        F.any_value("keys").alias("keys")), "nodes")
+    roots = grouped_nodes(rows, nodes, shingle, percent).withColumnRenamed("node", "of")
     placed = written(nodes.join(roots, F.col("node") == F.col("of"), "left")
                      .select("node", F.coalesce("root", "node").alias("root"), "first_id"), "placed")
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -133,11 +133,16 @@ def test_estimates_vary_less_than_independent_hashes():
     assert np.var(errors) < 0.8 * independent
 
 
-def test_agreeing_counts_places(spark):
-    r = np.random.default_rng(3)
-    a = r.integers(0, 256, (50, superminhash.SLOTS)).astype(np.uint8)
-    b = np.where(r.random(a.shape) < 0.5, a, r.integers(0, 256, a.shape).astype(np.uint8))
-    rows = [(int(i), x.view(np.int64).tolist(), y.view(np.int64).tolist()) for i, (x, y) in enumerate(zip(a, b))]
-    df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
-    got = df.select(superminhash.agreeing(df["a"], df["b"]).alias("n")).collect()
-    assert [g["n"] for g in got] == (a == b).sum(axis=1).tolist()
+def test_blocks_of_a_bucket(spark, monkeypatch):
+    """Blocks of two nodes: every pair of components is compared somewhere."""
+    monkeypatch.setattr(superminhash, "BLOCK_NODES", 2)
+    monkeypatch.setattr(superminhash, "SALT_PAIRS", 2)
+    r, texts = random.Random(8), []
+    base = words(120, 3, 3000).split()
+    for _ in range(60):  # variants of one text, from almost equal to far
+        copy = list(base)
+        for k in r.sample(range(len(copy)), r.randint(0, 25)):
+            copy[k] = f"new{r.randint(0, 10**6)}"
+        texts.append(" ".join(copy))
+    want = check(spark, simple(spark, texts))
+    assert len({c for _, _, c, _ in want}) > 3
