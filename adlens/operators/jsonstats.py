@@ -49,13 +49,14 @@ def _parsed(text: str | None):
 
 
 def _scalars(own: dict, inner: dict | None = None) -> list[tuple[str, str | None]]:
-    """Scalar entries as text; an inner value wins unless it is null."""
+    """Scalar entries as text. Whatever the inner object has for a key replaces the outer value; objects and lists count as null."""
     flat = {}
-    for part in (own, inner or {}):
-        for key, value in part.items():
-            if isinstance(value, (dict, list)) or (value is None and key in flat):
-                continue
-            flat[key] = str(value).lower() if isinstance(value, bool) else value
+    for key, value in {**own, **(inner or {})}.items():
+        if isinstance(value, (dict, list)):
+            if inner and key in inner and key in own:
+                flat[key] = None
+            continue
+        flat[key] = str(value).lower() if isinstance(value, bool) else value
     return list(flat.items())
 
 

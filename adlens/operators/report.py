@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adlens.constants import DIMENSIONS, UNCLASSIFIED
 from adlens.functions.formatting import fmt_count, fmt_money, fmt_percent
+from adlens.operators.sinks import write_scoped
 
 COUNT_COLUMNS = ["rows", "impressions", "clicks", "conversions", "orders"]
 MONEY_COLUMNS = ["cost", "revenue", "cpc", "cpa"]
@@ -56,6 +57,31 @@ def localize(df: DataFrame, column_labels: dict[str, str],
     return out.withColumnsRenamed({k: v for k, v in column_labels.items() if k in out.columns})
 
 
+def delocalize(df: DataFrame, column_labels: dict[str, str], value_labels: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """Display labels back to column names and coded values; what is no label stays as it is.
+
+    Of several names with one label the last is meant, as in a reversed dictionary.
+    """
+    names = {label: name for name, label in column_labels.items()}
+    out = df.withColumnsRenamed({c: names[c] for c in df.columns if c in names})
+    for col_name, mapping in (value_labels or {}).items():
+        if col_name in out.columns:
+            codes = {label: code for code, label in mapping.items()}
+            m = F.create_map(*[x for k, v in codes.items() for x in (F.lit(k), F.lit(v))])
+            out = out.withColumn(col_name, F.coalesce(m[F.col(col_name)], F.col(col_name)))
+    return out
+
+
+def guide_sheet(sheets: dict[str, DataFrame], descriptions: dict[str, str]) -> DataFrame:
+    """One row per sheet, in writing order: its name, what it holds, and how many rows it has."""
+    out = None
+    for number, (name, df) in enumerate(sheets.items(), 1):
+        row = df.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(number).alias("sheet_no"), F.lit(name).alias("sheet"), F.lit(descriptions.get(name, "")).alias("description"), "rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def view_projection(df: DataFrame, expert: bool = False) -> DataFrame:
     """Basic view keeps dimensions and core metrics; expert view keeps everything."""
     if expert:
@@ -124,7 +150,7 @@ def action_sheet(issues: DataFrame, scope: Sequence[str] = (), advertiser: str =
 
     The advertiser is the scope's own value, or ``advertiser`` for an analysis without a scope.
     """
-    who = F.concat_ws(" / ", *(F.col(k).cast("string") for k in scope)) if scope else F.lit(advertiser)
+    who = scope_name(scope, advertiser)
     lab = F.create_map(*[x for k, v in SEVERITY_LABEL.items() for x in (F.lit(k), F.lit(v))])
     return issues.select(*scope, "issue_rank", F.coalesce(lab[F.col("severity")], F.col("severity")).alias("severity"),
                          "priority_score", "media", "target", "problem", "evidence", "cause_hypothesis",
@@ -133,21 +159,26 @@ def action_sheet(issues: DataFrame, scope: Sequence[str] = (), advertiser: str =
                          who.alias("advertiser"), advertiser_message().alias("advertiser_message"))
 
 
-def issue_blocks(issues: DataFrame, advertiser: str) -> DataFrame:
-    """(line_no, line): a heading and ten lines for each issue of the report, in priority order."""
+def scope_name(scope: Sequence[str], advertiser: str) -> Column:
+    """The scope's own value, or ``advertiser`` for an analysis without a scope."""
+    return F.concat_ws(" / ", *(F.col(k).cast("string") for k in scope)) if scope else F.lit(advertiser)
+
+
+def issue_blocks(issues: DataFrame, advertiser: str, scope: Sequence[str] = ()) -> DataFrame:
+    """(scope..., line_no, line): a heading and ten lines for each issue of the report, in priority order."""
     lab = F.create_map(*[x for k, v in SEVERITY_LABEL.items() for x in (F.lit(k), F.lit(v))])
     c = F.col
     label = F.coalesce(lab[c("severity")], c("severity"))
     lines = [F.concat(F.lit("### ["), label, F.lit("] "), c("problem")),
              F.concat(F.lit("- priority score: "), F.format_number(c("priority_score"), 2)),
-             F.lit(f"- advertiser: {advertiser}"),
+             F.concat(F.lit("- advertiser: "), scope_name(scope, advertiser)),
              *(F.concat(F.lit(f"- {name}: "), c(col)) for name, col in (
                  ("media", "media"), ("target", "target"), ("evidence", "evidence"), ("likely cause", "cause_hypothesis"),
                  ("recommended action", "recommended_action"), ("expected effect", "expected_effect"))),
              F.concat(F.lit("- message: "), advertiser_message()),
              F.concat(F.lit("- report: "), F.when(c("report_include"), "include").otherwise("if needed"))]
     rows = F.array(*(F.struct((c("issue_rank") * 20 + i).alias("line_no"), x.alias("line")) for i, x in enumerate(lines)))
-    return report_worthy(issues).select(F.inline(rows))
+    return report_worthy(issues).select(*scope, F.inline(rows))
 
 
 def issue_lanes(issues: DataFrame, scope: Sequence[str] = (), per_lane: int = 2) -> DataFrame:
@@ -219,49 +250,52 @@ def dashboard_counters(fact: DataFrame, issues: DataFrame, files: DataFrame | No
 
 def report_lines(advertiser: str, summary: DataFrame, recommendations: DataFrame, issues: DataFrame,
                  anomalies: DataFrame, monthly: DataFrame, weekly: DataFrame,
-                 mapping: DataFrame | None = None) -> DataFrame:
-    """Narrative markdown report as (section_no, line_no, line) rows for one analysis (scope=[])."""
-    s = F.col
-    head = summary.select(F.inline(F.array(
-        F.struct(F.lit(0).alias("line_no"), F.lit(f"# {advertiser} ad performance report").alias("line")),
-        F.struct(F.lit(1).alias("line_no"), F.concat(F.lit("- rows: "), fmt_count(s("rows"))).alias("line")),
-        F.struct(F.lit(2).alias("line_no"), F.concat(F.lit("- cost: "), fmt_money(s("cost"))).alias("line")),
-        F.struct(F.lit(3).alias("line_no"), F.concat(F.lit("- revenue: "), fmt_money(s("revenue"))).alias("line")),
-        F.struct(F.lit(4).alias("line_no"), F.concat(F.lit("- roas: "), fmt_percent(s("roas"))).alias("line")),
-        F.struct(F.lit(5).alias("line_no"), F.concat(F.lit("- ctr: "), fmt_percent(s("ctr"))).alias("line")),
-        F.struct(F.lit(6).alias("line_no"), F.concat(F.lit("- cvr: "), fmt_percent(s("cvr"))).alias("line")))))
-    head = head.withColumn("section_no", F.lit(1))
-    w_rec = Window.orderBy("rec_no", "rule_seq")
+                 mapping: DataFrame | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """Narrative markdown reports as (scope..., section_no, line_no, line) rows, one report for each scope.
+
+    Lines are numbered inside their scope, so every advertiser's (or file's) report comes from
+    the same few jobs. ``mapping`` (by ``source``) adds the column mapping: that of the scope's
+    file if the scope is the file, else of all files.
+    """
+    s, scope = F.col, list(scope)
+    line = lambda no, text: F.struct(F.lit(no).alias("line_no"), text.alias("line"))
+    values = [("rows", fmt_count), ("cost", fmt_money), ("revenue", fmt_money), ("roas", fmt_percent), ("ctr", fmt_percent),
+              ("cvr", fmt_percent)]
+    title = F.concat(F.lit("# "), scope_name(scope, advertiser), F.lit(" ad performance report"))
+    head = summary.select(*scope, F.lit(1).alias("section_no"), F.inline(F.array(
+        line(0, title), *(line(i, F.concat(F.lit(f"- {name}: "), fmt(s(name)))) for i, (name, fmt) in enumerate(values, 1)))))
+    sections = [(2, "## Recommendations"), (3, "## Today's actions"), (4, "## Anomalies"), (5, "## Monthly"), (6, "## Weekly")]
+    titles = summary.select(*scope, F.inline(F.array(*[
+        F.struct(F.lit(sec).alias("section_no"), F.lit(-1).alias("line_no"), F.lit(t).alias("line")) for sec, t in sections])))
+    # a scope has at most three rule hits for each of its 20 campaigns
+    numbered = lambda *order: F.row_number().over(Window.partitionBy(*scope).orderBy(*order)).alias("line_no")
     recs = recommendations.select(
-        F.lit(2).alias("section_no"), F.row_number().over(w_rec).alias("line_no"),
+        *scope, F.lit(2).alias("section_no"), numbered("rec_no", "rule_seq"),
         F.concat(F.lit("- ["), s("priority"), F.lit("] "), s("target"), F.lit(": "), s("issue"), F.lit(" -> "),
                  s("recommended_action")).alias("line"))
-    acts = issue_blocks(issues, advertiser).withColumn("section_no", F.lit(3))
-    w_an = Window.orderBy("base_rank", "rule_seq")
+    acts = issue_blocks(issues, advertiser, scope).withColumn("section_no", F.lit(3))
     anom = anomalies.select(
-        F.lit(4).alias("section_no"), F.row_number().over(w_an).alias("line_no"),
+        *scope, F.lit(4).alias("section_no"), numbered("base_rank", "rule_seq"),
         F.concat(F.lit("- "), s("severity"), F.lit(" / "), s("rule_code"), F.lit(" / "), s("target"), F.lit(" / "),
                  fmt_money(s("cost"))).alias("line"))
-    mon = period_markdown(monthly).withColumn("section_no", F.lit(5))
-    wk = period_markdown(weekly).withColumn("section_no", F.lit(6))
-    titles = summary.select(F.inline(F.array(*[
-        F.struct(F.lit(sec).alias("section_no"), F.lit(-1).alias("line_no"), F.lit(t).alias("line"))
-        for sec, t in [(2, "## Recommendations"), (3, "## Today's actions"), (4, "## Anomalies"),
-                       (5, "## Monthly"), (6, "## Weekly")]])))
-    cols = ["section_no", "line_no", "line"]
-    out = (head.select(*cols).unionByName(titles.select(*cols)).unionByName(recs.select(*cols))
-           .unionByName(acts.select(*cols)).unionByName(anom.select(*cols)).unionByName(mon.select(*cols))
-           .unionByName(wk.select(*cols)))
+    mon = period_markdown(monthly, scope).withColumn("section_no", F.lit(5))
+    wk = period_markdown(weekly, scope).withColumn("section_no", F.lit(6))
+    cols = [*scope, "section_no", "line_no", "line"]
+    out = head.select(*cols)
+    for part in (titles, recs, acts, anom, mon, wk):
+        out = out.unionByName(part.select(*cols))
     if mapping is not None:
         # one line per column position and header: "header -> canonical" (or "unmapped"); a folder has
         # many files but few layouts, so equal lines of different files are one
-        lines = mapping.select("position", "header", "canonical").distinct().select(
-            F.lit(7).alias("section_no"), s("position").alias("line_no"),
-            F.concat(F.lit("- "), s("header"), F.lit(" -> "), F.coalesce(s("canonical"), F.lit("unmapped")))
-            .alias("line"))
-        title = summary.select(F.lit(7).alias("section_no"), F.lit(-1).alias("line_no"),
-                               F.lit("## Column mapping").alias("line"))
-        out = out.unionByName(title).unionByName(lines)
+        text = F.concat(F.lit("- "), s("header"), F.lit(" -> "), F.coalesce(s("canonical"), F.lit("unmapped")))
+        own = ["file"] if scope == ["file"] else []
+        columns = mapping.withColumn("file", s("source")).select(*own, "position", "header", "canonical").distinct().select(
+            *own, F.lit(7).alias("section_no"), s("position").alias("line_no"), text.alias("line"))
+        if scope and not own:  # few layouts, many scopes
+            columns = summary.select(*scope, F.explode(columns.agg(F.collect_list(F.struct("section_no", "line_no", "line"))).scalar()).alias("x")) \
+                .select(*scope, "x.*")
+        heading = summary.select(*scope, F.lit(7).alias("section_no"), F.lit(-1).alias("line_no"), F.lit("## Column mapping").alias("line"))
+        out = out.unionByName(heading).unionByName(columns.select(*cols))
     return out
 
 
@@ -334,10 +368,9 @@ def plain_text(lines: DataFrame) -> DataFrame:
 
 
 def write_report(lines: DataFrame, path: str, scope: Sequence[str] = ()) -> None:
-    """Write one text report per scope, lines in (section, line) order."""
-    ordered = lines.repartition(*scope) if scope else lines.coalesce(1)
-    ordered = ordered.sortWithinPartitions(*scope, "section_no", "line_no")
-    w = ordered.select(*scope, "line").write.mode("overwrite")
+    """Write the text of one report, or of every scope's: whole reports one after the other, with a manifest of their places."""
     if scope:
-        w = w.partitionBy(*scope)
-    w.text(path)
+        write_scoped(lines, path, scope, ["section_no", "line_no"], text="line")
+        return
+    ordered = lines.coalesce(1).sortWithinPartitions("section_no", "line_no")
+    ordered.select("line").write.mode("overwrite").text(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from adlens.constants import CANONICAL_COLUMNS, MARKETPLACE_MEDIA
 from adlens.operators import audit, report
 from adlens.operators.ingest import map_headers, missing_canonical
+from adlens.plans import oracle_sql as o
 from adlens.session import checkpoint_dir, materialize
 from adlens.sources.reports import awkward_lines, derived_report_lines, read_report_lines, write_lines
 from adlens.sources.tables import read_table
@@ -59,6 +60,9 @@ def audit_queries() -> dict:
         "folder_extras": lambda spark, sf: audit.standardize_lines(_lines(spark, sf), _mapping(spark, sf), keep_extras=True)
         .select("file", "line_id", F.to_json("extras").alias("extras")),
         "file_audit": lambda spark, sf: audit.file_audit(_lines(spark, sf)),
+        "file_audit_issues": lambda spark, sf: audit.file_audit(_lines(spark, sf)).select(
+            "file", "action_issue_count", F.coalesce(F.array_join("action_issue_preview", " | "), F.lit("")).alias("preview"), "readiness",
+            "load_status"),
         "audit_required_status": lambda spark, sf: _status_columns(audit.file_audit(_lines(spark, sf), False)),
         "standardize_folder": lambda spark, sf: (lambda ln: audit.standardize_lines(
             ln, map_headers(audit.header_catalog_from_lines(ln))))(_lines(spark, sf)),
@@ -155,6 +159,15 @@ SELECT f2.file, line_id, CAST(l_shipdate AS TIMESTAMP) AS date,
     AS revenue,
   CASE WHEN lay = 3 THEN 0.0 ELSE CAST(l_linenumber AS DOUBLE) END AS orders
 FROM li JOIN (SELECT s_suppkey, file FROM f) f2 USING (s_suppkey)"""
+    file_fact = f"{FILES},\nad_fact AS ({std.removeprefix(f'WITH {FILES}')})"
+    file_issues = f"""WITH r AS ({required}), i AS ({o.action_issues(("file",)).replace(o.AD_FACT, file_fact)}),
+p AS (SELECT file, count(*) AS n, string_agg(problem || ' / ' || evidence, ' | ' ORDER BY issue_rank) FILTER (issue_rank <= 5) AS preview
+      FROM i GROUP BY file)
+SELECT r.file, CAST(coalesce(n, 0) AS BIGINT) AS action_issue_count, coalesce(preview, '') AS preview,
+       CASE WHEN n IS NULL THEN 'limited' WHEN starts_with(preview, 'insufficient data') THEN 'data_shortage'
+            WHEN {' AND '.join(f'status_{m} = {ok}' for m in audit.NUMERIC_FIELDS)} THEN 'possible' ELSE 'limited' END AS readiness,
+       'loaded' AS load_status
+FROM r LEFT JOIN p USING (file)"""
     std_rates = f"""WITH s AS ({std})
 SELECT *, COALESCE(clicks / NULLIF(impressions, 0), 0) AS ctr, COALESCE(cost / NULLIF(clicks, 0), 0) AS cpc,
        COALESCE(conversions / NULLIF(clicks, 0), 0) AS cvr, COALESCE(cost / NULLIF(conversions, 0), 0) AS cpa,
@@ -238,6 +251,6 @@ UNION ALL SELECT file, 3, '- unmapped: ' || CASE lay WHEN 0 THEN '' WHEN 1 THEN
                                                  ELSE '클릭률' END FROM l
 UNION ALL SELECT file, 4, '- cannot judge: ' || hold FROM l
 UNION ALL SELECT file, 5, '- load: loaded' FROM l"""
-    return {"media_validation_profiles": profiled, "audits_with_profiles": both, "audit_report": report_sql, "csv_folder": folder, "folder_extras": extras, "header_mapping": mapped, "missing_canonical": missing,
+    return {"file_audit_issues": file_issues, "media_validation_profiles": profiled, "audits_with_profiles": both, "audit_report": report_sql, "csv_folder": folder, "folder_extras": extras, "header_mapping": mapped, "missing_canonical": missing,
             "audit_required_status": required, "standardize_folder": std_rates, "alias_candidates": cands,
             "media_validation": media, "audit_profiles": profiles}

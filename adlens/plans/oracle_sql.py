@@ -54,6 +54,33 @@ ad_fact AS (
   FROM base_fact)"""
 
 
+UNCONVERTED_FACT = AD_FACT.replace("ad_fact AS (", "base_fact AS (", 1) + """,
+ad_fact AS (
+  SELECT date, platform, platform || '/' || year(date) AS account_name, campaign_name, ad_group_name, keyword, product_name,
+         impressions, impressions AS clicks, cost, CAST(0 AS BIGINT) AS conversions, CAST(0 AS DECIMAL(18,2)) AS revenue, orders
+  FROM base_fact)"""
+
+
+def over_unconverted(sql: str) -> str:
+    """The same statement over the fact without conversions."""
+    return sql.replace(AD_FACT, UNCONVERTED_FACT)
+
+
+def monthly_comments(a0: str, a1: str, b0: str, b1: str) -> str:
+    side = lambda p, s, e: ", ".join(
+        f"coalesce(sum({m}) FILTER (date >= '{s}' AND date <= '{e}'), 0)::DOUBLE AS {p}_{m}" for m in ("cost", "conversions", "revenue"))
+    text = lambda d: f"CASE WHEN {d} > 0 THEN 'up' WHEN {d} < 0 THEN 'down' ELSE 'flat' END"
+    return f"""{with_ctes(MONTHLY_ACCOUNT_FACT)},
+p AS (SELECT account_name, {side('a', a0, a1)}, {side('b', b0, b1)},
+             count(*) FILTER ((date >= '{a0}' AND date <= '{a1}') OR (date >= '{b0}' AND date <= '{b1}')) AS n
+      FROM ad_fact GROUP BY account_name),
+c AS (SELECT account_name, coalesce(b_revenue / nullif(b_cost, 0), 0) - coalesce(a_revenue / nullif(a_cost, 0), 0) AS roas,
+             b_conversions - a_conversions AS conversions, b_cost - a_cost AS cost FROM p WHERE n > 0)
+SELECT account_name, unnest([1, 2, 3]) AS comment_no, unnest(['roas', 'conversions', 'cost']) AS metric,
+       unnest([{text('roas')}, {text('conversions')}, {text('cost')}]) AS direction FROM c
+UNION ALL SELECT account_name, 0, NULL, 'nothing_to_compare' FROM p WHERE n = 0"""
+
+
 def over_monthly_accounts(sql: str) -> str:
     """The same statement over the monthly account fact."""
     return sql.replace(AD_FACT, MONTHLY_ACCOUNT_FACT)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from adlens.plans import oracle_sql as o
-from adlens.plans.queries import AB_RANGES
+from adlens.plans.queries import AB_RANGES, MONTH_RANGES
 
 
 def analysis_oracles() -> dict[str, str]:
@@ -39,6 +39,8 @@ def analysis_oracles() -> dict[str, str]:
     q["action_issues_by_month"] = o.over_monthly_accounts(o.action_issues(acct))
     q["recommendations_by_month"] = o.over_monthly_accounts(o.recommendations(acct))
     q["health_score_by_month"] = o.over_monthly_accounts(o.health_score(acct))
+    q["comparison_comments_by_month"] = o.monthly_comments(*MONTH_RANGES)
+    q["recommendations_unconverted"] = o.over_unconverted(o.recommendations(acct))
     q["recent_comparison_by_month"] = o.over_monthly_accounts(o.recent_comparison(acct))
     q["issues_top3"] = o.action_issues(top=3)
     q["health_score"] = o.health_score()

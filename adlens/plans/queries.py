@@ -63,6 +63,8 @@ def analysis_queries() -> dict[str, Query]:
     q["ab_comparison"] = lambda spark, sf: compare.ab_comparison(_fact(spark, sf), a0, a1, b0, b1)
     q["comparison_comments"] = lambda spark, sf: compare.comparison_comments(
         compare.ab_comparison(_fact(spark, sf), a0, a1, b0, b1))
+    q["comparison_comments_by_month"] = lambda spark, sf: _monthly_comments(tables.monthly_account_fact(spark, sf))
+    q["recommendations_unconverted"] = lambda spark, sf: rules.recommendations(tables.unconverted_fact(spark, sf), BY_ACCOUNT)
     q["thresholds"] = lambda spark, sf: _rounded_thresholds(rules.thresholds(_fact(spark, sf)))
     q["thresholds_by_account"] = lambda spark, sf: _rounded_thresholds(rules.thresholds(_fact(spark, sf), BY_ACCOUNT))
     q["anomalies"] = lambda spark, sf: rules.anomalies(_fact(spark, sf))
@@ -83,6 +85,15 @@ def analysis_queries() -> dict[str, Query]:
     return q
 
 
+#: Two single months: most of the monthly accounts have rows in neither.
+MONTH_RANGES = ("1996-02-01", "1996-02-29", "1997-03-01", "1997-03-31")
+
+
+def _monthly_comments(fact: DataFrame) -> DataFrame:
+    a0, a1, b0, b1 = (_d(x) for x in MONTH_RANGES)
+    return compare.comparison_comments(compare.ab_comparison(fact, a0, a1, b0, b1, BY_ACCOUNT), BY_ACCOUNT, fact)
+
+
 def _rounded_thresholds(df: DataFrame) -> DataFrame:
     # Interpolated percentiles may differ in the last bit between engines; round only for display.
     return df.withColumns({

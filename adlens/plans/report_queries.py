@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from adlens.operators import compare, issues, metrics, report, rules
 from adlens.plans import oracle_sql as o
+from adlens.plans.batch_run import narratives
 from adlens.sources import tables
 
 
@@ -11,12 +12,8 @@ def _fact(spark, sf):
     return tables.ad_fact(spark, sf)
 
 
-def _report_lines(spark, sf):
-    f = _fact(spark, sf)
-    a = rules.anomalies(f)
-    return report.report_lines("all accounts", metrics.kpi_summary(f), rules.recommendations(f, anomaly_rows=a),
-                               issues.action_issues(f, anomaly_rows=a), a, metrics.period_table(f, "monthly"),
-                               metrics.period_table(f, "weekly"))
+def _report_lines(spark, sf, scope=()):
+    return narratives(_fact(spark, sf), scope, "all accounts")
 
 
 def report_queries() -> dict:
@@ -34,6 +31,7 @@ def report_queries() -> dict:
         "basic_view": lambda spark, sf: report.view_projection(
             metrics.segment_table(_fact(spark, sf), "platform", limit=None)),
         "report_lines": _report_lines,
+        "report_lines_by_account": lambda spark, sf: _report_lines(spark, sf, ("account_name",)),
         "report_plain_text": lambda spark, sf: report.plain_text(_report_lines(spark, sf)),
     }
 
@@ -72,39 +70,49 @@ def report_oracles() -> dict:
     header = "| " + " | ".join(["period_label", "period_start", "period_end", "impressions", "clicks", "cost",
                                 "conversions", "revenue", "ctr", "cpc", "cvr", "cpa", "roas"]) + " |"
     sep = "| " + " | ".join(["---"] * 13) + " |"
-    def markdown(grain: str) -> str:
-        return f"""(WITH m AS ({o.period(grain)})
-SELECT 0 AS line_no, '{header}' AS line
-UNION ALL SELECT 1, '{sep}'
-UNION ALL SELECT CAST(ROW_NUMBER() OVER (ORDER BY period_start, period_label) + 1 AS INTEGER), '| ' || {row} || ' |' FROM m)"""
-
-    narrative = f"""WITH s AS ({summary}), r AS ({o.recommendations()}), i AS ({iss}), a AS ({o.anomalies()}),
+    def markdown(grain: str, scope: tuple[str, ...]) -> str:
+        keys = "".join(f"{k}, " for k in scope)
+        heads = f"(SELECT DISTINCT {', '.join(scope)} FROM m) h" if scope else "(SELECT 1) h"
+        part = f"PARTITION BY {', '.join(scope)} " if scope else ""
+        return f"""(WITH m AS ({o.period(grain, scope=scope)})
+SELECT {keys}0 AS line_no, '{header}' AS line FROM {heads}
+UNION ALL SELECT {keys}1, '{sep}' FROM {heads}
+UNION ALL SELECT {keys}CAST(ROW_NUMBER() OVER ({part}ORDER BY period_start, period_label) + 1 AS INTEGER), '| ' || {row} || ' |' FROM m)"""
+
+    def narrative(scope: tuple[str, ...] = ()) -> str:
+        keys = "".join(f"{k}, " for k in scope)
+        part = f"PARTITION BY {', '.join(scope)} " if scope else ""
+        who = " || ' / ' || ".join(scope) if scope else "'all accounts'"
+        return f"""WITH s AS ({o.kpi_summary(scope=scope)}), r AS ({o.recommendations(scope)}), i AS ({o.action_issues(scope)}),
+a AS ({o.anomalies(scope)}),
 lines AS (
-  SELECT 1 AS section_no, unnest([0, 1, 2, 3, 4, 5, 6]) AS line_no,
-         unnest(['# all accounts ad performance report', '- rows: ' || {_cnt('rows')}, '- cost: ' || {_money('cost')},
+  SELECT {keys}1 AS section_no, unnest([0, 1, 2, 3, 4, 5, 6]) AS line_no,
+         unnest(['# ' || {who} || ' ad performance report', '- rows: ' || {_cnt('rows')}, '- cost: ' || {_money('cost')},
                  '- revenue: ' || {_money('revenue')}, '- roas: ' || {_pct('roas')}, '- ctr: ' || {_pct('ctr')},
                  '- cvr: ' || {_pct('cvr')}]) AS line FROM s
-  UNION ALL SELECT * FROM (VALUES (2, -1, '## Recommendations'), (3, -1, '## Today''s actions'), (4, -1, '## Anomalies'),
-                                  (5, -1, '## Monthly'), (6, -1, '## Weekly')) t
-  UNION ALL SELECT 2, CAST(ROW_NUMBER() OVER (ORDER BY rec_no, rule_seq) AS INTEGER),
+  UNION ALL SELECT {keys}unnest([2, 3, 4, 5, 6]), -1,
+                   unnest(['## Recommendations', '## Today''s actions', '## Anomalies', '## Monthly', '## Weekly']) FROM s
+  UNION ALL SELECT {keys}2, CAST(ROW_NUMBER() OVER ({part}ORDER BY rec_no, rule_seq) AS INTEGER),
                    '- [' || priority || '] ' || target || ': ' || issue || ' -> ' || recommended_action FROM r
-  UNION ALL SELECT 3, issue_rank * 20 + unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]), unnest([
+  UNION ALL SELECT {keys}3, issue_rank * 20 + unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]), unnest([
               '### [' || CASE severity WHEN 'high' THEN 'urgent' WHEN 'medium' THEN 'watch' WHEN 'opportunity' THEN 'opportunity'
                          WHEN 'low' THEN 'reference' ELSE severity END || '] ' || problem,
-              '- priority score: ' || format('{{:,.2f}}', CAST(priority_score AS DOUBLE)), '- advertiser: all accounts',
+              '- priority score: ' || format('{{:,.2f}}', CAST(priority_score AS DOUBLE)), '- advertiser: ' || {who},
               '- media: ' || media, '- target: ' || target, '- evidence: ' || evidence,
               '- likely cause: ' || cause_hypothesis, '- recommended action: ' || recommended_action,
               '- expected effect: ' || expected_effect, '- message: ' || {MESSAGE},
               '- report: ' || CASE WHEN report_include THEN 'include' ELSE 'if needed' END]) FROM i
             WHERE report_include OR problem = 'insufficient data' OR severity IN ('high', 'medium', 'opportunity')
-  UNION ALL SELECT 4, CAST(ROW_NUMBER() OVER (ORDER BY base_rank, rule_seq) AS INTEGER),
+  UNION ALL SELECT {keys}4, CAST(ROW_NUMBER() OVER ({part}ORDER BY base_rank, rule_seq) AS INTEGER),
                    '- ' || severity || ' / ' || rule_code || ' / ' || target || ' / ' || {_money('cost')} FROM a
-  UNION ALL SELECT 5, line_no, line FROM {markdown('monthly')} m
-  UNION ALL SELECT 6, line_no, line FROM {markdown('weekly')} w)
-SELECT section_no, line_no, line FROM lines"""
+  UNION ALL SELECT {keys}5, line_no, line FROM {markdown('monthly', scope)} m
+  UNION ALL SELECT {keys}6, line_no, line FROM {markdown('weekly', scope)} w)
+SELECT {keys}section_no, line_no, line FROM lines"""
+
     return {
-        "report_lines": narrative,
-        "report_plain_text": f"""WITH t AS ({narrative})
+        "report_lines": narrative(),
+        "report_lines_by_account": narrative(("account_name",)),
+        "report_plain_text": f"""WITH t AS ({narrative()})
 SELECT section_no, line_no, regexp_replace(line, '[#*]', '', 'g') AS line FROM t""",
         "formatted_summary": f"""WITH s AS ({summary})
 SELECT {_cnt('rows')} AS rows, {_cnt('impressions')} AS impressions, {_cnt('clicks')} AS clicks,

@@ -48,6 +48,11 @@ def _item_lists(spark, sf):
     return p.select("p_partkey", report.normalise_list(text).alias("items"))
 
 
+def _localized(spark, sf):
+    found = rules.anomalies(tables.ad_fact(spark, sf)).select("severity", "target", "rule_code", "cost")
+    return report.localize(found, LABELS, {"severity": SEVERITIES})
+
+
 def text_queries() -> dict:
     return {
         "issue_wording": _issue_wording,
@@ -55,9 +60,9 @@ def text_queries() -> dict:
         "log_status_whitelist": _log_statuses,
         "detection_cutoffs": _detection_cutoffs,
         "item_lists": _item_lists,
-        "localized_anomalies": lambda spark, sf: report.localize(
-            rules.anomalies(tables.ad_fact(spark, sf)).select("severity", "target", "rule_code", "cost"), LABELS,
-            {"severity": SEVERITIES}),
+        "localized_anomalies": _localized,
+        "delocalized_anomalies": lambda spark, sf: report.delocalize(
+            _localized(spark, sf), LABELS, {"severity": SEVERITIES}),
         "dashboard_counters_all": lambda spark, sf: report.dashboard_counters(
             tables.ad_fact(spark, sf), issues.action_issues(tables.ad_fact(spark, sf)), tables.file_inventory(spark, sf),
             active_channels(_registry(spark, sf))),
@@ -95,6 +100,7 @@ SELECT account_name, metric, CASE WHEN previous = 0 THEN 'no previous period' WH
         "item_lists": "SELECT p_partkey, trim(p_name) || ', ' || trim(p_brand) AS items FROM part",
         "localized_anomalies": f"""WITH a AS ({o.anomalies()})
 SELECT CASE severity {severity} ELSE severity END AS "심각도", target AS "대상", rule_code AS "규칙", cost FROM a""",
+        "delocalized_anomalies": f"SELECT severity, target, rule_code, cost FROM ({o.anomalies()}) a",
         "dashboard_counters_all": f"""WITH d AS ({report_oracles()["dashboard_counters"]}), {INV}
 SELECT d.*, (SELECT COUNT(*) FROM inv WHERE starts_with(path, 'data/raw/')) AS raw_files,
        (SELECT COUNT(*) FROM inv WHERE starts_with(path, 'data/reports/')) AS reports,

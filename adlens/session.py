@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,10 +69,29 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     out = spark.read.parquet(path)
     _WRITTEN[id(out)] = path
+    if _OPEN:
+        _OPEN[-1].append(path)
     return out
 
 
 _WRITTEN: dict[int, str] = {}
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Every table that :func:`materialize` writes inside the block is deleted at its end."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _drop(spark, path)
+
+
+def _drop(spark: SparkSession, path: str) -> bool:
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True))
 
 
 def release(df: DataFrame) -> bool:
@@ -87,7 +107,4 @@ def release(df: DataFrame) -> bool:
     if not all(f.split("://")[-1].replace("file:", "").startswith(tail) for f in df.inputFiles()):
         return False
     _WRITTEN.pop(id(df), None)
-    jvm = df.sparkSession._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    return bool(fs.delete(hpath, True))
+    return _drop(df.sparkSession, path)

@@ -66,6 +66,18 @@ def ad_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def unconverted_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ad fact by platform and year without a conversion, and with clicks in proportion to impressions.
+
+    Many alike campaigns share the cost and the click-through rate of each account, so in most no rule fires.
+    """
+    f = ad_fact(spark, sf_dir)
+    kinds = dict(f.dtypes)
+    changed = {"account_name": F.concat_ws("/", "platform", F.year("date").cast("string")), "clicks": F.col("impressions"),
+               "conversions": F.lit(0).cast(kinds["conversions"]), "revenue": F.lit(0).cast(kinds["revenue"])}
+    return f.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in f.columns])
+
+
 def monthly_account_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ad fact with one account per supplier and month: small scopes that reach every fallback rule.
 

@@ -30,7 +30,7 @@ from adlens.functions.columns import with_rates
 from adlens.operators.audit import file_audit, header_catalog_from_lines, standardize_lines
 from adlens.operators.collection import log_view, media_health
 from adlens.operators.ingest import map_headers
-from adlens.session import checkpoint_dir, materialize, release
+from adlens.session import checkpoint_dir, materialize, scratch_tables
 from adlens.sources.reports import lines_of_text, stream_report_text
 from adlens.streaming.keyed_log import KeyedLog
 
@@ -44,13 +44,13 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
 def watch_report_folder(spark: SparkSession, in_dir: str, out_dir: str, glob: str = "*.csv", once: bool = True,
                         max_file_age: str | None = None, checkpoint: str | None = None,
                         processing_time: str = "30 seconds", max_files_per_trigger: int = 100, analysis: bool = True):
-    """Stream new report files from ``in_dir``; write facts, audits and, per trigger, the whole analysis to ``out_dir``.
+    """Stream new report files from ``in_dir``; write facts, audits and every file's whole analysis to ``out_dir``.
 
     Files arrive whole, so a file's header is its first line whatever its size. Everything a
     micro-batch writes lies under its own ``batch_id`` and replaces what an earlier try of
     that batch left, so a batch that failed half-way and runs again counts once. With
-    ``analysis``, KPIs, anomalies, issues and the report of the trigger's files are written per
-    file below ``analysis/batch_id=...``.
+    ``analysis``, KPIs, anomalies, issues and the narrative of each of the trigger's files come
+    from the same jobs, by file, below ``analysis/batch_id=...`` (``operators.sinks``).
 
     Returns the ``StreamingQuery`` (already finished when ``once``).
     """
@@ -59,20 +59,17 @@ def watch_report_folder(spark: SparkSession, in_dir: str, out_dir: str, glob: st
     ckpt = checkpoint or _paths(spark, "watch")[0]
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        lines = materialize(lines_of_text(batch), "watch-lines")
-        mapping = materialize(map_headers(header_catalog_from_lines(lines)), "watch-mapping")
-        try:
+        with scratch_tables(spark):
+            lines = materialize(lines_of_text(batch), "watch-lines")
+            mapping = materialize(map_headers(header_catalog_from_lines(lines)), "watch-mapping")
             fact = standardize_lines(lines, mapping, keep_extras=True)
             fact.write.mode("overwrite").parquet(f"{out_dir}/standardized/batch_id={batch_id}")
             written = spark.read.parquet(f"{out_dir}/standardized/batch_id={batch_id}")
             file_audit(lines, with_issues=False, mapping=mapping, fact=written).write.mode("overwrite").parquet(
                 f"{out_dir}/audit/batch_id={batch_id}")
             if analysis:
-                from adlens.plans.batch_run import analyze_lines
-                analyze_lines(lines, f"{out_dir}/analysis/batch_id={batch_id}", ["file"])
-        finally:
-            release(mapping)
-            release(lines)
+                from adlens.plans.batch_run import write_analysis
+                write_analysis(written, mapping, f"{out_dir}/analysis/batch_id={batch_id}", ["file"])
 
     writer = src.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=processing_time)

@@ -66,7 +66,10 @@ def test_document_order(spark):
 def test_inner_values_and_number_text(spark):
     payload = [{"rows": [{"id": "k", "salesAmt": "2,500", "convAmt": "10,000", "ror": 0, "fields": {"clkCnt": 1e2, "salesAmt": None}}]}]
     row, = js.shred_stats(docs(spark, payload)).collect()
-    assert (row["cost"], row["revenue"], row["roas"], row["clicks"]) == (2500, 10000, 4.0, 100)
+    assert (row["cost"], row["revenue"], row["clicks"]) == (0, 10000, 100)  # the inner null replaces the outer value
+    payload = [{"rows": [{"id": "k", "impCnt": 5, "clkCnt": 6, "salesAmt": 7, "fields": {"impCnt": None, "clkCnt": [1], "salesAmt": 8}}]}]
+    row, = js.shred_stats(docs(spark, payload)).collect()
+    assert (row["impressions"], row["clicks"], row["cost"]) == (0, 0, 8)
 
 
 def test_ids_attach_by_position(spark):

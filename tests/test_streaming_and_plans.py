@@ -74,7 +74,7 @@ def test_watch_counts_a_batch_once_that_failed_half_way(spark, tmp_dir, monkeypa
     watch.watch_report_folder(spark, inbox, out, checkpoint=ckpt, analysis=False)
     assert sorted(r["cost"] for r in spark.read.parquet(f"{out}/standardized").collect()) == [7, 50, 100]
     assert spark.read.parquet(f"{out}/audit").count() == 2
-    summary = spark.read.parquet(f"{out}/analysis/batch_id=0/summary")
+    summary = spark.read.parquet(f"{out}/analysis/batch_id=0/summary/rows")
     assert summary.count() == 1 and summary.first()["cost"] == 150
     assert os.path.isdir(f"{out}/analysis/batch_id=0/report_md")
 
