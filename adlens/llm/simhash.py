@@ -1,19 +1,16 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A fingerprint is read as eight positional bytes. Two fingerprints within ``max_bits`` <= 2
-differ in at most two of them, so they share at least six positional bytes: the guaranteed
-minimum of the count filter. Postings of a single byte hold 1/256 of the corpus, and
-tallying pairs over them grows with its square; the index therefore intersects postings
-first: its keys are the bytes at two of the four neighbouring byte pairs (32 bits). Two
-damaged bytes damage at most two byte pairs, so every linked pair meets under at least one
-of the six keys. Pairs that meet have their shared positional bytes tallied, those below
-six go, and the rest are verified by their bit distance.
-
-Equal fingerprints are one node, so copies cost nothing. A posting with more than ``DENSE``
-different fingerprints is not paired: its members agree on 32 bits, and two of them are
-within two bits exactly when they share a *midpoint*, a value at most one flipped bit from
-both. Each member lists its 33 midpoints and links to the smallest member of each: linear
-in the posting, and the same components.
+differ in at most two of them. Postings of a single byte hold 1/256 of the corpus, and
+tallying pairs over them grows with its square; the index therefore has the positional
+bytes five at a time: its ``KEYS`` are 21 choices of five positions, such that any two
+positions are left out together by at least two of them. So linked fingerprints share at
+least ``MIN_SHARED`` = 2 keys, the guaranteed minimum of the count filter, while pairs with
+exactly five equal bytes share at most one and go by their count alone. Pairs that reach the
+count are verified by their bit distance.
+
+Equal fingerprints are one node, so copies cost nothing. Pairs that meet in a posting are
+not listed: see ``components.grouped``, which is the same for postings of any size.
 
 Defined results: null or blank texts have fingerprint zero, which links like any other;
 null ids take part under their fingerprint and never are the smallest id (a component
@@ -23,19 +20,21 @@ empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adlens.llm.common import hex16, written
-from adlens.llm.components import components
+from adlens.llm.components import grouped
 
 SEED = 42
-DENSE = 64
-MIN_SHARED_BYTES = 6
+#: The byte positions that each key leaves out. Of positions 0 to 6 every two are together in one line of
+#: either plane of seven points; position 7 is with each of them twice.
+LEFT_OUT = ([tuple((i + k) % 7 for k in line) for line in ((0, 1, 3), (0, 2, 3)) for i in range(7)]
+            + [(7, i, (i + 1) % 7) for i in range(7)])
+MIN_SHARED = 2
 _HASHES_AT_ONCE = 1 << 18
+_MARK = "hash of the text"
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -61,83 +60,84 @@ def _bits(hashes: list[int]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row, written once."""
+    """doc_id, text_hash and fp of every row, written once."""
     def run(batches):
         for b in batches:
             fps = [fingerprint(t.as_py(), shingle) for t in b.column("text")]
-            yield pa.record_batch([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
+
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return written(narrow.mapInArrow(run, "doc_id long, text_hash long, fp long"), "fingerprints")
+
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(narrow.mapInArrow(run, "doc_id long, fp long"), "fingerprints")
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """Tally of the byte positions at which two fingerprints agree."""
+def _kept_bytes(left_out: tuple[int, ...]) -> int:
+    """The bits of all byte positions but ``left_out``, as a signed 64-bit mask."""
+    return int(np.uint64(sum(0xFF << 8 * i for i in range(8) if i not in left_out)).astype(np.int64))
+
+
+def shared_keys(a: Column, b: Column) -> Column:
+    """Tally of the keys (five positional bytes each) that two fingerprints share."""
     x = a.bitwiseXOR(b)
-    return sum(F.when(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for i in range(8))
+    return sum(F.when(x.bitwiseAND(F.lit(_kept_bytes(t))) == 0, 1).otherwise(0) for t in LEFT_OUT)
 
 
-def _block(fp: Column, i: int) -> Column:
-    return F.shiftright(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
+def postings(nodes: DataFrame) -> DataFrame:
+    """(key, node) of the keys that several of the distinct fingerprints ``fp`` have."""
+    fp = F.col("fp")
+    keys = F.array(*(F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(_kept_bytes(t)))) for k, t in enumerate(LEFT_OUT)))
+    index = nodes.select("fp", F.explode(keys).alias("key"))
+    several = index.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("key")
+    return written(index.join(several, "key").select("key", F.col("fp").alias("node")), "postings")
 
 
-def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of ``nodes`` (fp) that join the same pairs into components."""
+def roots(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(node, root) of the distinct fingerprints of ``nodes`` (fp) that links join into components."""
     if not 0 <= max_bits <= 2:
         raise ValueError("the index guarantees matches for at most two differing bits")
-    fp = F.col("fp")
-    keys = F.array(*(F.struct(F.lit(16 * i + j).alias("at"),
-                              F.shiftleft(_block(fp, i), 16).bitwiseOR(_block(fp, j)).alias("bytes"))
-                     for i, j in combinations(range(4), 2)))
-    index = nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.at", "k.bytes")
-    many = index.groupBy("at", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
-    postings = written(index.join(many, ["at", "bytes"]), "postings")
-
-    lists = (postings.filter(F.col("n") <= DENSE).groupBy("at", "bytes")
-             .agg(F.collect_list("fp").alias("fps")))  # DENSE members at most, by the count above
-    near = lambda a: lambda b: ((b > a) & (shared_bytes(a, b) >= MIN_SHARED_BYTES)
-                                & (F.bit_count(a.bitwiseXOR(b)) <= max_bits))
-    pairs = (lists.select(F.explode("fps").alias("a"), "fps")
-             .select("a", F.explode(F.filter("fps", near(F.col("a")))).alias("b")))
-
-    at = F.col("at")
-    other = F.filter(F.array(*(F.lit(i) for i in range(4))),
-                     lambda i: (i != F.shiftright(at, 4)) & (i != at.bitwiseAND(F.lit(15))))
-    flips = F.flatten(F.transform(other, lambda i: F.transform(
-        F.sequence(F.lit(0), F.lit(15)), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), i * 16 + k))))
-    reach = F.array(F.lit(0).cast("long")) if max_bits < 2 else F.concat(F.array(F.lit(0).cast("long")), flips)
-    mids = (postings.filter(F.col("n") > DENSE)
-            .select("at", "bytes", "fp", F.explode(reach).alias("flip"))
-            .select("at", "bytes", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid")))
-    if max_bits == 1:  # both ends of a flipped bit share the lower one
-        mids = (postings.filter(F.col("n") > DENSE).select("at", "bytes", "fp", F.explode(flips).alias("flip"))
-                .select("at", "bytes", "fp", F.col("fp").bitwiseAND(F.bitwise_not("flip")).alias("mid"), "flip")
-                .select("at", F.xxhash64("bytes", "flip").alias("bytes"), "fp", "mid"))
-    first = mids.groupBy("at", "bytes", "mid").agg(F.min("fp").alias("b"), F.count("*").alias("m")).filter("m > 1")
-    stars = (mids.join(first, ["at", "bytes", "mid"]).filter("fp <> b")
-             .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= max_bits).select(F.col("fp").alias("a"), "b"))
-    return pairs.unionByName(stars)
+    near = lambda a, b: (shared_keys(a, b) >= MIN_SHARED) & (F.bit_count(a.bitwiseXOR(b)) <= max_bits)
+
+    def across(apart: DataFrame) -> DataFrame:
+        p, q = apart.filter("root <> main").alias("p"), apart.alias("q")
+        c = F.col
+        pairs = p.join(q, (c("p.key") == c("q.key")) & (c("p.root") != c("q.root")) & near(c("p.node"), c("q.node"))
+                       & ((c("q.root") == c("q.main")) | (c("p.node") < c("q.node"))))
+        return pairs.select(c("p.node").alias("a"), c("q.node").alias("b")).distinct()
+
+    return grouped(postings(nodes), lambda pairs: pairs.filter(near(F.col("a"), F.col("b"))), across)
+
+
+def _classes(rows: DataFrame, max_bits: int) -> DataFrame:
+    """fp, root and component_id (smallest reachable doc_id) of every fingerprint, and its first row."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "text_hash"))
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), first.alias("first")), "nodes")
+    found = roots(nodes.select("fp"), max_bits)
+    placed = written(nodes.join(found, nodes.fp == found.node, "left")
+                     .select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "first"), "placed")
+    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("first").alias("representative"))
+    return placed.join(smallest, "root").select("fp", "root", "component_id", "representative")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """doc_id, fp, fingerprint (16 hex digits) and component_id (smallest reachable doc_id) of every row."""
     rows = fingerprints(docs, shingle)
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = components(links(nodes.select("fp"), max_bits))
-    placed = written(nodes.join(roots, nodes.fp == roots.node, "left")
-                     .select("fp", F.coalesce("root", "fp").alias("root"), "first_id"), "placed")
-    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = placed.join(smallest, "root").select("fp", "component_id")
+    classes = _classes(rows, max_bits).select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", "fp", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group, that with the smallest doc_id.
+    """The rows of ``docs`` that stay: one of each group.
 
-    Rows of one doc_id are one document (the first kept); rows without an id all stay.
+    It is the first by doc_id (rows without an id last), fingerprint and hash of the text, so
+    rows that share an id but not the text are documents of their own, as are rows without
+    one. Of rows with the same id and text one stays.
     """
-    keep = (near_duplicates(docs, shingle, max_bits).filter(F.col("doc_id") == F.col("component_id"))
-            .select(F.col("doc_id").alias("kept_id")).distinct())
-    with_id = docs.filter(F.col("doc_id").isNotNull())
-    kept = with_id.join(keep, with_id["doc_id"].cast("long") == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    rows = fingerprints(docs, shingle)
+    keep = written(_classes(rows, max_bits).select("representative.*").distinct()
+                   .select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")), "kept")
+    marked = docs.withColumn(_MARK, _text_hash())
+    return (marked.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"]) & (marked[_MARK] == keep["kept_hash"]), "left_semi")
+            .dropDuplicates(["doc_id", _MARK]).drop(_MARK))

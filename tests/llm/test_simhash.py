@@ -63,11 +63,10 @@ def test_near_copies(spark):
 
 
 def linked(spark, values, max_bits=2):
-    from adlens.llm.components import components
     fps = sorted(set(values))
     df = spark.createDataFrame([(int(np.int64(np.uint64(v))),) for v in fps], "fp long")
     roots = {np.uint64(np.int64(r["node"])).item(): np.uint64(np.int64(r["root"])).item()
-             for r in components(simhash.links(df, max_bits)).collect()}
+             for r in simhash.roots(df, max_bits).collect()}
     got = {}
     for v in fps:
         got.setdefault(roots.get(v, v), set()).add(v)
@@ -77,9 +76,35 @@ def linked(spark, values, max_bits=2):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-def test_dense_postings_are_whole(spark, monkeypatch):
+def test_linked_fingerprints_share_the_guaranteed_keys():
+    """Any two byte positions are left out together by two keys or more; no key leaves three others out as well."""
+    for i in range(8):
+        for j in range(8):
+            assert sum(i in t and j in t for t in simhash.LEFT_OUT) >= simhash.MIN_SHARED
+    assert len({frozenset(t) for t in simhash.LEFT_OUT}) == len(simhash.LEFT_OUT) == 21
+
+
+def test_the_tally_decides(spark):
+    """Pairs that meet under one key only are out by their count, before any bits are compared."""
+    rnd = random.Random(2)
+    rows = []
+    for _ in range(200):
+        a = rnd.getrandbits(64)
+        b = a
+        for at in rnd.sample(range(8), rnd.randint(0, 4)):
+            b ^= 1 << 8 * at + rnd.randrange(8)
+        rows.append((int(np.int64(np.uint64(a))), int(np.int64(np.uint64(b)))))
+    df = spark.createDataFrame(rows, "a long, b long")
+    got = df.select("a", "b", simhash.shared_keys(df["a"], df["b"]).alias("n")).collect()
+    differing = lambda r: {i for i in range(8) if (r["a"] ^ r["b"]) >> 8 * i & 255}
+    for r in got:
+        assert r["n"] == sum(differing(r) <= set(t) for t in simhash.LEFT_OUT)
+        assert (r["n"] >= simhash.MIN_SHARED) == (len(differing(r)) <= 2)
+    assert any(r["n"] == 1 for r in got)  # met, but dropped by the count
+
+
+def test_dense_postings_are_whole(spark):
     rnd = random.Random(5)
-    monkeypatch.setattr(simhash, "DENSE", 4)
     centre = rnd.getrandbits(64)
     values = [centre]
     for _ in range(250):  # a long chain and clumps that agree on half the bits
@@ -97,9 +122,25 @@ def test_empty_and_single(spark):
     assert [tuple(r)[0] for r in simhash.near_duplicates(simple(spark, ["a b c"])).select("component_id").collect()] == [0]
 
 
-def test_representatives_keep_the_smallest_id(spark):
+def test_representatives_keep_one_row_of_each_group(spark):
     df = frame(spark)
     kept = simhash.representatives(df)
     assert kept.columns == df.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == [0, 1, 4, 6, 7, 8, 9, 10] and ids.count(None) == 2
+    texts = [r["text"] or "" for r in kept.collect()]
+    prints = {direct(t) for t in texts}
+    assert prints == {direct(r["text"]) for r in df.collect()}  # no group is lost, and of near groups one row stays
+    assert len(texts) == len({c for _, _, c in classes_of(df)})
+
+
+def classes_of(df):
+    """(id, fingerprint, number of the component) of every row."""
+    rows = [(k, direct(r["text"])) for k, r in enumerate(df.collect())]
+    return classes(rows)
+
+
+def test_representatives_of_repeated_and_missing_ids(spark):
+    a, b, c = "alpha beta gamma delta", "totally other words here", "a third text without id"
+    rows = [(1, a), (1, b), (2, b), (None, c), (None, c), (None, a), (3, c + " and more and more words"), (3, None)]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted(
+        [(1, a), (1, b), (None, c), (3, c + " and more and more words"), (3, None)], key=repr)
