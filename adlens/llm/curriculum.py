@@ -11,10 +11,12 @@ scaled to the target, is the source's cumulative token demand; a document copy w
 are the source's words from ``c`` on stands where that demand reaches the copy's middle,
 which inverts the demand. Schedules are straight lines, so the inverse is a closed form.
 
-A source's words are laid out in a fixed pseudo-random order (md5 of the id) and repeated:
+A source's words are laid out in a fixed pseudo-random order (md5 of id and text) and repeated:
 pass ``k`` covers the demand from ``k`` sizes on. A document is taken once for each pass in
 which its middle lies before the target, and one copy of one document per source mends what
-whole documents miss; no document is taken more than ``MAX_REPEATS`` times.
+whole documents miss; no document is taken more than ``MAX_REPEATS`` times. Every copy taken
+has a training position; copies are range-sorted by it, and what a document contributes is
+summed over its positions.
 
 Scale: sizes and per-source sums combine before the shuffle. The order inside a source is
 cut into cells by the md5 prefix, many for a large source, so a hot source is summed over
@@ -22,14 +24,15 @@ many tasks; a cell's start is a prefix sum over the per-cell totals. Only the ta
 sources (one row each) is handled in one task.
 
 Defined results: null texts have size 0 and are taken as often as the words around them;
-null sources are a source, the last; null ids come first in their source's order; repeated
-rows are documents of their own; an empty table gives an empty result; other columns are
-not read by :func:`mix` and kept by :func:`training_order`.
+null sources are a source, the last; rows without an id are documents like others (their
+text spreads them over the order); repeated rows are documents of their own; an empty table
+gives an empty result; other columns are not read by :func:`mix` and kept by
+:func:`training_order`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from adlens.llm.common import written
 
@@ -40,13 +43,14 @@ CELL_ROWS = 4096
 SLOPES = (0.0, -0.5, 0.5)
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the place in the order (md5 of the id), written once."""
+def sizes(docs: DataFrame, place: Column | None = None) -> DataFrame:
+    """doc_id, source, size and the place in the order (md5 of id and text), written once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    if place is None:
+        place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("\n"), text).cast("binary"))
     return written(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"),
-        F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("")).alias("place")), "sizes")
+        F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"), place.alias("place")), "sizes")
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -147,20 +151,47 @@ def copies(mixed: DataFrame) -> DataFrame:
     return taken.withColumn("position", position(share, F.col("number")))
 
 
+def _partitions(spark: SparkSession, partitions: int | None) -> int:
+    return partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def schedule(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The copies of :func:`copies` range-sorted by position, with their ``turn`` in training (from 1)."""
+    order = ("position", "place", "pass_no", "doc_id")
+    at = copies(mixed).repartitionByRange(_partitions(mixed.sparkSession, partitions), *order).sortWithinPartitions(*order)
+    at = written(at.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nth")), "schedule")
+    parts = at.groupBy("part").agg(F.count("*").alias("n"), F.min("nth").alias("least"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = parts.select("part", "least", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return at.join(starts, "part").withColumn("turn", F.col("before") + F.col("nth") - F.col("least") + 1).drop("nth", "least", "before")
+
+
+def assigned(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_position and first_turn of every document.
+
+    ``taken`` adds up the words at the document's training positions; documents without any
+    have null for the last two. Rows are range-sorted by them.
+    """
+    mixed = written(mix(sizes(docs)).drop("taken").withColumn("row", F.monotonically_increasing_id()), "mixed")
+    at = schedule(mixed, partitions)
+    per = at.groupBy(F.col("row").alias("of")).agg(
+        F.sum("size").alias("words"), F.min("position").alias("first_position"), F.min("turn").alias("first_turn"))
+    out = (mixed.join(per, F.col("row") == F.col("of"), "left")
+           .select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"), "first_position", "first_turn"))
+    order = (F.col("first_turn").asc_nulls_last(), "doc_id")
+    return out.repartitionByRange(_partitions(docs.sparkSession, partitions), *order).sortWithinPartitions(*order)
+
+
 def training_order(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once per copy, range-sorted by training position.
 
-    Rows of one doc_id are one document, with the first source and size of them; rows
-    without an id can't be given a position back and come once each, at the end.
+    Rows are told apart by all their columns, so rows that share an id, or have none, are
+    mixed like any others.
     """
-    one = sizes(docs.filter(F.col("doc_id").isNotNull())).groupBy("doc_id", "place").agg(
-        F.min(F.struct(F.col("source").isNull().alias("none"), "source", "size")).alias("x"))
-    rows = written(one.select("doc_id", "place", "x.source", "x.size"), "sizes")
-    at = copies(mix(rows)).select(F.col("doc_id").alias("mixed_id"), "position", "pass_no")
-    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    taken = (whole.filter("id is not null").dropDuplicates(["id"]).join(at, F.col("id") == F.col("mixed_id"))
-             .select("row", "position", "id", "pass_no"))
-    rest = whole.filter("id is null").select("row", F.lit(1.0).alias("position"), "id", F.lit(0).cast("long").alias("pass_no"))
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (taken.unionByName(rest).repartitionByRange(n, "position", "id", "pass_no")
-            .sortWithinPartitions("position", F.col("id").asc_nulls_last(), "pass_no").select("row.*"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    place = F.md5(whole.cast("string").cast("binary"))
+    at = copies(mix(sizes(docs, place))).select(F.col("place").alias("of"), "position", "pass_no", "start")
+    rows = docs.select(whole.alias("row"), place.alias("place")).dropDuplicates(["place"])
+    order = ("position", "place", "pass_no", "start")
+    return (rows.join(at, F.col("place") == F.col("of"))
+            .repartitionByRange(_partitions(docs.sparkSession, partitions), *order).sortWithinPartitions(*order).select("row.*"))

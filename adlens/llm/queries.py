@@ -63,8 +63,7 @@ def op9_length_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_curriculum_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    return (curriculum.mix(curriculum.sizes(_table(spark, sf, "documents")))
-            .select("doc_id", "size", "source_size", "target", "taken"))
+    return curriculum.assigned(_table(spark, sf, "documents"))
 
 
 def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +112,7 @@ FROM p LEFT JOIN r USING (payload_digest)"""
 
 _MIX = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS place,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')) AS place,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (
   SELECT source, sum(size) AS source_size, CAST(sum(size) * 3 AS DOUBLE) AS cap,
@@ -139,10 +138,21 @@ g AS (
   SELECT *, abs(abs(miss) - size) AS gain, row_number() OVER (
     PARTITION BY number ORDER BY CASE WHEN abs(abs(miss) - size) < abs(miss)
       AND CASE WHEN miss > 0 THEN copies < 3 ELSE copies > 0 END THEN 0 ELSE 1 END,
-      abs(abs(miss) - size), place, doc_id, start) AS nth FROM m)
-SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * (copies + CASE
-  WHEN nth = 1 AND gain < abs(miss) AND CASE WHEN miss > 0 THEN copies < 3 ELSE copies > 0 END THEN sign(miss) ELSE 0 END)
-  AS BIGINT) AS taken FROM g"""
+      abs(abs(miss) - size), place, doc_id, start) AS nth FROM m),
+n AS (
+  SELECT doc_id, size, source_size, target, number, place, start, CAST(copies + CASE
+    WHEN nth = 1 AND size > 0 AND gain < abs(miss) AND CASE WHEN miss > 0 THEN copies < 3 ELSE copies > 0 END THEN sign(miss) ELSE 0 END
+    AS BIGINT) AS copies FROM g),
+c AS (SELECT *, unnest(range(copies)) AS pass_no FROM n),
+q AS (
+  SELECT *, [0.0::DOUBLE, -0.5, 0.5][number % 3 + 1] AS s, CASE WHEN target > 0 THEN
+    least(1.0, greatest(0.0, (start + size / 2.0::DOUBLE + pass_no * source_size) / target)) ELSE 0.0 END AS q FROM c),
+p AS (
+  SELECT *, row_number() OVER (ORDER BY position, place, pass_no, doc_id) AS turn FROM (
+    SELECT *, least(1.0, 2 * q / ((1 - s) + sqrt(greatest((1 - s) * (1 - s) + 4 * s * q, 0.0)))) AS position FROM q)),
+f AS (SELECT doc_id, place, start, sum(size) AS taken, min(position) AS first_position, min(turn) AS first_turn FROM p GROUP BY doc_id, place, start)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, first_position, first_turn
+FROM n LEFT JOIN f USING (doc_id, place, start)"""
 
 
 _AUDIT = r"""

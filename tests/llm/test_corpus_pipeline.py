@@ -14,14 +14,14 @@ from test_simhash import classes, direct
 
 def test_registered():
     names = list(llm_queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(names) < set(queries()) and "pipeline" in queries() and set(llm_oracles()) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(llm_oracles()))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings", "documents"):
+    for t in ("pages", "embeddings", "documents", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMOKE}/{t}.parquet')")
     df = queries()[name](spark, SMOKE)
     cols = sorted(df.columns)
@@ -53,3 +53,18 @@ def test_stages(spark):
     packed = kept["best_fit_packing"].collect()
     assert sorted(r["doc_id"] for r in packed if r["piece"] == 0) == sorted(third)
     assert corpus_pipeline.run(spark, SMOKE).count() == len(packed)
+
+
+def test_no_text_is_lost_with_repeated_and_missing_ids(spark):
+    """Near-duplicates and mixing keep some row of every group, whichever ids the rows have."""
+    a, b, c = "alpha beta gamma delta epsilon", "totally other words in here", "a third text that has no id at all"
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, b, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 1),
+            (None, a, "en", "s", 1), (3, c + " but longer by some words", None, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = written(stages["simhash_near_dedup"](spark, docs, SMOKE), "test-kept")
+    assert sorted(r["text"] for r in kept.collect()) == sorted({r[1] for r in rows})
+    mixed = written(stages["curriculum_mixing"](spark, kept, SMOKE), "test-mixed")
+    assert {r["text"] for r in mixed.collect()} == {r[1] for r in rows}
+    packed = stages["best_fit_packing"](spark, mixed, SMOKE).collect()
+    assert len([r for r in packed if r["piece"] == 0]) == mixed.count()

@@ -79,16 +79,60 @@ def test_positions_invert_the_schedules(spark):
         assert 0 <= t <= 1 and t + s * (t * t - t) == pytest.approx(r["q"], abs=1e-12)
 
 
+def positions(rows):
+    """(position, place, pass) of every copy, by integrating the source's schedule numerically."""
+    out = []
+    for r in rows:
+        slope, target = curriculum.SLOPES[r["number"] % 3], r["target"]
+        for k in range(r["copies"]):
+            want = (r["start"] + r["size"] / 2 + k * r["source_size"]) / target if target else 0.0
+            low, high = 0.0, 1.0
+            for _ in range(60):
+                mid = (low + high) / 2
+                low, high = (mid, high) if mid + slope * (mid * mid - mid) < min(want, 1.0) else (low, mid)
+            out.append((low, r["place"], k, r["doc_id"], r["size"]))
+    return out
+
+
+def test_taken_words_come_from_positions(spark):
+    rows = [(i, words(5 + i % 9, i), None, f"s{i % 4}", 0, *"abcdef") for i in range(120)]
+    rows += [(None, words(6, 500 + i), None, "s1", 0, *"abcdef") for i in range(40)]
+    df = frame(spark, rows)
+    got = curriculum.assigned(df, 4).collect()
+    want = positions(mixed(spark, df))
+    assert len(got) == 160 and sum(r["taken"] for r in got) == sum(p[4] for p in want)
+    turns = sorted((r["first_turn"], r["first_position"], r["doc_id"]) for r in got if r["doc_id"] is not None and r["taken"])
+    first = {}
+    for turn, p in enumerate(sorted(want, key=lambda p: p[:3]), 1):
+        first.setdefault((p[3], p[1]), (turn, p[0]))
+    named = sorted((turn, at, i) for (i, _), (turn, at) in first.items() if i is not None)
+    assert [i for _, _, i in turns] == [i for _, _, i in named]
+    assert all(a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-9) for a, b in zip(turns, named))
+    assert [r["first_turn"] for r in got if r["taken"]] == sorted(r["first_turn"] for r in got if r["taken"])
+
+
+def test_rows_without_an_id_spread_over_the_cells(spark, monkeypatch):
+    monkeypatch.setattr(curriculum, "CELL_ROWS", 100)
+    rows = [(i if i % 2 else None, words(4, i), None, "one", 0, *"abcdef") for i in range(2000)]
+    s = curriculum.sizes(frame(spark, rows))
+    cells = s.withColumn("cell", curriculum._cell(F.col("place"), F.lit(2000))).groupBy("cell").count().collect()
+    assert len(cells) == 20 and max(r["count"] for r in cells) < 200
+
+
 def test_training_order(spark):
     rows = [(i, words(5 + i % 9, i), None, f"s{i % 4}", 0, *"abcdef") for i in range(120)]
-    df = frame(spark, rows).unionByName(frame(spark, [(None, "no id", None, "s1", 0, *"abcdef")]))
+    rows += [(None, words(4, 900 + i), None, "s1", 0, *"abcdef") for i in range(9)] + [(7, "another text of row seven", None, "s1", 0, *"abcdef")] * 2
+    df = frame(spark, rows)
     out = curriculum.training_order(df, 4)
     assert out.columns == df.columns
-    ids = [r["doc_id"] for r in out.collect()]
-    want = {r["doc_id"]: r["copies"] for r in mixed(spark, df.filter("doc_id is not null"))}
-    assert {i: ids.count(i) for i in want} == want and ids.count(None) == 1
-    at = curriculum.copies(curriculum.mix(curriculum.sizes(df.filter("doc_id is not null")))).orderBy("position", "doc_id", "pass_no")
-    assert [i for i in ids if i is not None] == [r["doc_id"] for r in at.collect()]
+    texts = [r["text"] for r in out.collect()]
+    whole = F.struct(*df.columns)
+    at = curriculum.copies(curriculum.mix(curriculum.sizes(df, F.md5(whole.cast("string").cast("binary")))))
+    per = {r["place"]: r["text"] for r in df.select(F.md5(whole.cast("string").cast("binary")).alias("place"), "text").collect()}
+    want = at.orderBy("position", "place", "pass_no", "start").collect()
+    assert texts == [per[r["place"]] for r in want]
+    single = frame(spark, [(*r[:3], "one", *r[4:]) for r in rows])  # the target is the source's size: every row once
+    assert sorted(r["text"] for r in curriculum.training_order(single, 4).collect()) == sorted(r[1] for r in rows)
 
 
 def test_empty(spark):
