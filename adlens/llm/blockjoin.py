@@ -126,11 +126,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, groups: int | Non
     spark = vectors.sparkSession
     names = ("dim", "n", "ids", "codes", "numbers", "vectors")
     n = vectors.select("vec_id").count()
-    c = written(blocks(vectors.coalesce(partitions_for(n, rows)), rows), "blocks")
+    c = written(blocks(vectors.coalesce(partitions_for(spark, n, rows)), rows), "blocks")
     asked = (vectors.filter(is_query).filter(usable(F.col("vec_id"), F.col("embedding"))).groupBy("vec_id")
              .agg(F.min("embedding").alias("embedding")))
     asked = written(asked, "queries")
-    q = written(blocks(asked.repartition(partitions_for(asked.count(), rows)), rows), "query-blocks")
+    q = written(blocks(asked.repartition(partitions_for(spark, asked.count(), rows)), rows), "query-blocks")
     made = max(1, c.count())
     groups = groups or min(made, max(int(spark.conf.get("spark.sql.shuffle.partitions")), made // BLOCKS_PER_GROUP))
     c = c.withColumn("group", F.pmod(F.xxhash64("ids", "codes"), F.lit(groups)))

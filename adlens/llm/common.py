@@ -14,6 +14,8 @@ from adlens.session import checkpoint_dir
 
 #: Upper bound of the text bytes that one call of an in-task helper works on.
 CHUNK_CHARS = 1 << 20
+#: More partitions of one shuffle than this for each core only add overhead.
+PARTITIONS_PER_CORE = 16
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -36,8 +38,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
-def partitions_for(rows: int, rows_each: int) -> int:
-    return max(1, math.ceil(rows / rows_each))
+def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
+    """Partitions of about ``rows_each`` rows, but not more than the cluster has use for."""
+    useful = max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return max(1, min(math.ceil(rows / rows_each), useful))
 
 
 def hex16(fingerprint: Column) -> Column:

@@ -13,13 +13,16 @@ cosine of two sums estimates that of the shingle multisets, so edits show as a l
 of at most 2^31 bytes has at most 2^30 shingles, so they never wrap. Likeness is exactly 1 for
 equal fingerprints.
 
-The edited text of a document takes its last half from the next document in doc_id order.
-Documents are dealt to ranges of doc_ids, cut at quantiles; the first document of each range
-is also sent to the range before it, so every row finds its next one in its own task, in
-one shuffle of the texts. A range is streamed, one document ahead.
+The edited text of a document takes its last half from the next document in the order of
+doc_id, hash of the text and text. Documents are dealt to ranges of that order, so rows that
+share an id, or have none, spread as well; where ranges begin is found on the narrow (id,
+hash) alone. The first document of each range is also sent to the range before it, so every
+row finds its next one in its own task, in one shuffle of the texts. A range is streamed,
+one document ahead. There are as many ranges as the cluster has use for, and their starts
+travel as two arrays of that length.
 
 Defined results: a null text is empty; null doc_ids come first; rows of one doc_id are
-ordered by their text, each the next of the one before; an empty text has the zero
+ordered by the hash of their text, each the next of the one before; an empty text has the zero
 fingerprint, alike (1) only to zero; a single document is its own next one; an empty table
 gives an empty result; other columns are not read.
 """
@@ -30,9 +33,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from adlens.llm.common import partitions_for
+from adlens.llm.common import partitions_for, written
 
 EQUAL = 32
 LIKE = 128          # the width of the hash in bits
@@ -40,6 +43,8 @@ SHINGLE = 3
 LANES = EQUAL + LIKE
 _READ = np.array([0xFFFF] * EQUAL + [0xFFFFFFFF] * LIKE, np.uint32)  # the bits of a lane that count
 ROWS_PER_RANGE = 8192
+LOWEST = -(1 << 63)  # stands for a null id
+_START = np.dtype([("key", "<i8"), ("hash", "<i8")])
 _OUT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double")
 
@@ -122,41 +127,36 @@ def edited_print(own: np.ndarray, text: str, following: str) -> np.ndarray:
 
 # --- next documents -----------------------------------------------------------------------
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted ``bounds`` are at most ``key``, in two steps of about their root each."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    runs = [bounds[i:i + step] for i in range(0, len(bounds), step)]
-    count = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
-    run = count(F.array(*(F.lit(r[0]).cast("long") for r in runs)))
-    cells = F.array(*(F.array(*(F.lit(x).cast("long") for x in r)) for r in runs))
-    return F.when(run == 0, 0).otherwise((run - 1) * step + count(F.element_at(cells, F.greatest(run, F.lit(1)))))
-
-
 def with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """range, ahead, key, doc_id, text: each range holds its rows and, as ``ahead``, the first of the next one."""
     spark = docs.sparkSession
-    lowest = -(1 << 63)
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), F.xxhash64(text).alias("hash"),
+                       F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    ids = written(rows.select("key", "hash"), "order")
     n = ids.count()
-    parts = max(partitions_for(n, rows_per_range), min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), 1)
-    cuts = ids.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
-    bounds = sorted({c for c in cuts or [] if c is not None and c > lowest})
-    at = _range_of(F.col("key"), bounds)
-    firsts = [tuple(r) for r in ids.groupBy(at.alias("r")).agg(F.min("key").alias("k")).orderBy("r").collect()]  # a row per range
-    before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}  # the first row of all is next to the last one
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("range", at)
-    lead = F.create_map(*(x for k, r in before.items() for x in (F.lit(k).cast("long"), F.lit(r)))) if before else None
-    own = F.struct(F.col("range"), F.lit(0).alias("ahead"))
-    sent = F.array(own) if lead is None else F.when(
-        F.element_at(lead, F.col("key")).isNull(), F.array(own)).otherwise(
-        F.array(own, F.struct(F.element_at(lead, F.col("key")).alias("range"), F.lit(1).alias("ahead"))))
-    return (rows.select("key", "doc_id", "text", F.explode(sent).alias("to"))
-            .select(F.col("to.range").alias("range"), F.col("to.ahead").alias("ahead"), "key", "doc_id", "text")
-            .repartitionById(max(1, len(bounds) + 1), F.col("range"))
-            .sortWithinPartitions("range", "ahead", "key", "text"))
+    parts = max(partitions_for(spark, n, rows_per_range), min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), 1)
+    ranged = ids.repartitionByRange(parts, "key", "hash")
+    firsts = sorted((r["first"]["key"], r["first"]["hash"]) for r in  # a row per range
+                    ranged.groupBy(F.spark_partition_id()).agg(F.min(F.struct("key", "hash")).alias("first")).collect())
+    starts = spark.sparkContext.broadcast(np.array(firsts, _START))
+
+    def place(key: pa.Array, hash_: pa.Array) -> pa.Array:
+        at = np.empty(len(key), _START)
+        at["key"], at["hash"] = key.to_numpy(zero_copy_only=False), hash_.to_numpy(zero_copy_only=False)
+        own = np.searchsorted(starts.value, at, side="right") - 1
+        first = starts.value[own] == at
+        before = np.where(own == 0, len(starts.value) - 1, own - 1)  # the first row of all is next to the last one
+        return pa.StructArray.from_arrays([pa.array(own, pa.int32()), pa.array(before, pa.int32(), mask=~first)], ["own", "before"])
+
+    placed = rows.withColumn("at", F.arrow_udf(place, "own int, before int")("key", "hash"))
+    here = F.struct(F.col("at.own").alias("range"), F.lit(0).alias("ahead"))
+    ahead = F.struct(F.col("at.before").alias("range"), F.lit(1).alias("ahead"))
+    to = F.when(F.col("at.before").isNull(), F.array(here)).otherwise(F.array(here, ahead))
+    return (placed.select("key", "hash", "doc_id", "text", F.explode(to).alias("to"))
+            .select(F.col("to.range").alias("range"), F.col("to.ahead").alias("ahead"), "key", "doc_id", "text", "hash")
+            .repartitionById(max(1, len(firsts)), F.col("range"))
+            .sortWithinPartitions("range", "ahead", "key", "hash", "text"))
 
 
 def document_fingerprints(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:

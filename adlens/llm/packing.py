@@ -7,7 +7,7 @@ of what would be left (``rule="norm"``) or the largest weighted dot product of t
 and the room (``rule="dot"``).
 
 Packing needs lengths only: texts are encoded once, and narrow piece rows (no ids) are
-dealt by hash to tasks of bounded size, each of which packs its own pieces; a task leaves
+dealt by hash to tasks, which pack ``ITEMS_AT_ONCE`` of them at a time; each such lot leaves
 at most a few sequences part full. Nothing is dropped; only documents longer than a
 sequence are cut, the short remainder first.
 
@@ -27,7 +27,7 @@ from adlens.llm.tokens import encoder, ids_crc32
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-ITEMS_PER_TASK = 8192
+ITEMS_AT_ONCE = 8192
 WEIGHTS = (1.0, 0.1, 0.1)
 
 
@@ -99,18 +99,14 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, int, int], weights=WEIG
 
 
 def pack(items: DataFrame, capacity: int, max_documents: int | None = None, max_attention: int | None = None,
-         weights=WEIGHTS, rule: str = "norm", items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
+         weights=WEIGHTS, rule: str = "norm", items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """``items`` (the columns of :func:`pieces`) with ``sequence_id`` and ``offset``."""
     caps = (capacity, max_documents or capacity, max_attention or capacity * capacity)
     items = written(items, "pieces")
-    tasks = partitions_for(items.count(), items_per_task)
+    tasks = partitions_for(items.sparkSession, items.count(), items_at_once)
     names = items.columns
 
-    def run(batches):
-        from pyspark import TaskContext
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
+    def packed(batches, first):
         t = pa.Table.from_batches(batches)
         t = t.sort_by([("length", "descending"), *((c, "ascending") for c in names if c != "length")])
         lengths = t.column("length").to_numpy()
@@ -119,9 +115,24 @@ def pack(items: DataFrame, capacity: int, max_documents: int | None = None, max_
         seq, off = np.arange(len(lengths)), np.zeros(len(lengths), np.int64)
         more, off[full:] = best_fit(lengths[full:], caps, weights, rule)  # full pieces fill a sequence each
         seq[full:] = more + full
-        base = TaskContext.get().partitionId() << 40
-        t = t.append_column("sequence_id", pa.array(seq + base, pa.int64()))
-        yield from t.append_column("offset", pa.array(off, pa.int64())).combine_chunks().to_batches()
+        t = t.append_column("sequence_id", pa.array(seq + first, pa.int64()))
+        return t.append_column("offset", pa.array(off, pa.int64())).combine_chunks().to_batches(), first + int(seq.max()) + 1
+
+    def run(batches):
+        from pyspark import TaskContext
+        held, rows, first = [], 0, TaskContext.get().partitionId() << 40
+        for b in batches:
+            while b.num_rows:
+                some = b.slice(0, items_at_once - rows)
+                b = b.slice(some.num_rows)
+                held.append(some)
+                rows += some.num_rows
+                if rows == items_at_once:
+                    out, first = packed(held, first)
+                    yield from out
+                    held, rows = [], 0
+        if held:
+            yield from packed(held, first)[0]
 
     dealt = items.repartition(tasks, *names)
     return dealt.mapInArrow(run, PACKED)

@@ -42,6 +42,7 @@ FRAMES_PER_FILE = 8
 SHARD_TOKENS = 4 << 20
 LOW = np.uint64(1 << 31)       # states stay in [2^31, 2^63), words have 32 bits
 MAGIC_FRAME, MAGIC_TABLE = b"RNF1", b"RNT1"
+_COUNTS = np.dtype([("id", "<u4"), ("n", "<u8")])
 
 
 # --- the shared table ---------------------------------------------------------------------
@@ -193,49 +194,58 @@ def decode_blocks(raw: memoryview, table: Table) -> np.ndarray:
 # --- files --------------------------------------------------------------------------------
 
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian bytes of the encoder's width), n_tokens, ids_crc32 of every row; written once."""
+    """doc_id, ids (little-endian bytes of the encoder's width), n_tokens, ids_crc32 of every row; written once.
+
+    Each task adds one row that has only ``counts``: how often it met each id (32-bit id, 64-bit number).
+    """
+    names = ["doc_id", "ids", "n_tokens", "ids_crc32", "counts"]
+
     def run(batches):
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
+        total = np.zeros(0, np.int64)
         for b in batches:
             for at, texts in column_chunks(b.column("text")):
                 raws = [r + end for r in enc.encode(texts)]
+                c = np.bincount(np.frombuffer(b"".join(raws), enc.dtype))
+                n = max(len(c), len(total))
+                total = np.pad(total, (0, n - len(total))) + np.pad(c, (0, n - len(c)))
                 yield pa.record_batch([
                     b.column("doc_id").slice(at, len(raws)), pa.array(raws, pa.binary()),
                     pa.array([len(r) // enc.dtype.itemsize for r in raws], pa.int64()),
-                    pa.array([ids_crc32(enc.ids(r)) for r in raws], pa.int64())], ["doc_id", "ids", "n_tokens", "ids_crc32"])
+                    pa.array([ids_crc32(enc.ids(r)) for r in raws], pa.int64()), pa.nulls(len(raws), pa.binary())], names)
+        met = np.flatnonzero(total)
+        packed = np.rec.fromarrays([met, total[met]], dtype=_COUNTS).tobytes()
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
+                               pa.array([packed], pa.binary())], names)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(narrow.mapInArrow(run, "doc_id long, ids binary, n_tokens long, ids_crc32 long"), "tokens")
+    return written(narrow.mapInArrow(run, "doc_id long, ids binary, n_tokens long, ids_crc32 long, counts binary"), "tokens")
 
 
-def counts(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """id, n over all rows."""
+def counts(rows: DataFrame) -> DataFrame:
+    """id, n over all rows of :func:`token_rows`, from the sums of its tasks."""
     def run(batches):
-        dtype = encoder(tokenizer).dtype
-        total = np.zeros(0, np.int64)
         for b in batches:
-            raw = b"".join(v for v in b.column("ids").to_pylist())
-            c = np.bincount(np.frombuffer(raw, dtype))
-            n = max(len(c), len(total))
-            total = np.pad(total, (0, n - len(total))) + np.pad(c, (0, n - len(c)))
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
+            for packed in b.column("counts").to_pylist():
+                own = np.frombuffer(packed, _COUNTS)
+                yield pa.record_batch([pa.array(own["id"].astype(np.int64)), pa.array(own["n"].astype(np.int64))], ["id", "n"])
 
-    return rows.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    met = rows.select("counts").filter("counts is not null").mapInArrow(run, "id long, n long")
+    return met.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_files(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     """Write the token files of ``docs`` under ``path``."""
     spark = docs.sparkSession
     rows = token_rows(docs, tokenizer, end_id)
-    table_rows = counts(rows, tokenizer).collect()  # one row per id of the vocabulary at most
+    table_rows = counts(rows).collect()  # one row per id of the vocabulary at most
     if not table_rows:
         return
     table = Table.of_counts(np.array([r["id"] for r in table_rows]), np.array([r["n"] for r in table_rows]))
     saved = table.to_bytes()
     write_records(spark.createDataFrame([(bytearray(framed(saved)),)], "record binary"), "record", f"{path}/table", 1)
-    shards = partitions_for(sum(r["n"] for r in table_rows), SHARD_TOKENS)
+    shards = partitions_for(spark, sum(r["n"] for r in table_rows), SHARD_TOKENS)
     shared = spark.sparkContext.broadcast(saved)
 
     def run(batches):
@@ -266,7 +276,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None
         if ids:
             yield frame(ids, raws)[0]
 
-    ordered = (rows.repartitionByRange(shards, "doc_id", "ids_crc32")
+    ordered = (rows.filter("counts is null").repartitionByRange(shards, "doc_id", "ids_crc32")
                .sortWithinPartitions("doc_id", "ids_crc32", "ids").select("doc_id", "ids"))
     write_records(ordered.mapInArrow(run, "record binary"), "record", f"{path}/frames", FRAMES_PER_FILE)
 

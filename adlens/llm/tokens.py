@@ -28,7 +28,7 @@ _PIECES = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
 # One word of Latin letters with ASCII punctuation (no apostrophe) after it.
 _WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 450_000
 TOGETHER = 512
 
 
@@ -79,7 +79,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = special_as_text
-        self.model = self.tok.model
+        # the same file with added tokens' strings as text: quicker, and the same for texts without any of them
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()] * (not special_as_text)
+        self.model = self.plain.model
         pre = self.tok.pre_tokenizer
         self.splits = (self.tok.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space
                        and pre.use_regex and type(self.model).__name__ == "BPE" and not self.model.dropout
@@ -89,9 +93,16 @@ class PieceEncoder:
         self.letters, self.marks, self.kind = _byte_letters(), {}, "H" if self.dtype.itemsize == 2 else "I"
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes()
-                for i in range(0, len(texts), TOGETHER)
-                for e in self.tok.encode_batch_fast(texts[i:i + TOGETHER], add_special_tokens=False)]
+        out = []
+        for i in range(0, len(texts), TOGETHER):
+            some = texts[i:i + TOGETHER]
+            tok = self.plain
+            if self.added:
+                joined = "\n".join(some)
+                if any(a in joined for a in self.added):
+                    tok = self.tok
+            out += [array(self.kind, e.ids).tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)]
+        return out
 
     def _one(self, pre_token: str) -> bytes:
         if not pre_token.isascii() or pre_token[0] == " ":

@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from adlens.llm import multiset
 from llm_fixtures import DOCS, frame, simple, words
 
@@ -41,10 +43,11 @@ def test_edited_print_is_that_of_the_edited_text():
 
 
 def check(df, rows_per_range):
-    rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "", r["doc_id"]) for r in df.collect()))
+    hashed = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"] or "", r["doc_id"]) for r in hashed))
     want = []
-    for k, (_, _, t, i) in enumerate(rows):
-        n = rows[(k + 1) % len(rows)][2]
+    for k, (_, _, _, t, i) in enumerate(rows):
+        n = rows[(k + 1) % len(rows)][3]
         e = multiset.edited(t, n)
         a, b, c = multiset.fingerprint(t), multiset.fingerprint(e), multiset.fingerprint(n)
         want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), multiset.to_hex(a), multiset.to_hex(b),
@@ -80,3 +83,31 @@ def test_long_repetitive_texts_stay_alike(spark):
     rows = multiset.document_fingerprints(simple(spark, [long, "\n".join([line] * 4000)])).orderBy("doc_id").collect()
     assert all(r["near_edited"] > 0.99 and r["near_next"] > 0.99 for r in rows)
     assert len(rows[0]["fingerprint"]) == 4 * multiset.EQUAL + 8 * multiset.LIKE
+
+
+def test_rows_without_an_id_spread_over_the_ranges(spark):
+    df = spark.createDataFrame([(None if k % 2 else k, words(5, k)) for k in range(4000)], "doc_id long, text string")
+    sizes = [r["count"] for r in multiset.with_next(df, 100).filter("ahead = 0").groupBy("range").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    plans = [multiset.with_next(d, 10)._jdf.queryExecution().optimizedPlan().toString() for d in (df, df.limit(400))]
+    assert abs(len(plans[0]) - len(plans[1])) < 200  # the plan doesn't grow with the rows
+
+
+def direct_print(text):
+    """Lanes by their definition, one paragraph and shingle at a time."""
+    import xxhash
+    equal, like = [0] * multiset.EQUAL, [0] * multiset.LIKE
+    for p in filter(None, text.split("\n")):
+        raw = hashlib.blake2b(p.encode(), digest_size=2 * multiset.EQUAL).digest()
+        equal = [(e + int.from_bytes(raw[2 * k:2 * k + 2], "little")) % 2**16 for k, e in enumerate(equal)]
+        ws = p.encode().split()
+        runs = [ws[k:k + 3] for k in range(len(ws) - 2)] if len(ws) >= 3 else [ws] * bool(ws)
+        for run in runs:
+            bits = int.from_bytes(xxhash.xxh3_128_digest(b" ".join(run)), "big")
+            like = [v + (1 if bits >> multiset.LIKE - 1 - k & 1 else -1) for k, v in enumerate(like)]
+    return "".join(f"{e:04x}" for e in equal) + "".join(f"{v % 2**32:08x}" for v in like)
+
+
+def test_prints_by_their_definition():
+    for t in ("", "one", "two words\nand three more", words(30, 1) + "\n" + words(30, 1), "ü ß é à\n\nü ß é à"):
+        assert multiset.to_hex(multiset.fingerprint(t)) == direct_print(t)
