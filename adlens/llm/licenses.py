@@ -1,17 +1,17 @@
 """License scans with ordered signature rules, in DataFrame functions only.
 
 Texts are read as words (runs of ASCII letters, digits and non-ASCII characters). A rule is
-a regular expression over words with a keyword, a label and a priority; rules are the
-license families below, each in the contexts below (a few hundred in all). A family is tried
-only if one of its keywords occurs, and a rule only if its context's keyword does; every match
-of a rule holds both, so no gate hides one. A text in which no rule is tried, that is without
-any of ``STEMS`` or with neither a context's keyword nor one of ``BARE_STEMS``, is passed over
-but for the base.
+a regular expression over words with a keyword, a label and a priority: the sentences by
+which license texts and notices are known (``SIGNATURES``), and the names of license families,
+each in the contexts below (a few hundred in all). A family is tried only if one of its
+keywords occurs, and a rule only if its context's keyword does; every match of a rule holds
+both, so no gate hides one. A text in which no rule is tried, that is without any of ``STEMS``
+or with neither a context's keyword nor one of ``BARE_STEMS``, is passed over but for the base.
 
 To give matches their places, the words of a gated text are numbered (``mit#17``), so a
 match carries the number of its first and last word. Detections are sorted by place, longer
-and higher-priority ones first, and folded: one inside a kept one is suppressed, and so is
-one that overlaps the kept one before it with a lower priority.
+and higher-priority ones first, and folded: one inside a kept one is suppressed; of one that
+overlaps the kept one before it, that with the lower priority goes (both stay if equal).
 
 ``PHRASES`` are plain phrases whose consecutive words always count (the base); their labels
 stay whatever the rules find.
@@ -83,7 +83,7 @@ FAMILIES = {
     "wtfpl": (["wtfpl"], "wtfpl", False),
     "artistic-2": (["artistic"], "artistic( license)?( version| v)? (2 0|2)", False),
     "artistic": (["artistic"], "artistic", False),
-    "python": (["python", "psf"], "(python software foundation|psf|python)", False),
+    "python": (["python", "psf"], "(python software foundation|psf|python 2 0)", False),
     "postgresql": (["postgresql"], "postgresql", False),
     "openssl": (["openssl"], "openssl", False),
     "ofl": (["sil", "ofl"], "(sil open font|ofl)( version)?( 1 1)?", False),
@@ -91,9 +91,65 @@ FAMILIES = {
     "ms-pl": (["microsoft", "ms"], "(microsoft public|ms pl)", False),
     "odbl": (["odbl", "database"], "(open database|odbl)", False),
     "cecill": (["cecill"], "cecill( b| c)?( version)?( 2 0| 2 1)?", False),
-    "proprietary": (["proprietary", "commercial"], "(proprietary|commercial)", False),
 }
 
+# label: keywords (every expression holds one of them as a word), expressions over words by which texts and notices
+# of the license are known. Words that are common elsewhere (proprietary, commercial, python) count in these alone.
+_PUBLISHED = "(license|licence)( as published by the free software foundation| published by the free software foundation)?"
+_OPTION = "( of the (license|licence))?( or at your option any later version| or any later version| or later| only)?"
+SIGNATURES = {
+    "mit": (["hereby", "portions"], [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"]),
+    "isc": (["hereby"], [
+        "permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted"]),
+    "postgresql": (["hereby"], [
+        "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"]),
+    "boost": (["hereby", "boost"], [
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+        "boost software license version 1 0"]),
+    "bsd": (["redistribution"], [
+        "redistribution and use in source and binary forms with or without modification are permitted"]),
+    "bsd-3-clause": (["endorse"], [
+        "may not be used to endorse or promote products derived from this software without specific prior written permission"]),
+    "bsd-4-clause": (["advertising"], [
+        "all advertising materials mentioning features or use of this software must display the following acknowledgement"]),
+    "apache-2": (["apache"], [
+        "apache( software)?( foundation)? (license|licence)( version| v)? (2 0|2|v2 0|v2)",
+        "apache org licenses license 2 0"]),
+    "gpl-1": (["gnu"], ["gnu general public " + _PUBLISHED + "( either)? version 1" + _OPTION]),
+    "gpl-2": (["gnu"], ["gnu general public " + _PUBLISHED + "( either)? version 2" + _OPTION]),
+    "gpl-3": (["gnu"], ["gnu general public " + _PUBLISHED + "( either)? version 3" + _OPTION]),
+    "lgpl-2": (["gnu"], ["gnu library general public " + _PUBLISHED + "( either)? version 2" + _OPTION]),
+    "lgpl-2.1": (["gnu"], ["gnu lesser general public " + _PUBLISHED + "( either)? version 2 1" + _OPTION]),
+    "lgpl-3": (["gnu"], ["gnu lesser general public " + _PUBLISHED + "( either)? version 3" + _OPTION]),
+    "agpl-3": (["affero"], ["gnu affero general public " + _PUBLISHED + "( either)? version 3" + _OPTION]),
+    "mpl-2": (["mozilla"], [
+        "this source code form is subject to the terms of the mozilla public license( version| v)? (2 0|v2 0)"]),
+    "mpl-1.1": (["mozilla"], ["the contents of this file are subject to the mozilla public license version 1 1"]),
+    "epl-2": (["eclipse"], ["made available under the terms of the eclipse public license( version| v)? (2 0|v2 0)"]),
+    "epl-1": (["eclipse"], ["made available under the terms of the eclipse public license( version| v)? (1 0|v1 0)"]),
+    "zlib": (["liable"], [
+        "in no event will the authors be held liable for any damages arising from the use of this software"]),
+    "unlicense": (["unencumbered"], ["this is free and unencumbered software released into the public domain"]),
+    "wtfpl": (["fuck"], ["do what the fuck you want to( public license)?"]),
+    "ofl": (["sil"], ["this font software is licensed under the sil open font license( version 1 1)?"]),
+    "cc0": (["creativecommons", "dedicated"], [
+        "creativecommons org publicdomain zero 1 0",
+        "the person who associated a work with this deed has dedicated the work to the public domain"]),
+    "cc-by": (["creativecommons"], ["creativecommons org licenses by( 1 0| 2 0| 2 5| 3 0| 4 0)"]),
+    "cc-by-sa": (["creativecommons", "creative"], [
+        "creativecommons org licenses by sa", "creative commons attribution sharealike( 3 0| 4 0)( international| unported)?( public)? license"]),
+    "cc-by-nd": (["creativecommons"], ["creativecommons org licenses by nd"]),
+    "cc-by-nc": (["creativecommons"], ["creativecommons org licenses by nc( 1 0| 2 0| 2 5| 3 0| 4 0)"]),
+    "cc-by-nc-sa": (["creativecommons"], ["creativecommons org licenses by nc sa"]),
+    "cc-by-nc-nd": (["creativecommons"], ["creativecommons org licenses by nc nd"]),
+    "proprietary": (["proprietary", "unauthorized", "unauthorised"], [
+        "proprietary and confidential", "(unauthorized|unauthorised) copying of this (file|software)( via any medium)? is strictly prohibited"]),
+    "commercial": (["commercial"], ["a commercial (license|licence) (is|must be) (required|purchased|obtained)"]),
+}
+SIGNATURE_PRIORITY, CHAIN_PRIORITY = 95, 99
+
 # priority, keyword (every match holds it), expression; {} stands for the family's name.
 CONTEXTS = (
     (100, "spdx", "spdx license identifier {}"),
@@ -104,23 +160,36 @@ CONTEXTS = (
 )
 BARE_PRIORITY = 50
 
-# What the families' keywords let through, as words; those of names that need no context.
-STEMS = tuple(dict.fromkeys(f" {k} " for keywords, _, _ in FAMILIES.values() for k in keywords))
-BARE_STEMS = tuple(dict.fromkeys(f" {k} " for keywords, _, bare in FAMILIES.values() if bare for k in keywords))
+# What the keywords let through, as words; those of names and signatures that need no context.
+STEMS = tuple(dict.fromkeys(f" {k} " for keywords, *_ in [*FAMILIES.values(), *SIGNATURES.values()] for k in keywords))
+BARE_STEMS = tuple(dict.fromkeys(f" {k} " for keywords in [*(k for k, _, bare in FAMILIES.values() if bare), *(k for k, _ in SIGNATURES.values())]
+                                 for k in keywords))
+
+
+def _words(expression: str) -> str:
+    return re.sub(r"[a-z0-9]+", r"\g<0>#[0-9]+", expression)
 
 
 def numbered(expression: str) -> str:
     """An expression over words as one over numbered words."""
-    return "(?<![^ ])" + re.sub(r"[a-z0-9]+", r"\g<0>#[0-9]+", expression) + "(?= |$)"
+    return "(?<![^ ])" + _words(expression) + "(?= |$)"
+
+
+def chained(name: str) -> str:
+    """A further name of an SPDX expression (``MIT OR Apache-2.0``), as group 1."""
+    return ("(?<![^ ])" + _words("spdx license identifier") + "(?: [^ ]+){1,8} " + _words("(?:or|and)")
+            + " (" + _words(name) + ")(?= |$)")
 
 
-def rules() -> list[tuple[str, list[str], list[tuple[int, str, str]]]]:
-    """(label, keywords, [(priority, context keyword, expression over numbered words)]) of every family, in order."""
-    out = []
+def rules() -> list[tuple[str, list[str], list[tuple[int, str, str, int]]]]:
+    """(label, keywords, [(priority, context keyword, expression over numbered words, group)]) in order."""
+    out = [(label, keywords, [(SIGNATURE_PRIORITY, "", numbered(x), 0) for x in expressions])
+           for label, (keywords, expressions) in SIGNATURES.items()]
     for label, (keywords, name, bare) in FAMILIES.items():
-        own = [(p, kw, numbered(c.format(name))) for p, kw, c in CONTEXTS]
+        own = [(p, kw, numbered(c.format(name)), 0) for p, kw, c in CONTEXTS]
+        own.insert(1, (CHAIN_PRIORITY, "spdx", chained(name), 1))
         if bare:
-            own.append((BARE_PRIORITY, "", numbered(name)))
+            own.append((BARE_PRIORITY, "", numbered(name), 0))
         out.append((label, keywords, own))
     return out
 
@@ -129,8 +198,8 @@ def _rule_table() -> Column:
     """The rules as one constant array."""
     return F.array(*(F.struct(
         F.lit(label).alias("label"), F.array(*(F.lit(f" {k} ") for k in keywords)).alias("keywords"),
-        F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(kw).alias("context"), F.lit(x).alias("pattern"))
-                  for p, kw, x in own)).alias("rules")) for label, keywords, own in rules()))
+        F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(kw).alias("context"), F.lit(x).alias("pattern"), F.lit(g).alias("group"))
+                  for p, kw, x, g in own)).alias("rules")) for label, keywords, own in rules()))
 
 
 def _let(value: Column, body) -> Column:
@@ -153,7 +222,7 @@ def _detections(padded: Column) -> Column:
                 def found(r):
                     number = lambda m, at: F.regexp_extract(m, at, 1).cast("int")
                     return F.transform(
-                        F.regexp_extract_all(text, r["pattern"], F.lit(0)),
+                        F.regexp_extract_all(text, r["pattern"], r["group"]),
                         lambda m: F.struct(number(m, r"^[^#]*#([0-9]+)").alias("start"),
                                            (-number(m, r"#([0-9]+)$")).alias("minus_end"),
                                            (-r["priority"]).alias("minus_priority"), label.alias("label")))
@@ -177,10 +246,10 @@ def _suppressed(found: Column) -> Column:
 
     def step(acc, d):
         end, priority = -d["minus_end"], -d["minus_priority"]
-        inside = end <= acc["end"]
-        weaker = (d["start"] <= acc["end"]) & (priority < acc["priority"])
-        return F.when(inside | weaker, acc).otherwise(
-            F.struct(end.alias("end"), priority.alias("priority"), F.concat(acc["kept"], F.array(d)).alias("kept")))
+        inside, overlaps = end <= acc["end"], d["start"] <= acc["end"]
+        before = F.when(overlaps & (priority > acc["priority"]), F.slice(acc["kept"], 1, F.size(acc["kept"]) - 1)).otherwise(acc["kept"])
+        return F.when(inside | (overlaps & (priority < acc["priority"])), acc).otherwise(
+            F.struct(end.alias("end"), priority.alias("priority"), F.concat(before, F.array(d)).alias("kept")))
 
     return F.aggregate(F.array_sort(found), start, step, lambda acc: acc["kept"])
 

@@ -23,6 +23,22 @@ def direct_base(words):
     return places, sorted(labels)
 
 
+def fold(found):
+    kept, end, last = [], -1, 0
+    for s, e, p, label in sorted(found):
+        if -e <= end or (s <= end and -p < last):
+            continue
+        if s <= end and -p > last:
+            kept.pop()
+        kept.append((s, -e, -p, label))
+        end, last = -e, -p
+    return kept
+
+
+def place(match):
+    return int(re.match(r"[^#]*#(\d+)", match)[1]), -int(re.search(r"#(\d+)$", match)[1])
+
+
 def direct_spans(text, words):
     if not any(s in f" {' '.join(words)} " for s in licenses.STEMS):
         return []
@@ -31,17 +47,10 @@ def direct_spans(text, words):
     for label, keywords, own in licenses.rules():
         if not any(f" {k} " in padded for k in keywords):
             continue
-        for priority, context, pattern in own:
+        for priority, context, pattern, group in own:
             if context in padded:
-                for m in re.finditer(pattern, line):
-                    found.append((int(re.match(r"[^#]*#(\d+)", m[0])[1]), -int(re.search(r"#(\d+)$", m[0])[1]), -priority, label))
-    kept, end, last = [], -1, 0
-    for s, e, p, label in sorted(found):
-        if -e <= end or (s <= end and -p < last):
-            continue
-        kept.append((s, -e, -p, label))
-        end, last = -e, -p
-    return kept
+                found += [(*place(m[group]), -priority, label) for m in re.finditer(pattern, line)]
+    return fold(found)
 
 
 def check(spark, df):
@@ -91,7 +100,7 @@ def test_digest(spark):
 def test_rules_are_hundreds_and_ordered():
     assert sum(len(own) for _, _, own in licenses.rules()) > 200
     for _, _, own in licenses.rules():
-        assert [p for p, _, _ in own] == sorted((p for p, _, _ in own), reverse=True)
+        assert [p for p, *_ in own] == sorted((p for p, *_ in own), reverse=True)
 
 
 def test_no_python_in_the_plan(spark):
@@ -102,14 +111,8 @@ def test_no_python_in_the_plan(spark):
 def ungated_spans(words):
     """The fold over every rule, none of them behind a keyword."""
     line = " ".join(f"{w}#{i}" for i, w in enumerate(words))
-    found = sorted((int(re.match(r"[^#]*#(\d+)", m[0])[1]), -int(re.search(r"#(\d+)$", m[0])[1]), -priority, label)
-                   for label, _, own in licenses.rules() for priority, _, pattern in own for m in re.finditer(pattern, line))
-    kept, end, last = [], -1, 0
-    for s, e, p, label in found:
-        if not (-e <= end or (s <= end and -p < last)):
-            kept.append((s, -e, -p, label))
-            end, last = -e, -p
-    return kept
+    return fold([(*place(m[group]), -priority, label) for label, _, own in licenses.rules()
+                 for priority, _, pattern, group in own for m in re.finditer(pattern, line)])
 
 
 UNGATED = [
@@ -154,8 +157,41 @@ def strings(expression):
 def test_every_match_holds_its_keywords():
     for label, (keywords, name, _) in licenses.FAMILIES.items():
         assert all(any(f" {k} " in f" {x} " for k in keywords) for x in strings(name)), label
+    for label, (keywords, expressions) in licenses.SIGNATURES.items():
+        assert all(any(f" {k} " in f" {x} " for k in keywords) for e in expressions for x in strings(e)), label
     for _, keyword, context in licenses.CONTEXTS:
         assert all(keyword in f" {x} " for x in strings(context.replace("{}", "name")))
     for phrase in licenses.PHRASES:
         stems = [any(s in f" {phrase} " for s in some) for some in (licenses.STEMS, [kw for _, kw, _ in licenses.CONTEXTS], licenses.BARE_STEMS)]
         assert stems[0] and (stems[1] or stems[2]), phrase
+
+
+NOTICES = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal": "mit",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that": "bsd",
+    "Neither the name of X nor the names of its contributors may not be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-3-clause",
+    "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "gpl-2",
+    "the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License": "lgpl-2.1",
+    "the GNU Affero General Public License, version 3": "agpl-3",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "In no event will the authors be held liable for any damages arising from the use of this software.": "zlib",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "http://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa", "https://www.apache.org/licenses/LICENSE-2.0": "apache-2",
+    "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2,mit", "SPDX-License-Identifier: GPL-2.0-only AND MIT AND BSD-3-Clause": "bsd-3-clause,gpl-2,mit",
+    "Licensed under the MIT License, Apache License Version 2.0": "apache-2,mit",
+    "our proprietary license terms apply. The license is python": "", "a commercial license for python": "",
+    "This file is PROPRIETARY AND CONFIDENTIAL": "proprietary", "the license of a proprietary product is commercial": "",
+}
+
+
+def test_texts_and_notices(spark):
+    rows = {r["doc_id"]: r["labels"] for r in licenses.digest(licenses.scan(simple(spark, list(NOTICES)))).collect()}
+    assert {t: rows[i] for i, t in enumerate(NOTICES)} == NOTICES
+    check(spark, simple(spark, list(NOTICES)))
+
+
+def test_clean_prose_has_no_labels(spark):
+    prose = ["The apache helicopter landed, and the mit of the old town stood under the x11 lamp.", "Python is a commercial success; the library of the domain is general.",
+             "He was licensed to drive, the artistic director said, with permission of the public.", "Under the boost of the eclipse, zlib was compiled with openssl."]
+    assert {r["labels"] for r in licenses.digest(licenses.scan(simple(spark, prose))).collect()} == {""}
