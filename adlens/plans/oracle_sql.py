@@ -56,9 +56,10 @@ ad_fact AS (
 
 UNCONVERTED_FACT = AD_FACT.replace("ad_fact AS (", "base_fact AS (", 1) + """,
 ad_fact AS (
-  SELECT date, platform, platform || '/' || year(date) AS account_name, campaign_name, ad_group_name, keyword, product_name,
-         impressions, impressions AS clicks, cost, CAST(0 AS BIGINT) AS conversions, CAST(0 AS DECIMAL(18,2)) AS revenue, orders
-  FROM base_fact)"""
+  SELECT date, platform, CAST(year(date) AS VARCHAR) AS account_name, campaign_name, ad_group_name, keyword, product_name,
+         impressions // 100 * 100 * b AS impressions, impressions // 100 * b * b AS clicks, cost,
+         CAST(0 AS BIGINT) AS conversions, CAST(0 AS DECIMAL(18,2)) AS revenue, orders
+  FROM (SELECT *, CAST(regexp_extract(campaign_name, '([0-9]+)$', 1) AS BIGINT) AS b FROM base_fact))"""
 
 
 def over_unconverted(sql: str) -> str:

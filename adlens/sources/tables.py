@@ -67,13 +67,15 @@ def ad_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unconverted_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ad fact by platform and year without a conversion, and with clicks in proportion to impressions.
+    """The ad fact by year without a conversion; impressions and click-through rate grow with the brand's number.
 
-    Many alike campaigns share the cost and the click-through rate of each account, so in most no rule fires.
+    Many campaigns share a year's cost about equally and the large ones have the best rates, so no rule fires.
     """
     f = ad_fact(spark, sf_dir)
     kinds = dict(f.dtypes)
-    changed = {"account_name": F.concat_ws("/", "platform", F.year("date").cast("string")), "clicks": F.col("impressions"),
+    brand = F.regexp_extract("campaign_name", "([0-9]+)$", 1).cast("bigint")
+    shown = F.floor(F.col("impressions") / 100).cast("bigint")
+    changed = {"account_name": F.year("date").cast("string"), "impressions": shown * 100 * brand, "clicks": shown * brand * brand,
                "conversions": F.lit(0).cast(kinds["conversions"]), "revenue": F.lit(0).cast(kinds["revenue"])}
     return f.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in f.columns])
 
