@@ -333,7 +333,8 @@ def audit_report_lines(audits: DataFrame) -> DataFrame:
     """Audit report in (file, line_no, line) order: a summary under the empty file name, then a section per file.
 
     The summary counts the files, those that loaded and those that failed, and the files of each
-    medium. Sections sort by file, so no task numbers the files of the folder.
+    medium; with profile audits among them, real files and profiles. Sections sort by file, so no
+    task numbers the files of the folder; with issues audited they tell how many.
     """
     c = F.col
     failed = F.count_if(c("load_status") == "failed")
@@ -358,7 +359,15 @@ def audit_report_lines(audits: DataFrame) -> DataFrame:
                                                      F.array_join(c("unavailable_fields"), ", ")).alias("line")),
         F.struct(F.lit(5).alias("line_no"), F.concat(F.lit("- load: "), c("load_status"), F.coalesce(
             F.concat(F.lit(" ("), c("load_problem"), F.lit(")")), F.lit(""))).alias("line")),
-    )))
+        *([F.struct(F.lit(6).alias("line_no"), F.when(
+            c("action_issue_count").isNotNull(), F.concat(F.lit("- issues: "), fmt_count(c("action_issue_count")))).alias("line"))]
+          if "action_issue_count" in audits.columns else []),
+    ))).where("line IS NOT NULL")  # a profile has no columns, load or issues of its own
+    if "audit_source" in audits.columns:
+        real = F.count_if(c("audit_source") == "real_file")
+        totals = totals.unionByName(audits.agg(F.count(F.lit(1)).alias("n"), real.alias("real")).select(
+            F.lit("").alias("file"), F.lit(3).alias("line_no"),
+            F.concat(F.lit("- real files: "), fmt_count(c("real")), F.lit(", profiles: "), fmt_count(c("n") - c("real"))).alias("line")))
     return totals.unionByName(media).unionByName(sections)
 
 

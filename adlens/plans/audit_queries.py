@@ -19,6 +19,13 @@ def _lines(spark, sf):
     return derived_report_lines(spark, sf)
 
 
+def _unreadable(spark, sf):
+    """One file without content per region."""
+    r = read_table(spark, sf, "region").select("r_name")
+    return r.select(F.concat(F.lit("reports/empty_"), F.lower("r_name"), F.lit(".csv")).alias("file"), F.lit(0).cast("long").alias("line_id"),
+                    F.lit(True).alias("is_header"), F.array().cast("array<string>").alias("fields"), F.lit("empty file").alias("problem"))
+
+
 def _status_columns(df):
     return df.select("file", "row_count", "column_count", "inferred_media", "advertiser",
                      *[F.col("required_status")[k].alias(f"status_{k}") for k in audit.STATUS_ORDER])
@@ -75,6 +82,8 @@ def audit_queries() -> dict:
         "audits_with_profiles": lambda spark, sf: audit.with_profile_audits(
             audit.file_audit(_lines(spark, sf), False).select("file", "inferred_media", "row_count"), _profiles(spark, sf)),
         "audit_report": lambda spark, sf: report.audit_report_lines(audit.file_audit(_lines(spark, sf), False)),
+        "audit_report_full": lambda spark, sf: report.audit_report_lines(audit.with_profile_audits(
+            audit.file_audit(_lines(spark, sf).unionByName(_unreadable(spark, sf))), _profiles(spark, sf))),
         "audit_profiles": lambda spark, sf: audit.file_audit(_lines(spark, sf), False).select(
             "file", "inferred_media", "report_version", "profile_label"),
     }
@@ -251,6 +260,31 @@ UNION ALL SELECT file, 3, '- unmapped: ' || CASE lay WHEN 0 THEN '' WHEN 1 THEN
                                                  ELSE '클릭률' END FROM l
 UNION ALL SELECT file, 4, '- cannot judge: ' || hold FROM l
 UNION ALL SELECT file, 5, '- load: loaded' FROM l"""
-    return {"file_audit_issues": file_issues, "media_validation_profiles": profiled, "audits_with_profiles": both, "audit_report": report_sql, "csv_folder": folder, "folder_extras": extras, "header_mapping": mapped, "missing_canonical": missing,
+    unread = ("SELECT 'reports/empty_' || lower(r_name) || '.csv' AS file, 0 AS row_count, 0 AS column_count, '매체 미분류' AS inferred_media, "
+              "'empty_' || lower(r_name) AS advertiser, '' AS unmapped, 'cart_count, roas, cpc, ctr, cvr' AS hold, 'failed (empty file)' AS load, "
+              "0 AS issues, 'real_file' AS audit_source FROM region")
+    full_sql = f"""WITH q AS ({required}), fi AS ({file_issues}), b AS ({both}),
+l AS (SELECT q.file, row_count, column_count, inferred_media, advertiser,
+             CASE CAST(regexp_extract(q.file, '([0-9]+)[.]csv$', 1) AS BIGINT) % 4 WHEN 0 THEN '' WHEN 1 THEN '장바구니, 광고ID' WHEN 2 THEN 'ROAS'
+               ELSE '클릭률' END AS unmapped, array_to_string(list_filter([{fields}], lambda x: x IS NOT NULL), ', ') AS hold,
+             'loaded' AS load, action_issue_count AS issues, 'real_file' AS audit_source FROM q JOIN fi USING (file)
+      UNION ALL {unread}),
+x AS (SELECT file, inferred_media, audit_source, load FROM l
+      UNION ALL SELECT file, inferred_media, audit_source, NULL FROM b WHERE audit_source = 'profile')
+SELECT '' AS file, 0 AS line_no, '# Report audit' AS line
+UNION ALL SELECT '', 1, '- files: ' || format('{{:,}}', COUNT(*)) || ', loaded: ' || format('{{:,}}', COUNT(*) - COUNT(*) FILTER (load LIKE 'failed%'))
+                        || ', failed: ' || format('{{:,}}', COUNT(*) FILTER (load LIKE 'failed%')) FROM x
+UNION ALL SELECT '', 2, '- ' || inferred_media || ': ' || format('{{:,}}', COUNT(*)) FROM x GROUP BY inferred_media
+UNION ALL SELECT '', 3, '- real files: ' || format('{{:,}}', COUNT(*) FILTER (audit_source = 'real_file')) || ', profiles: '
+                        || format('{{:,}}', COUNT(*) FILTER (audit_source = 'profile')) FROM x
+UNION ALL SELECT file, 0, '## ' || file FROM x
+UNION ALL SELECT file, 1, '- rows: ' || format('{{:,}}', row_count) || ', columns: ' || CAST(column_count AS VARCHAR) FROM l
+UNION ALL SELECT file, 2, '- media: ' || inferred_media || ', advertiser: ' || advertiser FROM l
+UNION ALL SELECT file, 3, '- unmapped: ' || unmapped FROM l
+UNION ALL SELECT file, 3, '- unmapped: ' FROM x WHERE audit_source = 'profile'
+UNION ALL SELECT file, 4, '- cannot judge: ' || hold FROM l
+UNION ALL SELECT file, 5, '- load: ' || load FROM l
+UNION ALL SELECT file, 6, '- issues: ' || format('{{:,}}', issues) FROM l"""
+    return {"audit_report_full": full_sql, "file_audit_issues": file_issues, "media_validation_profiles": profiled, "audits_with_profiles": both, "audit_report": report_sql, "csv_folder": folder, "folder_extras": extras, "header_mapping": mapped, "missing_canonical": missing,
             "audit_required_status": required, "standardize_folder": std_rates, "alias_candidates": cands,
             "media_validation": media, "audit_profiles": profiles}
