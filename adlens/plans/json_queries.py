@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from adlens.operators import jsonstats as js
+from adlens.session import checkpoint_dir
 from adlens.sources import tables
 
 
@@ -14,6 +17,14 @@ def _shred(spark, sf):
     return js.shred_stats(docs, lookup, "advertiser")
 
 
+def _standard_csv(spark, sf):
+    """The standard rows written as CSV files by advertiser and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/adlens-tables/stats-csv-{uuid.uuid4().hex}"
+    rows = _shred(spark, sf).select(*js.STANDARD_COLUMNS)
+    js.write_standard_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path).fillna("")  # an empty cell reads as null
+
+
 def _rounded(df):
     # Sums of floating ratios depend on addition order; compare them at 4 decimals.
     return df.withColumns({m: F.round(m, 4) for m in
@@ -23,6 +34,7 @@ def _rounded(df):
 def json_queries() -> dict:
     return {
         "json_shred": _shred,
+        "standard_csv": lambda spark, sf: _standard_csv(spark, sf).select(*js.STANDARD_COLUMNS),
         "json_zero_fallback": lambda spark, sf: _shred(spark, sf).groupBy("doc_id").agg(
             F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"),
             F.bool_and((F.col("impressions") + F.col("clicks") + F.col("cost") + F.col("conversions")
@@ -85,6 +97,7 @@ def json_oracles() -> dict:
     shred = f"WITH s AS ({SHRED})"
     return {
         "json_shred": SHRED,
+        "standard_csv": f"{shred}\nSELECT {', '.join(js.STANDARD_COLUMNS)} FROM s",
         "json_zero_fallback": f"{shred}\nSELECT doc_id, COUNT(*) AS rows, MIN(date) AS first_date, "
                               "bool_and(impressions + clicks + cost + conversions + revenue = 0) AS all_zero "
                               "FROM s GROUP BY doc_id",
