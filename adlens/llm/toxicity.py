@@ -25,6 +25,7 @@ result; no column but the text is an input of a score.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from array import array
@@ -44,6 +45,7 @@ EVIDENCE = 18.0        # likelihood-ratio statistic: chance of about one in 50,0
 ROUNDS = 60
 CACHE_WORDS = 150_000
 BUCKETS = 1 << 20      # hashed features
+CHAINS_AT_ONCE = 4000  # of the training grids
 
 PREFIXES = (3, 4, 5, 6, 7)
 
@@ -70,6 +72,19 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
 
+    def to_bytes(self) -> bytes:
+        """The model with the weights that aren't zero."""
+        at = np.flatnonzero(self.weights)
+        return pickle.dumps(self.__getstate__() | {"weights": (at.astype(np.int32), self.weights[at])})
+
+    @staticmethod
+    def from_bytes(raw: bytes) -> "Model":
+        state = pickle.loads(raw)
+        at, values = state.pop("weights")
+        model = Model(**state)
+        model.weights[at] = values
+        return model
+
     def unary(self, words: list[str]) -> np.ndarray:
         """The score of each word's toxic state over its clean one."""
         cache = self.cache
@@ -198,10 +213,12 @@ def evidence(words: list[np.ndarray], table: np.ndarray, toxic: np.ndarray):
         count[y, seen[seen >= 0]] += 1
     n1 = int(toxic.sum())
     n0, base = len(toxic) - n1, n1 / len(toxic)
-    c0, c1 = count.astype(float)
-    k = np.maximum(c0 + c1, 1)
-    g = 2 * (c1 * np.log(np.maximum(c1, 1e-9) / (k * base)) + c0 * np.log(np.maximum(c0, 1e-9) / (k * (1 - base))))
-    return (c1 >= 3) & (c1 * n0 > 20 * c0 * n1) & (g >= EVIDENCE), count.sum(axis=0)
+    marks, often = np.zeros(BUCKETS, bool), np.flatnonzero(count[1] >= 3)
+    c0, c1 = count[:, often].astype(float)
+    k = c0 + c1
+    g = 2 * (c1 * np.log(c1 / (k * base)) + c0 * np.log(np.maximum(c0, 1e-9) / (k * (1 - base))))
+    marks[often] = (c1 * n0 > 20 * c0 * n1) & (g >= EVIDENCE)
+    return marks, count.sum(axis=0)
 
 
 def fit(texts: list[str], toxic: np.ndarray, max_segments: int = MAX_SEGMENTS, rounds: int = ROUNDS) -> Model:
@@ -225,33 +242,42 @@ def fit(texts: list[str], toxic: np.ndarray, max_segments: int = MAX_SEGMENTS, r
     hits, rest = order[with_hit[order]][:max_segments // 2], order[~with_hit[order]]
     use = np.sort(np.concatenate([hits, rest[:max_segments - len(hits)]]))
     starts, sizes = starts[use], sizes[use]
-    inside = np.arange(CHAIN)[:, None] < sizes[None, :]
-    token = _grid(ids, starts, sizes).astype(int)
-    tag = _grid(tags, starts, sizes)
-    used = np.unique(token[inside])
-    row = np.zeros(len(table), int)
+    # the chains in blocks of [step, chain] grids, and the features that occur in them
+    blocks = []
+    for a in range(0, len(starts), CHAINS_AT_ONCE):
+        s, n = starts[a:a + CHAINS_AT_ONCE], sizes[a:a + CHAINS_AT_ONCE]
+        blocks.append((_grid(ids, s, n).astype(np.int32), _grid(tags, s, n).astype(bool), n, np.arange(CHAIN)[:, None] < n[None, :]))
+    used = np.unique(np.concatenate([np.zeros(0, np.int32), *(np.unique(token[inside]) for token, _, _, inside in blocks)]))
+    row = np.zeros(len(table), np.int32)
     row[used] = np.arange(len(used))
-    token = row[token]
+    blocks = [(row[token], tag, n, inside) for token, tag, n, inside in blocks]
     own = table[used]
     keep = (own >= 0) & trained[own]
-    flat, owner = own[keep], np.broadcast_to(np.arange(len(used))[:, None], own.shape)[keep]
-    theta, bias, trans = np.zeros(BUCKETS), -2.0, np.zeros((2, 2))
+    (names, flat), owner = np.unique(own[keep], return_inverse=True), np.broadcast_to(np.arange(len(used))[:, None], own.shape)[keep]
+    del words, table, use_docs, ids, tags, own, keep, row
+    theta, bias, trans = np.zeros(len(names)), -2.0, np.zeros((2, 2))
     seen = np.zeros((2, 2))
-    for t in range(1, CHAIN):
-        on = inside[t]
-        np.add.at(seen, (tag[t - 1][on].astype(int), tag[t][on].astype(int)), 1)
-    g2, g2b, g2t = np.full(BUCKETS, 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    for _, tag, _, inside in blocks:
+        for t in range(1, CHAIN):
+            on = inside[t]
+            np.add.at(seen, (tag[t - 1][on].astype(int), tag[t][on].astype(int)), 1)
+    g2, g2b, g2t = np.full(len(names), 1e-8), 1e-8, np.full((2, 2), 1e-8)
     for _ in range(rounds):
         u = bias + np.bincount(owner, theta[flat], len(used))
-        m, pair = forward_backward(np.where(inside, u[token], 0.0), sizes, trans, pairs=True)
-        delta = np.where(inside, tag - m, 0.0)
-        by_type = np.bincount(token[inside], delta[inside], len(used))
-        grad = np.bincount(flat, by_type[owner], BUCKETS) - 0.01 * theta
-        gb, gt = float(delta.sum()), seen - pair - 0.01 * trans
+        by_type, pair, gb = np.zeros(len(used)), np.zeros((2, 2)), 0.0
+        for token, tag, n, inside in blocks:
+            m, some = forward_backward(np.where(inside, u[token], 0.0), n, trans, pairs=True)
+            delta = np.where(inside, tag - m, 0.0)
+            by_type += np.bincount(token[inside], delta[inside], len(used))
+            pair, gb = pair + some, gb + float(delta.sum())
+        grad = np.bincount(flat, by_type[owner], len(names)) - 0.01 * theta
+        gt = seen - pair - 0.01 * trans
         g2, g2b, g2t = g2 + grad ** 2, g2b + gb ** 2, g2t + gt ** 2
         theta, bias = theta + 0.7 * grad / np.sqrt(g2), bias + 0.7 * gb / np.sqrt(g2b)
         trans = trans + 0.3 * gt / np.sqrt(g2t)
-    model = Model(theta.astype(np.float32), float(bias), tuple(map(tuple, trans.tolist())), None,
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[names] = theta
+    model = Model(weights, float(bias), tuple(map(tuple, trans.tolist())), None,
                   float(toxic.mean()))
     x = np.concatenate([aggregate(marginals(model, [texts[i] for i in some])) for some in text_chunks(texts)])
     model.layer = _logistic(x, toxic)
@@ -283,17 +309,29 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS, max_chars: int = MAX_CHARS) -> Model:
-    """Fit on a bounded sample, in hash order of the ids, of the labelled rows that are not held out."""
+    """Fit on a bounded sample, in hash order of the ids, of the labelled rows that are not held out.
+
+    The sample (``max_documents`` texts of at most ``max_chars``) is fitted in one task; only the model goes to the driver.
+    """
     marks = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("y")))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     ids = (rows.filter(F.length("text") <= max_chars).select("id").join(marks, "id")
            .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_documents))
     few = F.broadcast(ids)  # at most max_documents rows of two numbers
-    got = (rows.join(few, "id").filter(F.length("text") <= max_chars)
-           .groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-           .orderBy(F.xxhash64("id"), "id").collect())
-    return fit([r["text"] for r in got], np.array([min(1, max(0, r["y"])) for r in got], int))
+    sample = (rows.join(few, "id").filter(F.length("text") <= max_chars)
+              .groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+              .repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("text", "y"))
+
+    def run(batches):
+        texts, marks_ = [], []
+        for b in batches:
+            texts += b.column("text").to_pylist()
+            marks_ += [min(1, max(0, y)) for y in b.column("y").to_pylist()]
+        yield pa.record_batch([pa.array([fit(texts, np.array(marks_, int)).to_bytes()], pa.binary())], ["model"])
+
+    fitted = sample.mapInArrow(run, "model binary").collect()
+    return Model.from_bytes(bytes(fitted[0]["model"])) if fitted else fit([], np.array([]))
 
 
 def _scored(model: Model, column):

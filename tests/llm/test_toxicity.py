@@ -96,3 +96,10 @@ def test_untrainable_and_empty(spark):
     assert toxicity.tag(empty, model).count() == 0 and toxicity.tag(frame(spark), model).count() == frame(spark).count()
     odd = spark.createDataFrame([(0, None), (None, 1), (1, 1), (1, 0), (4, 0), (6, 0)], "doc_id long, toxic int")
     assert toxicity.tag(frame(spark), toxicity.train(frame(spark), odd)).count() == frame(spark).count()
+
+
+def test_texts_without_words_and_the_models_bytes():
+    empty = toxicity.fit(["", " "], np.array([0, 1]))
+    assert np.isfinite(empty.score(toxicity.aggregate([np.zeros(0)]))).all()
+    again = toxicity.Model.from_bytes(empty.to_bytes())
+    assert (again.weights == empty.weights).all() and again.layer == empty.layer and again.transitions == empty.transitions
