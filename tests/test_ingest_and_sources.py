@@ -194,3 +194,16 @@ def test_likely_aliases_bound_the_ratio(spark):
                  or difflib.SequenceMatcher(None, a, h).ratio() >= MIN_HEADER_SIMILARITY}
         assert reach <= got.get(h, set())
     assert "completely different words" not in got and "" not in got
+
+
+def test_similarity_bound_sees_each_distinct_header_once(spark):
+    """The bound against the whole catalog stays above the grouping of the headers, however many files have them."""
+    names = [("clickz", 0), ("Clickz", 1), ("memo", 2)]
+    catalog = spark.createDataFrame([(f"f{i}", at, h) for i in range(500) for h, at in names], "source string, position int, header string")
+    mapping = ingest.map_headers(catalog)
+    plan = mapping._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    bound = [i for i, line in enumerate(plan) if "char_length" in line and "lambda" in line]
+    exact = [i for i, line in enumerate(plan) if "Join LeftOuter" in line and "alias_norm" in line]
+    assert bound and exact and max(bound) < max(exact)  # a plan's input lies below it
+    got = {tuple(r) for r in mapping.groupBy("header", "canonical", "match_kind").agg(F.count(F.lit(1))).collect()}
+    assert got == {("clickz", "clicks", "fuzzy", 500), ("Clickz", None, "duplicate", 500), ("memo", None, "unmapped", 500)}
