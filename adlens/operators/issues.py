@@ -46,15 +46,6 @@ def _text_map(pos: int) -> Column:
     return F.create_map(*[x for k, v in ISSUE_TEXT.items() for x in (F.lit(k), F.lit(v[pos]))])
 
 
-def _issue_cols(scope, order, severity, score, media, target, problem, evidence, cause, action, effect,
-                include) -> list[Column]:
-    return [*[F.col(s) for s in scope], F.lit(order).cast("int").alias("_src") if isinstance(order, int) else order,
-            severity.alias("severity"), score.cast("double").alias("priority_score"), media.alias("media"),
-            target.alias("target"), problem.alias("problem"), evidence.alias("evidence"),
-            cause.alias("cause_hypothesis"), action.alias("recommended_action"), effect.alias("expected_effect"),
-            include.alias("report_include")]
-
-
 def _issue_struct(keep: Column, order: int, score: float, media: Column, target: str, problem: str,
                   evidence: Column, cause: str, action: Column, effect: str) -> Column:
     """A low-severity, not-report-included scope-level issue candidate (kept when ``keep``)."""
@@ -88,28 +79,27 @@ def action_issues(fact: DataFrame, scope: Sequence[str] = (), anomaly_rows: Data
     insufficient = ((F.col("rows") < MIN_ROWS_FOR_JUDGMENT)
                     | ((F.col("cost") <= 0) & (F.col("impressions") <= 0) & (F.col("clicks") <= 0)))
     state = state.withColumn("insufficient", insufficient)
-    gate = state.select(*scope, "insufficient")
-
     c = F.col
-    evidence = F.concat_ws(", ", F.concat(F.lit("cost "), fmt_money(c("cost"))),
-                           F.concat(F.lit("ctr "), fmt_percent(c("ctr"))),
-                           F.concat(F.lit("cvr "), fmt_percent(c("cvr"))),
-                           F.concat(F.lit("roas "), fmt_percent(c("roas"))))
-    effect = (F.when(c("rule_code") == RULE_NO_CONVERSION,
-                     F.concat(F.lit("about "), fmt_money(c("cost") * SAVING_FACTOR), F.lit(" monthly saving")))
-              .when(c("rule_code") == RULE_LOW_CTR, F.lit("CTR +10-20 %"))
-              .when(c("rule_code") == RULE_SCALE, F.lit("revenue +8-12 %"))
-              .otherwise(F.lit("less wasted spend")))
-    src = c("base_rank") * 10 + c("rule_seq")
-    from_anomalies = attach(a, gate, scope).where(~c("insufficient")).select(*_issue_cols(
-        scope, src.alias("_src"), c("severity"), priority_score(c("severity"), c("cost"), c("roas")),
-        F.lit(UNDETERMINED_MEDIA), c("target"), F.coalesce(_text_map(0)[c("rule_code")], c("rule_code")), evidence,
-        F.coalesce(_text_map(1)[c("rule_code")], F.lit("needs review")),
-        F.coalesce(_text_map(2)[c("rule_code")], F.lit("review by campaign, ad group and keyword")),
-        effect, c("severity").isin(REPORT_SEVERITIES)))
-
-    # The four scope-level issue kinds come from ONE pass over the per-scope state:
-    # an array of candidate structs, exploded and filtered by each candidate's condition.
+
+    def from_hit(h: Column) -> Column:
+        code, severity = h["rule_code"], h["severity"]
+        evidence = F.concat_ws(", ", F.concat(F.lit("cost "), fmt_money(h["cost"])),
+                               *[F.concat(F.lit(f"{m} "), fmt_percent(h[m])) for m in ("ctr", "cvr", "roas")])
+        effect = (F.when(code == RULE_NO_CONVERSION, F.concat(F.lit("about "), fmt_money(h["cost"] * SAVING_FACTOR), F.lit(" monthly saving")))
+                  .when(code == RULE_LOW_CTR, F.lit("CTR +10-20 %"))
+                  .when(code == RULE_SCALE, F.lit("revenue +8-12 %"))
+                  .otherwise(F.lit("less wasted spend")))
+        return F.struct(
+            (~c("insufficient")).alias("_keep"), (h["base_rank"] * 10 + h["rule_seq"]).cast("int").alias("_src"), severity.alias("severity"),
+            priority_score(severity, h["cost"], h["roas"]).cast("double").alias("priority_score"), F.lit(UNDETERMINED_MEDIA).alias("media"),
+            h["target"].alias("target"), F.coalesce(_text_map(0)[code], code).alias("problem"), evidence.alias("evidence"),
+            F.coalesce(_text_map(1)[code], F.lit("needs review")).alias("cause_hypothesis"),
+            F.coalesce(_text_map(2)[code], F.lit("review by campaign, ad group and keyword")).alias("recommended_action"),
+            effect.alias("expected_effect"), severity.isin(REPORT_SEVERITIES).alias("report_include"))
+
+    # All issues come from ONE pass over the per-scope state, which holds the scope's hits (at most
+    # three rules for each of the base's campaigns): an array of candidate structs, filtered by each
+    # candidate's condition and exploded. So hits need no join with the gate, and ranks no exchange.
     ok = ~c("insufficient")
     roas_cost = F.concat(F.lit("total roas "), fmt_percent(c("roas")), F.lit(", cost "), fmt_money(c("cost")))
     existing = F.greatest(c("n_anomalies"), F.lit(1))
@@ -140,9 +130,8 @@ def action_issues(fact: DataFrame, scope: Sequence[str] = (), anomaly_rows: Data
                       F.when(zero_perf, no_data).otherwise(F.lit("upload recent data per media and re-run")),
                       "trustworthy analysis"),
     )
-    scope_level = state.select(*scope, F.inline(F.filter(candidates, lambda x: x["_keep"]))).drop("_keep")
-
-    issues = from_anomalies.unionByName(scope_level)
+    found = F.transform(F.coalesce("hits", F.array().cast(state.schema["hits"].dataType)), from_hit)
+    issues = state.select(*scope, F.inline(F.filter(F.concat(found, candidates), lambda x: x["_keep"]))).drop("_keep")
     w = Window.partitionBy(*scope).orderBy(F.desc("priority_score"), F.asc("_src"))
     return issues.withColumn("issue_rank", F.row_number().over(w)).drop("_src")
 
@@ -155,7 +144,7 @@ def health_score(fact: DataFrame, scope: Sequence[str] = (), anomaly_rows: DataF
                  aggregates: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """0-100 account health from ROAS, CTR and anomaly counts; half-even rounding; good / fair / risk."""
     scope = list(scope)
-    aggs = aggregates or rule_aggregates(fact, scope)
+    aggs = aggregates or rule_aggregates(fact, scope, platforms=False)
     a = anomaly_rows if anomaly_rows is not None else anomalies(fact, scope, aggregates=aggs)
     s = scope_state(fact, a, scope, aggs)
     c = F.col

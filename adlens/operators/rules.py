@@ -35,8 +35,8 @@ NO_URGENT_POINT = ("P3", "no_urgent_point", "review top-spend and top-ROAS campa
 ALL_ACCOUNTS = "all"
 
 
-def rule_aggregates(fact: DataFrame, scope: Sequence[str] = (),
-                    shared: bool = True) -> tuple[DataFrame, DataFrame]:
+def rule_aggregates(fact: DataFrame, scope: Sequence[str] = (), shared: bool = True,
+                    platforms: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """(per scope × campaign, per scope × platform) raw sums from ONE scan and ONE exchange.
 
     Every rule-engine output (summary, anomaly base, primary platform) derives from
@@ -46,17 +46,24 @@ def rule_aggregates(fact: DataFrame, scope: Sequence[str] = (),
     once as a table under the shared checkpoint folder: its many consumers prune
     different columns, which defeats exchange reuse, so without it the fact would be
     rescanned once per consumer. The written table also survives executor loss.
-    ``shared=False`` (a single consumer) keeps it lazy.
+    ``shared=False`` (a single consumer) keeps it lazy. Only issues need the platforms, and
+    of them the cost alone; ``platforms=False`` leaves them out (None), and with them half
+    of what small scopes shuffle.
     """
     scope = list(scope)
-    agg = fact.groupingSets([scope + ["campaign_name"], scope + ["platform"]], *scope, "campaign_name", "platform") \
-        .agg(F.count(F.lit(1)).alias("rows"), *[F.sum(m).alias(m) for m in MEASURES],
-             F.grouping("platform").alias("_gp"))
+    sums = [F.count(F.lit(1)).alias("rows"), *[F.sum(m).alias(m) for m in MEASURES]]
+    if not platforms:
+        campaigns = fact.groupBy(*scope, "campaign_name").agg(*sums)
+        return materialize(campaigns, "rule-aggregates") if shared else campaigns, None
+    kinds = dict(fact.dtypes)
+    by_campaign = F.struct(F.lit(True).alias("_campaign"), F.col("campaign_name").alias("_name"), *MEASURES)
+    by_platform = F.struct(F.lit(False).alias("_campaign"), F.col("platform").alias("_name"), *[
+        F.col(m) if m == "cost" else F.lit(None).cast(kinds[m]).alias(m) for m in MEASURES])
+    agg = fact.select(*scope, F.inline(F.array(by_campaign, by_platform))).groupBy(*scope, "_campaign", "_name").agg(*sums)
     if shared:
         agg = materialize(agg, "rule-aggregates")
-    campaigns = agg.where(F.col("_gp") == 1).select(*scope, "campaign_name", "rows", *MEASURES)
-    platforms = agg.where(F.col("_gp") == 0).select(*scope, "platform", "cost")
-    return campaigns, platforms
+    return (agg.where("_campaign").select(*scope, F.col("_name").alias("campaign_name"), "rows", *MEASURES),
+            agg.where(~F.col("_campaign")).select(*scope, F.col("_name").alias("platform"), "cost"))
 
 
 def summary_from_campaigns(campaigns: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -125,14 +132,16 @@ def anomalies(fact: DataFrame, scope: Sequence[str] = (), limit: int = SEGMENT_L
               aggregates: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Rule hits over the campaign base: spend without conversion (high), low CTR at
     volume (medium), scale candidate (opportunity); a row may fire several rules."""
-    campaigns = (aggregates or rule_aggregates(fact, scope, shared=False))[0]
+    campaigns = (aggregates or rule_aggregates(fact, scope, shared=False, platforms=False))[0]
     return anomalies_from_base(base_from_campaigns(campaigns, scope, limit), scope)
 
 
 def scope_state(fact: DataFrame, anomaly_rows: DataFrame, scope: Sequence[str] = (),
                 aggregates: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """One row per scope: KPI summary plus anomaly counts by severity."""
+    """One row per scope: KPI summary, anomaly counts by severity and the anomalies as an array (``hits``; bounded by the base, null without any)."""
+    hit = F.struct("base_rank", "rule_seq", "severity", "rule_code", "target", "cost", "ctr", "cvr", "roas")
     counts = anomaly_rows.groupBy(*scope).agg(
+        F.collect_list(hit).alias("hits"),
         F.count(F.lit(1)).alias("n_anomalies"),
         F.count_if(F.col("severity") == "high").alias("n_high"),
         F.count_if(F.col("severity") == "medium").alias("n_medium"),
@@ -153,28 +162,26 @@ def recommendations(fact: DataFrame, scope: Sequence[str] = (), anomaly_rows: Da
     A scope with no measurable activity (no rows, or every core sum ≤ 0) gets none.
     """
     scope = list(scope)
-    aggs = aggregates or rule_aggregates(fact, scope)
+    aggs = aggregates or rule_aggregates(fact, scope, platforms=False)
     a = anomaly_rows if anomaly_rows is not None else anomalies(fact, scope, aggregates=aggs)
     state = scope_state(fact, a, scope, aggs)
     active =~((F.col("rows") <= 0) | (F.col("impressions") <= 0) & (F.col("clicks") <= 0) & (F.col("cost") <= 0)
                & (F.col("conversions") <= 0) & (F.col("revenue") <= 0))
-    gate = state.select(*scope, active.alias("active"))
-    from_rules = attach(a, gate, scope).where("active").select(
-        *scope,
-        F.col("base_rank").alias("rec_no"), "rule_seq",
-        F.coalesce(_catalog_map(0)[F.col("rule_code")], F.lit(DEFAULT_RECOMMENDATION[0])).alias("priority"),
-        "target",
-        F.col("rule_code").alias("issue"),
-        F.coalesce(_catalog_map(1)[F.col("rule_code")], F.lit(DEFAULT_RECOMMENDATION[1])).alias("recommended_action"),
-        F.coalesce(_catalog_map(2)[F.col("rule_code")], F.lit(DEFAULT_RECOMMENDATION[2])).alias("expected_effect"),
-        F.col("severity").alias("risk_level"))
+    text = "priority", "target", "issue", "recommended_action", "expected_effect", "risk_level"
+
+    def row(rec_no: Column, rule_seq: Column, *values: Column) -> Column:
+        return F.struct(rec_no.alias("rec_no"), rule_seq.alias("rule_seq"), *[v.alias(n) for n, v in zip(text, values)])
+
+    def from_hit(h: Column) -> Column:
+        named = [F.coalesce(_catalog_map(i)[h["rule_code"]], F.lit(DEFAULT_RECOMMENDATION[i])) for i in range(3)]
+        return row(h["base_rank"], h["rule_seq"], named[0], h["target"], h["rule_code"], named[1], named[2], h["severity"])
+
     no_conv = (F.col("cost") > 0) & (F.col("conversions") == 0)
 
     def pick(i: int) -> Column:
         return F.when(no_conv, F.lit(NO_CONVERSION_DATA[i])).otherwise(F.lit(NO_URGENT_POINT[i]))
 
-    fallback = state.where(active & (F.col("n_anomalies") == 0)).select(
-        *scope, F.lit(0).alias("rec_no"), F.lit(0).alias("rule_seq"), pick(0).alias("priority"),
-        F.lit(ALL_ACCOUNTS).alias("target"), pick(1).alias("issue"), pick(2).alias("recommended_action"),
-        pick(3).alias("expected_effect"), pick(4).alias("risk_level"))
-    return from_rules.unionByName(fallback)
+    fallback = row(F.lit(0), F.lit(0), pick(0), F.lit(ALL_ACCOUNTS), pick(1), pick(2), pick(3), pick(4))
+    # a scope's hits are at most three for each campaign of the base: rows from rules and fallbacks come from one pass
+    return state.where(active).select(*scope, F.inline(F.when(F.col("n_anomalies") == 0, F.array(fallback)).otherwise(
+        F.transform("hits", from_hit))))

@@ -121,3 +121,14 @@ def test_hot_keys_are_combined_before_the_shuffle(spark):
 def test_small_dimensions_broadcast_by_size(spark):
     plan = _plan(metrics.kpi_summary(tables.ad_fact(spark, SMOKE)))
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_anomalies_are_found_once_for_scoped_issues(spark):
+    """Issues and recommendations take a scope's hits from its state: one set of thresholds, platforms only for issues."""
+    from adlens.operators import issues, rules
+    from adlens.sources.tables import ad_fact
+    fact = ad_fact(spark, "/root/testdata/sf0.001")
+    assert rules.rule_aggregates(fact, ["account_name"], shared=False, platforms=False)[1] is None
+    for build in (issues.action_issues, rules.recommendations, issues.health_score):
+        plan = build(fact, ["account_name"])._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("Window [" in line and "percentile" in line for line in plan.split("\n")) == 1
