@@ -8,6 +8,10 @@ from adlens.constants import NA_TOKENS, RATES, UNCLASSIFIED
 
 # A plain decimal / scientific literal; anything else ('1d', '1.5f', 'nan', 'abc') is not a number.
 NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# The same, and nothing after it ('$' also stands before a line break at the end).
+BARE_NUMBER = NUMERIC_TEXT[:-1] + r"\z"
+BARE_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
+
 
 def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -58,14 +62,18 @@ def clean_numeric(c) -> Column:
     """Text measure -> DOUBLE: drop ',', '원', '%', strip, parse; anything unparseable -> 0.
 
     A percent sign is removed, not divided by 100. Null tokens are not numbers, so they are 0 too.
+    Text that is a number as it stands is parsed at once.
     """
-    text = strip(F.translate(col_of(c).cast("string"), ",원%", ""))
-    return F.coalesce(F.when(text.rlike(NUMERIC_TEXT), text.try_cast("double")), F.lit(0.0))
+    raw = col_of(c).cast("string")
+    text = strip(F.translate(raw, ",원%", ""))
+    return F.coalesce(F.when(raw.rlike(BARE_NUMBER), raw.try_cast("double")).when(text.rlike(NUMERIC_TEXT), text.try_cast("double")),
+                      F.lit(0.0))
 
 
 def clean_dimension(c) -> Column:
     """Null / blank / null-token text -> the 'unclassified' label; otherwise stripped text."""
-    return F.coalesce(F.nullif(strip(null_na_tokens(c)), F.lit("")), F.lit(UNCLASSIFIED))
+    text = strip(null_na_tokens(c))
+    return F.when(text != "", text).otherwise(F.lit(UNCLASSIFIED))
 
 
 # Year-first dates with other separators are rewritten to ISO; the rest is parsed by layout,
@@ -83,14 +91,17 @@ def parse_date(c) -> Column:
     """Free text -> TIMESTAMP_NTZ; unparseable -> null.
 
     ISO and other year-first dates, with or without a time, go through the exception-free
-    cast; the layouts of ``SHAPED_DATE_FORMATS`` are parsed only when the text has that shape.
+    cast (a bare ISO date at once); the layouts of ``SHAPED_DATE_FORMATS`` are parsed only when the
+    text has that shape.
     """
-    text = strip(col_of(c).cast("string"))
+    raw = col_of(c).cast("string")
+    text = strip(raw)
     iso = F.regexp_replace(text, YEAR_FIRST, "$1-$2-$3").try_cast("timestamp_ntz")
     shaped = F.lit(None).cast("timestamp")
     for pattern, fmt in reversed(SHAPED_DATE_FORMATS):
         shaped = F.when(text.rlike(pattern), F.try_to_timestamp(text, F.lit(fmt))).otherwise(shaped)
-    return F.coalesce(F.when(~text.rlike(r"^[0-9]{8}$"), iso), shaped.cast("timestamp_ntz"))
+    free = F.coalesce(F.when(~text.rlike(r"^[0-9]{8}$"), iso), shaped.cast("timestamp_ntz"))
+    return F.when(raw.rlike(BARE_DATE), raw.try_cast("timestamp_ntz")).otherwise(free)
 
 
 def valid_label(c) -> Column:

@@ -50,24 +50,26 @@ def _extra_cells(mapping: DataFrame) -> DataFrame:
     return rest.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("_extra"))
 
 
-def standardize_lines(lines: DataFrame, mapping: DataFrame, keep_extras: bool = False) -> DataFrame:
+def standardize_lines(lines: DataFrame, mapping: DataFrame, keep_extras: bool = False, keep_cart: bool = False) -> DataFrame:
     """All data lines of all files -> canonical fact with ``file`` and ``line_id``.
 
     With ``keep_extras`` the cells under headers without a canonical name pass through in
-    ``extras``, a map from header to text.
+    ``extras``, a map from header to text. With ``keep_cart`` the cart count of the line is in
+    ``_cart``, null in files without such a column.
     """
     canon = ["date"] + DIMENSIONS + MEASURES
     # Resolve each canonical column's position once per file (small table), so each
     # data line does plain array accesses; get() is null when absent / out of range.
     pos = _positions(mapping).select("source", *[F.col("pos")[F.lit(c)].alias(f"_p_{c}") for c in canon])
+    if keep_cart:
+        pos = pos.join(_cart_positions(mapping), "source", "full")
     data = lines.where(~F.col("is_header")).join(pos, lines.file == pos.source, "left")
 
     def raw(c: str) -> Column:
         return F.get(F.col("fields"), F.col(f"_p_{c}"))
 
-    # Pull each canonical cell out once, then clean plain columns: nesting the lookups
-    # inside every cleaning expression makes the generated code too large to compile
-    # (Spark then falls back to interpreted evaluation).
+    # Cells of one kind are cleaned as one array: thirteen cleaning expressions side by side
+    # make a generated method too large for the JVM to compile, which then interprets it.
     kept = []
     if keep_extras:
         rest = _extra_cells(mapping).withColumnRenamed("source", "_extra_source")
@@ -75,11 +77,14 @@ def standardize_lines(lines: DataFrame, mapping: DataFrame, keep_extras: bool =
         empty = F.create_map().cast("map<string,string>")
         kept = [F.coalesce(F.map_from_entries(F.transform("_extra", lambda x: F.struct(
             x["name"].alias("key"), F.get(F.col("fields"), x["position"]).alias("value")))), empty).alias("extras")]
-    cells = data.select("file", "line_id", *[raw(c).alias(f"_raw_{c}") for c in ["date"] + DIMENSIONS + MEASURES], *kept)
-    cols = [F.col("file"), F.col("line_id"), parse_date("_raw_date").alias("date")]
-    cols += [clean_dimension(f"_raw_{d}").alias(d) for d in DIMENSIONS]
-    cols += [clean_numeric(f"_raw_{m}").alias(m) for m in MEASURES]
-    return with_rates(cells.select(*cols, *(["extras"] if keep_extras else [])))
+    if keep_cart:
+        kept.append(F.when(F.col("cart_pos").isNotNull(), _cart_count(F.get("fields", "cart_pos"))).alias("_cart"))
+    cells = data.select("file", "line_id", *[F.transform(F.array(*map(raw, names)), clean).alias(kind) for kind, names, clean in (
+        ("_dates", ["date"], parse_date), ("_dimensions", DIMENSIONS, clean_dimension), ("_measures", MEASURES, clean_numeric))], *kept)
+    cols = [F.col("file"), F.col("line_id"), F.col("_dates")[0].alias("date")]
+    cols += [F.col("_dimensions")[i].alias(d) for i, d in enumerate(DIMENSIONS)]
+    cols += [F.col("_measures")[i].alias(m) for i, m in enumerate(MEASURES)]
+    return with_rates(cells.select(*cols, *(["extras"] if keep_extras else []), *(["_cart"] if keep_cart else [])))
 
 
 def infer_media_from_name(path) -> Column:
@@ -112,15 +117,22 @@ def _file_stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
 
 
+def _cart_positions(mapping: DataFrame) -> DataFrame:
+    """Per file with a cart-count column: the position of the first one."""
+    aliases = [normalize_header(F.lit(a)) for a in CART_COUNT_ALIASES]
+    return mapping.where(F.col("header_norm").isin(*aliases)).groupBy("source").agg(F.min("position").alias("cart_pos"))
+
+
+def _cart_count(cell: Column) -> Column:
+    txt = F.trim(F.replace(cell, F.lit(",")))
+    return F.coalesce(F.when(txt.rlike(NUMERIC_TEXT), txt.try_cast("double")), F.lit(0.0))
+
+
 def _cart_totals(lines: DataFrame, mapping: DataFrame) -> DataFrame:
     """Per file: Σ of the first cart-count column (if any header is a cart alias)."""
-    aliases = [normalize_header(F.lit(a)) for a in CART_COUNT_ALIASES]
-    cart_pos = (mapping.where(F.col("header_norm").isin(*aliases)).groupBy("source")
-                .agg(F.min("position").alias("cart_pos")))
+    cart_pos = _cart_positions(mapping)
     data = lines.where(~F.col("is_header")).join(cart_pos, lines.file == cart_pos.source)
-    txt = F.trim(F.regexp_replace(F.try_element_at("fields", (F.col("cart_pos") + 1).cast("int")), ",", ""))
-    val = F.coalesce(F.when(txt.rlike(NUMERIC_TEXT), txt.try_cast("double")), F.lit(0.0))
-    return data.groupBy("file").agg(F.sum(val).alias("cart_total"))
+    return data.groupBy("file").agg(F.sum(_cart_count(F.get("fields", "cart_pos"))).alias("cart_total"))
 
 
 def file_audit(lines: DataFrame, with_issues: bool = True, mapping: DataFrame | None = None,
@@ -131,12 +143,13 @@ def file_audit(lines: DataFrame, with_issues: bool = True, mapping: DataFrame |
     A file that could not be read or is empty has a row too (``load_status`` failed). A caller
     that has mapped and standardised the lines passes ``mapping`` and ``fact``; otherwise the
     mapping is written once under the checkpoint folder, as several branches read it, and so is
-    the fact if the issue engine reads it beside the per-file aggregates.
+    the fact if the issue engine reads it beside the per-file aggregates. The lines are then
+    standardised once, cart counts included.
     """
     if mapping is None:
         mapping = materialize(map_headers(header_catalog_from_lines(lines)), "header-mapping")
     if fact is None:
-        fact = standardize_lines(lines, mapping)
+        fact = standardize_lines(lines, mapping, keep_cart=True)
         if with_issues:
             fact = materialize(fact, "audit-fact")
     c = F.col
@@ -157,9 +170,12 @@ def file_audit(lines: DataFrame, with_issues: bool = True, mapping: DataFrame |
         F.count("date").alias("_dated"),
         *[F.bool_and(c(d) == UNCLASSIFIED).alias(f"_allu_{d}") for d in TEXT_FIELDS + ["product_name", "keyword"]],
         *[F.sum(m).alias(f"_sum_{m}") for m in NUMERIC_FIELDS],
-        first_valid("platform").alias("_media"), first_valid("account_name").alias("_adv"))
+        first_valid("platform").alias("_media"), first_valid("account_name").alias("_adv"),
+        *([F.sum("_cart").alias("cart_total")] if "_cart" in fact.columns else []))
     files = lines.where("is_header").select("file", "problem")
-    j = files.join(maps, "file", "left").join(agg, "file", "left").join(_cart_totals(lines, mapping), "file", "left")
+    j = files.join(maps, "file", "left").join(agg, "file", "left")
+    if "_cart" not in fact.columns:
+        j = j.join(_cart_totals(lines, mapping), "file", "left")
     j = j.fillna({"row_count": 0})
 
     def mapped(col_name: str) -> Column:
@@ -245,7 +261,11 @@ def media_validation(audits: DataFrame, media: list[str], profiles: DataFrame |
 
 
 def with_profile_audits(audits: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The audits of real files, and the profile audits of the media that have none, told apart by ``audit_source``."""
+    """The audits of real files, and the profile audits of the media that have none, told apart by ``audit_source``.
+
+    The audits are written once, as both branches read them: files aren't audited again for their media.
+    """
+    audits = materialize(audits, "file-audits")
     real = audits.select("inferred_media").distinct()
     rest = profiles.join(real, "inferred_media", "left_anti")
     return audits.withColumn("audit_source", F.lit("real_file")).unionByName(

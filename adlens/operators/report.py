@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from adlens.constants import DIMENSIONS, UNCLASSIFIED
 from adlens.functions.formatting import fmt_count, fmt_money, fmt_percent
 from adlens.operators.sinks import write_scoped
+from adlens.session import materialize
 
 COUNT_COLUMNS = ["rows", "impressions", "clicks", "conversions", "orders"]
 MONEY_COLUMNS = ["cost", "revenue", "cpc", "cpa"]
@@ -334,8 +335,10 @@ def audit_report_lines(audits: DataFrame) -> DataFrame:
 
     The summary counts the files, those that loaded and those that failed, and the files of each
     medium; with profile audits among them, real files and profiles. Sections sort by file, so no
-    task numbers the files of the folder; with issues audited they tell how many.
+    task numbers the files of the folder; with issues audited they tell how many. The audits are
+    written once, as every part reads them.
     """
+    audits = materialize(audits, "report-audits")
     c = F.col
     failed = F.count_if(c("load_status") == "failed")
     totals = audits.agg(F.count(F.lit(1)).alias("files"), failed.alias("failed")).select(
