@@ -14,11 +14,14 @@ a few thousand records, or one that spans blocks.
 from __future__ import annotations
 
 import csv
+import re
 import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from adlens.session import materialize
+
 LINES_AT_ONCE = 4096
 LINES = "file string, line_id long, is_header boolean, fields array<string>, problem string"
 _ENDS = "file string, block long, outside boolean, inside boolean, some_outside boolean, some_inside boolean, valid boolean"
@@ -26,6 +29,9 @@ _PARSED = LINES + ", block long, part int, text string"
 _SCHEMA = pa.schema([("file", pa.string()), ("line_id", pa.int64()), ("is_header", pa.bool_()), ("fields", pa.list_(pa.string())),
                      ("problem", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("text", pa.string())])
 _BOM = "﻿"
+# A line of whole fields: without any quote, or quoted from the first character to the last.
+_FIELD = r'(?:"[^"]*+"(?:"[^"]*+")*+|[^",\r]*+)'
+_CLOSED = re.compile(f"{_FIELD}(?:,{_FIELD})*+\r?").fullmatch
 TAIL, HEAD = 0, 1  # a block's lines before its first record, and its open record
 
 
@@ -34,7 +40,7 @@ def ends_inside(line: str, inside: bool) -> bool:
 
     A quote opens a field only as its first character; in a quoted field two quotes are one.
     """
-    if not inside and '"' not in line:
+    if not inside and ('"' not in line or _CLOSED(line)):
         return False
     at = 0
     while True:
@@ -70,8 +76,9 @@ class _End:
     def __init__(self, inside: bool):
         self.inside, self.leading, self.some, self.open = inside, inside, False, []
 
-    def add(self, line: str) -> None:
-        was, self.inside = self.inside, ends_inside(line, self.inside)
+    def add(self, line: str, inside: bool) -> None:
+        """Take a line in that ends ``inside`` a quoted field or not."""
+        was, self.inside = self.inside, inside
         if self.leading:
             self.leading = self.inside
         elif not self.some:
@@ -118,8 +125,9 @@ def block_ends(lines: DataFrame) -> DataFrame:
                 continue
             out, in_ = pair
             for t in texts:
-                out.add(t)
-                in_.add(t)
+                same, inside = out.inside == in_.inside, ends_inside(t, out.inside)  # once both agree, they stay together
+                in_.add(t, inside if same else ends_inside(t, in_.inside))
+                out.add(t, inside)
         if now:
             yield row()
 
@@ -127,7 +135,10 @@ def block_ends(lines: DataFrame) -> DataFrame:
 
 
 def block_starts(ends: DataFrame) -> DataFrame:
-    """(file, block, inside, header, valid): whether the block begins inside a quoted field; ``header`` is the file's first block with a record."""
+    """(file, block, inside, header, valid, open): whether the block begins, and the file ends, inside a quoted field.
+
+    ``header`` is the file's first block with a record.
+    """
     blocks = F.array_sort(F.collect_list(F.struct("block", "outside", "inside", "some_outside", "some_inside")))
     first = F.struct(F.lit(False).alias("inside"), F.lit(None).cast("long").alias("header"),
                      F.array().cast("array<struct<block:bigint,inside:boolean>>").alias("starts"))
@@ -140,7 +151,7 @@ def block_starts(ends: DataFrame) -> DataFrame:
 
     per = ends.groupBy("file").agg(blocks.alias("b"), F.bool_and("valid").alias("valid"))
     folded = per.select("file", "valid", F.aggregate("b", first, step).alias("f"))
-    return folded.select("file", "valid", F.col("f.header").alias("header"), F.inline("f.starts"))
+    return folded.select("file", "valid", F.col("f.header").alias("header"), F.col("f.inside").alias("open"), F.inline("f.starts"))
 
 
 class _Parser:
@@ -201,14 +212,22 @@ def records(lines: DataFrame) -> DataFrame:
     """(file, block, value) lines of whole files -> the ``lines`` table of :mod:`adlens.sources.reports`.
 
     ``line_id`` grows along a file: the block's first byte and the number of the record in the block.
+    The lines are read twice: for where blocks begin (written, a row per block) and for the records;
+    once more only for files with a record that spans blocks or is open at the end.
     """
     spark = lines.sparkSession
-    starts = block_starts(block_ends(lines))
+    starts = materialize(block_starts(block_ends(lines)), "block-starts")
     # blocks that begin otherwise than outside quotes, with the header in the first one: a small part of all blocks
     usual = F.col("valid") & ~F.col("inside") & F.col("header").isNotNull() & ((F.col("header") == 0) | (F.col("block") > F.col("header")))
     odd = {(r["file"], r["block"]): (r["inside"], r["header"] is not None and r["block"] == r["header"], r["valid"])
            for r in starts.where(~F.coalesce(usual, F.lit(False))).collect()}
     known = spark.sparkContext.broadcast(odd)
+    # files with fragments of records: a small part of all files
+    broken = {r["file"] for r in starts.where(F.col("valid") & (F.col("inside") | F.col("open"))).select("file").distinct().collect()}
+    parts_of = spark.sparkContext.broadcast(broken)
+
+    def run_broken(batches):
+        return run(b.filter(pa.array([f in parts_of.value for f in b.column("file").to_pylist()], pa.bool_())) for b in batches)
 
     def run(batches):
         now, parser = None, None
@@ -233,10 +252,8 @@ def records(lines: DataFrame) -> DataFrame:
     parsed = lines.mapInArrow(run, _PARSED)
     names = ("file", "line_id", "is_header", "fields", "problem")
     out = parsed.where("part IS NULL").select(*names)
-    if any(inside for inside, _, _ in odd.values()):
-        out = out.unionByName(_spanning(parsed.where("part IS NOT NULL")))
-    else:  # a file may still end inside a quoted field
-        out = out.unionByName(_spanning(parsed.where(F.col("part") == HEAD)))
+    if broken:
+        out = out.unionByName(_spanning(lines.mapInArrow(run_broken, _PARSED).where("part IS NOT NULL")))
     failed = starts.where(~F.col("valid") | F.col("header").isNull()).groupBy("file").agg(F.bool_and("valid").alias("valid"))
     return out.unionByName(failed.select("file", F.lit(0).cast("long").alias("line_id"), F.lit(True).alias("is_header"),
                                          F.array().cast("array<string>").alias("fields"),

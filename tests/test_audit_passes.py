@@ -64,3 +64,29 @@ def test_bare_cells_are_cleaned_like_others(spark):
         "2024-02-29 00:00:00", None, "2024-02-29 00:00:00", "2024-02-29 00:00:00", "2024-02-29 10:00:00"]
     whole = df.select(F.transform(F.array("v"), parse_date)[0].cast("string"))
     assert [r[0] for r in whole.collect()] == [r[0] for r in df.select(parse_date("v").cast("string")).collect()]
+
+
+def test_records_parse_unbroken_files_once(spark, tmp_dir, monkeypatch):
+    """Each line goes to Python twice (where blocks begin, then records) unless a record of its file spans blocks."""
+    import os
+
+    from adlens.sources import csv_blocks, reports
+    with open(os.path.join(tmp_dir, "a.csv"), "w") as f:
+        f.write('date,note\n' + '2024-01-01,"two\nlines"\n' * 20)
+    lines = reports._numbered(spark.read.option("lineSep", "\n").text(tmp_dir)).repartition(1).sortWithinPartitions("block").localCheckpoint()
+    counted, seen = _counted(spark, lines)
+    rows = csv_blocks.records(counted)
+    assert rows.where("NOT is_header AND fields[1] = 'two\nlines'").count() == 20
+    assert seen.value == 2 * lines.count()
+
+
+def test_open_record_at_the_end_of_a_file_is_kept(spark, tmp_dir):
+    import os
+
+    from adlens.sources.reports import read_report_lines
+    with open(os.path.join(tmp_dir, "a.csv"), "w") as f:
+        f.write('date,note\n2024-01-01,x\n2024-01-02,"open\nstill')
+    with open(os.path.join(tmp_dir, "b.csv"), "w") as f:
+        f.write('date,note\n2024-01-03,y\n')
+    got = {tuple(r["fields"]) for r in read_report_lines(spark, tmp_dir).where("NOT is_header").collect()}
+    assert got == {("2024-01-01", "x"), ("2024-01-02", "open\nstill"), ("2024-01-03", "y")}
