@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from adlens.llm.common import column_chunks, partitions_for, written
+from adlens.llm.common import CHUNK_CHARS, column_chunks, partitions_for, written
 from adlens.llm.tokens import encoder, ids_crc32
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         enc = encoder(tokenizer)
         for b in batches:
             ids, out = b.column("doc_id").to_pylist(), []
-            for at, texts in column_chunks(b.column("text")):
+            for at, texts in column_chunks(b.column("text"), 8 * CHUNK_CHARS):
                 for i, raw in enumerate(enc.encode(texts), at):
                     tokens = np.append(enc.ids(raw), np.uint32(end_id))
                     out += [(ids[i], k, s, n, ids_crc32(tokens[s:s + n]))

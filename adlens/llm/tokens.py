@@ -2,10 +2,11 @@
 
 Byte-level pre-tokenisation never joins a character that is not white space with white
 space after it, so a text may be cut there and the ids of the pieces joined. Each task's
-worker keeps the ids of the pieces it has met (a bounded number). A new piece that is one
-word with punctuation after it is two pre-tokens by the same rules, and goes to the
-tokenizer's model directly; other new pieces take the tokenizer's whole path, and texts with
-longer white space than single blanks and line feeds are cut by a stricter pattern.
+worker keeps the ids of the pieces it has met (a bounded number), and texts are cut and joined as
+Arrow columns, so Python meets each distinct piece of a chunk once. A new piece that is one word
+with punctuation after it is two pre-tokens by the same rules, and goes to the tokenizer's model
+directly; other new pieces take the tokenizer's whole path, and texts with longer white space than
+single blanks and line feeds are cut by a stricter pattern.
 
 The operators leave the library's default on: a special token of the file (``<|endoftext|>``)
 is its own id wherever a text holds its string. Such a token has no white space, takes none
@@ -21,12 +22,16 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Unicode white space, as the pre-tokeniser's \s has it.
 _WHITE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECES = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
 # One word of Latin letters with ASCII punctuation (no apostrophe) after it.
-_WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+_LETTERS, _MARKS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+", r"[!-&(-/:-@\[-`{-~]*"
+_WORD = re.compile(f"{_LETTERS}{_MARKS}").fullmatch
+_WORD_MARKS = rf"\A(?P<word>{_LETTERS})(?P<marks>{_MARKS})\z"   # the same for Arrow
 
 CACHE_PIECES = 450_000
 TOGETHER = 512
@@ -39,22 +44,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(spare)}
 
 
-_MISSED = b"missed"
-_HEAD = None   # stands for the first piece of a text, which has no white space before it
-
-
-class _Cache(dict):
-    """Remembers what was looked up in vain."""
-
-    def __init__(self):
-        super().__init__({_HEAD: b""})
-        self.missed: list[str] = []
-
-    def __missing__(self, key):
-        self.missed.append(key)
-        return _MISSED
-
-
 def _cuts_badly(piece: str) -> bool:
     """Whether the cut before a piece falls inside a run of white space."""
     if piece[:1] == "\n":
@@ -68,6 +57,10 @@ def _stays_whole(added) -> bool:
                 or _WORD("a" + added.content))
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes ten times as long
+
+
 class PieceEncoder:
     """Encodes texts with one tokenizer file; ids are little-endian ``dtype`` bytes.
 
@@ -89,8 +82,8 @@ class PieceEncoder:
                        and pre.use_regex and type(self.model).__name__ == "BPE" and not self.model.dropout
                        and all(map(_stays_whole, self.tok.get_added_tokens_decoder().values())))
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.limit, self.cache = cache_pieces, _Cache()
-        self.letters, self.marks, self.kind = _byte_letters(), {}, "H" if self.dtype.itemsize == 2 else "I"
+        self.limit, self.cache = cache_pieces, {}
+        self.letters, self.kind = _byte_letters(), "H" if self.dtype.itemsize == 2 else "I"
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -104,63 +97,79 @@ class PieceEncoder:
             out += [array(self.kind, e.ids).tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)]
         return out
 
-    def _one(self, pre_token: str) -> bytes:
-        if not pre_token.isascii() or pre_token[0] == " ":
-            pre_token = pre_token.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(pre_token)]
-        return array(self.kind, ids).tobytes()
-
-    def _new(self, pieces) -> dict[str, bytes]:
-        """Ids of pieces: a blank and the piece, or the piece itself if it starts with a line feed."""
-        out, rest, known = {}, [], dict.get
-        for p in pieces:
-            m = _WORD(p)
-            if not m:
-                rest.append(p)
-                continue
-            word, marks = m.groups()
-            ids = known(self.cache, word) or known(out, word)
-            if ids is None:
-                ids = out[word] = self._one(" " + word)
-            if marks:
-                tail = self.marks.get(marks)
-                if tail is None:
-                    tail = self._one(marks)
-                    if len(self.marks) < TOGETHER:
-                        self.marks[marks] = tail
-                out[p] = ids + tail
-        out.update(zip(rest, self._whole([p if p[0] == "\n" else " " + p for p in rest])))
+    def _pre_tokens(self, before: str, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens: each word (without line feeds) with ``before`` in front."""
+        known = self.cache if before else {}
+        out = list(map(known.get, words))
+        new = [w for w, ids in zip(words, out) if ids is None]
+        if not new:
+            return out
+        joined = before + f"\n{before}".join(new)
+        new = joined.encode("utf-8").decode("latin-1").translate(self.letters).split(self.letters[10])
+        tokenize, kind = self.model.tokenize, self.kind
+        fresh = iter([array(kind, [t.id for t in tokenize(w)]).tobytes() for w in new])
+        return [next(fresh) if ids is None else ids for ids in out]
+
+    def _new(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of pieces: of a blank and the piece, or of the piece itself if it starts with a line feed.
+
+        None if the cut before the piece falls inside a run of white space.
+        """
+        split = pc.extract_regex(pa.array(pieces, pa.large_string()), _WORD_MARKS)
+        simple = split.is_valid().to_numpy(zero_copy_only=False)
+        words, marks = (split.drop_null().field(k).dictionary_encode() for k in ("word", "marks"))
+        word_texts = _strings(words.dictionary)
+        word_ids = self._pre_tokens(" ", word_texts)
+        mark_ids = [self._pre_tokens("", [m])[0] if m else b"" for m in _strings(marks.dictionary)]
+        out: list[bytes | None] = [None] * len(pieces)
+        for i, w, m in zip(np.flatnonzero(simple).tolist(), words.indices.to_numpy().tolist(), marks.indices.to_numpy().tolist()):
+            out[i] = word_ids[w] + mark_ids[m] if mark_ids[m] else word_ids[w]
+        rest = [i for i in np.flatnonzero(~simple).tolist() if not _cuts_badly(pieces[i])]
+        for i, ids in zip(rest, self._whole([p if p[0] == "\n" else " " + p for p in map(pieces.__getitem__, rest)])):
+            out[i] = ids
+        self._keep(zip(word_texts, word_ids))
+        self._keep((p, ids) for p, ids in zip(pieces, out) if ids is not None)
         return out
 
+    def _keep(self, found) -> None:
+        for piece, ids in found:
+            if len(self.cache) >= self.limit:
+                break
+            self.cache[piece] = ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Call with bounded amounts of text (``common.text_chunks``)."""
+        """Ids of each text. Call with bounded amounts of text (``common.column_chunks``).
+
+        Larger amounts repeat more of their pieces, each of which is looked up once.
+        """
         if not self.splits:
             return self._whole(texts)
-        cache, get = self.cache, self.cache.__getitem__
-        heads, lines, missed = [], [], []
-        for t in texts:
-            pieces = t.replace("\n", " \n").split(" ")
-            heads.append(pieces[0])
-            pieces[0] = _HEAD
-            lines.append(list(map(get, pieces)))
-            missed.append(cache.missed)
-            cache.missed = []
-        wanted = set().union(*missed)
-        bad = {p for p in wanted if _cuts_badly(p)}
-        fresh = self._new(wanted - bad)
-        out = []
-        for t, head, line, ps in zip(texts, self._whole(heads), lines, missed):
-            if bad and not bad.isdisjoint(ps):
-                out.append(self._strict(t))
-                continue
-            at = 0
-            for p in ps:
-                at = line.index(_MISSED, at)
-                line[at] = fresh[p]
-            line[0] = head
-            out.append(b"".join(line))
-        if len(cache) + len(fresh) <= self.limit:
-            cache.update(fresh)
+        if not texts:
+            return []
+        lines = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        bounds = lines.offsets.to_numpy()
+        pieces = lines.flatten().dictionary_encode()
+        codes, heads = pieces.indices.to_numpy().copy(), bounds[:-1]
+        distinct, meant = _strings(pieces.dictionary), np.zeros(len(pieces.dictionary), bool)
+        head_texts = [distinct[c] for c in codes[heads].tolist()]
+        codes[heads] = np.arange(len(heads)) + len(distinct)  # the first piece has no white space before it
+        inner = np.ones(len(codes), bool)
+        inner[heads] = False
+        meant[codes[inner]] = True
+        ids = list(map(self.cache.get, distinct))
+        missed = [i for i in np.flatnonzero(meant).tolist() if ids[i] is None]
+        for i, raw in zip(missed, self._new([distinct[i] for i in missed]) if missed else ()):
+            ids[i] = raw
+        bad = np.zeros(len(distinct) + len(heads), bool)
+        bad[[i for i in missed if ids[i] is None]] = True
+        table = pa.array([raw or b"" for raw in ids] + self._whole(head_texts), pa.large_binary())
+        joined = table.take(pa.array(codes))
+        _, ends, data = joined.buffers()
+        ends = np.frombuffer(ends, np.int64)[joined.offset:][bounds].tolist()
+        data = memoryview(data or b"")
+        out = [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
+        for t in np.unique(np.searchsorted(bounds, np.flatnonzero(bad[codes]), "right") - 1).tolist():
+            out[t] = self._strict(texts[t])
         return out
 
     def _strict(self, text: str) -> bytes:

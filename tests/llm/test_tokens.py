@@ -35,6 +35,23 @@ def test_pieces_join_to_the_whole(tok):
                 assert (e.ids(raw) == whole(tok, t)).all(), repr(t)
 
 
+def test_each_distinct_piece_is_looked_up_once(tok):
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counting.asked += 1
+            return super().get(*key)
+
+    e = PieceEncoder(TOKENIZER)
+    e.cache = Counting(e.cache)
+    texts = ["head one two, one two,\n" * 500, "", " one  two", "two,", "é漢 one\none"] * 3
+    for _ in range(2):  # new pieces, then known ones
+        Counting.asked = 0
+        assert all((e.ids(raw) == whole(tok, t)).all() for t, raw in zip(texts, e.encode(texts)))
+        assert Counting.asked <= 30
+
+
 def test_column_chunks_cover_every_row():
     import pyarrow as pa
     from adlens.llm.common import column_chunks
