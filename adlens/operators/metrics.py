@@ -105,6 +105,27 @@ def periods_all(fact: DataFrame, scope: Sequence[str] = (), grains: Sequence[str
     return with_rates(out)
 
 
+def month_week_periods(fact: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """The monthly and weekly rows of :func:`periods_all`, with each row of the fact taken once.
+
+    The fact is reduced to the parts that months cut weeks into; only these are dealt by scope, where both
+    grains' sums, and windows of the scope, need no further exchange.
+    """
+    scope = list(scope)
+    day = F.col("date").cast("date")
+    parts = fact.where(F.col("date").isNotNull()).groupBy(
+        *scope, F.trunc(day, "week").alias("_week"), F.trunc(day, "month").alias("_month")).agg(
+        F.min("date").cast("date").alias("period_start"), F.max("date").cast("date").alias("period_end"),
+        F.count(F.lit(1)).alias("rows"), *[F.sum(m).alias(m) for m in MEASURES])
+    if scope:
+        parts = parts.repartition(*scope)
+    grains = [F.struct(F.lit(g).alias("grain"), period_label(g, "period_start").alias("period_label")) for g in ("monthly", "weekly")]
+    both = parts.select(*scope, F.inline(F.array(*grains)), "period_start", "period_end", "rows", *MEASURES)
+    return with_rates(both.groupBy(*scope, "grain", "period_label").agg(
+        F.min("period_start").alias("period_start"), F.max("period_end").alias("period_end"), F.sum("rows").alias("rows"),
+        *measure_sums()))
+
+
 def date_bounds(fact: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """First and last day with data, and the number of undated rows, per scope."""
     return fact.groupBy(*scope).agg(F.min("date").cast("date").alias("min_date"),

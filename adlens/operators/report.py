@@ -110,19 +110,46 @@ def change_band(rate: Column) -> Column:
             .when(rate < 0, fmt_percent(rate)).otherwise(F.lit("no change")))
 
 
+def _markdown_parts(table: DataFrame, columns: Sequence[str]) -> tuple[str, str, Column]:
+    """Header and separator of a pipe table, and the line of a formatted row."""
+    cols = [c for c in columns if c in table.columns]
+    body = F.concat(F.lit("| "), F.concat_ws(" | ", *[format_column(c) for c in cols]), F.lit(" |"))
+    return "| " + " | ".join(cols) + " |", "| " + " | ".join(["---"] * len(cols)) + " |", body
+
+
+def _numbered(*lines: Column) -> Column:
+    return F.array(*(F.struct(F.lit(no).alias("line_no"), line.alias("line")) for no, line in enumerate(lines)))
+
+
 def markdown_table_lines(table: DataFrame, columns: Sequence[str], order: Sequence[str],
                          scope: Sequence[str] = ()) -> DataFrame:
     """Pipe-table lines: header (line 0), separator (line 1), then formatted rows in ``order``."""
-    cols = [c for c in columns if c in table.columns]
-    header = "| " + " | ".join(cols) + " |"
-    sep = "| " + " | ".join(["---"] * len(cols)) + " |"
-    body = F.concat(F.lit("| "), F.concat_ws(" | ", *[format_column(c) for c in cols]), F.lit(" |"))
+    header, sep, body = _markdown_parts(table, columns)
     w = Window.partitionBy(*scope).orderBy(*order)
     rows = table.select(*scope, (F.row_number().over(w) + 1).alias("line_no"), body.alias("line"))
     heads = table.select(*scope).distinct() if scope else table.sparkSession.range(1).select()
-    fixed = heads.select(*scope, F.inline(F.array(F.struct(F.lit(0).alias("line_no"), F.lit(header).alias("line")),
-                                                  F.struct(F.lit(1).alias("line_no"), F.lit(sep).alias("line")))))
-    return fixed.unionByName(rows)
+    return heads.select(*scope, F.inline(_numbered(F.lit(header), F.lit(sep)))).unionByName(rows)
+
+
+def period_sections(periods: DataFrame, sections: dict[str, int], scope: Sequence[str] = ()) -> DataFrame:
+    """(scope..., section_no, line_no, line): :func:`period_markdown` of several grains, a section each.
+
+    A scope's first row brings the lines above it along, so the periods are computed once.
+    """
+    scope, c = list(scope), F.col
+    header, sep, body = _markdown_parts(periods, PERIOD_TABLE_COLUMNS)
+    heads = _numbered(F.lit(header), F.lit(sep))
+    number = F.create_map(*[F.lit(x) for pair in sections.items() for x in pair])
+    w = Window.partitionBy(*scope, "grain").orderBy("period_start", "period_label")
+    rows = periods.where(c("grain").isin(*sections)).withColumn("_no", F.row_number().over(w))
+    own = F.array(F.struct((c("_no") + 1).alias("line_no"), body.alias("line")))
+    if scope:
+        own = F.slice(F.concat(heads, own), F.when(c("_no") == 1, 1).otherwise(3), F.lit(3))
+    out = rows.select(*scope, number[c("grain")].alias("section_no"), F.inline(own))
+    if not scope:  # a table without rows still has its header
+        out = periods.sparkSession.range(1).select(F.explode(F.lit([*sections.values()])).alias("section_no")).select(
+            "section_no", F.inline(heads)).unionByName(out)
+    return out
 
 
 def period_markdown(periods: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -250,10 +277,12 @@ def dashboard_counters(fact: DataFrame, issues: DataFrame, files: DataFrame | No
 
 
 def report_lines(advertiser: str, summary: DataFrame, recommendations: DataFrame, issues: DataFrame,
-                 anomalies: DataFrame, monthly: DataFrame, weekly: DataFrame,
-                 mapping: DataFrame | None = None, scope: Sequence[str] = ()) -> DataFrame:
+                 anomalies: DataFrame, periods: DataFrame, mapping: DataFrame | None = None,
+                 scope: Sequence[str] = ()) -> DataFrame:
     """Narrative markdown reports as (scope..., section_no, line_no, line) rows, one report for each scope.
 
+    ``periods`` has the monthly and weekly rows, told apart by ``grain``.
+
     Lines are numbered inside their scope, so every advertiser's (or file's) report comes from
     the same few jobs. ``mapping`` (by ``source``) adds the column mapping: that of the scope's
     file if the scope is the file, else of all files.
@@ -279,11 +308,10 @@ def report_lines(advertiser: str, summary: DataFrame, recommendations: DataFrame
         *scope, F.lit(4).alias("section_no"), numbered("base_rank", "rule_seq"),
         F.concat(F.lit("- "), s("severity"), F.lit(" / "), s("rule_code"), F.lit(" / "), s("target"), F.lit(" / "),
                  fmt_money(s("cost"))).alias("line"))
-    mon = period_markdown(monthly, scope).withColumn("section_no", F.lit(5))
-    wk = period_markdown(weekly, scope).withColumn("section_no", F.lit(6))
+    tables = period_sections(periods, {"monthly": 5, "weekly": 6}, scope)
     cols = [*scope, "section_no", "line_no", "line"]
     out = head.select(*cols)
-    for part in (titles, recs, acts, anom, mon, wk):
+    for part in (titles, recs, acts, anom, tables):
         out = out.unionByName(part.select(*cols))
     if mapping is not None:
         # one line per column position and header: "header -> canonical" (or "unmapped"); a folder has

@@ -14,7 +14,7 @@ import argparse
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from adlens.operators import audit, compare, issues, metrics, report, rules
 from adlens.operators.ingest import map_headers
@@ -29,12 +29,11 @@ def narratives(fact: DataFrame, scope: Sequence[str] = (), advertiser: str = "ad
     scope = list(scope)
     aggs = aggregates or rules.rule_aggregates(fact, scope)
     hits = rules.anomalies(fact, scope, aggregates=aggs)
-    periods = metrics.periods_all(fact, scope, ("monthly", "weekly"))
-    grain = lambda g: periods.where(F.col("grain") == g).drop("grain")
     return report.report_lines(
         advertiser, rules.summary_from_campaigns(aggs[0], scope),
         rules.recommendations(fact, scope, anomaly_rows=hits, aggregates=aggs),
-        issues.action_issues(fact, scope, anomaly_rows=hits, aggregates=aggs), hits, grain("monthly"), grain("weekly"), mapping, scope)
+        issues.action_issues(fact, scope, anomaly_rows=hits, aggregates=aggs), hits,
+        metrics.month_week_periods(fact, scope), mapping, scope)
 
 
 @dataclass
