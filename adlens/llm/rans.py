@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from adlens.llm.common import column_chunks, framed, partitions_for, records, shared_path, write_records, written
+from adlens.llm.common import CHUNK_CHARS, column_chunks, framed, partitions_for, records, shared_path, write_records, written
 from adlens.llm.tokens import encoder, ids_crc32
 
 LANES = 128
@@ -205,7 +205,7 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         end = np.array([end_id], enc.dtype).tobytes()
         total = np.zeros(0, np.int64)
         for b in batches:
-            for at, texts in column_chunks(b.column("text")):
+            for at, texts in column_chunks(b.column("text"), 8 * CHUNK_CHARS):
                 raws = [r + end for r in enc.encode(texts)]
                 c = np.bincount(np.frombuffer(b"".join(raws), enc.dtype))
                 n = max(len(c), len(total))

@@ -2,11 +2,11 @@
 
 Byte-level pre-tokenisation never joins a character that is not white space with white
 space after it, so a text may be cut there and the ids of the pieces joined. Each task's
-worker keeps the ids of the pieces it has met (a bounded number), and texts are cut and joined as
-Arrow columns, so Python meets each distinct piece of a chunk once. A new piece that is one word
-with punctuation after it is two pre-tokens by the same rules, and goes to the tokenizer's model
-directly; other new pieces take the tokenizer's whole path, and texts with longer white space than
-single blanks and line feeds are cut by a stricter pattern.
+worker keeps the ids of what it has met (a bounded number), and texts are cut and joined as
+Arrow columns, so Python meets each distinct piece of a chunk once. A piece that is one word
+with punctuation after it is two pre-tokens by the same rules: the word is kept alone, and a new
+one goes to the tokenizer's model directly. Other new pieces take the tokenizer's whole path, and
+texts with longer white space than single blanks and line feeds are cut by a stricter pattern.
 
 The operators leave the library's default on: a special token of the file (``<|endoftext|>``)
 is its own id wherever a text holds its string. Such a token has no white space, takes none
@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from array import array
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ _LETTERS, _MARKS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+", r"[!-&(-/:-@\[-`{-~]*"
 _WORD = re.compile(f"{_LETTERS}{_MARKS}").fullmatch
 _WORD_MARKS = rf"\A(?P<word>{_LETTERS})(?P<marks>{_MARKS})\z"   # the same for Arrow
 
+_TOKEN_ID = attrgetter("id")
 CACHE_PIECES = 450_000
 TOGETHER = 512
 
@@ -98,38 +100,45 @@ class PieceEncoder:
         return out
 
     def _pre_tokens(self, before: str, words: list[str]) -> list[bytes]:
-        """Ids of pre-tokens: each word (without line feeds) with ``before`` in front."""
+        """Ids of pre-tokens: each word (without line feeds) with ``before`` in front; kept if there is one."""
         known = self.cache if before else {}
         out = list(map(known.get, words))
         new = [w for w, ids in zip(words, out) if ids is None]
         if not new:
             return out
         joined = before + f"\n{before}".join(new)
-        new = joined.encode("utf-8").decode("latin-1").translate(self.letters).split(self.letters[10])
+        letters = joined.encode("utf-8").decode("latin-1").translate(self.letters).split(self.letters[10])
         tokenize, kind = self.model.tokenize, self.kind
-        fresh = iter([array(kind, [t.id for t in tokenize(w)]).tobytes() for w in new])
-        return [next(fresh) if ids is None else ids for ids in out]
+        fresh = [array(kind, map(_TOKEN_ID, tokenize(w))).tobytes() for w in letters]
+        if before:
+            self._keep(zip(new, fresh))
+        rest = iter(fresh)
+        return [next(rest) if ids is None else ids for ids in out]
 
-    def _new(self, pieces: list[str]) -> list[bytes | None]:
-        """Ids of pieces: of a blank and the piece, or of the piece itself if it starts with a line feed.
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces: of a blank and the piece, or of the piece itself if it starts with a line feed.
 
-        None if the cut before the piece falls inside a run of white space.
+        Null if the cut before the piece falls inside a run of white space. Words are kept without the
+        punctuation after them, so that the bounded memory holds each word once.
         """
-        split = pc.extract_regex(pa.array(pieces, pa.large_string()), _WORD_MARKS)
+        split = pc.extract_regex(pieces, _WORD_MARKS)
         simple = split.is_valid().to_numpy(zero_copy_only=False)
         words, marks = (split.drop_null().field(k).dictionary_encode() for k in ("word", "marks"))
-        word_texts = _strings(words.dictionary)
-        word_ids = self._pre_tokens(" ", word_texts)
-        mark_ids = [self._pre_tokens("", [m])[0] if m else b"" for m in _strings(marks.dictionary)]
-        out: list[bytes | None] = [None] * len(pieces)
-        for i, w, m in zip(np.flatnonzero(simple).tolist(), words.indices.to_numpy().tolist(), marks.indices.to_numpy().tolist()):
-            out[i] = word_ids[w] + mark_ids[m] if mark_ids[m] else word_ids[w]
-        rest = [i for i in np.flatnonzero(~simple).tolist() if not _cuts_badly(pieces[i])]
-        for i, ids in zip(rest, self._whole([p if p[0] == "\n" else " " + p for p in map(pieces.__getitem__, rest)])):
-            out[i] = ids
-        self._keep(zip(word_texts, word_ids))
-        self._keep((p, ids) for p, ids in zip(pieces, out) if ids is not None)
-        return out
+        word_ids = pa.array(self._pre_tokens(" ", _strings(words.dictionary)), pa.large_binary())
+        some_marks = _strings(marks.dictionary)
+        known = dict(zip(real := [m for m in some_marks if m], self._pre_tokens("", real)))
+        mark_ids = pa.array([known.get(m, b"") for m in some_marks], pa.large_binary())
+        joined = pc.binary_join_element_wise(word_ids.take(words.indices), mark_ids.take(marks.indices),
+                                             pa.scalar(b"", pa.large_binary()))
+        rest = _strings(pieces.filter(pa.array(~simple)))
+        ids = list(map(self.cache.get, rest))
+        missed = [i for i, raw in enumerate(ids) if raw is None and not _cuts_badly(rest[i])]
+        for i, raw in zip(missed, self._whole([p if p[0] == "\n" else " " + p for p in map(rest.__getitem__, missed)])):
+            ids[i] = raw
+        self._keep((rest[i], ids[i]) for i in missed)
+        order = np.empty(len(pieces), np.int64)
+        order[np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])] = np.arange(len(pieces))
+        return pa.concat_arrays([joined, pa.array(ids, pa.large_binary())]).take(pa.array(order))
 
     def _keep(self, found) -> None:
         for piece, ids in found:
@@ -149,26 +158,23 @@ class PieceEncoder:
         lines = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
         bounds = lines.offsets.to_numpy()
         pieces = lines.flatten().dictionary_encode()
-        codes, heads = pieces.indices.to_numpy().copy(), bounds[:-1]
-        distinct, meant = _strings(pieces.dictionary), np.zeros(len(pieces.dictionary), bool)
-        head_texts = [distinct[c] for c in codes[heads].tolist()]
-        codes[heads] = np.arange(len(heads)) + len(distinct)  # the first piece has no white space before it
+        codes, heads, distinct = pieces.indices.to_numpy(), bounds[:-1], pieces.dictionary
+        head_texts = _strings(distinct.take(pa.array(codes[heads])))
         inner = np.ones(len(codes), bool)
-        inner[heads] = False
+        inner[heads] = False  # the first piece has no white space before it
+        meant = np.zeros(len(distinct), bool)
         meant[codes[inner]] = True
-        ids = list(map(self.cache.get, distinct))
-        missed = [i for i in np.flatnonzero(meant).tolist() if ids[i] is None]
-        for i, raw in zip(missed, self._new([distinct[i] for i in missed]) if missed else ()):
-            ids[i] = raw
-        bad = np.zeros(len(distinct) + len(heads), bool)
-        bad[[i for i in missed if ids[i] is None]] = True
-        table = pa.array([raw or b"" for raw in ids] + self._whole(head_texts), pa.large_binary())
-        joined = table.take(pa.array(codes))
+        rows = (np.cumsum(meant) - 1)[codes]
+        rows[heads] = np.arange(len(heads)) + int(meant.sum())
+        table = pa.concat_arrays([self._pieces(distinct.filter(pa.array(meant))),
+                                  pa.array(self._whole(head_texts), pa.large_binary())])
+        joined = table.take(pa.array(rows))
         _, ends, data = joined.buffers()
         ends = np.frombuffer(ends, np.int64)[joined.offset:][bounds].tolist()
         data = memoryview(data or b"")
         out = [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
-        for t in np.unique(np.searchsorted(bounds, np.flatnonzero(bad[codes]), "right") - 1).tolist():
+        bad = table.is_null().to_numpy(zero_copy_only=False)
+        for t in np.unique(np.searchsorted(bounds, np.flatnonzero(bad[rows]), "right") - 1).tolist():
             out[t] = self._strict(texts[t])
         return out
 

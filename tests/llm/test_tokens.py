@@ -52,6 +52,27 @@ def test_each_distinct_piece_is_looked_up_once(tok):
         assert Counting.asked <= 30
 
 
+def test_words_are_kept_without_their_punctuation(tok):
+    class Counting:
+        words = 0
+
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, word):
+            Counting.words += word.startswith("\u0120")  # a blank before it
+            return self.model.tokenize(word)
+
+    first, second = ([f"{w}{c}" for c in "abcdefghij"] for w in ("one", "two"))
+    chunks = [["head " + " ".join(w + m for w in ws for m in marks)] for ws, marks in
+              ((first, ",;"), (second, ",;"), (first + second, [".", "!?", ""]))]
+    e = PieceEncoder(TOKENIZER, 20)  # room for the words alone
+    e.model = Counting(e.model)
+    for texts in chunks:
+        assert all((e.ids(raw) == whole(tok, t)).all() for t, raw in zip(texts, e.encode(texts)))
+    assert Counting.words == 20
+
+
 def test_column_chunks_cover_every_row():
     import pyarrow as pa
     from adlens.llm.common import column_chunks
