@@ -39,7 +39,7 @@ def _positions(mapping: DataFrame) -> DataFrame:
 
 
 def _extra_cells(mapping: DataFrame) -> DataFrame:
-    """Per file: (position, name) of the headers without a canonical name, in order.
+    """Per file: a map from name to position of the headers without a canonical name, in order.
 
     A blank header is named after its position and a repeated one numbered, as names are keys.
     """
@@ -47,7 +47,9 @@ def _extra_cells(mapping: DataFrame) -> DataFrame:
     rest = mapping.where(F.col("canonical").isNull()).select("source", "position", name.alias("name"))
     nth = F.row_number().over(Window.partitionBy("source", "name").orderBy("position")) - 1
     rest = rest.withColumn("name", F.when(nth > 0, F.concat("name", F.lit("."), nth.cast("string"))).otherwise(F.col("name")))
-    return rest.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("_extra"))
+    ordered = F.array_sort(F.collect_list(F.struct("position", "name")))
+    return rest.groupBy("source").agg(F.map_from_arrays(F.transform(ordered, lambda x: x["name"]),
+                                                        F.transform(ordered, lambda x: x["position"])).alias("_extra"))
 
 
 def standardize_lines(lines: DataFrame, mapping: DataFrame, keep_extras: bool = False, keep_cart: bool = False) -> DataFrame:
@@ -75,8 +77,8 @@ def standardize_lines(lines: DataFrame, mapping: DataFrame, keep_extras: bool =
         rest = _extra_cells(mapping).withColumnRenamed("source", "_extra_source")
         data = data.join(rest, data.file == F.col("_extra_source"), "left")
         empty = F.create_map().cast("map<string,string>")
-        kept = [F.coalesce(F.map_from_entries(F.transform("_extra", lambda x: F.struct(
-            x["name"].alias("key"), F.get(F.col("fields"), x["position"]).alias("value")))), empty).alias("extras")]
+        # the file's names are keys of every line's map: they are looked at for repeats once a file
+        kept = [F.coalesce(F.transform_values("_extra", lambda _, at: F.get(F.col("fields"), at)), empty).alias("extras")]
     if keep_cart:
         kept.append(F.when(F.col("cart_pos").isNotNull(), _cart_count(F.get("fields", "cart_pos"))).alias("_cart"))
     cells = data.select("file", "line_id", *[F.transform(F.array(*map(raw, names)), clean).alias(kind) for kind, names, clean in (

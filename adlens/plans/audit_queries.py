@@ -51,7 +51,7 @@ def _csv_folder(spark, sf):
     """The derived reports with awkward shapes, written as CSV files and read back."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/adlens-tables/csv-{uuid.uuid4().hex}"
     write_lines(awkward_lines(spark, sf), path)
-    lines = materialize(read_report_lines(spark, path, "*.txt"), "csv-lines")
+    lines = materialize(read_report_lines(spark, path), "csv-lines")
     mapping = materialize(map_headers(audit.header_catalog_from_lines(lines)), "csv-mapping")
     fact = materialize(audit.standardize_lines(lines, mapping, keep_extras=True), "csv-fact")
     return _folder_totals(audit.file_audit(lines, with_issues=False, mapping=mapping, fact=fact), fact)
@@ -60,7 +60,7 @@ def _csv_folder(spark, sf):
 def _folder_totals(audits, fact):
     sums = fact.groupBy("file").agg(F.round(F.sum("cost"), 2).alias("cost"), F.sum("impressions").alias("impressions"),
                                     F.sum(F.size(F.filter(F.map_values("extras"), lambda v: v.isNotNull()))).alias("extra_cells"))
-    name = F.regexp_extract("file", "name=([^/]+)/", 1)
+    name = F.regexp_extract("file", "([^/]+)$", 1)
     return audits.join(sums, "file", "left").select(
         name.alias("report"), "load_status", "row_count", "column_count", F.coalesce("cost", F.lit(0.0)).alias("cost"),
         F.coalesce("impressions", F.lit(0.0)).alias("impressions"), F.coalesce("extra_cells", F.lit(0)).alias("extra_cells"))
@@ -70,9 +70,9 @@ def _watched_folder(spark, sf):
     """The same folder taken in by the folder watch in several triggers; a second run finds nothing new."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/adlens-tables/watch-{uuid.uuid4().hex}"
     write_lines(awkward_lines(spark, sf), f"{base}/in")
-    files = list_files(spark, f"{base}/in", "*.txt").count()
+    files = list_files(spark, f"{base}/in", "*.csv").count()
     for _ in range(2):
-        watch.watch_report_folder(spark, f"{base}/in", f"{base}/out", "*.txt", checkpoint=f"{base}/checkpoint",
+        watch.watch_report_folder(spark, f"{base}/in", f"{base}/out", checkpoint=f"{base}/checkpoint",
                                   max_files_per_trigger=max(1, -(-files // WATCH_TRIGGERS)), analysis=False)
     return _folder_totals(spark.read.parquet(f"{base}/out/audit"), spark.read.parquet(f"{base}/out/standardized"))
 

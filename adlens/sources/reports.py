@@ -8,12 +8,18 @@ empty or can't be read is one header line without fields that names the problem.
 
 from __future__ import annotations
 
-import fnmatch
-
+import re
+import uuid
+import zlib
+from urllib.parse import quote
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adlens.sources import csv_blocks
-from adlens.sources.csv_blocks import LINES
 from adlens.sources.tables import read_table
 
 DATA_SUFFIXES = ["csv", "txt", "tsv"]
@@ -49,9 +55,18 @@ def read_report_lines(spark: SparkSession, root: str, glob: str = "*.csv") -> Da
     Large files are read in blocks by many tasks (:mod:`adlens.sources.csv_blocks`).
     """
     text = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(glob)).option("lineSep", "\n").text(root))
-    lines = csv_blocks.records(_numbered(text))
-    empty = [(path, 0, True, [], "empty file") for path in empty_files(spark, root, glob)]
-    return lines.unionByName(spark.createDataFrame(empty, LINES)) if empty else lines
+    return csv_blocks.records(_numbered(text), _input_files(text))
+
+
+def _input_files(text: DataFrame) -> DataFrame:
+    """(file) of every file of a scan, as its listing has them: those without a byte, which no task reads, too."""
+    files = [(path_of(uri),) for uri in text.inputFiles()]
+    return text.sparkSession.createDataFrame(files, "file string")
+
+
+def path_of(uri: str) -> str:
+    """A file's URI as ``_metadata.file_path`` writes it: without the slashes of an empty authority."""
+    return re.sub("^([^:/]+):///", r"\1:/", uri)
 
 
 def stream_report_text(spark: SparkSession, root: str, glob: str, **options) -> DataFrame:
@@ -67,17 +82,6 @@ def lines_of_text(text: DataFrame) -> DataFrame:
     return csv_blocks.records(text)
 
 
-def empty_files(spark: SparkSession, root: str, glob: str) -> list[str]:
-    """Files without a byte, which Spark's scans leave out; from the same listing the scan makes on the driver."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    listing, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
-    while listing.hasNext():
-        f = listing.next()
-        if not f.getLen() and fnmatch.fnmatch(f.getPath().getName().lower(), glob.lower()):
-            found.append(f.getPath().toString())
-    return found
-
-
 # Four header layouts used by the derived report folder (index = supplier key % 4).
 LAYOUTS = [
     ["date", "platform", "account_name", "campaign_name", "ad_group_name", "keyword", "product_name", "impressions",
@@ -138,16 +142,57 @@ def derived_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.unionByName(data).withColumn("problem", F.lit(None).cast("string"))
 
 
+#: Folders that the files of :func:`write_lines` are dealt to.
+FOLDERS = 32
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Write a ``lines`` table as CSV text, one folder ``name=<file>`` with one file of ordered lines per report.
+    """Write a ``lines`` table as CSV text below ``path``: one file of ordered lines per report, under the report's own name.
 
-    Every cell is quoted, so cells may hold anything; a header without fields is a blank line.
+    Every cell is quoted, so cells may hold anything; a header without fields is a blank line. Tasks write
+    the files themselves, each under a hidden name first: Spark's writer takes a folder for each report, and on
+    a file system without Hadoop's native library it runs several processes to create one.
     """
     cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-    (lines.select(F.regexp_extract("file", r"([^/]+)$", 1).alias("name"), "line_id",
-                  F.array_join(F.transform("fields", cell), ",").alias("value"))
-     .repartition("name").sortWithinPartitions("name", "line_id").select("name", "value")
-     .write.partitionBy("name").text(path))
+    text = F.when(F.size("fields") == 0, F.lit("")).when(  # cells without a quote are quoted all at once
+        ~F.contains(F.array_join("fields", "", ""), F.lit('"')), F.concat(F.lit('"'), F.array_join("fields", '","', ""), F.lit('"'))).otherwise(
+            F.array_join(F.transform("fields", cell), ","))
+    rows = lines.select(F.substring_index("file", "/", -1).alias("name"), "line_id", F.concat(text, F.lit("\n")).alias("value"))
+    ordered = rows.repartition("name").sortWithinPartitions("name", "line_id").select("name", "value")
+    ordered.mapInArrow(_file_writer(path), "name string").write.format("noop").mode("overwrite").save()
+
+
+def _file_writer(path: str):
+    """A function of batches of (name, value) in order of ``name`` that writes the values of each name to a file."""
+    def run(batches):
+        fs, root = pa.fs.FileSystem.from_uri(path if path.startswith("/") else quote(path, safe=":/"))
+        now = folder = hidden = out = None
+
+        def finish():
+            out.close()
+            fs.move(hidden, f"{folder}/{now}")
+
+        for b in batches:
+            names, values = b.column(0), b.column(1).cast(pa.string())
+            ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1]
+            data, at = memoryview(values.buffers()[2] or b""), 0
+            runs = pc.run_end_encode(names)
+            for name, to in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if name != now:
+                    if out:
+                        finish()
+                        yield pa.RecordBatch.from_pydict({"name": [now]})
+                    now, folder = name, f"{root}/folder={zlib.crc32(name.encode()) % FOLDERS}"
+                    fs.create_dir(folder)
+                    hidden = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(hidden)
+                out.write(data[ends[at]:ends[to]])
+                at = to
+        if out:
+            finish()
+            yield pa.RecordBatch.from_pydict({"name": [now]})
+
+    return run
 
 
 def awkward_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,15 +203,15 @@ def awkward_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     lines = derived_report_lines(spark, sf_dir)
     key = F.regexp_extract("file", r"([0-9]+)\.csv$", 1).cast("long")
-    more = F.transform(F.sequence(F.lit(0), F.lit(69)), lambda i: F.concat(F.lit("more "), i.cast("string")))
-    fields = F.when(key % 5 == 1, F.concat(F.slice("fields", 1, 1), F.array(
+    more = F.array(*[F.lit(f"more {i}") for i in range(70)])
+    fields = F.when(F.col("_key") % 5 == 1, F.concat(F.slice("fields", 1, 1), F.array(
         F.when(F.col("is_header"), F.lit("")).otherwise(F.lit('two\nlines, "quoted"'))),
-        F.slice("fields", 2, 1000))).when(key % 5 == 2, F.concat("fields", more)).otherwise(F.col("fields"))
+        F.slice("fields", 2, 1000))).when(F.col("_key") % 5 == 2, F.concat("fields", more)).otherwise(F.col("fields"))
     heads = lines.filter("is_header")
     blank = heads.filter(key % 5 == 0).withColumns({"line_id": F.lit(-1).cast("long"), "fields": F.array().cast("array<string>")})
     twins = heads.filter(key % 10 == 3).withColumns({
         "file": F.concat(F.lit("blank_"), key.cast("string"), F.lit(".csv")), "fields": F.array().cast("array<string>")})
-    return lines.withColumn("fields", fields).unionByName(blank).unionByName(twins)
+    return lines.withColumn("_key", key).withColumn("fields", fields).drop("_key").unionByName(blank).unionByName(twins)
 
 
 def report_file_name(suppkey):
