@@ -85,9 +85,8 @@ class _Marks:
         self.at = np.flatnonzero((d == _QUOTE) | (d == _COMMA) | (d == _BREAK) | (d == _RETURN))
         self.kind = d[self.at]
         self.quote = self.kind == _QUOTE
-        after = np.cumsum(self.quote)
-        self.before = ((after - self.quote) & 1).astype(bool)
-        self.after = (after & 1).astype(bool)
+        self.after = (np.cumsum(self.quote, dtype=np.uint8) & 1).astype(bool)
+        self.before = self.after ^ self.quote
         quotes, returns = self.at[self.quote], self.at[(self.kind == _RETURN) & ~self.before]
         left, right = d[quotes[::2] - 1], d[quotes[1::2] + 1]  # the byte before the first is the last, a line break
         self.regular = bool(np.all((left == _COMMA) | (left == _BREAK) | (left == _QUOTE)) and np.all(d[returns + 1] == _BREAK)
@@ -110,7 +109,7 @@ class _Marks:
         kept = np.ones(len(data), bool)
         kept[at[gone]] = False
         content = data[kept]
-        cells = np.concatenate([[0], (at - np.cumsum(gone) + gone)[ends]]).astype(np.int32)
+        cells = np.concatenate([[0], (at - np.cumsum(gone, dtype=np.int32) + gone)[ends]]).astype(np.int32)
         rows = np.concatenate([[0], np.flatnonzero(kind[ends] == _BREAK) + 1]).astype(np.int32)
         full = np.diff(cells) > 0
         values = pa.StringArray.from_buffers(len(full), pa.py_buffer(cells), pa.py_buffer(content),

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from adlens.session import few_listing_tasks
 from adlens.sources import csv_blocks
 from adlens.sources.tables import read_table
 
@@ -54,7 +55,8 @@ def read_report_lines(spark: SparkSession, root: str, glob: str = "*.csv") -> Da
 
     Large files are read in blocks by many tasks (:mod:`adlens.sources.csv_blocks`).
     """
-    text = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(glob)).option("lineSep", "\n").text(root))
+    with few_listing_tasks(spark):
+        text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(glob)).option("lineSep", "\n").text(root)
     return csv_blocks.records(_numbered(text), _input_files(text))
 
 

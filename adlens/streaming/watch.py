@@ -30,7 +30,7 @@ from adlens.functions.columns import with_rates
 from adlens.operators.audit import file_audit, header_catalog_from_lines, standardize_lines
 from adlens.operators.collection import log_view, media_health
 from adlens.operators.ingest import map_headers
-from adlens.session import checkpoint_dir, materialize, scratch_tables
+from adlens.session import checkpoint_dir, few_listing_tasks, materialize, scratch_tables
 from adlens.sources.reports import lines_of_text, stream_report_text
 from adlens.streaming.keyed_log import KeyedLog
 
@@ -73,7 +73,8 @@ def watch_report_folder(spark: SparkSession, in_dir: str, out_dir: str, glob: st
 
     writer = src.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=processing_time)
-    query = writer.start()
+    with few_listing_tasks(spark):  # every trigger lists the files it reads; a query keeps the settings it starts with
+        query = writer.start()
     if once:
         query.awaitTermination()
     return query

@@ -88,3 +88,27 @@ def test_extras_take_their_names_from_a_map_of_the_file(spark):
     assert {r["file"]: r["extras"] for r in fact.collect()} == {"f.csv": {"memo": "x", "column_2": "y", "memo.1": None}, "g.csv": {}}
     plan = fact._jdf.queryExecution().optimizedPlan().toString()
     assert "transform_values" in plan  # no map of a line's own is built, key by key
+
+
+def test_watched_files_are_listed_by_few_tasks(spark, tmp_dir):
+    """A trigger of 50 files lists them in four tasks a core at most, and the session's setting stays as it was."""
+    from adlens.streaming import watch
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, seen, real = spark.conf.get(key), [], watch.lines_of_text
+    os.makedirs(f"{tmp_dir}/in")
+    for i in range(50):
+        with open(f"{tmp_dir}/in/f{i}.csv", "w") as f:
+            f.write(f"date,cost\n2024-01-01,{i}\n")
+
+    def looked(batch):
+        seen.append(batch.sparkSession.conf.get(key))
+        return real(batch)
+
+    watch.lines_of_text = looked
+    try:
+        watch.watch_report_folder(spark, f"{tmp_dir}/in", f"{tmp_dir}/out", checkpoint=f"{tmp_dir}/c", analysis=False)
+    finally:
+        watch.lines_of_text = real
+    assert seen == [str(4 * spark.sparkContext.defaultParallelism)] and spark.conf.get(key) == before
+    fact = spark.read.parquet(f"{tmp_dir}/out/standardized")
+    assert {(r["file"], r["cost"]) for r in fact.collect()} == {(f"file:{tmp_dir}/in/f{i}.csv", i) for i in range(50)}
