@@ -16,7 +16,7 @@ from urllib.parse import quote
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adlens.session import few_listing_tasks
@@ -167,7 +167,7 @@ def write_lines(lines: DataFrame, path: str) -> None:
 def _file_writer(path: str):
     """A function of batches of (name, value) in order of ``name`` that writes the values of each name to a file."""
     def run(batches):
-        fs, root = pa.fs.FileSystem.from_uri(path if path.startswith("/") else quote(path, safe=":/"))
+        fs, root = FileSystem.from_uri(path if path.startswith("/") else quote(path, safe=":/"))
         now = folder = hidden = out = None
 
         def finish():
